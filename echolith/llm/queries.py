@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from echolith.llm import decontaminate, exact_dedup, langid, pii, secrets, simhash, urlfilter
+from echolith.llm import decontaminate, exact_dedup, htmltext, langid, pii, secrets, simhash, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,11 +35,15 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(_table(spark, sf_dir, "documents"))
 
 
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(_table(spark, sf_dir, "pages"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_copies(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_url_filter, op3_decontaminate, op4_secrets, op5_langid, op6_simhash, op7_pii, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op2_url_filter, op3_decontaminate, op4_secrets, op5_langid, op6_simhash, op7_pii, op9_html, op10_exact_dedup)}
 
 ORACLE_SQL = {
     "op10_exact_dedup": r"""

@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from echolith.llm import decontaminate, exact_dedup, htmltext, langid, pii, secrets, simhash, urlfilter
+from echolith.llm import decontaminate, exact_dedup, htmltext, langid, pii, secrets, sentencepiece_bpe, simhash, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_bpe.encode(_table(spark, sf_dir, "documents"))
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(_table(spark, sf_dir, "pages"))
 
@@ -43,7 +47,13 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_copies(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_url_filter, op3_decontaminate, op4_secrets, op5_langid, op6_simhash, op7_pii, op9_html, op10_exact_dedup)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_sentencepiece, op2_url_filter, op3_decontaminate, op4_secrets, op5_langid,
+        op6_simhash, op7_pii, op9_html, op10_exact_dedup,
+    )
+}
 
 ORACLE_SQL = {
     "op10_exact_dedup": r"""

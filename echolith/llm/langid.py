@@ -14,9 +14,11 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 #: N-grams in a profile.
 TOP = 300
@@ -127,9 +129,6 @@ LEAST_SCORE = 0.1
 
 
 def _rejects(by_lang: dict[str, list[int]], size: int, least: float):
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
-
     @pandas_udf("boolean")
     def rejected(texts: pd.Series) -> pd.Series:
         ranks = Ranks(by_lang, size)

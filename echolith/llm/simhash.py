@@ -23,23 +23,41 @@ WORDS, SEED, DISTANCE = 3, 42, 3
 #: Longest run of fingerprints with one key that is compared directly.
 LIMIT = 2048
 #: Shingles hashed at a time, which bounds memory for long texts.
-AT_ONCE = 1 << 16
+AT_ONCE = 1 << 14
+#: For near copies in general: words in a shingle, fingerprint longs, most differing bits of a link (of 256; a Jaccard similarity of 0.8 differs in 0.1515 of the bits on average), and how the bits are split: each of SPLITS shuffles of the bits gives BLOCKS blocks of 18 bits.
+WIDE_WORDS, LONGS, WIDE_DISTANCE, SPLITS, BLOCKS = 5, 4, 38, 3, 14
 
 
 def fingerprint(text: str | None, words: int = WORDS) -> int:
     """The SimHash of a text: a bit is set if more than half of the shingle hashes have it."""
+    return int(wide_fingerprint(text, words, 1)[0])
+
+
+def _mixed(h: np.ndarray, longs: int) -> np.ndarray:
+    """Each hash and further ones mixed from it, side by side."""
+    out = [h]
+    for i in range(1, longs):
+        x = h + np.uint64(i * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        out.append(x ^ (x >> np.uint64(31)))
+    return np.stack(out, axis=1)
+
+
+def wide_fingerprint(text: str | None, words: int, longs: int) -> np.ndarray:
+    """The SimHash of a text in so many unsigned longs, of which the first is that of fingerprint()."""
     tokens = (text or "").encode().lower().split()  # on bytes: only A-Z, only the blanks of ASCII
     if not tokens:
-        return 0
+        return np.zeros(longs, np.uint64)
     joined, n = b" ".join(tokens), max(1, len(tokens) - words + 1)
     ends = np.cumsum([len(t) + 1 for t in tokens]) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     spans = zip(starts[:n].tolist(), ends[min(words, len(tokens)) - 1 :].tolist(), strict=True)
-    counts, digest = np.zeros(64, np.int64), xxhash.xxh64_intdigest
+    counts, digest = np.zeros(64 * longs, np.int64), xxhash.xxh64_intdigest
     for first in range(0, n, AT_ONCE):
         h = np.fromiter((digest(joined[a:b], SEED) for (a, b), _ in zip(spans, range(min(AT_ONCE, n - first)))), np.uint64)
-        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > n, bitorder="little").view(np.uint64)[0])
+        counts += np.unpackbits(_mixed(h, longs).view(np.uint8).reshape(-1, 8 * longs), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(counts * 2 > n, bitorder="little").view(np.uint64)
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,3 +177,91 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     ids = shared_table(own.join(ids, "root", "left").select("root", F.coalesce(F.least("own", "other"), "own").alias("component_id")), "component-ids")
     ids = shared_table(linked.join(ids, "root").select("fp", "component_id"), "components")
     return marked.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def block_bits() -> np.ndarray:
+    """The bits of each block: SPLITS fixed shuffles of all bits, each cut into BLOCKS blocks."""
+    rng = np.random.default_rng(SEED)
+    size = 64 * LONGS // BLOCKS
+    return np.stack([rng.permutation(64 * LONGS)[: size * BLOCKS].reshape(BLOCKS, size) for _ in range(SPLITS)]).reshape(-1, size)
+
+
+def _wide_fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        prints = [wide_fingerprint(t, WIDE_WORDS, LONGS).tobytes() for t in b.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(prints, pa.binary())], ["doc_id", "fp"])
+
+
+def _deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row (key, id, fp) for each block of each fingerprint."""
+    bits = block_bits()
+    weights = 1 << np.arange(bits.shape[1], dtype=np.int64)
+    for whole in batches:
+        for first in range(0, len(whole), 1000):
+            b = whole.slice(first, 1000)
+            prints = np.frombuffer(b"".join(b.column("fp").to_pylist()), np.uint8).reshape(len(b), 8 * LONGS)
+            own = np.unpackbits(prints, axis=1, bitorder="little")
+            keys = np.stack([own[:, block].astype(np.int64) @ weights + (i << bits.shape[1]) for i, block in enumerate(bits)], axis=1)
+            ids = np.repeat(b.column("id").to_numpy(), len(bits))
+            fps = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * LONGS), len(ids), [None, pa.py_buffer(np.repeat(prints, len(bits), axis=0).tobytes())])
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(ids), fps.cast(pa.binary())], ["key", "id", "fp"])
+
+
+def _wide_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows (key, id, fp) sorted by key: the edges (a, b) of a spanning forest of each run's links."""
+
+    def forest(ids: np.ndarray, prints: np.ndarray) -> Iterator[tuple[int, int]]:
+        while len(ids) > 1:
+            root, front, ids, prints = ids[0], [prints[0]], ids[1:], prints[1:]
+            while front and len(ids):
+                near = np.bitwise_count(prints ^ front.pop()).sum(axis=1) <= WIDE_DISTANCE
+                if near.any():
+                    front += list(prints[near])
+                    yield from ((int(x), int(root)) for x in ids[near])
+                    ids, prints = ids[~near], prints[~near]
+
+    keys, ids, prints = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, LONGS), np.uint64)
+    for b in _ended(batches):
+        edges = []
+        if b is not None:
+            keys = np.concatenate([keys, b.column("key").to_numpy()])
+            ids = np.concatenate([ids, b.column("id").to_numpy()])
+            prints = np.concatenate([prints, np.frombuffer(b"".join(b.column("fp").to_pylist()), np.uint64).reshape(-1, LONGS)])
+        cuts = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1]) if len(keys) else np.zeros(1, np.int64)
+        if b is None:
+            cuts = np.append(cuts, len(keys))
+        for first, end in zip(cuts.tolist(), cuts[1:].tolist()):
+            if end - first > 1:
+                edges += forest(ids[first:end], prints[first:end])
+        keys, ids, prints = keys[cuts[-1] :], ids[cuts[-1] :], prints[cuts[-1] :]
+        e = np.array(edges, np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], ["a", "b"])
+
+
+def _ended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
+
+
+def near_copies(docs: DataFrame) -> DataFrame:
+    """(doc_id, keep_id) for every row: keep_id is the smallest doc_id of its group of near copies, linked at five-word shingles and a similarity of about 0.8 or more.
+
+    Wide fingerprints are split into blocks several times over; those that share a block meet in one sorted run, which yields only a spanning forest of the links that hold by Hamming distance. A pair within 0.9 similarity shares a block with probability over 0.99, at 0.8 with 0.88. A run is held by one task (40 bytes a distinct fingerprint).
+    """
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    marked = shared_table(rows.mapInArrow(_wide_fingerprints, "doc_id long, fp binary"), "wide")
+    prints = shared_table(marked.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("id", F.monotonically_increasing_id()), "wide-prints")
+    dealt = prints.select("id", "fp").mapInArrow(_deal, "key long, id long, fp binary")
+    edges = dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_wide_runs, "a long, b long")
+    roots = connected_components(edges)
+    linked = prints.join(roots.withColumnRenamed("node", "id"), "id", "left").select("fp", "least", F.coalesce("root", "id").alias("root"))
+    linked = shared_table(linked, "wide-linked")
+    keep = linked.groupBy("root").agg(F.min("least").alias("keep_id"))
+    ids = shared_table(linked.join(keep, "root").select("fp", "keep_id"), "wide-keep")
+    return marked.join(ids, "fp").select("doc_id", "keep_id")
+
+
+def drop_near_copies(docs: DataFrame) -> DataFrame:
+    """docs with one document of each group of near copies, all columns kept. Rows that share the doc_id that stays are told apart by nothing and all stay."""
+    gone = near_copies(docs).where(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select("doc_id").distinct()
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from echolith.llm import decontaminate, exact_dedup, htmltext, langid, pii, secrets, sentencepiece_bpe, simhash, urlfilter
+from echolith.llm import decontaminate, exact_dedup, htmltext, langid, lm, pii, secrets, sentencepiece_bpe, simhash, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,10 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(_table(spark, sf_dir, "documents"))
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(_table(spark, sf_dir, "documents"))
+
+
 def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(_table(spark, sf_dir, "pages"))
 
@@ -51,7 +55,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_sentencepiece, op2_url_filter, op3_decontaminate, op4_secrets, op5_langid,
-        op6_simhash, op7_pii, op9_html, op10_exact_dedup,
+        op6_simhash, op7_pii, op8_lm_score, op9_html, op10_exact_dedup,
     )
 }
 

@@ -24,13 +24,13 @@ from pyspark.sql import functions as F
 from echolith.llm.shared import shared_table
 
 #: Words of the network's vocabulary, its classes, its state and embedding sizes.
-WORDS, CLASSES, STATE, EMBED = 4096, 64, 16, 16
+WORDS, CLASSES, STATE, EMBED = 1024, 32, 16, 16
 #: Words whose counts go to every task, and the longest of them in bytes.
-HEAD, WORD_BYTES = 50_000, 64
+HEAD, WORD_BYTES = 100_000, 64
 #: Documents that fit the start, their longest text, and passes over them.
 WARM, WARM_CHARS, WARM_PASSES = 2000, 8000, 3
 #: Steps of a training window and of a scoring window; most documents that run side by side.
-STEPS, SCORE_STEPS, LANES = 24, 64, 384
+STEPS, SCORE_STEPS, LANES = 24, 32, 768
 WARM_RATE, RATE, SEED = 0.01, 0.003, 11
 #: The end of a text as a word: no word holds a blank.
 END = b" "
@@ -130,7 +130,10 @@ def side_by_side(docs: list[np.ndarray], most: int = LANES) -> tuple[np.ndarray,
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 + 0.5 * np.tanh(0.5 * x)
+    x = np.tanh(x * np.float32(0.5))
+    x *= np.float32(0.5)
+    x += np.float32(0.5)
+    return x
 
 
 class Network:
@@ -140,21 +143,22 @@ class Network:
         self.v = {k: np.zeros_like(v) for k, v in p.items()}
         self.updates = 0
 
-    def _states(self, before: np.ndarray, keep: np.ndarray, h: np.ndarray, trace: list | None = None) -> np.ndarray:
-        """The state after each input of a window (step, lane)."""
+    def _states(self, before: np.ndarray, keep: np.ndarray, h: np.ndarray, trace: dict | None = None) -> np.ndarray:
+        """The state after each input of a window (step, lane). A trace gets what the way back needs."""
         p, n = self.p, STATE
         gates = (p["embed"] @ p["wx"] + p["b"])[before]
         out = np.empty((*before.shape, n), np.float32)
+        if trace is not None:
+            trace |= {k: np.empty((*before.shape, size), np.float32) for k, size in (("h", n), ("hu", 3 * n), ("zr", 2 * n), ("c", n))}
         for t in range(len(before)):
             h = h * keep[t]
             hu = h @ p["wh"]
             zr = _sigmoid(gates[t, :, : 2 * n] + hu[:, : 2 * n])
-            z, r = zr[:, :n], zr[:, n:]
-            c = np.tanh(gates[t, :, 2 * n :] + r * hu[:, 2 * n :])
+            z = zr[:, :n]
+            c = np.tanh(gates[t, :, 2 * n :] + zr[:, n:] * hu[:, 2 * n :])
             if trace is not None:
-                trace.append((h, zr, c, hu[:, 2 * n :]))
-            h = c + z * (h - c)
-            out[t] = h
+                trace["h"][t], trace["hu"][t], trace["zr"][t], trace["c"][t] = h, hu, zr, c
+            h = np.add(c, z * (h - c), out=out[t])
         return out
 
     def _output(self, h: np.ndarray, target: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
@@ -163,34 +167,40 @@ class Network:
 
         def choice(x: np.ndarray, w: np.ndarray, b: np.ndarray, at: np.ndarray):
             logits = x @ w.T + b
-            logits -= logits.max(axis=1, keepdims=True)
+            if (np.abs(w).sum(axis=1) + np.abs(b)).max() > 80:  # states lie within -1 and 1: else no exponential overflows
+                logits -= logits.max(axis=1, keepdims=True)
             e = np.exp(logits)
             s = e.sum(axis=1)
-            row = np.arange(len(x))
-            logp = logits[row, at] - np.log(s)
+            one = np.arange(len(x)) * len(w) + at
+            logp = logits.ravel()[one] - np.log(s)
             if grads is None:
                 return logp, None, None, None
             e /= s[:, None]
-            e[row, at] -= 1
+            e.ravel()[one] -= 1
             return logp, e @ w, e.T @ x, e.sum(axis=0)
 
         cls = lex.cls[target]
+        order = np.argsort(cls, kind="stable")
+        h, target, cls = h[order], target[order], cls[order]
+        ends = np.searchsorted(cls, np.arange(len(lex.bounds)))
         logp, back, dw, db = choice(h, p["wc"], p["bc"], cls)
         if grads is not None:
-            grads["wc"], grads["bc"] = dw, db
-            grads["ww"], grads["bw"] = np.zeros_like(p["ww"]), np.zeros_like(p["bw"])
-        order = np.argsort(cls, kind="stable")
-        ends = np.searchsorted(cls[order], np.arange(len(lex.bounds)))
+            grads |= {"wc": dw, "bc": db, "ww": np.zeros_like(p["ww"]), "bw": np.zeros_like(p["bw"])}
         for k in np.flatnonzero(np.diff(ends)).tolist():
-            lo, hi = int(lex.bounds[k]), int(lex.bounds[k + 1])
+            (lo, hi), own = lex.bounds[k : k + 2].tolist(), slice(ends[k], ends[k + 1])
             if hi - lo > 1:
-                own = order[ends[k] : ends[k + 1]]
                 inner, d, dw, db = choice(h[own], p["ww"][lo:hi], p["bw"][lo:hi], target[own] - lo)
                 logp[own] += inner
                 if grads is not None:
                     back[own] += d
                     grads["ww"][lo:hi], grads["bw"][lo:hi] = dw, db
-        return logp, back
+        out = np.empty_like(logp)
+        out[order] = logp
+        if grads is not None:
+            sent = np.empty_like(back)
+            sent[order] = back
+            return out, sent
+        return out, None
 
     def _windows(self, docs: list[np.ndarray], steps: int):
         """(target, input, keep, owner, lanes that go on) of one window after the other."""
@@ -219,29 +229,34 @@ class Network:
         tokens, h, n, p = 0, None, STATE, self.p
         for target, before, keep, _, live in self._windows(docs, STEPS):
             h = np.zeros((live, n), np.float32) if h is None else h[:live]
-            trace: list = []
+            trace: dict[str, np.ndarray] = {}
             states = self._states(before, keep, h, trace)
             h, there = states[-1], target >= 0
             g: dict[str, np.ndarray] = {}
-            back = np.zeros_like(states)
-            _, back[there] = self._output(states[there], target[there], g)
+            if there.all():
+                back = self._output(states.reshape(-1, n), target.ravel(), g)[1].reshape(states.shape)
+            else:
+                back = np.zeros_like(states)
+                back[there] = self._output(states[there], target[there], g)[1]
+            last, c, z, r = trace["h"], trace["c"], trace["zr"][:, :, :n].copy(), trace["zr"][:, :, n:].copy()
+            to_z, to_c, to_r = (last - c) * z * (1 - z), (1 - z) * (1 - c * c), trace["hu"][:, :, 2 * n :] * r * (1 - r)
             into = np.empty((*before.shape, 3 * n), np.float32)  # gradients of the gates
             through = np.empty_like(into)  # and of what the state gives them
-            dh = np.zeros_like(h)
+            dh, wht = np.zeros_like(h), p["wh"].T.copy()
             for t in range(len(before) - 1, -1, -1):
                 dh = dh + back[t]
-                last, zr, c, hu = trace[t]
-                z, r = zr[:, :n], zr[:, n:]
-                dc = dh * (1 - z) * (1 - c * c)
-                into[t, :, :n], into[t, :, n : 2 * n], into[t, :, 2 * n :] = dh * (last - c) * z * (1 - z), dc * hu * r * (1 - r), dc
-                through[t, :, : 2 * n], through[t, :, 2 * n :] = into[t, :, : 2 * n], dc * r
-                dh = (dh * z + through[t] @ p["wh"].T) * keep[t]
+                dc = np.multiply(dh, to_c[t], out=into[t, :, 2 * n :])
+                np.multiply(dh, to_z[t], out=into[t, :, :n])
+                np.multiply(dc, to_r[t], out=into[t, :, n : 2 * n])
+                through[t, :, : 2 * n] = into[t, :, : 2 * n]
+                np.multiply(dc, r[t], out=through[t, :, 2 * n :])
+                dh = (dh * z[t] + through[t] @ wht) * keep[t]
             flat = into.reshape(-1, 3 * n)
-            g["wh"] = np.concatenate([x[0] for x in trace]).T @ through.reshape(-1, 3 * n)
+            g["wh"] = last.reshape(-1, n).T @ through.reshape(-1, 3 * n)
             g["b"] = flat.sum(axis=0)
             ids = before.ravel()
             g["wx"] = p["embed"][ids].T @ flat
-            by = np.argsort(ids, kind="stable")
+            by = np.argsort(ids.astype(np.uint16 if self.lex.size < 1 << 16 else ids.dtype), kind="stable")
             heads = np.flatnonzero(np.diff(ids[by], prepend=-1))
             g["embed"] = np.zeros_like(p["embed"])
             g["embed"][ids[by][heads]] = np.add.reduceat((flat @ p["wx"].T)[by], heads)
@@ -261,8 +276,8 @@ class Network:
 
 
 def _ids(lex: Lexicon, text: str | None) -> np.ndarray:
-    get = lex.id.get
-    return np.array([*(get(w, 1) for w in words(text)), 0], np.int32)
+    own, get = words(text), lex.id.get
+    return np.fromiter((get(w, 1) for w in (*own, END)), np.int32, len(own) + 1)
 
 
 def _train(lex: Lexicon, start: np.ndarray, passes: int, rate: float):
@@ -302,24 +317,27 @@ def _trained(texts: DataFrame, lex: Lexicon, start: np.ndarray, passes: int, rat
 def _score(lex: Lexicon, parameters: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net, row = Network(lex, _shaped(parameters, lex)), TaskContext.get().partitionId() << 40
-        log_z, log_rest = np.log10(lex.z), np.log10(lex.rest)
-        value = {w: (np.log10(c + SMOOTH) - log_z, 0.0 if w in lex.id else np.log10(c + SMOOTH) - log_rest) for w, c in lex.count.items()}
+        place = {w: i for i, w in enumerate(lex.count, 1)}  # 0: in the tail
+        logs = np.log10(np.array(list(lex.count.values()), float) + SMOOTH)
+        ids = np.array([1, *(lex.id.get(w, 1) for w in lex.count)], np.int32)
+        value = np.concatenate([[[0.0, 0.0]], np.stack([logs - np.log10(lex.z), np.where(ids[1:] == 1, logs - np.log10(lex.rest), 0.0)], axis=1)])
+        get = place.get
         for b in batches:
-            docs, base, extra, known, tails = [], [], [], [], []
+            docs, sums, known, tails, sizes = [], [], [], [], []
             for text in b.column("text").to_pylist():
                 own = [*words(text), END]
-                docs.append(np.array([lex.id.get(w, 1) for w in own], np.int32))
-                found = [value[w] for w in own if w in value]
-                known.append(len(found))
-                base.append(sum(x for x, _ in found))
-                extra.append(sum(x for _, x in found))
-                tails.append([w for w in own if w not in value] if len(found) < len(own) else [])
+                at = np.fromiter((get(w, 0) for w in own), np.int32, len(own))
+                docs.append(ids[at])
+                sums.append(value[at].sum(axis=0))
+                missing = np.flatnonzero(at == 0).tolist()
+                known.append(len(own) - len(missing))
+                tails += [own[i] for i in missing]
+                sizes.append(len(missing))
             logp = net.score(docs) / np.log(10) if docs else np.zeros(0)
-            offsets = np.concatenate([[0], np.cumsum([len(t) for t in tails])]).astype(np.int32)
-            tail = pa.ListArray.from_arrays(pa.array(offsets), pa.array([w for t in tails for w in t], pa.binary()))
-            lengths = pa.array([len(d) for d in docs], pa.int64())
+            sums = np.array(sums).reshape(-1, 2)
+            tail = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]).astype(np.int32)), pa.array(tails, pa.binary()))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(row, row + len(docs))), b.column("doc_id"), b.column("held_out"), lengths, pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(logp + np.array(extra)), tail],
+                [pa.array(np.arange(row, row + len(docs))), b.column("doc_id"), b.column("held_out"), pa.array([len(d) for d in docs], pa.int64()), pa.array(known, pa.int64()), pa.array(sums[:, 0]), pa.array(logp + sums[:, 1]), tail],
                 [c.split()[0] for c in SCORED.split(", ")],
             )
             row += len(docs)
@@ -340,7 +358,9 @@ def score(docs: DataFrame, folds: int = 10, held: int = 0) -> DataFrame:
     head = [(bytes(r[0]), r[1]) for r in head.unionByName(counted.where(F.col("word") == END)).distinct().collect()]
     lex = Lexicon(sorted(head, key=lambda x: (-x[1], x[0])), total, kinds)
 
-    some = train.where(F.char_length("text") <= WARM_CHARS).orderBy(F.xxhash64("doc_id"), "doc_id").limit(WARM)
+    short = train.where(F.char_length("text") <= WARM_CHARS).withColumn("h", F.xxhash64("doc_id", "text"))
+    least = short.select("h").orderBy("h").limit(WARM).agg(F.max("h")).first()[0]  # hashes alone are sorted
+    some = short.where(F.col("h") <= F.lit(least)).limit(WARM)
     start = _trained(some, lex, _flat(fresh_parameters(lex)), WARM_PASSES, WARM_RATE)
     parameters = _trained(train, lex, start, 1, RATE)
 

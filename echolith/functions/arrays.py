@@ -5,6 +5,7 @@ Samples are numbered from 0. A null array gives null; so does an array too short
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from math import pi
 
 from pyspark.sql import Column
@@ -14,6 +15,11 @@ from pyspark.sql import functions as F
 EPSILON = 2.220446049250313e-16
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once: an expression used inside a lambda, or several times over, would be worked out each time."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def doubles(x: Column) -> Column:
     return F.transform(x, lambda v: v.cast("double"))
 
@@ -38,7 +44,14 @@ def peak(x: Column) -> Column:
 
 def peak_normalise(x: Column) -> Column:
     """Divided by the largest magnitude; silence stays as it is."""
-    return F.when(peak(x) > 0, F.transform(x, lambda v: v / peak(x))).otherwise(x)
+    pair = let(x, lambda y: F.struct(y.alias("y"), peak(y).alias("top")))
+    return let(pair, lambda p: F.when(p["top"] > 0, F.transform(p["y"], lambda v: v / p["top"])).otherwise(p["y"]))
+
+
+def mixed(x: Column, other: Column, gain: Column) -> Column:
+    """x plus gain times other, sample by sample."""
+    given = F.struct(x.alias("x"), other.alias("other"), gain.alias("gain"))
+    return let(given, lambda p: F.zip_with(p["x"], p["other"], lambda a, b: a + p["gain"] * b))
 
 
 def argmax(x: Column) -> Column:
@@ -85,9 +98,14 @@ def direct_to_reverberant(x: Column, fs: int, seconds: float = 0.0025) -> Column
 
 def temporal_parts(x: Column, fs: int, seconds: float = 0.0025) -> Column:
     """struct<delay, early, late>: before, around and after the signed maximum, bounds kept within 0 and the last sample."""
-    k, at, last = int(seconds * fs), argmax(x), F.size(x) - 1
-    start, stop = F.least(F.greatest(at - k, F.lit(0)), last), F.least(F.greatest(at + k + 1, F.lit(0)), last)
-    return F.struct(part(x, F.lit(0), start).alias("delay"), part(x, start, stop).alias("early"), part(x, stop, F.size(x)).alias("late"))
+    k = int(seconds * fs)
+
+    def cut(p: Column) -> Column:
+        y, last = p["y"], F.size(p["y"]) - 1
+        start, stop = F.least(F.greatest(p["at"] - k, F.lit(0)), last), F.least(F.greatest(p["at"] + k + 1, F.lit(0)), last)
+        return F.struct(part(y, F.lit(0), start).alias("delay"), part(y, start, stop).alias("early"), part(y, stop, F.size(y)).alias("late"))
+
+    return let(let(x, lambda y: F.struct(y.alias("y"), argmax(y).alias("at"))), cut)
 
 
 def snr_db(rms_signal: Column, rms_noise: Column) -> Column:
@@ -112,28 +130,39 @@ def hamming(n: Column) -> Column:
 
 def direct_gain(early: Column, late: Column, target_db: Column) -> Column:
     """The weight of the windowed direct sound that makes its energy target_db over the late one: w blends the scaled and the original samples, so the energy is a quadratic in the weight. Null if no weight does."""
-    pairs = F.zip_with(early, hamming(F.size(early)), lambda e, w: F.struct(e.alias("e"), w.alias("w")))
-    a = F.aggregate(pairs, F.lit(0.0), lambda s, p: s + p.w * p.w * p.e * p.e)
-    b = 2 * F.aggregate(pairs, F.lit(0.0), lambda s, p: s + (1 - p.w) * p.w * p.e * p.e)
-    c = F.aggregate(pairs, F.lit(0.0), lambda s, p: s + (1 - p.w) * (1 - p.w) * p.e * p.e) - F.pow(F.lit(10.0), target_db / 10) * energy(late)
-    return larger_root(a, b, c)
+    terms = F.zip_with(early, hamming(F.size(early)), lambda e, w: F.struct((w * w * e * e).alias("a"), ((1 - w) * w * e * e).alias("b"), ((1 - w) * (1 - w) * e * e).alias("c")))
+    zero = F.struct(*(F.lit(0.0).alias(k) for k in "abc"))
+    sums = F.aggregate(terms, zero, lambda s, t: F.struct(*((s[k] + t[k]).alias(k) for k in "abc")))
+    wanted = F.pow(F.lit(10.0), target_db / 10) * energy(late)
+    return let(F.struct(sums.alias("s"), wanted.alias("w")), lambda p: larger_root(p["s"]["a"], 2 * p["s"]["b"], p["s"]["c"] - p["w"]))
 
 
 def with_direct_ratio(x: Column, fs: int, target_db: Column, seconds: float = 0.0025) -> Column:
     """The signal with its direct sound rescaled to a direct-to-reverberant ratio, peak-normalised. Null if it can't be reached, or if the direct sound would end up under the late part's peak."""
-    start, stop = direct_window(x, fs, seconds)
-    early, late = part(x, start, stop), part(x, stop, F.size(x))
-    gain = direct_gain(early, late, target_db)
-    fresh = F.zip_with(early, hamming(F.size(early)), lambda e, w: gain * w * e + (1 - w) * e)
-    reached = gain.isNotNull() & (peak(fresh) >= peak(late))
-    return F.when(reached, peak_normalise(F.concat(part(x, F.lit(0), start), fresh, late)))
+
+    def cut(y: Column) -> Column:
+        start, stop = direct_window(y, fs, seconds)
+        return F.struct(part(y, F.lit(0), start).alias("delay"), part(y, start, stop).alias("early"), part(y, stop, F.size(y)).alias("late"))
+
+    def weighed(p: Column) -> Column:
+        return F.struct(p.alias("p"), hamming(F.size(p["early"])).alias("w"), direct_gain(p["early"], p["late"], target_db).alias("gain"))
+
+    def blended(q: Column) -> Column:
+        fresh = F.zip_with(q["p"]["early"], q["w"], lambda e, w: q["gain"] * w * e + (1 - w) * e)
+        return F.struct(q["p"].alias("p"), fresh.alias("fresh"))
+
+    def joined(q: Column) -> Column:
+        loud = peak(q["fresh"]) >= peak(q["p"]["late"])  # null, like fresh, without a gain
+        return F.when(loud, peak_normalise(F.concat(q["p"]["delay"], q["fresh"], q["p"]["late"])))
+
+    return let(let(let(let(x, cut), weighed), blended), joined)
 
 
 def decay_rescale(x: Column, fs: int, tr: Column, tau_full: Column, tau_band: Column) -> Column:
     """A band's decay stretched so that the full-band decay reaches the reverberation time tr. Time runs from 0 to n/fs, end included."""
     wanted = tr / F.log(F.lit(1000.0)) / tau_full * tau_band
-    rate, n = (tau_band - wanted) / (tau_band * wanted), F.size(x)
-    return F.transform(x, lambda v, i: v * F.exp(-i * (n / F.lit(float(fs))) / F.greatest(n - 1, F.lit(1)) * rate))
+    given = F.struct(x.alias("x"), ((tau_band - wanted) / (tau_band * wanted)).alias("rate"), (F.size(x) / F.lit(float(fs)) / F.greatest(F.size(x) - 1, F.lit(1))).alias("step"))
+    return let(given, lambda p: F.transform(p["x"], lambda v, i: v * F.exp(-i * p["step"] * p["rate"])))
 
 
 def cross_fade(first: Column, second: Column, fs: int, at: Column, seconds: float = 0.05) -> Column:
@@ -141,13 +170,16 @@ def cross_fade(first: Column, second: Column, fs: int, at: Column, seconds: floa
     n = int(seconds * fs)
     half, lead = n // 2, n // 4
     hann = lambda i: 0.5 - 0.5 * F.cos(2 * pi * i / max(n - 1, 1))
-    pairs = F.zip_with(first, second, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
 
-    def mix(p: Column, i: Column) -> Column:
-        k = i - (at - lead)  # place in the blend
-        return F.when(k < 0, p.a).when(k >= half, p.b).otherwise(p.a * hann(k + half) + p.b * hann(k))
+    def faded(p: Column) -> Column:
+        def mix(q: Column, i: Column) -> Column:
+            k = i - (p["at"] - lead)  # place in the blend
+            return F.when(k < 0, q["a"]).when(k >= half, q["b"]).otherwise(q["a"] * hann(k + half) + q["b"] * hann(k))
+
+        pairs = F.zip_with(p["first"], p["second"], lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+        return F.when(2 * n > F.size(p["first"]) - p["at"], p["first"]).when(p["at"] >= lead, F.transform(pairs, mix))
 
-    return F.when(2 * n > F.size(first) - at, first).when(at >= lead, F.transform(pairs, mix))
+    return let(F.struct(first.alias("first"), second.alias("second"), at.alias("at")), faded)
 
 
 def half_even(x: Column, digits: int = 2) -> Column:

@@ -287,3 +287,80 @@ def noiseless_decay(n: int, fs: int, amplitude: float, tau: float, seed: int) ->
     """Falling noise by the model without its floor."""
     rng = np.random.default_rng(seed & (1 << 64) - 1)
     return amplitude * np.exp(-np.linspace(0, n / fs, n) / tau) * rng.standard_normal(n)
+
+
+def peak_normalised(x: np.ndarray) -> np.ndarray:
+    top = np.abs(x).max()
+    return x / top if top > 0 else x
+
+
+def direct_bounds(x: np.ndarray, fs: int, seconds: float = 0.0025, last: int | None = None) -> tuple[int, int]:
+    """Start and stop of the samples around the signed maximum, within 0 and last (the length if not given)."""
+    at, k = int(np.argmax(x)), int(seconds * fs)
+    last = len(x) if last is None else last
+    return min(max(at - k, 0), last), min(at + k + 1, last)
+
+
+def head_and_late(x: np.ndarray, fs: int) -> tuple[np.ndarray, np.ndarray]:
+    """A peak-normalised response up to the end of its direct sound, and after it."""
+    x = peak_normalised(x)
+    stop = direct_bounds(x, fs, last=len(x) - 1)[1]
+    return x[:stop], x[stop:]
+
+
+def descriptors(x: np.ndarray, fs: int, noise_db: float) -> tuple[float, float, float, float, float]:
+    """t30, c50, c80, d50, drr of a band-passed response. ValueError if it is shorter than the 80 ms boundary or has no late energy."""
+    t30, _ = decay_time(x, fs, noise_db)
+    power = x * x
+    t50, t80 = int(0.05 * fs + 1), int(0.08 * fs + 1)
+    start, stop = direct_bounds(x, fs)
+    early, late = power[start:stop].sum(), power[stop:].sum()
+    if len(x) < t80 or late <= 0:
+        raise ValueError("too short")
+    clarity = lambda t: 10 * log(power[:t].sum() / (power[t:].sum() + EPSILON), 10)
+    return t30, clarity(t50), clarity(t80), 100 * power[:t50].sum() / power.sum(), 10 * log(early / late, 10)
+
+
+def faded(first: np.ndarray, second: np.ndarray, fs: int, at: int, seconds: float = 0.05) -> np.ndarray:
+    """first, then second, blended around sample at over half of a symmetric Hann window; first itself if fewer than two windows follow."""
+    n = int(seconds * fs)
+    half, lead = n // 2, n // 4
+    if 2 * n > len(first) - at:
+        return first
+    if at < lead:
+        raise ValueError("the blend would start before the signal")
+    hann, a = np.hanning(n), at - lead
+    blend = first[a : a + half] * hann[half : 2 * half] + second[a : a + half] * hann[:half]
+    return np.concatenate([first[:a], blend, second[a + half :]])
+
+
+def denoised(x: np.ndarray, fs: int, crossing: int, amplitude: float, tau: float, seed: int) -> np.ndarray:
+    """A band's late part whose noise gives way to its own modelled decay."""
+    return faded(x, noiseless_decay(len(x), fs, amplitude, tau, seed), fs, crossing)
+
+
+def rescaled(x: np.ndarray, fs: int, tr: float, tau_full: float, tau_band: float) -> np.ndarray:
+    """A band's decay stretched so that the full-band decay reaches the reverberation time tr."""
+    wanted = tr / log(1000) / tau_full * tau_band
+    return x * np.exp(-np.linspace(0, len(x) / fs, len(x)) * (tau_band - wanted) / (tau_band * wanted))
+
+
+def with_direct_ratio(x: np.ndarray, fs: int, target_db: float) -> np.ndarray:
+    """The response with its direct sound weighed to a direct-to-reverberant ratio. ValueError if no weight does, or if the direct sound would end up under the late peak."""
+    start, stop = direct_bounds(x, fs)
+    early, late, w = x[start:stop], x[stop:], np.hamming(stop - start)
+    a, b = ((w * early) ** 2).sum(), 2 * ((1 - w) * w * early**2).sum()
+    c = (((1 - w) * early) ** 2).sum() - 10 ** (target_db / 10) * (late * late).sum()
+    if b * b < 4 * a * c:
+        raise ValueError("the ratio can't be reached")
+    fresh = (-b + sqrt(b * b - 4 * a * c)) / (2 * a) * w * early + (1 - w) * early
+    if np.abs(fresh).max() < np.abs(late).max():
+        raise ValueError("the direct sound would end up under the late peak")
+    return peak_normalised(np.concatenate([x[:start], fresh, late]))
+
+
+def with_noise(x: np.ndarray, snr_db: float, seed: int) -> np.ndarray:
+    """x with pink noise so many dB under it."""
+    noise = pink_noise(len(x), seed)
+    rms = lambda v: sqrt((v * v).mean())
+    return x + noise * (rms(x) / 10 ** (snr_db / 20) / rms(noise))

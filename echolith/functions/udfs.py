@@ -101,10 +101,48 @@ def full_band_decay(x: Column, fs: int = FS) -> Column:
     return pandas_udf(lambda xs: _struct(lambda v: (kernels.full_band_decay(v, fs),), ["tau"], xs), "tau double, error string", F.PandasUDFType.SCALAR)(x)
 
 
-def noiseless_decay(n: Column, amplitude: Column, tau: Column, seed: Column, fs: int = FS) -> Column:
-    """n samples of falling noise."""
-    make = lambda *cols: pd.Series([kernels.noiseless_decay(int(k), fs, a, t, int(s)) if k == k and a == a and t == t and t else None for k, a, t, s in zip(*cols)], dtype=object)
-    return pandas_udf(lambda ns, a, t, s: make(ns, a, t, s), "array<double>", F.PandasUDFType.SCALAR)(n, amplitude, tau, seed)
+def head_and_late(x: Column, fs: int = FS) -> Column:
+    """struct<head, late>: a response, peak-normalised, up to the end of its direct sound and after it."""
+
+    def run(xs: pd.Series) -> pd.DataFrame:
+        parts = [_attempt(kernels.head_and_late, x, fs) for x in xs]
+        return pd.DataFrame({k: [None if p is None or isinstance(p, Exception) else p[i] for p in parts] for i, k in enumerate(("head", "late"))})
+
+    return pandas_udf(lambda xs: run(xs), "head array<double>, late array<double>", F.PandasUDFType.SCALAR)(x)
+
+
+def descriptors(x: Column, fs: int = FS, noise_db: float = -60.0) -> Column:
+    """struct<t30, c50, c80, d50, drr, error> of a band-passed response."""
+    names = ["t30", "c50", "c80", "d50", "drr"]
+    return pandas_udf(lambda xs: _struct(lambda v: kernels.descriptors(v, fs, noise_db), names, xs), "t30 double, c50 double, c80 double, d50 double, drr double, error string", F.PandasUDFType.SCALAR)(x)
+
+
+def denoised(x: Column, crossing: Column, amplitude: Column, tau: Column, seed: Column, fs: int = FS) -> Column:
+    """A band's late part, its noise replaced by its modelled decay; null if that would start too early."""
+    one = lambda v, c, a, t, s: kernels.denoised(v, fs, int(c), a, t, int(s))
+    return pandas_udf(lambda xs, c, a, t, s: _array(one, xs, c, a, t, s), "array<double>", F.PandasUDFType.SCALAR)(x, crossing, amplitude, tau, seed)
+
+
+def rescaled(x: Column, tr: Column, tau_full: Column, tau_band: Column, fs: int = FS) -> Column:
+    """A band's decay stretched to a full-band reverberation time."""
+    one = lambda v, tr, f, b: kernels.rescaled(v, fs, tr, f, b)
+    return pandas_udf(lambda xs, tr, f, b: _array(one, xs, tr, f, b), "array<double>", F.PandasUDFType.SCALAR)(x, tr, tau_full, tau_band)
+
+
+def with_late(head: Column, *bands: Column) -> Column:
+    """A response from its head and the bands of its late part, peak-normalised."""
+    one = lambda h, *late: kernels.peak_normalised(np.concatenate([h, np.sum(late, axis=0)]))
+    return pandas_udf(lambda *cols: _array(one, *cols), "array<double>", F.PandasUDFType.SCALAR)(head, *bands)
+
+
+def with_direct_ratio(x: Column, target_db: Column, fs: int = FS) -> Column:
+    """functions.arrays.with_direct_ratio for long signals."""
+    return pandas_udf(lambda xs, t: _array(lambda v, db: kernels.with_direct_ratio(v, fs, db), xs, t), "array<double>", F.PandasUDFType.SCALAR)(x, target_db)
+
+
+def with_noise(x: Column, snr_db: Column, seed: Column) -> Column:
+    """x with pink noise at a signal-to-noise ratio."""
+    return pandas_udf(lambda xs, d, s: _array(lambda v, db, k: kernels.with_noise(v, db, int(k)), xs, d, s), "array<double>", F.PandasUDFType.SCALAR)(x, snr_db, seed)
 
 
 def register(spark: SparkSession, fs: int = FS) -> list[str]:

@@ -44,9 +44,16 @@ def percentiles(df: DataFrame, by: list[str], value: str, shares: dict[str, floa
     return out.select(*by, *((F.col(f"{k}_low") + (F.col(f"{k}_high") - F.col(f"{k}_low")) * part(p)).alias(k) for k, p in shares.items()))
 
 
+def column_percentiles(df: DataFrame, by: list[str], columns: tuple[str, ...], share: float, suffix: str) -> DataFrame:
+    """(by..., <column><suffix>...): one exact percentile of several columns, found together."""
+    cells = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns)))
+    found = percentiles(df.select(*by, cells.alias("cell")).select(*by, "cell.*"), [*by, "column"], "value", {"p": share})
+    return found.groupBy(*by).agg(*(F.max(F.when(F.col("column") == c, F.col("p"))).alias(f"{c}{suffix}") for c in columns))
+
+
 def draw_key(*keys: Column, seed: int) -> Column:
-    """A sortable key that shuffles rows: the same for the same keys and seed, in any engine with MD5."""
-    return F.md5(F.concat_ws("|", *keys, F.lit(str(seed))))
+    """A number that shuffles rows: the first 15 hexadecimal digits of an MD5, the same for the same keys and seed in any engine."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *keys, F.lit(str(seed)))), 1, 15), 16, 10).cast("long")
 
 
 def draw(df: DataFrame, by: list[str], key: str, count: int | None = None, share: float | None = None) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from echolith.functions.arrays import half_even
-from echolith.operators.ranks import average_ranks, percentiles
+from echolith.operators.ranks import average_ranks, column_percentiles, percentiles
 
 DESCRIPTORS = ("t30", "c50", "c80", "d50")
 ROOMS = ("great_hall", "octagon", "classroom")
@@ -22,8 +22,7 @@ def scan(records: DataFrame, band: int, split: str) -> DataFrame:
 def band_summary(records: DataFrame, columns: tuple[str, ...] = DESCRIPTORS) -> DataFrame:
     """Per band: rows, and each column's 95th percentile, largest and smallest value, rounded half to even."""
     out = records.groupBy("band").agg(F.count("*").alias("rows"), *(f(c).alias(f"{c}_{k}") for c in columns for k, f in (("max", F.max), ("min", F.min))))
-    for c in columns:
-        out = out.join(percentiles(records, ["band"], c, {f"{c}_p95": 0.95}), "band")
+    out = out.join(column_percentiles(records, ["band"], columns, 0.95, "_p95"), "band")
     return out.select("band", "rows", *(half_even(F.col(f"{c}_{k}")).alias(f"{c}_{k}") for c in columns for k in ("p95", "max", "min")))
 
 
@@ -107,9 +106,7 @@ def subset(name: Column) -> Column:
 
 def normalised(records: DataFrame, columns: tuple[str, ...] = DESCRIPTORS) -> DataFrame:
     """records with each column divided by its band's 95th percentile over all records, train and test."""
-    out = records
-    for c in columns:
-        out = out.join(percentiles(records, ["band"], c, {f"{c}_p95": 0.95}), "band")
+    out = records.join(column_percentiles(records, ["band"], columns, 0.95, "_p95"), "band")
     return out.select(*[c for c in records.columns if c not in columns], *((F.col(c) / F.nullif(f"{c}_p95", F.lit(0.0))).alias(c) for c in columns))
 
 

@@ -5,12 +5,12 @@ What doesn't depend on speech (variants, band-split responses, descriptors) is p
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from echolith.functions import arrays as A
 from echolith.functions import udfs
 from echolith.operators.ranks import chance
 from echolith.operators.splits import sweep, within_split
@@ -46,32 +46,26 @@ def by_band(signals: DataFrame, s: Settings, x: str = "x") -> DataFrame:
 
 def tr_variants(responses: DataFrame, s: Settings) -> DataFrame:
     """(rir_name, split, tr, x): each response at each decay time of the sweep; those whose decay can't be estimated in every band are left out."""
-    parts = responses.select("rir_name", "split", A.temporal_parts(A.peak_normalise(A.doubles(F.col("x"))), s.fs).alias("p"))
-    parts = parts.select("rir_name", "split", F.concat("p.delay", "p.early").alias("head"), F.col("p.late").alias("late"))
+    parts = responses.select("rir_name", "split", udfs.head_and_late(F.col("x"), s.fs).alias("p")).select("rir_name", "split", "p.*")
     decay = parts.withColumn("full", udfs.full_band_decay(F.col("late"), s.fs))
-    bands = by_band(decay.where("full.error is null").select("rir_name", "full", F.col("late").alias("x")), s)
+    bands = by_band(decay.where("full.error is null").select("rir_name", F.col("full.tau").alias("full"), F.col("late").alias("x")), s)
     bands = bands.withColumn("own", udfs.decay_parameters(F.col("x"), s.fs)).where("own.error is null")
     seed = F.xxhash64("rir_name", "band", F.lit(s.seed))
-    smooth = udfs.noiseless_decay(F.size("x"), F.col("own.amplitude"), F.col("own.tau"), seed, s.fs)
-    bands = bands.withColumn("x", A.cross_fade(F.col("x"), smooth, s.fs, F.col("own.crossing"))).where("x is not null")
-    at = sweep(bands.select("rir_name", "band", "x", F.col("full.tau").alias("full"), F.col("own.tau").alias("own")), "tr", *s.tr)
-    at = at.withColumn("x", A.decay_rescale(F.col("x"), s.fs, F.col("tr"), F.col("full"), F.col("own")))
-    summed = at.groupBy("rir_name", "tr").agg(F.count("*").alias("n"), *(F.first(F.when(F.col("band") == b, F.col("x")), ignorenulls=True).alias(f"x{b}") for b in s.bands))
-    whole = summed.where(F.col("n") == len(s.bands))
-    late = F.col(f"x{s.bands[0]}")
-    for b in s.bands[1:]:
-        late = F.zip_with(late, F.col(f"x{b}"), lambda a, c: a + c)
-    joined = whole.select("rir_name", "tr", late.alias("late")).join(parts.drop("late"), "rir_name")
-    return joined.select("rir_name", "split", "tr", A.peak_normalise(F.concat("head", "late")).alias("x"))
+    clean = udfs.denoised(F.col("x"), F.col("own.crossing"), F.col("own.amplitude"), F.col("own.tau"), seed, s.fs)
+    at = sweep(bands.select("rir_name", "band", clean.alias("x"), "full", F.col("own.tau").alias("own")).where("x is not null"), "tr", *s.tr)
+    at = at.withColumn("x", udfs.rescaled(F.col("x"), F.col("tr"), F.col("full"), F.col("own"), s.fs))
+    whole = at.groupBy("rir_name", "tr").agg(F.count("*").alias("n"), *(F.first(F.when(F.col("band") == b, F.col("x")), ignorenulls=True).alias(f"x{b}") for b in s.bands))
+    joined = whole.where(F.col("n") == len(s.bands)).join(parts.drop("late"), "rir_name")
+    return joined.select("rir_name", "split", "tr", udfs.with_late(F.col("head"), *(F.col(f"x{b}") for b in s.bands)).alias("x"))
 
 
 def variants(responses: DataFrame, s: Settings) -> DataFrame:
     """(rir_name, split, aug_tag, x) from (rir_name, split, augment, x): each response itself and, where augment is set, at each decay time, and for a random few of those at each direct-to-reverberant ratio."""
-    own = responses.select("rir_name", "split", F.lit("original").alias("aug_tag"), A.doubles(F.col("x")).alias("x"))
+    own = responses.select("rir_name", "split", F.lit("original").alias("aug_tag"), F.col("x").cast("array<double>").alias("x"))
     longer = tr_variants(responses.where("augment"), s)
     drawn = longer.where(chance(F.col("rir_name"), F.col("tr"), seed=s.seed, out_of=len(sweep_values(*s.tr)), kept=s.drr_draws))
     direct = sweep(drawn, "drr", *s.drr)
-    direct = direct.withColumn("x", A.with_direct_ratio(F.col("x"), s.fs, F.col("drr"))).where("x is not null")
+    direct = direct.withColumn("x", udfs.with_direct_ratio(F.col("x"), F.col("drr"), s.fs)).where("x is not null")
     return (
         own.unionByName(longer.select("rir_name", "split", tr_tag(F.col("tr")).alias("aug_tag"), "x"))
         .unionByName(direct.select("rir_name", "split", tr_drr_tag(F.col("tr"), F.col("drr")).alias("aug_tag"), "x"))
@@ -80,32 +74,31 @@ def variants(responses: DataFrame, s: Settings) -> DataFrame:
 
 def described(responses: DataFrame, s: Settings) -> DataFrame:
     """Each variant per band with t30, c50, c80, d50, drr, and error: why it can't be described, else null."""
-    x = F.col("x")
-    out = by_band(responses, s).withColumn("decay", udfs.decay_time(x, s.fs, s.noise_db))
-    out = out.withColumns({"t30": F.col("decay.t30"), "c50": A.clarity(x, 50, s.fs), "c80": A.clarity(x, 80, s.fs), "d50": A.definition(x, s.fs), "drr": A.direct_to_reverberant(x, s.fs)})
-    short = F.when(F.col("c80").isNull(), "ShortSignal").when(F.col("drr").isNull(), "NoLateEnergy")
-    return out.withColumn("error", F.coalesce("decay.error", short)).drop("decay")
-
-
-def records(responses: DataFrame, speech: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """The record table of responses (rir_name, split, augment, x) and speech (speech_name, split, x)."""
-    good = described(variants(responses, s), s).where("error is null")
-    wet = good.select("rir_name", "split", "aug_tag", "band", "t30", "c50", "c80", "d50", "drr", F.col("x").alias("h"))
-    dry = by_band(speech.select("speech_name", "split", F.col("x")), s)
-    # both filters are linear and causal: the reverberant band is the dry signal through the response, filtered once
+    out = by_band(responses, s).withColumn("d", udfs.descriptors(F.col("x"), s.fs, s.noise_db))
+    return out.select("rir_name", "split", "aug_tag", "band", "d.*")
+
+
+def records(responses: DataFrame, speech: DataFrame, s: Settings = Settings(), keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """The record table of responses (rir_name, split, augment, x) and speech (speech_name, split, x).
+
+    Variants are used twice, once to be described and once to be convolved: keep may write them to a shared table and read that.
+    """
+    every = keep(variants(responses, s))
+    measures = F.struct("band", F.struct("t30", "c50", "c80", "d50").alias("descriptors"), "drr")
+    good = described(every, s).where("error is null").groupBy("rir_name", "aug_tag").agg(F.collect_list(measures).alias("measures"))  # at most one a band
+    wet = every.select("rir_name", "aug_tag", "split", F.col("x").alias("h")).join(good, ["rir_name", "aug_tag"])
     pairs = within_split(wet, speech.select("speech_name", "split", F.col("x").alias("dry")))
-    pairs = pairs.join(dry.select("speech_name", "band").distinct(), ["speech_name", "band"], "left_semi")
-    audio = pairs.withColumn("audio", udfs.convolve(F.col("dry"), F.col("h")))
+    pairs = pairs.withColumn("audio", udfs.convolve(F.col("dry"), F.col("h"))).drop("dry", "h")
+    audio = pairs.withColumn("m", F.explode("measures")).select("speech_name", "rir_name", "aug_tag", "split", "m.*", "audio")
+    audio = audio.withColumn("audio", udfs.band_pass(F.col("audio"), F.col("band"), s.fs, s.order, s.kind))
     if s.add_noise:
         key = F.xxhash64("speech_name", "rir_name", "aug_tag", "band", F.lit(s.seed))
         spread = F.lit(s.snr[0]) + (s.snr[1] - s.snr[0]) * F.pmod(key, F.lit(1 << 30)) / (1 << 30)
-        audio = audio.withColumns({"snr": spread, "noise": udfs.pink_noise(F.size("audio"), key)})
-        gain = A.noise_gain(A.rms(F.col("audio")), A.rms(F.col("noise")), F.col("snr"))
-        audio = audio.withColumn("gain", gain).withColumn("audio", F.zip_with("audio", "noise", lambda a, n: a + F.col("gain") * n))
+        audio = audio.withColumn("snr", spread).withColumn("audio", udfs.with_noise(F.col("audio"), F.col("snr"), key))
     else:
         audio = audio.withColumn("snr", F.lit(float("nan")))
     out = audio.withColumn("tae", udfs.temporal_envelope(F.col("audio"), s.fs)).where("tae is not null")
     return out.select(
         audio_name(F.col("speech_name"), F.col("rir_name"), F.col("aug_tag")).alias("reverbed_audio"), F.col("split").alias("type_data"), "band", "speech_name", "rir_name", "aug_tag",
-        F.struct("t30", "c50", "c80", "d50").alias("descriptors"), "drr", "tae", "snr",
+        "descriptors", "drr", "tae", "snr",
     )

@@ -31,8 +31,8 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 WORD = re.compile(r"[^\W_]+")
 #: Words on either side of an entity that are its context; documents in which a term must stand near it; share of an entity's information that discloses it, and that has the term removed.
 WINDOW, SUPPORT, DISCLOSE, REMOVE = 10, 2, 0.7, 0.95
-#: Words that a task counts before it hands the counts on.
-HELD = 300_000
+#: Words that a task counts, and other rows that it holds, before it hands them on.
+HELD, ROWS = 300_000, 20_000
 
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:
@@ -120,6 +120,9 @@ def _pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 seen.add((e, t))
             rows += [{"what": "entity", "entity": e, "n": 1} for e in {entity(k, text[x:y]) for k, x, y in spans}]
             words.update(set(WORD.findall(text.lower())))
+            if len(rows) > ROWS:
+                yield _batch(rows)
+                rows = []
             if len(words) > HELD:
                 yield _counted(words)
                 words = Counter()

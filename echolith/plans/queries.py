@@ -68,7 +68,6 @@ def r(c: Column | str, digits: int = 6) -> Column:
     return F.round(c, digits)
 
 
-X = F.col("x")
 
 
 def _sq(x: str) -> str:
@@ -82,7 +81,7 @@ def _sq(x: str) -> str:
   SELECT label, count(*) AS responses, round(avg(rms), 6) AS mean_rms, round(avg(c50), 6) AS mean_c50,
          round(quantile_cont(d50, 0.95), 6) AS d50_p95, round(stddev_pop(c50), 6) AS deviation_c50 FROM m GROUP BY label""")
 def descriptor_summary(spark, sf_dir):
-    m = ir(spark, sf_dir).select("label", A.rms(X).alias("rms"), A.clarity(X, 50, RATE).alias("c50"), A.definition(X, RATE).alias("d50"))
+    m = ir(spark, sf_dir).select("label", A.rms(F.col("x")).alias("rms"), A.clarity(F.col("x"), 50, RATE).alias("c50"), A.definition(F.col("x"), RATE).alias("d50"))
     out = m.groupBy("label").agg(F.count("*").alias("responses"), r(F.avg("rms")).alias("mean_rms"), r(F.avg("c50")).alias("mean_c50"), r(F.stddev_pop("c50")).alias("deviation_c50"))
     p95 = ranks.percentiles(m, ["label"], "d50", {"d50_p95": 0.95})
     return out.join(p95.select("label", r("d50_p95").alias("d50_p95")), "label")
@@ -90,37 +89,37 @@ def descriptor_summary(spark, sf_dir):
 
 @query(f"WITH {_IR} SELECT vec_id, round({_sq('x')}, 6) AS energy, round(sqrt({_sq('x')} / len(x)), 6) AS rms FROM ir")
 def rms_energy(spark, sf_dir):
-    return ir(spark, sf_dir).select("vec_id", r(A.energy(X)).alias("energy"), r(A.rms(X)).alias("rms"))
+    return ir(spark, sf_dir).select("vec_id", r(A.energy(F.col("x"))).alias("energy"), r(A.rms(F.col("x"))).alias("rms"))
 
 
 @query(f"""WITH {_IR}, p AS (SELECT vec_id, x, list_max(list_transform(x, lambda v: abs(v))) AS top FROM ir)
   SELECT vec_id, unnest(range(len(x))) AS n, round(unnest(list_transform(x, lambda v: v / top)), 9) AS v FROM p""")
 def peak_normalise(spark, sf_dir):
-    return ir(spark, sf_dir).select("vec_id", F.posexplode(A.peak_normalise(X)).alias("n", "v")).select("vec_id", F.col("n").cast("long").alias("n"), r("v", 9).alias("v"))
+    return ir(spark, sf_dir).select("vec_id", F.posexplode(A.peak_normalise(F.col("x"))).alias("n", "v")).select("vec_id", F.col("n").cast("long").alias("n"), r("v", 9).alias("v"))
 
 
 @query(f"""WITH {_IR} SELECT vec_id, round(10 * log10({_sq('x[1:16]')} / ({_sq('x[17:64]')} + 2.220446049250313e-16)), 6) AS c50,
     round(10 * log10({_sq('x[1:25]')} / ({_sq('x[26:64]')} + 2.220446049250313e-16)), 6) AS c80 FROM ir""")
 def clarity_c(spark, sf_dir):
-    return ir(spark, sf_dir).select("vec_id", r(A.clarity(X, 50, RATE)).alias("c50"), r(A.clarity(X, 80, RATE)).alias("c80"))
+    return ir(spark, sf_dir).select("vec_id", r(A.clarity(F.col("x"), 50, RATE)).alias("c50"), r(A.clarity(F.col("x"), 80, RATE)).alias("c80"))
 
 
 @query(f"WITH {_IR} SELECT vec_id, round(100 * {_sq('x[1:16]')} / {_sq('x')}, 6) AS d50 FROM ir")
 def definition_d(spark, sf_dir):
-    return ir(spark, sf_dir).select("vec_id", r(A.definition(X, RATE)).alias("d50"))
+    return ir(spark, sf_dir).select("vec_id", r(A.definition(F.col("x"), RATE)).alias("d50"))
 
 
 @query(f"""WITH {_IR}, w AS (SELECT vec_id, x, greatest({_AT} - 3, 0) AS a, least({_AT} + 4, len(x)) AS b FROM ir),
     e AS (SELECT vec_id, {_sq('x[a + 1:b]')} AS early, {_sq('x[b + 1:len(x)]')} AS late FROM w)
   SELECT vec_id, CASE WHEN late > 0 AND early > 0 THEN round(10 * log10(early / nullif(late, 0)), 6) END AS drr FROM e""")
 def drr_ratio(spark, sf_dir):
-    return ir(spark, sf_dir).select("vec_id", r(A.direct_to_reverberant(X, RATE, WINDOW)).alias("drr"))
+    return ir(spark, sf_dir).select("vec_id", r(A.direct_to_reverberant(F.col("x"), RATE, WINDOW)).alias("drr"))
 
 
 @query(f"""WITH {_IR}, w AS (SELECT vec_id, x, least(greatest({_AT} - 3, 0), len(x) - 1) AS a, least({_AT} + 4, len(x) - 1) AS b FROM ir)
   SELECT vec_id, len(x[1:a]) AS delay, len(x[a + 1:b]) AS early, len(x[b + 1:len(x)]) AS late, round({_sq('x[a + 1:b]')}, 6) AS early_energy FROM w""")
 def temporal_decompose(spark, sf_dir):
-    p = ir(spark, sf_dir).select("vec_id", A.temporal_parts(X, RATE, WINDOW).alias("p"))
+    p = ir(spark, sf_dir).select("vec_id", A.temporal_parts(F.col("x"), RATE, WINDOW).alias("p"))
     size = lambda c: F.size(c).cast("long")
     return p.select("vec_id", size("p.delay").alias("delay"), size("p.early").alias("early"), size("p.late").alias("late"), r(A.energy(F.col("p.early"))).alias("early_energy"))
 
@@ -134,30 +133,30 @@ _WE = "list_sum(list_transform(range(1, len(e) + 1), lambda i: {} * e[i] * e[i])
     {_WE.format('(1 - w[i]) * (1 - w[i])')} - power(10.0, 6.0 / 10) * {_sq('late')} AS c FROM h)
   SELECT vec_id, CASE WHEN b * b - 4 * a * c >= 0 THEN round(greatest((-b + sqrt(greatest(b * b - 4 * a * c, 0))) / (2 * a), (-b - sqrt(greatest(b * b - 4 * a * c, 0))) / (2 * a)), 6) END AS gain FROM q""")
 def drr_aug_alpha(spark, sf_dir):
-    a, b = A.direct_window(X, RATE, WINDOW)
-    p = ir(spark, sf_dir).select("vec_id", A.part(X, a, b).alias("early"), A.part(X, b, F.size(X)).alias("late"))
+    a, b = A.direct_window(F.col("x"), RATE, WINDOW)
+    p = ir(spark, sf_dir).select("vec_id", A.part(F.col("x"), a, b).alias("early"), A.part(F.col("x"), b, F.size(F.col("x"))).alias("late"))
     return p.select("vec_id", r(A.direct_gain(F.col("early"), F.col("late"), F.lit(6.0))).alias("gain"))
 
 
 @query(f"WITH {_IR}, {_EARLY} SELECT vec_id, unnest(range(len(w))) AS n, round(unnest(w), 9) AS w FROM h")
 def hamming_early(spark, sf_dir):
-    a, b = A.direct_window(X, RATE, WINDOW)
-    rows = ir(spark, sf_dir).select("vec_id", F.posexplode(A.hamming(F.size(A.part(X, a, b)))).alias("n", "w"))
+    a, b = A.direct_window(F.col("x"), RATE, WINDOW)
+    rows = ir(spark, sf_dir).select("vec_id", F.posexplode(A.hamming(F.size(A.part(F.col("x"), a, b)))).alias("n", "w"))
     return rows.select("vec_id", F.col("n").cast("long").alias("n"), r("w", 9).alias("w"))
 
 
 @query()
 def drr_augment(spark, sf_dir):
     """After rescaling, the ratio is the one asked for (unless it can't be reached or the direct sound moves)."""
-    x = ir(spark, sf_dir).select("vec_id", A.with_direct_ratio(X, RATE, F.lit(6.0), WINDOW).alias("x")).where("x is not null")
-    return x.select("vec_id", r(A.direct_to_reverberant(X, RATE, WINDOW), 4).alias("drr"), F.size("x").alias("n"))
+    x = ir(spark, sf_dir).select("vec_id", A.with_direct_ratio(F.col("x"), RATE, F.lit(6.0), WINDOW).alias("x")).where("x is not null")
+    return x.select("vec_id", r(A.direct_to_reverberant(F.col("x"), RATE, WINDOW), 4).alias("drr"), F.size("x").alias("n"))
 
 
 @query(f"""WITH {_IR}, m AS (SELECT vec_id, sqrt({_sq('x')} / len(x)) AS rms FROM ir)
   SELECT a.vec_id, round(10 * log10(a.rms * a.rms / (b.rms * b.rms)), 6) AS snr, round(sqrt(a.rms * a.rms / power(10.0, 0.5)) / b.rms, 6) AS gain
   FROM m a JOIN m b ON b.vec_id = a.vec_id + 1""")
 def snr_gain(spark, sf_dir):
-    m = ir(spark, sf_dir).select("vec_id", A.rms(X).alias("rms"))
+    m = ir(spark, sf_dir).select("vec_id", A.rms(F.col("x")).alias("rms"))
     pairs = m.join(m.select((F.col("vec_id") - 1).alias("vec_id"), F.col("rms").alias("noise")), "vec_id")
     return pairs.select("vec_id", r(A.snr_db(F.col("rms"), F.col("noise"))).alias("snr"), r(A.noise_gain(F.col("rms"), F.col("noise"), F.lit(5.0))).alias("gain"))
 
@@ -165,7 +164,7 @@ def snr_gain(spark, sf_dir):
 @query(f"""WITH {_IR}, t AS (SELECT 0.5 / ln(1000.0) / 0.1 * 0.05 AS wanted)
   SELECT vec_id, unnest(range(len(x))) AS n, round(unnest(list_transform(range(len(x)), lambda i: x[i + 1] * exp(-i * (len(x) / 300.0::DOUBLE) / (len(x) - 1) * ((0.05 - wanted) / (0.05 * wanted))))), 6) AS v FROM ir, t""")
 def decay_rescale(spark, sf_dir):
-    x = A.decay_rescale(X, RATE, F.lit(0.5), F.lit(0.1), F.lit(0.05))
+    x = A.decay_rescale(F.col("x"), RATE, F.lit(0.5), F.lit(0.1), F.lit(0.05))
     return ir(spark, sf_dir).select("vec_id", F.posexplode(x).alias("n", "v")).select("vec_id", F.col("n").cast("long").alias("n"), r("v").alias("v"))
 
 
@@ -174,7 +173,7 @@ def decay_rescale(spark, sf_dir):
     ELSE x[i + 1] * (0.5 - 0.5 * cos(2 * pi() * (k + 6) / 11)) + x[64 - i] * (0.5 - 0.5 * cos(2 * pi() * k / 11)) END, 6) AS v FROM k""")
 def crossfade(spark, sf_dir):
     """Each response faded into its own reversal around sample 20, over half of a 12-sample window."""
-    x = A.cross_fade(X, F.reverse(X), 240, F.lit(20), 0.05)
+    x = A.cross_fade(F.col("x"), F.reverse(F.col("x")), 240, F.lit(20), 0.05)
     return ir(spark, sf_dir).select("vec_id", F.posexplode(x).alias("n", "v")).select("vec_id", F.col("n").cast("long").alias("n"), r("v").alias("v"))
 
 
@@ -192,7 +191,7 @@ def convolve_same(spark, sf_dir):
     FROM ir, range(64) t(i), range(64) u(j) GROUP BY 1, 2)
   SELECT s.vec_id, i AS n, round(sqrt(x[i + 1] * x[i + 1] + im * im), 6) AS v FROM s JOIN ir ON ir.vec_id = s.vec_id""")
 def hilbert_envelope(spark, sf_dir):
-    rows = ir(spark, sf_dir).select("vec_id", F.posexplode(udfs.envelope(X)).alias("n", "v"))
+    rows = ir(spark, sf_dir).select("vec_id", F.posexplode(udfs.envelope(F.col("x"))).alias("n", "v"))
     return rows.select("vec_id", F.col("n").cast("long").alias("n"), r("v").alias("v"))
 
 
@@ -201,7 +200,7 @@ def hilbert_envelope(spark, sf_dir):
   FROM ir, c, range(64) t(i), range(64) u(j) WHERE j <= i GROUP BY 1, 2""")
 def low_pass_first_order(spark, sf_dir):
     """A one-pole low-pass at 20 Hz of 300; its impulse response has a closed form."""
-    rows = ir(spark, sf_dir).select("vec_id", F.posexplode(udfs.low_pass(X, 20.0, RATE, 1)).alias("n", "v"))
+    rows = ir(spark, sf_dir).select("vec_id", F.posexplode(udfs.low_pass(F.col("x"), 20.0, RATE, 1)).alias("n", "v"))
     return rows.select("vec_id", F.col("n").cast("long").alias("n"), r("v").alias("v"))
 
 
@@ -209,7 +208,7 @@ def low_pass_first_order(spark, sf_dir):
 def band_pass_energy(spark, sf_dir):
     """Energy of each response in three octave bands."""
     bands = ir(spark, sf_dir).withColumn("band", F.explode(F.array(F.lit(31), F.lit(63), F.lit(125))))
-    return bands.select("vec_id", "band", r(A.energy(udfs.band_pass(X, F.col("band"), RATE))).alias("energy"))
+    return bands.select("vec_id", "band", r(A.energy(udfs.band_pass(F.col("x"), F.col("band"), RATE))).alias("energy"))
 
 
 @query(f"WITH {_SIG} SELECT name, n, round(sum(v * v) OVER (PARTITION BY name ORDER BY n DESC), 6) AS energy FROM sig")
@@ -414,18 +413,18 @@ def _responses(spark: SparkSession, each: int = 2) -> DataFrame:
 
 def _with_floor(responses: DataFrame, level: float) -> DataFrame:
     """Responses with pink noise so many dB under them."""
-    return responses.withColumn("x", udfs.with_noise(X, F.lit(level), F.col("seed")))
+    return responses.withColumn("x", udfs.with_noise(F.col("x"), F.lit(level), F.col("seed")))
 
 
 @query()
 def synthetic_rir(spark, sf_dir):
-    return _responses(spark).select("name", r("tr", 2).alias("tr"), F.size("x").alias("n"), r(A.peak(X), 6).alias("peak"))
+    return _responses(spark).select("name", r("tr", 2).alias("tr"), F.size("x").alias("n"), r(A.peak(F.col("x")), 6).alias("peak"))
 
 
 @query()
 def lundeby_t30(spark, sf_dir):
     """Reverberation time of synthetic responses with a noise floor at -70 dB, next to the one they were made with."""
-    return _with_floor(_responses(spark), 55.0).withColumn("d", udfs.decay_time(X, 16_000, -45.0)).select("name", r("tr", 2).alias("tr"), r("d.t30", 4).alias("t30"), r("d.noise_db", 2).alias("noise_db"), "d.error")
+    return _with_floor(_responses(spark), 55.0).withColumn("d", udfs.decay_time(F.col("x"), 16_000, -45.0)).select("name", r("tr", 2).alias("tr"), r("d.t30", 4).alias("t30"), r("d.noise_db", 2).alias("noise_db"), "d.error")
 
 
 @query()
@@ -436,15 +435,15 @@ def tae_feature(spark, sf_dir):
 
 @query()
 def pink_noise_snr(spark, sf_dir):
-    mixed = _responses(spark, 1).withColumn("both", udfs.with_noise(X, F.lit(12.0), F.col("seed")))
+    mixed = _responses(spark, 1).withColumn("both", udfs.with_noise(F.col("x"), F.lit(12.0), F.col("seed")))
     noise = F.zip_with("both", "x", lambda a, b: a - b)
-    return mixed.select("name", r(A.snr_db(A.rms(X), A.rms(noise)), 6).alias("snr"))
+    return mixed.select("name", r(A.snr_db(A.rms(F.col("x")), A.rms(noise)), 6).alias("snr"))
 
 
 @query()
 def decay_fit(spark, sf_dir):
-    late = _with_floor(_responses(spark), 35.0).select("name", "tr", udfs.head_and_late(X).alias("p")).select("name", "tr", F.col("p.late").alias("x"))
-    out = late.withColumn("d", udfs.decay_parameters(X)).withColumn("f", udfs.full_band_decay(X))
+    late = _with_floor(_responses(spark), 35.0).select("name", "tr", udfs.head_and_late(F.col("x")).alias("p")).select("name", "tr", F.col("p.late").alias("x"))
+    out = late.withColumn("d", udfs.decay_parameters(F.col("x"))).withColumn("f", udfs.full_band_decay(F.col("x")))
     return out.select("name", r("tr", 2).alias("tr"), r("d.tau", 5).alias("tau"), r("f.tau", 5).alias("full_tau"), "d.error")
 
 
@@ -463,7 +462,7 @@ def _pipeline_inputs(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
 def tr_augment(spark, sf_dir):
     """Each response at each decay time, and the time that is then measured."""
     out = database.tr_variants(_pipeline_inputs(spark)[0], _settings())
-    return out.withColumn("d", udfs.decay_time(X, 16_000, -10.0)).select("rir_name", r("tr", 2).alias("tr"), F.size("x").alias("n"), r("d.t30", 3).alias("t30"), "d.error")
+    return out.withColumn("d", udfs.decay_time(F.col("x"), 16_000, -10.0)).select("rir_name", r("tr", 2).alias("tr"), F.size("x").alias("n"), r("d.t30", 3).alias("t30"), "d.error")
 
 
 @query()

@@ -171,7 +171,9 @@ def _samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(pages: DataFrame, sample: int = SAMPLE, most: int = BLOCKS) -> list[float]:
     """The classifier's weights."""
-    some = pages.select(F.col("html").cast("string"), F.xxhash64("url", "page_id").alias("h")).orderBy("h").limit(sample).select("html")
+    hashed = pages.select(F.col("html").cast("string"), F.xxhash64("url", "page_id").alias("h"))
+    least = hashed.select("h").orderBy("h").limit(sample).agg(F.max("h")).first()[0]  # hashes alone are sorted
+    some = hashed.where(F.col("h") <= F.lit(least)).select("html").limit(sample)  # the limit only cuts ties
     rows = some.mapInArrow(_samples, "y double, x array<double>").withColumn("h", F.xxhash64("x")).orderBy("h").limit(most).collect()
     if not rows:
         return [0.0] * FEATURES

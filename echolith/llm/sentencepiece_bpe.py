@@ -163,41 +163,43 @@ class Encoder:
         v, blank = self.v, int(self.v.char[ord(SPACE)])
         sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
         short = np.flatnonzero(sizes <= LONG)
-        points = np.frombuffer("".join(chunks[i] for i in short.tolist()).encode("utf-32-le"), np.uint32).astype(np.int64)
-        sid = np.where(points == ord(SPACE), -1, v.char[points]).astype(np.int64)
+        points = np.frombuffer("".join(chunks[i] for i in short.tolist()).encode("utf-32-le"), np.uint32).astype(np.int32)
+        sid = np.where(points == ord(SPACE), np.int32(-1), v.char[points])
         sid[points == 32] = blank
         sid = np.where(sid < 0, ~points, sid)  # a character without a piece
-        word = np.repeat(short, sizes[short])
+        word = np.repeat(short.astype(np.int32), sizes[short])
         first = np.cumsum(sizes[short]) - sizes[short]
-        start = np.arange(len(sid)) - np.repeat(first, sizes[short])
+        start = (np.arange(len(sid)) - np.repeat(first, sizes[short])).astype(np.int32)
         end = start + 1
         done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # (word, start, piece)
 
         def pairs(i: np.ndarray) -> np.ndarray:
-            return self._candidates(sid[i].astype(np.int32), sid[i + 1].astype(np.int32), keys[word[i]], start[i], start[i + 1], end[i + 1])
+            return self._candidates(sid[i], sid[i + 1], keys[word[i]], start[i], start[i + 1], end[i + 1])
 
-        merge = np.full(len(sid), -1, np.int64)
+        merge = np.full(len(sid), -1, np.int32)
         inner = np.flatnonzero(word[1:] == word[:-1]) if len(sid) else np.zeros(0, np.int64)
         merge[inner] = pairs(inner)
-        never = np.int64(1) << 62
-        order = np.where(merge >= 0, v.rank[merge] * 64 + start, never)
+        never = np.int32((1 << 31) - 1)  # ranks are bounded by the vocabulary, starts by LONG
+        order = np.where(merge >= 0, v.rank[merge] * 64 + start, never).astype(np.int32)
         while len(sid):
             heads = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
             best = np.minimum.reduceat(order, heads)
             counts = np.diff(np.append(heads, len(sid)))
             live = np.repeat(best < never, counts)
             if not live.all():
-                done.append((word[~live], start[~live], sid[~live]))
-                sid, word, start, end, merge, order, best, counts = *(x[live] for x in (sid, word, start, end, merge, order)), best[best < never], counts[best < never]
+                ended, live = np.flatnonzero(~live), np.flatnonzero(live)
+                done.append((word[ended], start[ended], sid[ended]))
+                sid, word, start, end, merge, order = (x.take(live) for x in (sid, word, start, end, merge, order))
+                best, counts = best[best < never], counts[best < never]
                 if not len(sid):
                     break
             at = np.flatnonzero(order == np.repeat(best, counts))  # one in each word: its place is part of the order
             sid[at], end[at] = merge[at], end[at + 1]
             keep = np.ones(len(sid), bool)
             keep[at + 1] = False
-            moved = np.cumsum(keep) - 1
-            sid, word, start, end, merge, order = (x[keep] for x in (sid, word, start, end, merge, order))
-            at = moved[at]
+            kept = np.flatnonzero(keep)
+            sid, word, start, end, merge, order = (x.take(kept) for x in (sid, word, start, end, merge, order))
+            at -= np.arange(len(at))  # each merge before this one took a place
             fresh = np.concatenate([at[at > 0] - 1, at])
             fresh = fresh[fresh + 1 < len(sid)]
             merge[at] = -1
@@ -211,7 +213,7 @@ class Encoder:
         if not done:
             return np.zeros(0, np.int32), np.zeros(len(chunks) + 1, np.int64)
         word, start, sid = (np.concatenate(x) for x in zip(*done))
-        by = np.lexsort((start, word))
+        by = np.argsort(word.astype(np.int64) << 32 | start, kind="stable")
         return self._with_bytes(word[by], sid[by], len(chunks))
 
     def _with_bytes(self, word: np.ndarray, sid: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -248,14 +250,13 @@ class Encoder:
     def _flush(self, held: list[tuple[int, int, int, list[str]]], out: list[list[np.ndarray]]) -> None:
         if not held:
             return
-        ids: dict[str, int] = {}
-        codes = np.fromiter((ids.setdefault(c, len(ids)) for *_, chunks in held for c in chunks), np.int64)
+        known = pa.array([c for *_, chunks in held for c in chunks], pa.string()).dictionary_encode()
+        codes, names = known.indices.to_numpy().astype(np.int64), known.dictionary.to_pylist()
         counts = [len(chunks) for *_, chunks in held]
         docs = np.repeat(np.array([d & _M for _, d, _, _ in held], np.uint64), counts)
         places = np.concatenate([np.arange(p, p + n) for (_, _, p, _), n in zip(held, counts)]).astype(np.uint64)
         variant = _mix(_mix(docs + np.uint64(self.seed & _M)) + places) % np.uint64(self.variants)
         kinds, kind = np.unique(codes * self.variants + variant.astype(np.int64), return_inverse=True)
-        names = list(ids)
         chunks = [names[k] for k in (kinds // self.variants).tolist()]
         own = self._keys(names, np.zeros(len(names)))[kinds // self.variants]
         pieces, offsets = self.segment(chunks, _mix(own + (kinds % self.variants).astype(np.uint64)))

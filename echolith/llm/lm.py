@@ -323,7 +323,7 @@ def _score(lex: Lexicon, parameters: np.ndarray):
         value = np.concatenate([[[0.0, 0.0]], np.stack([logs - np.log10(lex.z), np.where(ids[1:] == 1, logs - np.log10(lex.rest), 0.0)], axis=1)])
         get = place.get
         for b in batches:
-            docs, sums, known, tails, sizes = [], [], [], [], []
+            docs, sums, known, tails, times, sizes = [], [], [], [], [], []
             for text in b.column("text").to_pylist():
                 own = [*words(text), END]
                 at = np.fromiter((get(w, 0) for w in own), np.int32, len(own))
@@ -331,21 +331,23 @@ def _score(lex: Lexicon, parameters: np.ndarray):
                 sums.append(value[at].sum(axis=0))
                 missing = np.flatnonzero(at == 0).tolist()
                 known.append(len(own) - len(missing))
-                tails += [own[i] for i in missing]
-                sizes.append(len(missing))
+                rare = Counter(own[i] for i in missing)
+                tails += rare.keys()
+                times += rare.values()
+                sizes.append(len(rare))
             logp = net.score(docs) / np.log(10) if docs else np.zeros(0)
             sums = np.array(sums).reshape(-1, 2)
-            tail = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]).astype(np.int32)), pa.array(tails, pa.binary()))
+            tail = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]).astype(np.int32)), pa.StructArray.from_arrays([pa.array(tails, pa.binary()), pa.array(times, pa.int64())], ["word", "n"]))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.arange(row, row + len(docs))), b.column("doc_id"), b.column("held_out"), pa.array([len(d) for d in docs], pa.int64()), pa.array(known, pa.int64()), pa.array(sums[:, 0]), pa.array(logp + sums[:, 1]), tail],
-                [c.split()[0] for c in SCORED.split(", ")],
+                ["row", "doc_id", "held_out", "n_tokens", "known", "base", "score", "tail"],
             )
             row += len(docs)
 
     return run
 
 
-SCORED = "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, tail array<binary>"
+SCORED = "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, tail array<struct<word:binary,n:long>>"
 
 
 def score(docs: DataFrame, folds: int = 10, held: int = 0) -> DataFrame:
@@ -366,7 +368,7 @@ def score(docs: DataFrame, folds: int = 10, held: int = 0) -> DataFrame:
 
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(kept == held, F.lit(False)).alias("held_out"), F.col("text").cast("string"))
     scored = shared_table(rows.mapInArrow(_score(lex, parameters), SCORED), "lm-scored")
-    tail = scored.where(F.size("tail") > 0).select("row", F.explode("tail").alias("word")).groupBy("word", "row").agg(F.count("*").alias("n"))
+    tail = scored.where(F.size("tail") > 0).select("row", F.explode("tail").alias("t")).select("row", "t.*")
     seen = tail.join(counted, "word", "left").select("row", "n", F.coalesce("c", F.lit(0)).alias("c"))
     logs = F.log10(F.col("c") + SMOOTH)
     sums = seen.groupBy("row").agg(

@@ -24,8 +24,12 @@ WORDS, SEED, DISTANCE = 3, 42, 3
 LIMIT = 2048
 #: Shingles hashed at a time, which bounds memory for long texts.
 AT_ONCE = 1 << 14
-#: For near copies in general: words in a shingle, fingerprint longs, most differing bits of a link (of 256; a Jaccard similarity of 0.8 differs in 0.1515 of the bits on average), and how the bits are split: each of SPLITS shuffles of the bits gives BLOCKS blocks of 18 bits.
-WIDE_WORDS, LONGS, WIDE_DISTANCE, SPLITS, BLOCKS = 5, 4, 38, 3, 14
+#: For near copies in general: words in a shingle, fingerprint longs, and the least Jaccard similarity of two texts' sets of shingles that links them.
+WIDE_WORDS, LONGS, SIMILAR = 5, 4, 0.8
+#: Most differing bits (of 256) of a candidate, and how bits are split: each of SPLITS shuffles of the bits gives BLOCKS blocks of 16 bits. At SIMILAR 0.1515 of the bits differ on average (39), up to 0.19 (48) between very short texts.
+WIDE_DISTANCE, SPLITS, BLOCKS = 64, 6, 16
+#: Rows up to so far apart in a run are compared at once, to find the runs that hold candidates.
+NEAR_ROWS = 1024
 
 
 def fingerprint(text: str | None, words: int = WORDS) -> int:
@@ -44,22 +48,43 @@ def _mixed(h: np.ndarray, longs: int) -> np.ndarray:
     return np.stack(out, axis=1)
 
 
-def wide_fingerprint(text: str | None, words: int, longs: int) -> np.ndarray:
-    """The SimHash of a text in so many unsigned longs, of which the first is that of fingerprint()."""
+def _shingles(text: str | None, words: int) -> Iterator[np.ndarray]:
+    """Hashes of the shingles of a text, AT_ONCE at a time."""
     tokens = (text or "").encode().lower().split()  # on bytes: only A-Z, only the blanks of ASCII
     if not tokens:
-        return np.zeros(longs, np.uint64)
+        return
     joined, n = b" ".join(tokens), max(1, len(tokens) - words + 1)
     ends = np.cumsum([len(t) + 1 for t in tokens]) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     spans = zip(starts[:n].tolist(), ends[min(words, len(tokens)) - 1 :].tolist(), strict=True)
-    counts, digest = np.zeros(64 * longs, np.int64), xxhash.xxh64_intdigest
+    digest = xxhash.xxh64_intdigest
     for first in range(0, n, AT_ONCE):
-        h = np.fromiter((digest(joined[a:b], SEED) for (a, b), _ in zip(spans, range(min(AT_ONCE, n - first)))), np.uint64)
+        yield np.fromiter((digest(joined[a:b], SEED) for (a, b), _ in zip(spans, range(min(AT_ONCE, n - first)))), np.uint64)
+
+
+def _voted(parts: Iterator[np.ndarray], longs: int) -> np.ndarray:
+    counts, n = np.zeros(64 * longs, np.int64), 0
+    for h in parts:
         counts += np.unpackbits(_mixed(h, longs).view(np.uint8).reshape(-1, 8 * longs), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        n += len(h)
     return np.packbits(counts * 2 > n, bitorder="little").view(np.uint64)
 
 
+def wide_fingerprint(text: str | None, words: int, longs: int) -> np.ndarray:
+    """The SimHash of a text in so many unsigned longs, of which the first is that of fingerprint()."""
+    return _voted(_shingles(text, words), longs)
+
+
+def shingle_set(text: str | None) -> np.ndarray:
+    """The hashes of a text's shingles of WIDE_WORDS words, each once, in rising order."""
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *_shingles(text, WIDE_WORDS)]))
+
+
+def set_fingerprint(shingles: np.ndarray) -> np.ndarray:
+    """The SimHash of a set of shingles in LONGS longs: repeats within a text don't count, as they don't in the similarity."""
+    return _voted((shingles[a : a + AT_ONCE] for a in range(0, len(shingles), AT_ONCE)), LONGS)
+
+
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         prints = np.array([fingerprint(t) for t in b.column("text").to_pylist()], np.uint64)
@@ -188,12 +213,24 @@ def block_bits() -> np.ndarray:
 
 def _wide_fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        prints = [wide_fingerprint(t, WIDE_WORDS, LONGS).tobytes() for t in b.column("text").to_pylist()]
+        prints = [set_fingerprint(shingle_set(t)).tobytes() for t in b.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(prints, pa.binary())], ["doc_id", "fp"])
 
 
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for first in range(0, len(whole), 100):
+            sets = [shingle_set(t) for t in whole.slice(first, 100).column("text").to_pylist()]
+            prints = [set_fingerprint(x).tobytes() for x in sets]
+            ends = pa.array(np.cumsum([0, *map(len, sets)]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(prints, pa.binary()), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sets).view(np.int64)))], ["fp", "shingles"])
+
+
+_PRINT = [f"f{i}" for i in range(LONGS)]
+
+
 def _deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row (key, id, fp) for each block of each fingerprint."""
+    """A row (key, id, label, f0, ...) for each block of each fingerprint."""
     bits = block_bits()
     weights = 1 << np.arange(bits.shape[1], dtype=np.int64)
     for whole in batches:
@@ -202,40 +239,62 @@ def _deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             prints = np.frombuffer(b"".join(b.column("fp").to_pylist()), np.uint8).reshape(len(b), 8 * LONGS)
             own = np.unpackbits(prints, axis=1, bitorder="little")
             keys = np.stack([own[:, block].astype(np.int64) @ weights + (i << bits.shape[1]) for i, block in enumerate(bits)], axis=1)
-            ids = np.repeat(b.column("id").to_numpy(), len(bits))
-            fps = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * LONGS), len(ids), [None, pa.py_buffer(np.repeat(prints, len(bits), axis=0).tobytes())])
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(ids), fps.cast(pa.binary())], ["key", "id", "fp"])
-
-
-def _wide_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows (key, id, fp) sorted by key: the edges (a, b) of a spanning forest of each run's links."""
-
-    def forest(ids: np.ndarray, prints: np.ndarray) -> Iterator[tuple[int, int]]:
-        while len(ids) > 1:
-            root, front, ids, prints = ids[0], [prints[0]], ids[1:], prints[1:]
-            while front and len(ids):
-                near = np.bitwise_count(prints ^ front.pop()).sum(axis=1) <= WIDE_DISTANCE
-                if near.any():
-                    front += list(prints[near])
-                    yield from ((int(x), int(root)) for x in ids[near])
-                    ids, prints = ids[~near], prints[~near]
-
-    keys, ids, prints = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, LONGS), np.uint64)
-    for b in _ended(batches):
-        edges = []
-        if b is not None:
-            keys = np.concatenate([keys, b.column("key").to_numpy()])
-            ids = np.concatenate([ids, b.column("id").to_numpy()])
-            prints = np.concatenate([prints, np.frombuffer(b"".join(b.column("fp").to_pylist()), np.uint64).reshape(-1, LONGS)])
-        cuts = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1]) if len(keys) else np.zeros(1, np.int64)
-        if b is None:
-            cuts = np.append(cuts, len(keys))
-        for first, end in zip(cuts.tolist(), cuts[1:].tolist()):
-            if end - first > 1:
-                edges += forest(ids[first:end], prints[first:end])
-        keys, ids, prints = keys[cuts[-1] :], ids[cuts[-1] :], prints[cuts[-1] :]
-        e = np.array(edges, np.int64).reshape(-1, 2)
-        yield pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], ["a", "b"])
+            rest = np.repeat(np.column_stack([b.column("id").to_numpy(), b.column("label").to_numpy(), prints.view(np.int64)]), len(bits), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *(pa.array(np.ascontiguousarray(c)) for c in rest.T)], ["key", "id", "label", *_PRINT])
+
+
+def _forest_edges(ids: np.ndarray, labels: np.ndarray, prints: np.ndarray) -> Iterator[tuple[int, int]]:
+    """A spanning forest of a run's candidates: each fingerprint with one that it is near to."""
+    while len(ids) > 1:
+        front, ids, prints = [(ids[0], prints[0])], ids[1:], prints[1:]
+        while front and len(ids):
+            i, own = front.pop()
+            near = np.bitwise_count(prints ^ own).sum(axis=1) <= WIDE_DISTANCE
+            if near.any():
+                front += list(zip(ids[near], prints[near]))
+                yield from ((int(x), int(i)) for x in ids[near])
+                ids, prints = ids[~near], prints[~near]
+
+
+def _all_edges(ids: np.ndarray, labels: np.ndarray, prints: np.ndarray) -> Iterator[tuple[int, int]]:
+    """All of a run's candidates between different labels."""
+    for k in range(len(ids) - 1):
+        near = (np.bitwise_count(prints[k + 1 :] ^ prints[k]).sum(axis=1) <= WIDE_DISTANCE) & (labels[k + 1 :] != labels[k])
+        yield from ((int(x), int(ids[k])) for x in ids[k + 1 :][near])
+
+
+def _with_candidates(keys: np.ndarray, prints: np.ndarray) -> set[int]:
+    """Keys of the runs that hold a candidate, or are too long to tell at once."""
+    left, found = np.flatnonzero(keys[1:] == keys[:-1]), []
+    for k in range(1, NEAR_ROWS + 1):
+        near = np.bitwise_count(prints[left] ^ prints[left + k]).sum(axis=1) <= WIDE_DISTANCE
+        found.append(keys[left[near]])
+        left = left[left + k + 1 < len(keys)]
+        left = left[keys[left] == keys[left + k + 1]]
+        if not len(left):
+            break
+    return set(np.concatenate([*found, keys[left]]).tolist())
+
+
+def _wide_runs(edges_of):
+    """From rows (key, id, label, f0, ...) sorted by key: candidates (a, b) of each run."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((0, 3 + LONGS), np.int64)
+        for b in _ended(batches):
+            edges: list[tuple[int, int]] = []
+            if b is not None:
+                held = np.concatenate([held, np.column_stack([c.to_numpy() for c in b.columns])])
+            cut = len(held) if b is None or not len(held) else int(np.searchsorted(held[:, 0], held[-1, 0]))
+            done, held = held[:cut], held[cut:]
+            keys, prints = done[:, 0].copy(), done[:, 3:].copy().view(np.uint64)
+            for key in sorted(_with_candidates(keys, prints)):
+                own = slice(*np.searchsorted(keys, [key, key + 1]))
+                edges += edges_of(done[own, 1], done[own, 2], prints[own])
+            e = np.array(edges, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], ["a", "b"])
+
+    return run
 
 
 def _ended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
@@ -243,18 +302,46 @@ def _ended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]
     yield None
 
 
+def _candidates(prints: DataFrame, edges_of, name: str) -> DataFrame:
+    """Distinct pairs (a, b) of rows (id, label, fp) that share a block and lie within WIDE_DISTANCE."""
+    kinds = ", ".join(f"{c} long" for c in ("key", "id", "label", *_PRINT))
+    dealt = prints.select("id", "label", "fp").mapInArrow(_deal, kinds)
+    pairs = dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_wide_runs(edges_of), "a long, b long")
+    return shared_table(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), name)
+
+
+def _verified(pairs: DataFrame, prints: DataFrame, rows: DataFrame, name: str) -> DataFrame:
+    """The pairs whose texts' sets of shingles have a Jaccard similarity of SIMILAR at least. A set is made only for texts in pairs."""
+    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    some = shared_table(prints.join(ids, "id", "left_semi").select("id", "fp", "least"), f"{name}-some")
+    asked = some.select("least").distinct()
+    texts = rows.join(asked, rows["doc_id"].eqNullSafe(asked["least"]), "left_semi").select("text").mapInArrow(_sets, "fp binary, shingles array<long>")
+    sets = shared_table(texts.join(some.select("id", "fp"), "fp").dropDuplicates(["id"]).select("id", "shingles"), f"{name}-sets")
+    a, b = (sets.select(F.col("id").alias(c), F.col("shingles").alias(f"set_{c}")) for c in "ab")
+    n_a, n_b, both = F.size("set_a"), F.size("set_b"), F.size(F.array_intersect("set_a", "set_b"))
+    return shared_table(pairs.join(a, "a").join(b, "b").select("a", "b", (both >= SIMILAR * (n_a + n_b - both)).alias("similar")), name).where("similar").select("a", "b")
+
+
+def _labelled(prints: DataFrame, edges: DataFrame, label: str) -> DataFrame:
+    """prints with the component of each id over edges as a column."""
+    return prints.drop(label).join(connected_components(edges).select(F.col("node").alias("id"), F.col("root").alias(label)), "id", "left").withColumn(label, F.coalesce(label, "id"))
+
+
 def near_copies(docs: DataFrame) -> DataFrame:
-    """(doc_id, keep_id) for every row: keep_id is the smallest doc_id of its group of near copies, linked at five-word shingles and a similarity of about 0.8 or more.
+    """(doc_id, keep_id) for every row: keep_id is the smallest doc_id of its group of near copies, linked where the sets of five-word shingles have a Jaccard similarity of SIMILAR or more.
 
-    Wide fingerprints are split into blocks several times over; those that share a block meet in one sorted run, which yields only a spanning forest of the links that hold by Hamming distance. A pair within 0.9 similarity shares a block with probability over 0.99, at 0.8 with 0.88. A run is held by one task (40 bytes a distinct fingerprint).
+    Wide fingerprints only find candidates: they are split into blocks several times over, and those that share a block meet in one sorted run, which yields a spanning forest of its candidates. These are verified by the sets themselves. A group of candidates that verified links don't join whole is dealt once more, and there all candidates between different components are verified. A pair at SIMILAR becomes a candidate with probability over 0.999, between very short texts 0.97. A run is held by one task (56 bytes a distinct fingerprint).
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     marked = shared_table(rows.mapInArrow(_wide_fingerprints, "doc_id long, fp binary"), "wide")
     prints = shared_table(marked.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("id", F.monotonically_increasing_id()), "wide-prints")
-    dealt = prints.select("id", "fp").mapInArrow(_deal, "key long, id long, fp binary")
-    edges = dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_wide_runs, "a long, b long")
-    roots = connected_components(edges)
-    linked = prints.join(roots.withColumnRenamed("node", "id"), "id", "left").select("fp", "least", F.coalesce("root", "id").alias("root"))
+    pairs = _candidates(prints.withColumn("label", F.col("id")), _forest_edges, "wide-pairs")
+    links = _verified(pairs, prints, rows, "wide-links")
+    groups = shared_table(_labelled(_labelled(prints, links, "label"), pairs, "wide_group"), "wide-groups")
+    torn = groups.groupBy("wide_group").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("wide_group")
+    again = shared_table(groups.join(torn, "wide_group", "left_semi").select("id", "label", "fp"), "wide-again")
+    more = _verified(_candidates(again, _all_edges, "wide-more"), prints, rows, "wide-more-links")
+    linked = _labelled(prints, links.unionByName(more), "root").select("fp", "least", "root")
     linked = shared_table(linked, "wide-linked")
     keep = linked.groupBy("root").agg(F.min("least").alias("keep_id"))
     ids = shared_table(linked.join(keep, "root").select("fp", "keep_id"), "wide-keep")

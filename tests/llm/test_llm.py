@@ -315,3 +315,25 @@ def test_pipeline_keeps_clean_documents(spark):
     out = corpus_pipeline.run(spark, DATA)
     assert out.where("not lossless").count() == 0
     assert out.count() > 0.6 * spark.read.parquet(f"{DATA}/documents.parquet").count()
+
+
+def test_near_copies_by_brute_force(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for g in range(150):  # pairs on both sides of the least similarity
+        own = [f"w{x}" for x in rng.integers(0, 4000, int(rng.integers(60, 300)))]
+        other = list(own)
+        for at in rng.choice(len(own), max(1, round(len(own) * rng.uniform(0.005, 0.04))), replace=False):
+            other[at] = f"new{g}x{at}"
+        rows += [(2 * g, " ".join(own)), (2 * g + 1, " ".join(other))]
+    line = " ".join(f"r{x}" for x in range(40))
+    rows += [(900, line), (901, f"{line} " * 30)]  # much the same set, whatever the repeats
+    sets = {d: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for d, w in ((d, t.split()) for d, t in rows)}
+    want = {d: d for d, _ in rows}
+    alike = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    for d in range(0, 300, 2):
+        want[d + 1] = d if alike(d, d + 1) else d + 1
+    want[901] = 900 if alike(900, 901) else 901
+    assert 30 < sum(d % 2 == 1 and k == d for d, k in want.items()) < 120
+    got = {r["doc_id"]: r["keep_id"] for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want

@@ -124,20 +124,73 @@ def identify(docs: DataFrame, folds: int = 4, held: int = 2, size: int = TOP) ->
     return rows.mapInArrow(_predict(learned, size), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-#: Least score of a document whose language is taken as recognised: far below any prose, above noise.
-LEAST_SCORE = 0.1
+#: Least score of a recognised document where too few labelled documents can tell: of a length class, or of all.
+LEAST_SCORE = 0.3
+#: Documents that a length class needs, bins of its scores, and shares of texts and of noise that may lie on the wrong side of the bounds between which its least score is.
+CLASS_LEAST, BINS, ASIDE = 50, 1000, 0.001
 
 
-def _rejects(by_lang: dict[str, list[int]], size: int, least: float):
+def length_class(text: str | None) -> int:
+    """Texts of about equal length: the bits of the number of characters."""
+    return len(text or "").bit_length()
+
+
+def noise(text: str | None, letters: np.ndarray, rng: np.random.Generator) -> str:
+    """The text with each letter redrawn from letters."""
+    points = np.frombuffer((text or "").lower().encode("utf-32-le", "replace"), np.uint32).copy()
+    there = _letters()[points] != 32
+    points[there] = rng.choice(letters, int(there.sum()))
+    return points.tobytes().decode("utf-32-le")
+
+
+def _histogram(by_lang: dict[str, list[int]], size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranks, rng = Ranks(by_lang, size), np.random.default_rng(size)
+        letters = ranks.codes[ranks.codes < 1 << 21].astype(np.uint32)
+        seen: dict[tuple[int, int], np.ndarray] = {}
+        for b in batches:
+            for text in b.column("text").to_pylist():
+                tag, score = ranks.predict(text)
+                if tag == UNKNOWN or not len(letters):
+                    continue
+                for kind, x in ((0, score), (1, ranks.predict(noise(text, letters, rng))[1])):
+                    n = seen.setdefault((length_class(text), kind), np.zeros(BINS + 1, np.int64))
+                    n[int(x * BINS)] += 1
+        rows = [(size_class, kind, i, n[i]) for (size_class, kind), n in seen.items() for i in np.flatnonzero(n).tolist()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * 4, (pa.int32(), pa.int32(), pa.int32(), pa.int64()))], ["class", "kind", "bin", "n"])
+
+    return run
+
+
+def least_scores(labelled: DataFrame, by_lang: dict[str, list[int]], size: int = TOP) -> dict[int, float]:
+    """The least score of a recognised text by length class, from all rows (text): half-way between the scores that all but ASIDE of the noise (the same texts with letters redrawn) stays under and all but ASIDE of the texts reach. Not above the latter. Classes of fewer than CLASS_LEAST rows are left out. The driver gets a row a class and bin."""
+    rows = labelled.select("text").mapInArrow(_histogram(by_lang, size), "class int, kind int, bin int, n long").groupBy("class", "kind", "bin").agg(F.sum("n").alias("n")).collect()
+    seen: dict[tuple[int, int], np.ndarray] = {}
+    for r in rows:
+        seen.setdefault((r["class"], r["kind"]), np.zeros(BINS + 1, np.int64))[r["bin"]] = r["n"]
+    out = {}
+    for (k, kind), n in seen.items():
+        if kind == 0 and n.sum() >= CLASS_LEAST:
+            below, noisy = np.cumsum(n) / n.sum(), np.cumsum(seen[k, 1]) / n.sum()
+            texts, other = int(np.argmax(below > ASIDE)), int(np.argmax(noisy >= 1 - ASIDE)) + 1
+            out[k] = min((texts + other) / 2, texts) / BINS
+    return out
+
+
+def _rejects(by_lang: dict[str, list[int]], size: int, least: dict[int, float]):
+    other = min(least.values(), default=LEAST_SCORE)
+
     @pandas_udf("boolean")
     def rejected(texts: pd.Series) -> pd.Series:
         ranks = Ranks(by_lang, size)
-        return pd.Series([score < least for _, score in map(ranks.predict, texts)], dtype=bool)
+        return pd.Series([tag == UNKNOWN or score < least.get(length_class(t), other) for t in texts for tag, score in [ranks.predict(t)]], dtype=bool)
 
     return rejected
 
 
-def drop_unrecognised(docs: DataFrame, least: float = LEAST_SCORE, size: int = TOP) -> DataFrame:
-    """docs without those whose language is unknown or whose score is under least; all columns kept. Profiles are learned from all rows with a language."""
-    learned = profiles(docs.where("lang is not null").select("lang", "text"), size)
-    return docs.where(~_rejects(learned, size, least)("text"))
+def drop_unrecognised(docs: DataFrame, least: float | None = None, size: int = TOP) -> DataFrame:
+    """docs without those whose language is unknown or whose score is under the least of their length class; all columns kept. Profiles and least scores are learned from all rows with a language; a class with too few takes the smallest of the others. A number for least holds for all classes instead."""
+    labelled = docs.where("lang is not null").select("lang", F.col("text").cast("string"))
+    learned = profiles(labelled, size)
+    bounds = least_scores(labelled, learned, size) if least is None else {0: least}
+    return docs.where(~_rejects(learned, size, bounds)("text"))

@@ -337,3 +337,15 @@ def test_near_copies_by_brute_force(spark):
     assert 30 < sum(d % 2 == 1 and k == d for d, k in want.items()) < 120
     got = {r["doc_id"]: r["keep_id"] for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == want
+
+
+def test_language_stage_rejects_noise_and_unlearned_languages(spark):
+    known = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    rng = np.random.default_rng(2)
+    letters = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz   "), 1500))
+    junk = base64.b64encode(rng.bytes(900)).decode()
+    finnish = "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä. Jokainen on oikeutettu kaikkiin tässä julistuksessa esitettyihin oikeuksiin ja vapauksiin."
+    bad = spark.createDataFrame([(-1, letters, None), (-2, junk, None), (-3, finnish, None), (-4, "12 34 !", None)], known.schema)
+    kept = {r["doc_id"] for r in langid.drop_unrecognised(known.unionByName(bad)).select("doc_id").collect()}
+    real = {r["doc_id"] for r in known.where("length(text) > 0").select("doc_id").collect()}
+    assert min(kept) >= 0 and len(real - kept) <= 0.002 * len(real)

@@ -1,6 +1,6 @@
 """Secret scan with a recursive decoding worklist.
 
-Three kinds of secrets are found in the text itself (the base) and again in every layer that can be unwrapped from it: URL escapes, Unicode and character-reference escapes, base64 runs, and compressed bytes inside those. Layers go on a worklist until none is new; a layer whose text was seen before is dropped, which ends cycles. Each layer carries, for every character, the stretch of the original text that it came from, so that a secret found at any depth is reported by its span in the original, in code points, end exclusive.
+Three kinds of secrets are found in the text itself (the base) and again in every layer that can be unwrapped from it: URL escapes, Unicode and character-reference escapes, base64 runs, and compressed bytes inside those. Layers go on a worklist until none is new; a layer whose text was seen before at the same stretch of the original is dropped, which ends cycles. Each layer carries, for every character, the stretch of the original text that it came from, so that a secret found at any depth is reported by its span in the original, in code points, end exclusive.
 
 Defined results: a null text counts as empty and has no spans. Rows that repeat are scanned alike. An empty table gives an empty result. Columns other than doc_id and text play no part. Bytes that unpack to more than UNPACKED bytes are left packed, which bounds a task's memory.
 """
@@ -174,7 +174,7 @@ def scan(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str,
     narrow = _narrow(text)
     base = find(text, narrow)
     todo = [Layer(text, np.arange(len(text)), np.arange(1, len(text) + 1))] if _may_unwrap(narrow) else []
-    seen, known, added = {text}, set(base), []
+    seen, known, added = {(text, 0, len(text))}, set(base), []
     while todo:
         layer = todo.pop()
         narrow = _narrow(layer.text)
@@ -191,10 +191,11 @@ def scan(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str,
     return base, sorted(added, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
-def _fresh(layer: Layer, seen: set[str]) -> list[Layer]:
-    if layer.text in seen:
+def _fresh(layer: Layer, seen: set[tuple[str, int, int]]) -> list[Layer]:
+    own = (layer.text, *(layer.original(0, len(layer.text)) if layer.text else (0, 0)))
+    if own in seen:
         return []
-    seen.add(layer.text)
+    seen.add(own)
     return [layer]
 
 

@@ -349,3 +349,12 @@ def test_language_stage_rejects_noise_and_unlearned_languages(spark):
     kept = {r["doc_id"] for r in langid.drop_unrecognised(known.unionByName(bad)).select("doc_id").collect()}
     real = {r["doc_id"] for r in known.where("length(text) > 0").select("doc_id").collect()}
     assert min(kept) >= 0 and len(real - kept) <= 0.002 * len(real)
+
+
+def test_every_place_of_a_repeated_encoded_secret():
+    hidden = base64.b64encode(b"password = abcDEF123456ghi").decode()
+    text = f"one {hidden} two {hidden}\nthree {hidden}."
+    spans = [x for x in secrets.scan(text)[1] if x[0] == "assign"]
+    assert len(spans) == 3
+    for at, (_, a, b, _) in zip([m.start() for m in re.finditer(re.escape(hidden), text)], spans):
+        assert at <= a < b <= at + len(hidden)

@@ -2,7 +2,7 @@
 
 Three kinds of secrets are found in the text itself (the base) and again in every layer that can be unwrapped from it: URL escapes, Unicode and character-reference escapes, base64 runs, and compressed bytes inside those. Layers go on a worklist until none is new; a layer whose text was seen before at the same stretch of the original is dropped, which ends cycles. Each layer carries, for every character, the stretch of the original text that it came from, so that a secret found at any depth is reported by its span in the original, in code points, end exclusive.
 
-Defined results: a null text counts as empty and has no spans. Rows that repeat are scanned alike. An empty table gives an empty result. Columns other than doc_id and text play no part. Bytes that unpack to more than UNPACKED bytes are left packed, which bounds a task's memory.
+Defined results: a null text counts as empty and has no spans. Rows that repeat are scanned alike. An empty table gives an empty result. Columns other than doc_id and text play no part. Base64 is read from each of its four alignments, also over line breaks; what does not decode to a text whole is searched for stretches of text and for compressed streams. Bytes that unpack to more than UNPACKED bytes are read in pieces that overlap by OVERLAP bytes, which bounds a task's memory; of a compressed stream inside such a stream only what its first piece holds is unpacked.
 """
 
 from __future__ import annotations
@@ -29,7 +29,12 @@ NAMES = (b"password", b"passwd", b"secret", b"token", b"api_key", b"apikey")
 ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST = 12, 18, 16
 #: Shortest base64 run that is tried; share of printable characters that makes bytes a text.
 BASE64_LEAST, PRINTABLE = 16, 0.95
-UNPACKED = 1 << 26
+UNPACKED, OVERLAP = 1 << 26, 1 << 16
+#: Base64 that goes on after a line break.
+WRAPPED = re.compile(rb"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{4,}+(?:[ \t]*+\r?\n[ \t]*+[A-Za-z0-9+/_-]++)++")
+#: Stretches of printable UTF-8 as long as what the shortest base64 run holds; where a compressed stream may begin.
+STRETCH = re.compile(rb"(?:[\t\r\n\x20-\x7e]|[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf]|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2}){12,}+")
+PACKED = re.compile(rb"\x1f\x8b|\x78[\x01\x5e\x9c\xda\x3f\x7d\xbb\xf9]|BZh|\xfd7zXZ\x00|\x28\xb5\x2f\xfd")
 
 URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE = re.compile(r"\\u([dD][89abAB][0-9a-fA-F]{2})\\u([dD][c-fC-F][0-9a-fA-F]{2})|\\u([0-9a-fA-F]{4})|\\u\{0*([0-9a-fA-F]{1,6})\}|\\U([0-9a-fA-F]{8})|\\x([0-9a-fA-F]{2})|&#0*([0-9]{1,7});|&#[xX]0*([0-9a-fA-F]{1,6});")
@@ -113,26 +118,30 @@ def _unicode(layer: Layer) -> Iterator[Layer]:
         yield layer.replaced(parts, "unicode")
 
 
-def _unpack(data: bytes) -> tuple[str, bytes] | None:
-    """(format, bytes) if data begins as a compressed stream and unpacks within bounds."""
+def _unpack(data: bytes) -> Iterator[tuple[str, bytes]]:
+    """(format, bytes) if data begins as a compressed stream: whole, or in overlapping pieces if it is long. Of a stream that breaks off, pieces before its last."""
+    more = None
+    if data[:2] == b"\x1f\x8b" or data[:1] == b"\x78" and len(data) > 2 and (data[0] * 256 + data[1]) % 31 == 0:
+        name, d = ("gzip", zlib.decompressobj(31)) if data[0] == 0x1F else ("zlib", zlib.decompressobj(15))
+        more = lambda x: d.decompress(d.unconsumed_tail if x is None else x, UNPACKED)
+    elif data[:3] == b"BZh" or data[:6] == b"\xfd7zXZ\x00":
+        name, d = ("bz2", bz2.BZ2Decompressor()) if data[:1] == b"B" else ("xz", lzma.LZMADecompressor())
+        more = lambda x: d.decompress(x or b"", UNPACKED)
+    elif data[:4] == b"\x28\xb5\x2f\xfd":
+        name, d = "zstd", None
+        reader = zstandard.ZstdDecompressor().stream_reader(data)
+        more = lambda x: reader.read(UNPACKED)
+    if more is None:
+        return
     try:
-        if data[:2] == b"\x1f\x8b" or data[:1] == b"\x78" and len(data) > 2 and (data[0] * 256 + data[1]) % 31 == 0:
-            name, d = ("gzip", zlib.decompressobj(31)) if data[0] == 0x1F else ("zlib", zlib.decompressobj(15))
-            out = d.decompress(data, UNPACKED)
-            return (name, out) if d.eof else None
-        if data[:3] == b"BZh":
-            d = bz2.BZ2Decompressor()
-            return ("bz2", out) if (out := d.decompress(data, UNPACKED)) is not None and d.eof else None
-        if data[:6] == b"\xfd7zXZ\x00":
-            d = lzma.LZMADecompressor()
-            return ("xz", out) if (out := d.decompress(data, UNPACKED)) is not None and d.eof else None
-        if data[:4] == b"\x28\xb5\x2f\xfd":
-            with zstandard.ZstdDecompressor().stream_reader(data) as r:
-                out = r.read(UNPACKED + 1)
-            return ("zstd", out) if len(out) <= UNPACKED else None
+        tail, out = b"", more(data)
+        while len(out) == UNPACKED and not (d and d.eof):
+            yield name, tail + out
+            tail, out = out[-OVERLAP:], more(None)
+        if d is None or d.eof:
+            yield name, tail + out
     except (zlib.error, OSError, ValueError, EOFError, lzma.LZMAError, zstandard.ZstdError):
         pass
-    return None
 
 
 def _as_text(data: bytes) -> str | None:
@@ -145,27 +154,41 @@ def _as_text(data: bytes) -> str | None:
     return text if text and good >= PRINTABLE * len(text) else None
 
 
-def _base64(layer: Layer, narrow: bytes) -> Iterator[Layer]:
-    for a, b in _runs(narrow, IS_BASE64, BASE64_LEAST):
-        run = narrow[a:b].translate(bytes.maketrans(b"-_", b"+/"))
-        if len(run) % 4 == 1:
-            continue
-        data = base64.b64decode(run + b"=" * (-len(run) % 4))
-        b += len(re.match(rb"={0,2}", narrow[b : b + 2])[0])
-        s, e = layer.original(a, b)
-        path = [*layer.path, "base64"]
-        while unpacked := _unpack(data):
-            if unpacked[1] == data:
-                break
-            path.append(unpacked[0])
-            data = unpacked[1]
-        if (text := _as_text(data)) is not None:
-            if path[-1] == "base64":  # byte j came from characters 4j/3 on
-                sizes = np.cumsum([0, *(len(c.encode()) for c in text)])
-                first, last = a + sizes[:-1] * 4 // 3, np.minimum(a + -(-sizes[1:] * 4 // 3), b)
-                yield Layer(text, layer.starts[first], layer.ends[last - 1], tuple(path))
+def _streams(data: bytes, path: tuple[str, ...]) -> Iterator[tuple[str, tuple[str, ...]]]:
+    """(text, path) of what is unpacked from the compressed stream that data begins with, stream by stream."""
+    for name, out in _unpack(data):
+        if out != data:
+            if (text := _as_text(out)) is not None:
+                yield text, (*path, name)
             else:
-                yield Layer(text, np.full(len(text), s), np.full(len(text), e), tuple(path))
+                yield from _streams(out, (*path, name))
+
+
+def _base64(layer: Layer, narrow: bytes) -> Iterator[Layer]:
+    places = [(np.arange(a, b), b) for a, b in _runs(narrow, IS_BASE64, BASE64_LEAST)]
+    if b"\n" in narrow:
+        for m in WRAPPED.finditer(narrow):
+            at = m.start() + np.flatnonzero(np.frombuffer(m[0].translate(IS_BASE64), np.uint8))
+            if len(at) >= BASE64_LEAST:
+                places.append((at, m.end()))
+    for at, b in places:
+        end = b + len(re.match(rb"={0,2}", narrow[b : b + 2])[0])
+        chars = np.frombuffer(narrow, np.uint8)[at].tobytes().translate(bytes.maketrans(b"-_", b"+/"))
+        for skip in range(4):
+            run = chars[skip:]
+            run = run[:-1] if len(run) % 4 == 1 else run
+            data = base64.b64decode(run + b"=" * (-len(run) % 4))
+            text = _as_text(data) if not skip else None
+            found = [(0, text)] if text is not None else [(m.start(), m[0].decode()) for m in STRETCH.finditer(data)]
+            for place, text in found:  # byte j came from characters 4j/3 on
+                sizes = place + np.cumsum([0, *(len(c.encode()) for c in text)])
+                first, last = skip + sizes[:-1] * 4 // 3, np.minimum(skip + -(-sizes[1:] * 4 // 3), len(at))
+                yield Layer(text, layer.starts[at[first]], layer.ends[at[last - 1]], (*layer.path, "base64"))
+            for m in PACKED.finditer(data):
+                a = int(at[skip + m.start() * 4 // 3])
+                s, e = layer.original(a, end)
+                for text, path in _streams(data[m.start() :], (*layer.path, "base64")):
+                    yield Layer(text, np.full(len(text), s), np.full(len(text), e), path)
 
 
 def scan(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int, str]]]:
@@ -201,7 +224,7 @@ def _fresh(layer: Layer, seen: set[tuple[str, int, int]]) -> list[Layer]:
 
 def _may_unwrap(narrow: bytes) -> bool:
     """Whether a layer may be in the text at all: an escape sign or a run that is long enough."""
-    return b"%" in narrow or b"\\" in narrow or b"&#" in narrow or b"\1" * BASE64_LEAST in narrow.translate(IS_BASE64)
+    return b"%" in narrow or b"\\" in narrow or b"&#" in narrow or b"\1" * BASE64_LEAST in narrow.translate(IS_BASE64) or b"\n" in narrow and WRAPPED.search(narrow) is not None
 
 
 def _joined(spans: list[tuple]) -> str:

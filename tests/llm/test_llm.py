@@ -358,3 +358,20 @@ def test_every_place_of_a_repeated_encoded_secret():
     assert len(spans) == 3
     for at, (_, a, b, _) in zip([m.start() for m in re.finditer(re.escape(hidden), text)], spans):
         assert at <= a < b <= at + len(hidden)
+
+
+def test_base64_at_any_alignment_over_lines_and_in_pieces(monkeypatch):
+    key = b"password = abcDEF123456ghi"
+    plain = base64.b64encode(key).decode()
+    stream = base64.b64encode(gzip.compress(b"much more text before it, " + bytes(range(32, 127)) * 3 + key)).decode()
+    wrap = lambda x, n: "\n".join(x[i : i + n] for i in range(0, len(x), n))
+    for hidden in (plain, stream, wrap(plain, 10), wrap(plain, 20), wrap(stream, 76).replace("\n", "\r\n  ")):
+        for before in ("", "api/", "cfg_", "id-", "x", "xy", "xyz", "a/b_c-"):
+            for after in ("", "Q", "/Q"):
+                text = f"see {before}{hidden.rstrip('=')}{after} end"
+                spans = [x for x in secrets.scan(text)[1] if x[0] == "assign"]
+                assert any(4 <= a <= b <= len(text) - 4 for _, a, b, _ in spans), text
+    monkeypatch.setattr(secrets, "UNPACKED", 1000)
+    monkeypatch.setattr(secrets, "OVERLAP", 100)
+    for pack in (gzip.compress, zlib.compress):
+        assert any(x[0] == "assign" for x in secrets.scan(base64.b64encode(pack(b"a b " * 246 + key + b" c d" * 700)).decode())[1])

@@ -375,3 +375,9 @@ def test_base64_at_any_alignment_over_lines_and_in_pieces(monkeypatch):
     monkeypatch.setattr(secrets, "OVERLAP", 100)
     for pack in (gzip.compress, zlib.compress):
         assert any(x[0] == "assign" for x in secrets.scan(base64.b64encode(pack(b"a b " * 246 + key + b" c d" * 700)).decode())[1])
+
+
+def test_language_model_tells_words_past_the_first_thousand_apart():
+    lex = lm.Lexicon([(b"w%d" % i, 9000 - i) for i in range(6000)] + [(lm.END, 9)], 40_000_000, 6001)
+    assert len({lex.id.get(b"w%d" % i, 1) for i in range(4000)}) == 4000
+    assert len(lex.bounds) - 1 > 32

@@ -2,7 +2,7 @@
 
 Words are counted over all training documents; the WORDS most frequent are the network's vocabulary, in CLASSES classes of neighbouring frequency, and P(word) = P(class | state) P(word | class, state). Any other word is the network's unknown word times its share of the counts that the vocabulary leaves over, so the model is a distribution over all words, unseen ones included.
 
-Training: a start is fitted on a bounded sample (WARM short documents), then every task trains on all of its own training documents by truncated backpropagation in numpy, from that same start, and the parameters are averaged by the tokens that each task learned from, summed in slices over a shuffle. Scoring runs every document through the network whole: its state is carried from window to window and reset at its first token.
+Texts are tokenised once, into a table of ids. Training: a start is fitted on a bounded sample (the WARM documents with the least hash), then documents are dealt by hash to shards of about SHARD tokens; each shard trains on all its documents by truncated backpropagation in numpy, from the same parameters, which are then averaged by the tokens that each shard learned from, summed in slices over a shuffle, and go on to the next of ROUNDS. The result depends on the documents alone, not on how the input is split or batched. Scoring runs every document through the network whole: its state is carried from window to window and reset at its first token.
 
 The HEAD most frequent words of at most WORD_BYTES bytes go to the tasks (a bounded table); counts of all others are joined by word, so the tables of words and of counts grow with the corpus without passing through the driver.
 
@@ -27,10 +27,14 @@ from echolith.llm.shared import shared_table
 WORDS, CLASSES, STATE, EMBED = 4096, 64, 16, 16
 #: Words whose counts go to every task, and the longest of them in bytes.
 HEAD, WORD_BYTES = 100_000, 64
-#: Documents that fit the start, their longest text, and passes over them.
-WARM, WARM_CHARS, WARM_PASSES = 2000, 8000, 3
-#: Steps of a training window and of a scoring window; most documents that run side by side.
-STEPS, SCORE_STEPS, LANES = 24, 32, 768
+#: Documents that fit the start, and passes over them.
+WARM, WARM_PASSES = 2000, 3
+#: Tokens of a shard, and in how many rounds the shards' parameters are averaged.
+SHARD, ROUNDS = 1 << 21, 2
+#: Tokens that run side by side; texts tokenised at a time.
+GROUP, BATCH = 1 << 21, 1000
+#: Least and most steps of a training window and of a scoring window; most lanes that run side by side; tokens of an update at least; rows of logits made at a time.
+STEPS, SCORE_STEPS, LANES, UPDATE, ROWS = (24, 256), (32, 2048), 768, 4096, 2048
 WARM_RATE, RATE, SEED = 0.01, 0.003, 11
 #: The end of a text as a word: no word holds a blank.
 END = b" "
@@ -87,13 +91,16 @@ class Lexicon:
 
 
 def shapes(lex: Lexicon) -> dict[str, tuple[int, ...]]:
+    """Each row of wc and ww ends with its bias."""
     classes = len(lex.bounds) - 1
-    return {"embed": (lex.size + 1, EMBED), "wx": (EMBED, 3 * STATE), "wh": (STATE, 3 * STATE), "b": (3 * STATE,), "wc": (classes, STATE), "bc": (classes,), "ww": (lex.size, STATE), "bw": (lex.size,)}
+    return {"embed": (lex.size + 1, EMBED), "wx": (EMBED, 3 * STATE), "wh": (STATE, 3 * STATE), "b": (3 * STATE,), "wc": (classes, STATE + 1), "ww": (lex.size, STATE + 1)}
 
 
 def fresh_parameters(lex: Lexicon) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(SEED)
-    return {k: (rng.standard_normal(s) * 0.2 * (len(s) > 1)).astype(np.float32) for k, s in shapes(lex).items()}
+    p = {k: (rng.standard_normal(s) * 0.2 * (len(s) > 1)).astype(np.float32) for k, s in shapes(lex).items()}
+    p["wc"][:, -1] = p["ww"][:, -1] = 0
+    return p
 
 
 def _flat(p: dict[str, np.ndarray]) -> np.ndarray:
@@ -108,162 +115,204 @@ def _shaped(flat: np.ndarray, lex: Lexicon) -> dict[str, np.ndarray]:
     return out
 
 
-def side_by_side(docs: list[np.ndarray], most: int = LANES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Token ids, each one's document and whether it is the first there, as (step, lane): each lane is a row of whole documents. Lanes are of nearly equal length, longest first; -1 fills them up."""
-    sizes = np.array([len(d) for d in docs])
-    lanes = int(np.clip(sizes.sum() // max(int(sizes.max()), 1), 1, most))
-    heap, dealt = [(0, k) for k in range(lanes)], [[] for _ in range(lanes)]
-    for i in np.argsort(-sizes, kind="stable").tolist():
-        size, k = heap[0]
-        heapq.heapreplace(heap, (size + int(sizes[i]), k))
-        dealt[k].append(i)
-    dealt.sort(key=lambda own: -sizes[own].sum() if own else 0)
-    length = max(int(sizes[own].sum()) for own in dealt if own)
-    ids, owner = np.full((lanes, length), -1, np.int32), np.full((lanes, length), -1, np.int32)
-    first = np.zeros((lanes, length), bool)
-    for k, own in enumerate(dealt):
-        if own:
-            n = sizes[own]
-            ids[k, : n.sum()], owner[k, : n.sum()] = np.concatenate([docs[i] for i in own]), np.repeat(own, n)
-            first[k, np.cumsum(n) - n] = True
-    return ids.T.copy(), owner.T.copy(), first.T.copy()
-
-
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    x = np.tanh(x * np.float32(0.5))
-    x *= np.float32(0.5)
-    x += np.float32(0.5)
-    return x
+class Lanes:
+    """Documents (arrays of ids) side by side: each lane is a row of whole documents, the longest lane first. Nothing is filled up, so a long document costs no more than its own tokens."""
+
+    def __init__(self, docs: list[np.ndarray], edge: int, most: int = LANES):
+        sizes = np.array([len(d) for d in docs])
+        heap, dealt = [(0, k) for k in range(min(most, len(docs)))], [[] for _ in range(min(most, len(docs)))]
+        for i in np.argsort(-sizes, kind="stable").tolist():
+            size, k = heap[0]
+            heapq.heapreplace(heap, (size + int(sizes[i]), k))
+            dealt[k].append(i)
+        dealt.sort(key=lambda own: -sizes[own].sum())
+        order = [i for own in dealt for i in own]
+        self.lengths = np.array([sizes[own].sum() for own in dealt])
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.ids = np.concatenate([docs[i] for i in order]).astype(np.int32)
+        self.owner = np.repeat(order, sizes[order])
+        self.first = np.zeros(len(self.ids), bool)
+        self.first[np.cumsum(sizes[order]) - sizes[order]] = True
+        self.before = np.concatenate([[edge], self.ids[:-1]]).astype(np.int32)
+        self.before[self.first] = edge  # the input before a first token
+
+    def windows(self, least: int, most: int):
+        """(places in ids, whether there is one) by (step, lane), lanes that have ended left out; one window after the other. The fewer lanes are left the more steps a window has, from least to most."""
+        a, end = 0, int(self.lengths[0])
+        while a < end:
+            live = int((self.lengths > a).sum())
+            steps = min(max(LANES * least // live, least), most, end - a)
+            at = np.arange(a, a + steps)[:, None]
+            yield self.starts[:live] + np.minimum(at, self.lengths[:live] - 1), at < self.lengths[:live]
+            a += steps
 
 
 class Network:
+    """Arrays within a window are (step, unit, lane), so that every gate is one stretch of memory."""
+
     def __init__(self, lex: Lexicon, p: dict[str, np.ndarray]):
         self.lex, self.p = lex, {k: v.copy() for k, v in p.items()}
         self.m = {k: np.zeros_like(v) for k, v in p.items()}
         self.v = {k: np.zeros_like(v) for k, v in p.items()}
-        self.updates = 0
-
-    def _states(self, before: np.ndarray, keep: np.ndarray, h: np.ndarray, trace: dict | None = None) -> np.ndarray:
-        """The state after each input of a window (step, lane). A trace gets what the way back needs."""
-        p, n = self.p, STATE
-        gates = (p["embed"] @ p["wx"] + p["b"])[before]
-        out = np.empty((*before.shape, n), np.float32)
+        self.updates, self.held, self.held_count = 0, {}, 0
+
+    def _states(self, before: np.ndarray, first: np.ndarray, h: np.ndarray, trace: dict | None = None) -> np.ndarray:
+        """The state after each input of a window (step, lane). A trace gets what the way back needs. Half arguments turn the sigmoids into tanh."""
+        p, n, (steps, lanes) = self.p, STATE, before.shape
+        half = np.repeat(np.array([0.5, 0.5, 1], p["b"].dtype), n)
+        gates = np.ascontiguousarray((((p["embed"] @ p["wx"] + p["b"]) * half)[before]).transpose(0, 2, 1))
+        wh = np.ascontiguousarray((p["wh"] * half).T)
+        out = np.empty((steps, n, lanes), gates.dtype)
+        kept = 1 if trace is None else steps
+        was, hu, cs = (np.empty((kept, size, lanes), gates.dtype) for size in (n, 3 * n, n))
+        for t, new in enumerate(first.any(axis=1).tolist()):
+            k = t % kept
+            np.copyto(was[k], h)
+            if new:
+                was[k][:, first[t]] = 0
+            u, c, g = np.matmul(wh, was[k], out=hu[k]), cs[k], gates[t]
+            zr = u[: 2 * n]
+            zr += g[: 2 * n]
+            np.tanh(zr, out=zr)
+            zr *= 0.5
+            zr += 0.5
+            np.multiply(zr[n:], u[2 * n :], out=c)
+            c += g[2 * n :]
+            np.tanh(c, out=c)
+            h = np.subtract(was[k], c, out=out[t])
+            h *= zr[:n]
+            h += c
         if trace is not None:
-            trace |= {k: np.empty((*before.shape, size), np.float32) for k, size in (("h", n), ("hu", 3 * n), ("zr", 2 * n), ("c", n))}
-        for t in range(len(before)):
-            h = h * keep[t]
-            hu = h @ p["wh"]
-            zr = _sigmoid(gates[t, :, : 2 * n] + hu[:, : 2 * n])
-            z = zr[:, :n]
-            c = np.tanh(gates[t, :, 2 * n :] + zr[:, n:] * hu[:, 2 * n :])
-            if trace is not None:
-                trace["h"][t], trace["hu"][t], trace["zr"][t], trace["c"][t] = h, hu, zr, c
-            h = np.add(c, z * (h - c), out=out[t])
+            trace |= {"h": was, "hu": hu, "c": cs, "first": first}
+        return out
+
+    @staticmethod
+    def _choice(x: np.ndarray, w: np.ndarray, at: np.ndarray, back: np.ndarray | None, dw: np.ndarray | None) -> np.ndarray:
+        """Log probability of each choice (a row of w); x ends with a 1. What its negative sum sends back is added to back and dw."""
+        out = np.empty(len(x), x.dtype)
+        wide = np.abs(w).sum(axis=1).max() > 80  # states lie within -1 and 1: else no exponential overflows
+        for a in range(0, len(x), ROWS):  # a block of logits stays in the cache
+            part, wt = x[a : a + ROWS], np.ascontiguousarray(w.T)
+            e = part @ wt
+            if wide:
+                e -= e.max(axis=1, keepdims=True)
+            one = np.arange(len(part)) * len(w) + at[a : a + ROWS]
+            chosen = e.ravel()[one]
+            np.exp(e, out=e)
+            sums = e @ np.ones(len(w), w.dtype)
+            out[a : a + ROWS] = chosen - np.log(sums)
+            if back is not None:
+                e.ravel()[one] -= sums
+                scale = 1 / sums[:, None]
+                back[a : a + ROWS] += (e @ w[:, :-1]) * scale
+                dw += e.T @ (part * scale)
         return out
 
     def _output(self, h: np.ndarray, target: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Log probability of each target; with grads, also what its negative sum sends back to the states."""
         p, lex = self.p, self.lex
-
-        def choice(x: np.ndarray, w: np.ndarray, b: np.ndarray, at: np.ndarray):
-            logits = x @ w.T + b
-            if (np.abs(w).sum(axis=1) + np.abs(b)).max() > 80:  # states lie within -1 and 1: else no exponential overflows
-                logits -= logits.max(axis=1, keepdims=True)
-            e = np.exp(logits)
-            s = e.sum(axis=1)
-            one = np.arange(len(x)) * len(w) + at
-            logp = logits.ravel()[one] - np.log(s)
-            if grads is None:
-                return logp, None, None, None
-            e /= s[:, None]
-            e.ravel()[one] -= 1
-            return logp, e @ w, e.T @ x, e.sum(axis=0)
-
-        cls = lex.cls[target]
-        order = np.argsort(cls, kind="stable")
-        h, target, cls = h[order], target[order], cls[order]
+        order = np.argsort(cls := lex.cls[target], kind="stable")
+        x = np.ones((len(h), STATE + 1), h.dtype)
+        x[:, :-1], target, cls = h[order], target[order], cls[order]
         ends = np.searchsorted(cls, np.arange(len(lex.bounds)))
-        logp, back, dw, db = choice(h, p["wc"], p["bc"], cls)
+        back = dc = None
         if grads is not None:
-            grads |= {"wc": dw, "bc": db, "ww": np.zeros_like(p["ww"]), "bw": np.zeros_like(p["bw"])}
+            back = np.zeros((len(h), STATE), h.dtype)
+            grads |= {"wc": np.zeros_like(p["wc"]), "ww": np.zeros_like(p["ww"])}
+            dc = grads["wc"]
+        logp = self._choice(x, p["wc"], cls, back, dc)
         for k in np.flatnonzero(np.diff(ends)).tolist():
             (lo, hi), own = lex.bounds[k : k + 2].tolist(), slice(ends[k], ends[k + 1])
             if hi - lo > 1:
-                inner, d, dw, db = choice(h[own], p["ww"][lo:hi], p["bw"][lo:hi], target[own] - lo)
-                logp[own] += inner
-                if grads is not None:
-                    back[own] += d
-                    grads["ww"][lo:hi], grads["bw"][lo:hi] = dw, db
+                logp[own] += self._choice(x[own], p["ww"][lo:hi], target[own] - lo, None if back is None else back[own], None if back is None else grads["ww"][lo:hi])
         out = np.empty_like(logp)
         out[order] = logp
-        if grads is not None:
-            sent = np.empty_like(back)
-            sent[order] = back
-            return out, sent
-        return out, None
-
-    def _windows(self, docs: list[np.ndarray], steps: int):
-        """(target, input, keep, owner, lanes that go on) of one window after the other."""
-        ids, owner, first = side_by_side(docs)
-        before = np.concatenate([np.full((1, ids.shape[1]), self.lex.size, np.int32), ids[:-1]])
-        before[first] = self.lex.size  # the input before a first token
-        before[before < 0] = self.lex.size
-        for a in range(0, len(ids), steps):
-            live = int((ids[a] >= 0).sum())
-            at = (slice(a, a + steps), slice(0, live))
-            yield ids[at], before[at], (~first[at]).astype(np.float32)[:, :, None], owner[at], live
+        if back is None:
+            return out, None
+        sent = np.empty_like(back)
+        sent[order] = back
+        return out, sent
 
     def score(self, docs: list[np.ndarray]) -> np.ndarray:
         """Natural log probability of each document (an array of ids)."""
-        out, h = np.zeros(len(docs)), None
-        for target, before, keep, owner, live in self._windows(docs, SCORE_STEPS):
-            h = np.zeros((live, STATE), np.float32) if h is None else h[:live]
-            states = self._states(before, keep, h)
-            h, there = states[-1], target >= 0
-            logp, _ = self._output(states[there], target[there])
-            out += np.bincount(owner[there], logp.astype(np.float64), len(docs))
+        out = np.zeros(len(docs))
+        if docs:
+            lanes, h = Lanes(docs, self.lex.size), None
+            for at, there in lanes.windows(*SCORE_STEPS):
+                h = np.zeros((STATE, at.shape[1]), self.p["b"].dtype) if h is None else h[:, : at.shape[1]]
+                states = self._states(lanes.before[at], lanes.first[at] & there, h)
+                h, there = states[-1], there.ravel()
+                at, states = at.ravel()[there], states.transpose(0, 2, 1).reshape(-1, STATE)[there]
+                logp, _ = self._output(states, lanes.ids[at])
+                out += np.bincount(lanes.owner[at], logp.astype(np.float64), len(docs))
         return out
 
     def train(self, docs: list[np.ndarray], rate: float) -> int:
         """One pass of truncated backpropagation over the documents; the number of tokens."""
-        tokens, h, n, p = 0, None, STATE, self.p
-        for target, before, keep, _, live in self._windows(docs, STEPS):
-            h = np.zeros((live, n), np.float32) if h is None else h[:live]
+        lanes, tokens, h, n, p = Lanes(docs, self.lex.size), 0, None, STATE, self.p
+        for at, there in lanes.windows(*STEPS):
+            h = np.zeros((n, at.shape[1]), p["b"].dtype) if h is None else h[:, : at.shape[1]]
             trace: dict[str, np.ndarray] = {}
-            states = self._states(before, keep, h, trace)
-            h, there = states[-1], target >= 0
+            before = lanes.before[at]
+            states = self._states(before, lanes.first[at] & there, h, trace)
+            h, flat_there = states[-1].copy(), there.ravel()
             g: dict[str, np.ndarray] = {}
-            if there.all():
-                back = self._output(states.reshape(-1, n), target.ravel(), g)[1].reshape(states.shape)
-            else:
-                back = np.zeros_like(states)
-                back[there] = self._output(states[there], target[there], g)[1]
-            last, c, z, r = trace["h"], trace["c"], trace["zr"][:, :, :n].copy(), trace["zr"][:, :, n:].copy()
-            to_z, to_c, to_r = (last - c) * z * (1 - z), (1 - z) * (1 - c * c), trace["hu"][:, :, 2 * n :] * r * (1 - r)
-            into = np.empty((*before.shape, 3 * n), np.float32)  # gradients of the gates
-            through = np.empty_like(into)  # and of what the state gives them
-            dh, wht = np.zeros_like(h), p["wh"].T.copy()
-            for t in range(len(before) - 1, -1, -1):
-                dh = dh + back[t]
-                dc = np.multiply(dh, to_c[t], out=into[t, :, 2 * n :])
-                np.multiply(dh, to_z[t], out=into[t, :, :n])
-                np.multiply(dc, to_r[t], out=into[t, :, n : 2 * n])
-                through[t, :, : 2 * n] = into[t, :, : 2 * n]
-                np.multiply(dc, r[t], out=through[t, :, 2 * n :])
-                dh = (dh * z[t] + through[t] @ wht) * keep[t]
-            flat = into.reshape(-1, 3 * n)
-            g["wh"] = last.reshape(-1, n).T @ through.reshape(-1, 3 * n)
-            g["b"] = flat.sum(axis=0)
-            ids = before.ravel()
-            g["wx"] = p["embed"][ids].T @ flat
-            by = np.argsort(ids.astype(np.uint16 if self.lex.size < 1 << 16 else ids.dtype), kind="stable")
-            heads = np.flatnonzero(np.diff(ids[by], prepend=-1))
-            g["embed"] = np.zeros_like(p["embed"])
-            g["embed"][ids[by][heads]] = np.add.reduceat((flat @ p["wx"].T)[by], heads)
+            back = np.zeros((at.size, n), states.dtype)
+            back[flat_there] = self._output(states.transpose(0, 2, 1).reshape(-1, n)[flat_there], lanes.ids[at.ravel()[flat_there]], g)[1]
+            self._way_back(trace, before, np.ascontiguousarray(back.reshape(*at.shape, n).transpose(0, 2, 1)), g)
             tokens += (count := int(there.sum()))
-            self._update(g, count, rate)
+            self._hold(g, count, rate)
+        self._hold({}, 0, rate, last=True)
         return tokens
 
+    def _way_back(self, trace: dict, before: np.ndarray, back: np.ndarray, g: dict[str, np.ndarray]) -> None:
+        """Gradients of the recurrent part over one window."""
+        p, n = self.p, STATE
+        first = trace["first"]
+        into = np.empty_like(trace["hu"])  # gradients of the gates
+        through = np.empty_like(into)  # and of what the state gives them
+        dh = np.zeros_like(back[0])
+        new = first.any(axis=1).tolist()
+        for t in range(len(before) - 1, -1, -1):
+            was, c, (z, r, u), own, sent = trace["h"][t], trace["c"][t], trace["hu"][t].reshape(3, n, -1), into[t], through[t]
+            dh += back[t]
+            dz = np.multiply(dh, z, out=own[:n])  # dh z; also what goes straight on
+            dc = np.subtract(dh, dz, out=own[2 * n :])
+            dh, keep = dz.copy(), dh
+            dc *= 1 - c * c
+            dz *= 1 - z
+            dz *= was - c
+            dr = np.multiply(dc, r, out=sent[2 * n :])
+            dr = np.multiply(dr, u, out=own[n : 2 * n])
+            dr *= 1 - r
+            sent[: 2 * n] = own[: 2 * n]
+            dh += np.matmul(p["wh"], sent, out=keep)
+            if new[t]:
+                dh[:, first[t]] = 0
+        was = trace["h"]
+        g["wh"] = np.matmul(was, through.transpose(0, 2, 1)).sum(axis=0)
+        ids = before.ravel()
+        by = np.argsort(ids.astype(np.uint16), kind="stable")
+        heads = np.flatnonzero(np.diff(ids[by], prepend=-1))
+        inputs = ids[by[heads]]
+        summed = np.add.reduceat(into.transpose(0, 2, 1).reshape(-1, 3 * n)[by], heads, axis=0)
+        g["b"] = summed.sum(axis=0)
+        g["wx"] = p["embed"][inputs].T @ summed
+        g["embed"] = np.zeros_like(p["embed"])
+        g["embed"][inputs] = summed @ p["wx"].T
+
+    def _hold(self, g: dict[str, np.ndarray], count: int, rate: float, last: bool = False) -> None:
+        """Gradients of windows with few tokens are added up before an update."""
+        if self.held:
+            for k, x in g.items():
+                self.held[k] += x
+        else:
+            self.held = g
+        self.held_count += count
+        if self.held_count >= (1 if last else UPDATE):
+            self._update(self.held, self.held_count, rate)
+            self.held, self.held_count = {}, 0
+
     def _update(self, g: dict[str, np.ndarray], count: int, rate: float) -> None:
         """Adam on the mean gradient."""
         self.updates += 1
@@ -275,21 +324,34 @@ class Network:
             self.p[k] -= scale * self.m[k] / (np.sqrt(self.v[k]) + 1e-8)
 
 
-def _ids(lex: Lexicon, text: str | None) -> np.ndarray:
-    own, get = words(text), lex.id.get
-    return np.fromiter((get(w, 1) for w in (*own, END)), np.int32, len(own) + 1)
+def _groups(rows: Iterator, tokens: int = GROUP) -> Iterator[list]:
+    """Lists of rows (..., ids) of so many tokens at least but for the last, whatever batches they came in."""
+    held, n = [], 0
+    for r in rows:
+        held.append(r)
+        n += len(r[-1])
+        if n >= tokens:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for b in batches:
+        for *own, ids in zip(*(c.to_pylist() for c in b.columns)):
+            yield *own, np.frombuffer(ids, np.uint16)
 
 
 def _train(lex: Lexicon, start: np.ndarray, passes: int, rate: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net, tokens = Network(lex, _shaped(start, lex)), 0
-        for b in batches:
-            docs = [_ids(lex, t) for t in b.column("text").to_pylist()]
-            for _ in range(passes if docs else 0):
-                tokens += net.train(docs, rate)
+        for group in _groups(_rows(batches)):
+            for _ in range(passes):
+                tokens += net.train([ids for _, ids in group], rate)
         if tokens:
-            flat = _flat(net.p) * tokens
-            parts = [flat[a : a + SLICE].astype(np.float64).tobytes() for a in range(0, len(flat), SLICE)]
+            flat = _flat(net.p).astype(np.float64) * tokens
+            parts = [flat[a : a + SLICE].tobytes() for a in range(0, len(flat), SLICE)]
             yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([float(tokens)] * len(parts)), pa.array(parts, pa.binary())], ["slice", "tokens", "sums"])
 
     return run
@@ -306,78 +368,103 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([tokens[k] for k in sums], pa.float64()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["slice", "tokens", "sums"])
 
 
-def _trained(texts: DataFrame, lex: Lexicon, start: np.ndarray, passes: int, rate: float) -> np.ndarray:
-    """The parameters that the tasks reach from start, averaged by tokens; start itself if there are no texts. The driver gets one row a slice."""
+def _trained(rows: DataFrame, shards: int, lex: Lexicon, start: np.ndarray, passes: int, rate: float) -> np.ndarray:
+    """The parameters that the shards of rows (h, ids) reach from start, averaged by tokens; start itself if there are no rows. Rows are dealt and ordered by their hash h, so neither the split of the input nor the size of batches plays a part. The driver gets one row a slice."""
     kind = "slice int, tokens double, sums binary"
-    made = texts.select("text").mapInArrow(_train(lex, start, passes, rate), kind)
-    rows = made.repartition("slice").mapInArrow(_summed, kind).collect()
-    return np.concatenate([np.frombuffer(r["sums"]) / r["tokens"] for r in sorted(rows)]).astype(np.float32) if rows else start
+    dealt = rows.select("h", "ids").repartition(shards, "h").sortWithinPartitions("h", "ids")
+    made = dealt.mapInArrow(_train(lex, start, passes, rate), kind)
+    sums = made.repartition("slice").mapInArrow(_summed, kind).collect()
+    return np.concatenate([np.frombuffer(r["sums"]) / r["tokens"] for r in sorted(sums)]).astype(np.float32) if sums else start
 
 
-def _score(lex: Lexicon, parameters: np.ndarray):
+TOKENISED = "row long, doc_id long, held_out boolean, learn boolean, h long, n_tokens long, known long, base double, share double, tail array<struct<word:binary,n:long>>, ids binary"
+
+
+def _tokenise(lex: Lexicon):
+    """What the head of the counts says of each text, its words of the tail, and the network's ids of its tokens, two bytes each."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, row = Network(lex, _shaped(parameters, lex)), TaskContext.get().partitionId() << 40
+        row = TaskContext.get().partitionId() << 40
         place = {w: i for i, w in enumerate(lex.count, 1)}  # 0: in the tail
         logs = np.log10(np.array(list(lex.count.values()), float) + SMOOTH)
-        ids = np.array([1, *(lex.id.get(w, 1) for w in lex.count)], np.int32)
-        value = np.concatenate([[[0.0, 0.0]], np.stack([logs - np.log10(lex.z), np.where(ids[1:] == 1, logs - np.log10(lex.rest), 0.0)], axis=1)])
+        code = np.array([1, *(lex.id.get(w, 1) for w in lex.count)], np.uint16)
+        value = np.concatenate([[[0.0, 0.0]], np.stack([logs - np.log10(lex.z), np.where(code[1:] == 1, logs - np.log10(lex.rest), 0.0)], axis=1)])
         get = place.get
-        for b in batches:
-            docs, sums, known, tails, times, sizes = [], [], [], [], [], []
-            for text in b.column("text").to_pylist():
-                own = [*words(text), END]
-                at = np.fromiter((get(w, 0) for w in own), np.int32, len(own))
-                docs.append(ids[at])
-                sums.append(value[at].sum(axis=0))
-                missing = np.flatnonzero(at == 0).tolist()
-                known.append(len(own) - len(missing))
-                rare = Counter(own[i] for i in missing)
-                tails += rare.keys()
-                times += rare.values()
-                sizes.append(len(rare))
-            logp = net.score(docs) / np.log(10) if docs else np.zeros(0)
-            sums = np.array(sums).reshape(-1, 2)
-            tail = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]).astype(np.int32)), pa.StructArray.from_arrays([pa.array(tails, pa.binary()), pa.array(times, pa.int64())], ["word", "n"]))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(row, row + len(docs))), b.column("doc_id"), b.column("held_out"), pa.array([len(d) for d in docs], pa.int64()), pa.array(known, pa.int64()), pa.array(sums[:, 0]), pa.array(logp + sums[:, 1]), tail],
-                ["row", "doc_id", "held_out", "n_tokens", "known", "base", "score", "tail"],
-            )
-            row += len(docs)
+        for whole in batches:
+            for first in range(0, len(whole), BATCH):
+                b = whole.slice(first, BATCH)
+                sizes, sums, known, tails, times, rares, ids = [], [], [], [], [], [], []
+                for text in b.column("text").to_pylist():
+                    own = words(text)
+                    own.append(END)
+                    at = np.fromiter((get(w, 0) for w in own), np.int32, len(own))
+                    ids.append(code[at].tobytes())
+                    sums.append(value[at].sum(axis=0))
+                    missing = np.flatnonzero(at == 0).tolist()
+                    known.append(len(own) - len(missing))
+                    sizes.append(len(own))
+                    rare = Counter(own[i] for i in missing)
+                    tails += rare.keys()
+                    times += rare.values()
+                    rares.append(len(rare))
+                sums = np.array(sums).reshape(-1, 2)
+                tail = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *rares]).astype(np.int32)), pa.StructArray.from_arrays([pa.array(tails, pa.binary()), pa.array(times, pa.int64())], ["word", "n"]))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.arange(row, row + len(b))), *(b.column(c) for c in ("doc_id", "held_out", "learn", "h")), pa.array(sizes, pa.int64()), pa.array(known, pa.int64()), pa.array(sums[:, 0]), pa.array(sums[:, 1]), tail, pa.array(ids, pa.binary())],
+                    ["row", "doc_id", "held_out", "learn", "h", "n_tokens", "known", "base", "share", "tail", "ids"],
+                )
+                row += len(b)
+
+    return run
+
+
+def _score(lex: Lexicon, parameters: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net = Network(lex, _shaped(parameters, lex))
+        for group in _groups(_rows(batches)):
+            logp = net.score([ids for *_, ids in group]) / np.log(10)
+            columns = list(zip(*group))[:-1]
+            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(columns, kinds)), pa.array(logp)], [x.split()[0] for x in SCORED.split(", ")])
 
     return run
 
 
-SCORED = "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, tail array<struct<word:binary,n:long>>"
+SCORED = "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, share double, network double"
 
 
 def score(docs: DataFrame, folds: int = 10, held: int = 0) -> DataFrame:
     """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. Documents whose crc32(doc_id) mod folds is held are not learned from."""
-    kept = fold(F.col("doc_id"), folds)
-    train = docs.where(kept != held).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    counted = shared_table(counts(train), "lm-counts")
+    learn = F.coalesce(fold(F.col("doc_id"), folds) != held, F.lit(False))
+    text = F.col("text").cast("string")
+    counted = shared_table(counts(docs.where(learn).select(text.alias("text"))), "lm-counts")
     total, kinds = counted.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     head = counted.where(F.octet_length("word") <= WORD_BYTES).orderBy(F.col("word") == END, F.desc("c"), "word").limit(HEAD - 1)
     head = [(bytes(r[0]), r[1]) for r in head.unionByName(counted.where(F.col("word") == END)).distinct().collect()]
     lex = Lexicon(sorted(head, key=lambda x: (-x[1], x[0])), total, kinds)
 
-    short = train.where(F.char_length("text") <= WARM_CHARS).withColumn("h", F.xxhash64("doc_id", "text"))
-    least = short.select("h").orderBy("h").limit(WARM).agg(F.max("h")).first()[0]  # hashes alone are sorted
-    some = short.where(F.col("h") <= F.lit(least)).limit(WARM)
-    start = _trained(some, lex, _flat(fresh_parameters(lex)), WARM_PASSES, WARM_RATE)
-    parameters = _trained(train, lex, start, 1, RATE)
-
-    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(kept == held, F.lit(False)).alias("held_out"), F.col("text").cast("string"))
-    scored = shared_table(rows.mapInArrow(_score(lex, parameters), SCORED), "lm-scored")
-    tail = scored.where(F.size("tail") > 0).select("row", F.explode("tail").alias("t")).select("row", "t.*")
+    rows = docs.select(
+        F.col("doc_id").cast("long"), (~learn & F.col("doc_id").isNotNull()).alias("held_out"), learn.alias("learn"), F.xxhash64(F.col("doc_id").cast("long"), text).alias("h"), text.alias("text")
+    )
+    made = shared_table(rows.mapInArrow(_tokenise(lex), TOKENISED), "lm-tokens")
+    train = made.where("learn")
+    least = train.select("h").orderBy("h").limit(WARM).agg(F.max("h")).first()[0]  # hashes alone are sorted
+    parameters = _trained(train.where(F.col("h") <= F.lit(least)), 1, lex, _flat(fresh_parameters(lex)), WARM_PASSES, WARM_RATE)
+    shards = -(-total // (ROUNDS * SHARD)) or 1
+    for i in range(ROUNDS):
+        parameters = _trained(train.where(F.pmod("h", F.lit(ROUNDS)) == i), shards, lex, parameters, 1, RATE)
+
+    tail = made.where(F.size("tail") > 0).select("row", F.explode("tail").alias("t")).select("row", "t.*")
     seen = tail.join(counted, "word", "left").select("row", "n", F.coalesce("c", F.lit(0)).alias("c"))
     logs = F.log10(F.col("c") + SMOOTH)
     sums = seen.groupBy("row").agg(
         F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("more"),
         F.sum(F.col("n") * (logs - float(np.log10(lex.z)))).alias("tail_base"),
-        F.sum(F.col("n") * (logs - float(np.log10(lex.rest)))).alias("tail_score"),
+        F.sum(F.col("n") * (logs - float(np.log10(lex.rest)))).alias("tail_share"),
     )
-    zero = F.lit(0.0)
-    return scored.drop("tail").join(sums, "row", "left").select(
+    zero, known = F.lit(0.0), [x.split()[0] for x in SCORED.split(", ")][:-1]
+    scored = made.select(*known, "ids").mapInArrow(_score(lex, parameters), SCORED)
+    return scored.join(sums, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("tail_base", zero)).alias("base_score"), (F.col("score") + F.coalesce("tail_score", zero)).alias("score"),
+        (F.col("base") + F.coalesce("tail_base", zero)).alias("base_score"), (F.col("network") + F.col("share") + F.coalesce("tail_share", zero)).alias("score"),
     )

@@ -142,14 +142,55 @@ def test_language_model_gradients_and_total_probability():
     held: dict = {}
     net._update = lambda g, count, rate: held.update({k: held.get(k, 0) + x for k, x in g.items()})
     net.train(docs, 0.1)
-    for k in ("wh", "wx", "embed", "wc", "ww", "b"):
-        at = np.unravel_index(np.abs(held[k]).argmax(), held[k].shape)
-        loss = []
-        for sign in (1, -1):
-            q = {n: v.copy() for n, v in p.items()}
-            q[k][at] += sign * 1e-2
-            loss.append(-lm.Network(lex, q).score(docs).sum())
-        assert (loss[0] - loss[1]) / 2e-2 == pytest.approx(held[k][at], rel=0.05)
+    for k in p:
+        for flat in np.argsort(-np.abs(held[k]).ravel())[:12].tolist():
+            at = np.unravel_index(flat, held[k].shape)
+            loss = []
+            for sign in (1, -1):
+                q = {n: v.copy() for n, v in p.items()}
+                q[k][at] += sign * 1e-4
+                loss.append(-lm.Network(lex, q).score(docs).sum())
+            assert (loss[0] - loss[1]) / 2e-4 == pytest.approx(held[k][at], rel=1e-4, abs=1e-6)
+
+
+def plain_score(lex, p, ids):
+    """One token after the other, every probability written out."""
+    sig = lambda x: 1 / (1 + np.exp(-x))
+    n, h, before, out = lm.STATE, np.zeros(lm.STATE), lex.size, 0.0
+    for i in ids:
+        a, u = p["embed"][before] @ p["wx"] + p["b"], h @ p["wh"]
+        z, r = sig(a[:n] + u[:n]), sig(a[n : 2 * n] + u[n : 2 * n])
+        h = (1 - z) * np.tanh(a[2 * n :] + r * u[2 * n :]) + z * h
+        k = int(lex.cls[i])
+        lo, hi = lex.bounds[k], lex.bounds[k + 1]
+        for w, at in ((p["wc"], k), (p["ww"][lo:hi], i - lo)):
+            e = np.exp(w[:, :-1] @ h + w[:, -1])
+            out += np.log(e[at] / e.sum())
+        before = i
+    return out
+
+
+def test_score_by_a_plain_forward_pass():
+    rng = np.random.default_rng(4)
+    lex = lm.Lexicon([(b"w%d" % i, 500 - i) for i in range(300)] + [(lm.END, 9)], 90_000, 301)
+    p = {k: (rng.standard_normal(v.shape) * 0.7) for k, v in lm.fresh_parameters(lex).items()}
+    docs = [rng.integers(0, lex.size, k).astype(np.uint16) for k in (1, 2500, 40, 3, 130, 40)]
+    want = [plain_score(lex, p, d.tolist()) for d in docs]
+    assert lm.Network(lex, p).score(docs) == pytest.approx(want, rel=1e-9)
+    small = lm.Network(lex, {k: v.astype(np.float32) for k, v in p.items()})
+    assert small.score(docs) == pytest.approx(want, rel=1e-4)
+
+
+def test_language_model_does_not_depend_on_split_or_batch(spark, monkeypatch):
+    monkeypatch.setattr(lm, "SHARD", 20_000)  # several shards here too
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    found = []
+    for parts, rows in ((1, "2000"), (4, "64"), (7, "64")):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+        found.append({r["doc_id"]: r["score"] for r in lm.score(docs.repartition(parts)).collect()})
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    for other in found[1:]:
+        assert all(other[d] == pytest.approx(x, rel=1e-5) for d, x in found[0].items())
 
 
 def test_score_does_not_depend_on_windows_or_neighbours():

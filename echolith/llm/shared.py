@@ -22,13 +22,36 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+def _written(spark: SparkSession) -> list[str]:
+    """The shared tables that the session has written and not removed, oldest first."""
+    context = spark.sparkContext
+    if not hasattr(context, "_echolith_tables"):
+        context._echolith_tables = []
+    return context._echolith_tables
+
+
 def shared_table(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet in the shared folder and read again: its lineage ends there, so a lost executor costs no recomputation of what came before."""
+    """df written as Parquet in the shared folder and read again: its lineage ends there, so a lost executor costs no recomputation of what came before. The table stays until remove_tables."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written(df.sparkSession).append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def tables_mark(spark: SparkSession) -> int:
+    """How many shared tables there are now."""
+    return len(_written(spark))
+
+
+def remove_tables(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Deletes the session's shared tables written since a mark, but for the last keep. Results that read them must be written by then."""
+    written = _written(spark)
+    for path in written[since : len(written) - keep]:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+    del written[since : len(written) - keep]
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the undirected edges (a, b): root is the least node that it reaches.
 
@@ -37,6 +60,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     def summary(e: DataFrame):
         return e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
 
+    mark = tables_mark(edges.sparkSession)
     e = shared_table(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     seen = summary(e)
     while seen[0]:
@@ -46,6 +70,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         e = shared_table(small.unionByName(least.withColumnRenamed("m", "b")).distinct(), "small")
+        remove_tables(e.sparkSession, mark, 1)  # the rounds before this one
         now = summary(e)
         if now == seen:
             break

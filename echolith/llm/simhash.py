@@ -9,13 +9,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import ceil, log, log2
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from echolith.llm.exact_dedup import own_hash
 from echolith.llm.shared import connected_components, shared_table
 
 #: Words in a shingle; seed of the hash; most differing bits of a link.
@@ -26,8 +28,10 @@ LIMIT = 2048
 AT_ONCE = 1 << 14
 #: For near copies in general: words in a shingle, fingerprint longs, and the least Jaccard similarity of two texts' sets of shingles that links them.
 WIDE_WORDS, LONGS, SIMILAR = 5, 4, 0.8
-#: Most differing bits (of 256) of a candidate, and how bits are split: each of SPLITS shuffles of the bits gives BLOCKS blocks of 16 bits. At SIMILAR 0.1515 of the bits differ on average (39), up to 0.19 (48) between very short texts.
-WIDE_DISTANCE, SPLITS, BLOCKS = 64, 6, 16
+#: Most differing bits (of 256) of a candidate. At SIMILAR 0.1515 of the bits differ on average (39), up to 0.19 (48) between very short texts.
+WIDE_DISTANCE = 64
+#: Blocks of bits by which fingerprints meet: of BLOCK_BITS bits, and one more for each doubling from RUN * 2**BLOCK_BITS fingerprints on, so that a run stays near RUN fingerprints; as many blocks as leave a pair that differs in DIFFERING of its bits apart with a chance of at most MISS.
+BLOCK_BITS, RUN, DIFFERING, MISS = 16, 256, 0.1515, 0.0005
 #: Rows up to so far apart in a run are compared at once, to find the runs that hold candidates.
 NEAR_ROWS = 1024
 
@@ -204,17 +208,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return marked.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def block_bits() -> np.ndarray:
-    """The bits of each block: SPLITS fixed shuffles of all bits, each cut into BLOCKS blocks."""
-    rng = np.random.default_rng(SEED)
-    size = 64 * LONGS // BLOCKS
-    return np.stack([rng.permutation(64 * LONGS)[: size * BLOCKS].reshape(BLOCKS, size) for _ in range(SPLITS)]).reshape(-1, size)
+def block_bits(prints: int = 0) -> np.ndarray:
+    """The bits of each block for so many fingerprints: fixed shuffles of all bits, each cut into blocks."""
+    rng, total = np.random.default_rng(SEED), 64 * LONGS
+    size = min(max(BLOCK_BITS, ceil(log2(max(prints, 1) / RUN))), 40)
+    count = ceil(log(MISS) / log(1 - (1 - DIFFERING) ** size))
+    splits = [rng.permutation(total)[: total // size * size].reshape(-1, size) for _ in range(-(-count // (total // size)))]
+    return np.concatenate(splits)
 
 
 def _wide_fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         prints = [set_fingerprint(shingle_set(t)).tobytes() for t in b.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(prints, pa.binary())], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("own"), pa.array(prints, pa.binary())], ["doc_id", "own", "fp"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,18 +235,21 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _PRINT = [f"f{i}" for i in range(LONGS)]
 
 
-def _deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _deal(bits: np.ndarray):
     """A row (key, id, label, f0, ...) for each block of each fingerprint."""
-    bits = block_bits()
-    weights = 1 << np.arange(bits.shape[1], dtype=np.int64)
-    for whole in batches:
-        for first in range(0, len(whole), 1000):
-            b = whole.slice(first, 1000)
-            prints = np.frombuffer(b"".join(b.column("fp").to_pylist()), np.uint8).reshape(len(b), 8 * LONGS)
-            own = np.unpackbits(prints, axis=1, bitorder="little")
-            keys = np.stack([own[:, block].astype(np.int64) @ weights + (i << bits.shape[1]) for i, block in enumerate(bits)], axis=1)
-            rest = np.repeat(np.column_stack([b.column("id").to_numpy(), b.column("label").to_numpy(), prints.view(np.int64)]), len(bits), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *(pa.array(np.ascontiguousarray(c)) for c in rest.T)], ["key", "id", "label", *_PRINT])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = 1 << np.arange(bits.shape[1], dtype=np.int64)
+        for whole in batches:
+            for first in range(0, len(whole), 1000):
+                b = whole.slice(first, 1000)
+                prints = np.frombuffer(b"".join(b.column("fp").to_pylist()), np.uint8).reshape(len(b), 8 * LONGS)
+                own = np.unpackbits(prints, axis=1, bitorder="little")
+                keys = np.stack([own[:, block].astype(np.int64) @ weights + (i << bits.shape[1]) for i, block in enumerate(bits)], axis=1)
+                rest = np.repeat(np.column_stack([b.column("id").to_numpy(), b.column("label").to_numpy(), prints.view(np.int64)]), len(bits), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *(pa.array(np.ascontiguousarray(c)) for c in rest.T)], ["key", "id", "label", *_PRINT])
+
+    return run
 
 
 def _forest_edges(ids: np.ndarray, labels: np.ndarray, prints: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -302,10 +311,10 @@ def _ended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]
     yield None
 
 
-def _candidates(prints: DataFrame, edges_of, name: str) -> DataFrame:
+def _candidates(prints: DataFrame, edges_of, name: str, bits: np.ndarray) -> DataFrame:
     """Distinct pairs (a, b) of rows (id, label, fp) that share a block and lie within WIDE_DISTANCE."""
     kinds = ", ".join(f"{c} long" for c in ("key", "id", "label", *_PRINT))
-    dealt = prints.select("id", "label", "fp").mapInArrow(_deal, kinds)
+    dealt = prints.select("id", "label", "fp").mapInArrow(_deal(bits), kinds)
     pairs = dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_wide_runs(edges_of), "a long, b long")
     return shared_table(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), name)
 
@@ -327,28 +336,49 @@ def _labelled(prints: DataFrame, edges: DataFrame, label: str) -> DataFrame:
     return prints.drop(label).join(connected_components(edges).select(F.col("node").alias("id"), F.col("root").alias(label)), "id", "left").withColumn(label, F.coalesce(label, "id"))
 
 
-def near_copies(docs: DataFrame) -> DataFrame:
-    """(doc_id, keep_id) for every row: keep_id is the smallest doc_id of its group of near copies, linked where the sets of five-word shingles have a Jaccard similarity of SIMILAR or more.
+def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp, own) for every row, own the hash of all its columns, and (fp, root): the group of each fingerprint.
 
-    Wide fingerprints only find candidates: they are split into blocks several times over, and those that share a block meet in one sorted run, which yields a spanning forest of its candidates. These are verified by the sets themselves. A group of candidates that verified links don't join whole is dealt once more, and there all candidates between different components are verified. A pair at SIMILAR becomes a candidate with probability over 0.999, between very short texts 0.97. A run is held by one task (56 bytes a distinct fingerprint).
+    Wide fingerprints only find candidates: they are split into blocks several times over, and those that share a block meet in one sorted run, which yields a spanning forest of its candidates. These are verified by the sets themselves. A group of candidates that verified links don't join whole is dealt once more, and there all candidates between different components are verified. A pair at SIMILAR becomes a candidate with probability over 0.999, between very short texts 0.97. A run is held by one task (56 bytes a distinct fingerprint); blocks get longer as fingerprints get more, so that runs don't.
     """
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    marked = shared_table(rows.mapInArrow(_wide_fingerprints, "doc_id long, fp binary"), "wide")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), own_hash(docs).alias("own"))
+    marked = shared_table(rows.mapInArrow(_wide_fingerprints, "doc_id long, own long, fp binary"), "wide")
     prints = shared_table(marked.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("id", F.monotonically_increasing_id()), "wide-prints")
-    pairs = _candidates(prints.withColumn("label", F.col("id")), _forest_edges, "wide-pairs")
+    bits = block_bits(prints.count())
+    pairs = _candidates(prints.withColumn("label", F.col("id")), _forest_edges, "wide-pairs", bits)
     links = _verified(pairs, prints, rows, "wide-links")
     groups = shared_table(_labelled(_labelled(prints, links, "label"), pairs, "wide_group"), "wide-groups")
     torn = groups.groupBy("wide_group").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("wide_group")
     again = shared_table(groups.join(torn, "wide_group", "left_semi").select("id", "label", "fp"), "wide-again")
-    more = _verified(_candidates(again, _all_edges, "wide-more"), prints, rows, "wide-more-links")
-    linked = _labelled(prints, links.unionByName(more), "root").select("fp", "least", "root")
-    linked = shared_table(linked, "wide-linked")
-    keep = linked.groupBy("root").agg(F.min("least").alias("keep_id"))
+    more = _verified(_candidates(again, _all_edges, "wide-more", bits), prints, rows, "wide-more-links")
+    return marked, shared_table(_labelled(prints, links.unionByName(more), "root").select("fp", "root"), "wide-linked")
+
+
+def near_copies(docs: DataFrame) -> DataFrame:
+    """(doc_id, keep_id) for every row: keep_id is the smallest doc_id of its group of near copies, linked where the sets of five-word shingles have a Jaccard similarity of SIMILAR or more. A null doc_id counts as larger than any other."""
+    marked, linked = _grouped(docs)
+    keep = linked.join(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "fp").groupBy("root").agg(F.min("least").alias("keep_id"))
     ids = shared_table(linked.join(keep, "root").select("fp", "keep_id"), "wide-keep")
     return marked.join(ids, "fp").select("doc_id", "keep_id")
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """docs with one document of each group of near copies, all columns kept. Rows that share the doc_id that stays are told apart by nothing and all stay."""
-    gone = near_copies(docs).where(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select("doc_id").distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
+    """docs with one row of each group of near copies, all columns kept: the one with the smallest doc_id (null last), then the least hash of all columns; of rows that are equal in all columns one."""
+    marked, linked = _grouped(docs)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "own")
+    best = marked.groupBy("fp").agg(F.min(order).alias("best"), F.count("*").alias("rows"))
+    best = shared_table(linked.join(best, "fp"), "wide-best")
+    winners = best.groupBy("root").agg(F.min("best").alias("best"), F.sum("rows").alias("rows")).where("rows > 1")
+    groups = shared_table(best.select("fp", "root").join(winners, "root").select("fp", F.col("best.own").alias("stays")), "wide-stays")
+    in_groups = marked.join(groups, "fp")
+    gone = in_groups.where("own <> stays").select("doc_id", "own").distinct()
+    again = shared_table(in_groups.where("own = stays").groupBy("doc_id", "own").count().where("count > 1"), "wide-repeated")
+    rows = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_own": own_hash(docs)})
+
+    def same(other: DataFrame) -> Column:
+        return rows["_id"].eqNullSafe(other["doc_id"]) & (rows["_own"] == other["own"])
+
+    out = rows.join(gone, same(gone), "left_anti")
+    if not again.isEmpty():  # rows that are equal in all columns
+        out = out.join(again, same(again), "left_anti").unionByName(rows.join(again, same(again), "left_semi").dropDuplicates(["_id", "_own"]))
+    return out.drop("_id", "_own")

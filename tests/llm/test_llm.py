@@ -275,18 +275,24 @@ def test_url_rules_and_model(spark):
 
 
 def edit_distance(p, t):
-    row = [0] * (len(t) + 1)
+    row = list(range(len(t) + 1))
     for i, c in enumerate(p, 1):
         last, row = row, [i]
         for j, d in enumerate(t, 1):
             row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (c != d)))
-    return min(row)
+    return row[-1]
+
+
+def closest_words(item, text):
+    """The least distance of the item to any stretch of whole words."""
+    words = text.split()
+    return min((edit_distance(item, " ".join(words[i:j])) for i in range(len(words)) for j in range(i + 1, len(words) + 1)), default=len(item))
 
 
 def test_decontamination_by_brute_force():
     rng = np.random.default_rng(3)
     word = lambda: "".join(rng.choice(list("abcde"), int(rng.integers(2, 6))))
-    items = [(i, " ".join(word() for _ in range(int(rng.integers(5, 14))))) for i in range(12)]
+    items = [(i, " ".join(word() for _ in range(int(rng.integers(1, 14))))) for i in range(12)]
     m = decontaminate.Matcher(items)
     for _ in range(60):
         item = items[int(rng.integers(len(items)))][1]
@@ -295,8 +301,89 @@ def test_decontamination_by_brute_force():
             chars[int(rng.integers(len(chars)))] = str(rng.choice(list("abcde ")))
         text = " ".join([word(), word(), "".join(chars), word()])
         words = decontaminate.plain(text)
-        want = {i: d for i, t in items if (d := edit_distance(t, words)) <= decontaminate.budget(t)}
-        assert {i: d for i, d, *_ in m.matches(text)} == want
+        want = {i: d for i, t in items if (d := closest_words(t, words)) <= decontaminate.budget(t)}
+        got = m.matches(text)
+        assert {i: d for i, d, *_ in got} == want
+        for i, d, a, b in got:
+            assert edit_distance(dict(items)[i], decontaminate.plain(text[a:b])) == d
+
+
+def test_items_are_not_found_inside_words():
+    m = decontaminate.Matcher([(1, "art"), (2, "cat sat"), (3, "The end.")])
+    assert m.matches("the party started; concat satin; bend the endless") == []
+    assert [(i, a, b) for i, _, a, b in m.matches("Art, the END: cat (sat)")] == [(1, 0, 3), (2, 14, 22), (3, 5, 12)]
+
+
+def test_decontamination_in_blocks_and_of_odd_rows(spark):
+    passage = " ".join(f"word{i} of the passage" for i in range(20))
+    bench = spark.createDataFrame([(1, passage), (1, passage), (2, None), (3, ""), (None, "a rare item here"), (4, "zebra crossing")], "item_id long, text string")
+    rows = [(1, f"before {passage} after"), (1, "clean text"), (None, f"see {passage}"), (None, "clean too"), (5, None), (6, ""), (7, "x " * 200_000 + "zebra crossing"), (8, "A rare item, here!"), (8, "A rare item, here!")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("item_id", F.lit(9)).withColumn("distance", F.lit("d"))
+    for chars in (4_000_000, 100):  # one block, several
+        got = sorted(((r["doc_id"] or 0, r["item_id"] or 0, r["distance"]) for r in decontaminate.contaminated(docs, bench, block_chars=chars).collect()))
+        assert got == [(0, 1, 0)] * 2 + [(1, 1, 0)] * 2 + [(7, 4, 0), (8, 0, 0), (8, 0, 0)]
+        kept = decontaminate.drop_contaminated(docs, bench, block_chars=chars)
+        assert kept.columns == docs.columns
+        assert sorted((r["doc_id"] or 0, r["text"] or "") for r in kept.collect()) == [(0, "clean too"), (1, "clean text"), (5, ""), (6, "")]
+        assert decontaminate.contaminated(docs.where("false"), bench, block_chars=chars).count() == 0
+        assert decontaminate.contaminated(docs, bench.where("false"), block_chars=chars).count() == 0
+
+
+def test_copy_filters_judge_each_row_by_itself(spark):
+    rng = np.random.default_rng(8)
+    make = lambda: [f"w{x}" for x in rng.integers(0, 5000, 120)]
+    one, two, three = make(), make(), make()
+    near = " ".join([*one[:60], "changed", *one[61:]])
+    one, two, three = (" ".join(x) for x in (one, two, three))
+    rows = [(3, one, "a"), (5, near, "a"), (5, two, "a"), (None, near + " end", "a"), (None, three, "a"), (None, three, "b"), (None, three, "b"), (7, None, "a"), (8, "", "a"), (9, " \n", None), (9, None, " \n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, fp string").withColumn("root", F.lit(1)).withColumn("own", F.lit(2))
+    got = [tuple(r)[:3] for r in simhash.drop_near_copies(docs).collect()]
+    assert sorted((r[0] or 0, r[1] or "") for r in got) == sorted([(3, one), (5, two), (0, three), (7, "")])
+    rows = [(1, "a b c", "x"), (1, "ab  c ", "x"), (1, "ab  c ", "y"), (1, "ab  c ", "y"), (2, "abc", "x"), (None, "q", None), (None, "q ", None), (4, None, "z"), (3, " ", "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key string").withColumn("own", F.lit(2)).withColumn("n", F.lit(0))
+    got = [tuple(r)[:3] for r in exact_dedup.drop_exact_copies(docs).collect()]
+    assert len(got) == 3 and (None, "q ", None) in got and (3, " ", "z") in got
+    assert [r[:2] for r in got if r[0] == 1] == [(1, "ab  c ")]
+
+
+@pytest.mark.parametrize("broadcast", [21, 0])
+def test_bloom_filter_share_does_not_depend_on_rows(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(exact_dedup, "BROADCAST_LOG2", broadcast)
+    for n in (3_000, 100_000):
+        keys = spark.range(n).select(F.sha2(F.col("id").cast("string"), 256).alias("key"))
+        log2 = exact_dedup.blocks_log2(n)
+        assert 12 * n <= 64 << log2 <= 24 * n + 64
+        maybe = exact_dedup.may_repeat(keys, exact_dedup.repeated_filter(keys, log2), log2).where("_maybe").count()
+        assert maybe < 0.05 * n
+    docs = spark.createDataFrame([(1, "a b"), (2, "ab"), (3, "c"), (4, "d"), (5, " d")], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in exact_dedup.drop_exact_copies(docs).collect()) == [1, 3, 5]
+    assert sorted(r["keep_id"] for r in exact_dedup.exact_copies(docs).collect()) == [1, 1, 3, 5, 5]
+
+
+def test_near_copies_meet_at_any_size():
+    for n in (0, 10**6, 10**8, 10**11):
+        bits = simhash.block_bits(n)
+        assert n / 2 ** bits.shape[1] <= 256 and (1 - (1 - simhash.DIFFERING) ** bits.shape[1]) ** len(bits) <= simhash.MISS
+    rng = np.random.default_rng(0)
+    bits, met = simhash.block_bits(10**9), 0
+    for _ in range(300):  # pairs at the mean distance of the least similarity
+        x = np.zeros(256, bool)
+        x[rng.choice(256, 39, replace=False)] = True
+        met += any(not x[b].any() for b in bits)
+    assert met >= 297
+
+
+def test_shared_tables_can_be_removed(spark):
+    from pathlib import Path
+
+    from echolith.llm import shared
+
+    mark = shared.tables_mark(spark)
+    shared.shared_table(spark.range(5).toDF("a"), "gone")
+    kept = shared.shared_table(spark.range(5).toDF("a"), "kept")
+    paths = shared._written(spark)[mark:]
+    shared.remove_tables(spark, mark, keep=1)
+    assert kept.count() == 5 and [Path(x).exists() for x in paths] == [False, True]
 
 
 def test_sentencepiece_round_trip_and_plain_rules(texts):

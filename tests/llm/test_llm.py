@@ -235,6 +235,62 @@ def test_pii_finds_and_removes_a_revealing_term(spark):
     assert "zorbaq" not in clean[100].lower() and "[EMAIL]" in clean[100] and clean[3] == rows[3][1]
 
 
+def plain_terms(rows):
+    """Places of disclosing terms of each (doc_id, text) by counting everything, with whether they are removed."""
+    from collections import Counter
+    from math import log2
+
+    word, n_e, n_t, near, both = re.compile(r"[^\W_]+"), Counter(), Counter(), Counter(), Counter()
+    found = []
+    for _, t in rows:
+        spans = plain_pii(t)
+        words = [m for m in word.finditer(t)]
+        free = [m for m in words if not any(a < m.end() and m.start() < b for _, a, b in spans)]
+        own = {pii.entity(k, t[a:b]) for k, a, b in spans}
+        held = {m[0].lower() for m in free}
+        every = {m[0].lower() for m in words}
+        by = set()
+        for k, a, b in spans:
+            for m in [m for m in words if m.end() <= a][-10:] + [m for m in words if m.start() >= b][:10]:
+                if m in free:
+                    by.add((pii.entity(k, t[a:b]), m[0].lower()))
+        n_e.update(own)
+        n_t.update(every)
+        near.update(by)
+        both.update((e, w) for e in own for w in held)
+        found.append(free)
+    share = Counter()
+    for (e, w), n in near.items():
+        if n >= 2 and n_e[e] < len(rows):
+            share[w] = max(share[w], log2(both[e, w] * len(rows) / (n_e[e] * n_t[w])) / log2(len(rows) / n_e[e]))
+    return [[(m.start(), m.end(), share[m[0].lower()] >= 0.95) for m in free if share[m[0].lower()] >= 0.7] for free in found]
+
+
+def test_pii_terms_by_brute_force(spark):
+    rng = np.random.default_rng(6)
+    people = [(f"name{i}", f"n{i}@site{i % 3}.org") for i in range(12)]
+    rows = []
+    for d in range(160):
+        words = [f"w{x}" for x in rng.zipf(1.6, int(rng.integers(5, 120))) % 300]
+        for _ in range(int(rng.integers(0, 3))):
+            name, mail = people[int(rng.integers(len(people)))]
+            at = int(rng.integers(0, len(words)))
+            words[at:at] = [[name.title(), "at", mail], [mail], [name], [name, *(f"far{x}" for x in range(15)), mail]][int(rng.integers(4))]
+        rows.append((None if d % 10 == 0 else d // 2, " ".join(words)))
+    rows += [(900, "Zorbaq writes from zorbaq@example.org today")] * 3 + [(901, "we saw ZORBAQ alone"), (902, ""), (903, "İx n1@site1.org İx")]
+    want = plain_terms(rows)
+    assert sum(map(len, want)) > 20 and any(x[2] for w in want for x in w) and not all(x[2] for w in want for x in w)
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("row", F.lit(1)).withColumn("entity", F.lit("e")).withColumn("key", F.lit("k"))
+    got = [(r["doc_id"] or -1, [tuple(t) for t in r["terms"]], r["spans"]) for r in pii.find_personal_data(df).collect()]
+    key = lambda x: (x[0], x[1])
+    assert sorted((x[:2] for x in got), key=key) == sorted(((d or -1, w) for (d, _), w in zip(rows, want)), key=key)
+    for _, terms, spans in got:
+        assert [s for s in spans.split(",") if s.startswith("term")] == [f"term:{a}:{b}" for a, b, _ in terms]
+    clean = [(r["doc_id"], r["text"]) for r in pii.sanitise(df).collect()]
+    assert len(clean) == len(rows) and not any("zorbaq" in t.lower() or "@" in t for _, t in clean)
+    assert (901, "we saw  alone") in clean or (901, "we saw [NAME] alone") in clean
+
+
 def plain_secrets(t):
     out = [("assign", m.start(), m.end()) for m in re.finditer(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t, re.A) if len(m[2]) >= 12]
     out += [("access", m.start(), m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", t) if m.end() - m.start() >= 18]

@@ -1,10 +1,12 @@
 """Main text of web pages by minimum-cut labelling.
 
-A page is read into blocks (runs of text between block-level tags). Each block has costs for being content or boilerplate: what its ancestors' tags and class names say, and a logistic classifier of its text. The costs are terminal capacities of a graph; blocks that stand next to each other, and blocks that follow each other in one DOM parent, are joined by smoothness edges. The minimum cut labels the page: blocks left on the source's side are the article.
+A page is read into blocks (runs of text between block-level tags). Each block has costs for being content or boilerplate: what its ancestors' tags say, and a logistic classifier of its text and of the class names around it. The costs are terminal capacities of a graph; blocks that stand next to each other, and blocks that follow each other in one DOM parent, are joined by smoothness edges. The minimum cut labels the page: blocks left on the source's side are the article.
 
-The classifier is fitted on a bounded sample: BLOCKS blocks of the SAMPLE pages with the least hash, labelled by the semantic elements around them, which are not among its features. Every page is labelled whole.
+The classifier is fitted on a bounded sample: BLOCKS blocks of the SAMPLE pages with the least hash. Its labels come from semantic elements (article and main against nav, footer, aside and the like), which are not among its features; features are the text's shape and whether class names around it hold boilerplate or article words, whole or as part of a compound, whose weights start from PRIOR. Every page is labelled whole.
 
-Defined results: a null or empty html, or a page without content blocks, gives an empty text of 0 characters. Repeated rows are read alike. An empty table gives an empty result. Columns other than page_id, url and html play no part.
+Elements whose text is never shown go up to their own end tag; self-closed, or without an end tag of their own, only the tag itself goes (script and style: all that follows). Text in math and object elements and in elements with unknown names stays.
+
+Defined results: a null or empty html, or a page without content blocks, gives an empty text of 0 characters. Repeated rows are read alike, whatever their page_id. An empty table gives an empty result. Columns other than page_id, url and html play no part.
 """
 
 from __future__ import annotations
@@ -22,57 +24,72 @@ from pyspark.sql import functions as F
 
 SAMPLE, BLOCKS = 2_000, 50_000
 #: Elements whose text is never shown, or is not text of the page.
-DROPPED = "script|style|title|template|textarea|noscript|iframe|svg|select|object|canvas|audio|video|math"
+DROPPED = frozenset("script style title template textarea noscript iframe svg select canvas audio video".split())
 BLOCK_TAGS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSED_BY_BLOCK = frozenset("p h1 h2 h3 h4 h5 h6".split())
 #: Words of class, id and role that mark boilerplate, and those that mark the article.
-BOILERPLATE_WORDS = frozenset("ad ads adbox adsense advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disclaimer discussion disqus footer gdpr login masthead menu modal nav navbar navigation navlinks newsletter notice notices notification pager pagination popup promo promoted promotion recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tagcloud toolbar topbar widget widgets complementary contentinfo".split())
+BOILERPLATE_WORDS = frozenset("ad ads adbox adsense advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disclaimer discussion disqus footer gdpr login masthead menu modal nav navbar navigation navlinks newsletter notice notices notification pager pagination popup promo promoted promotion recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tagcloud toolbar topbar complementary contentinfo".split())
 ARTICLE_WORDS = frozenset("article articlebody body content entry main post story text".split())
 BOILERPLATE_TAGS = frozenset("nav footer aside form button dialog menu fieldset label".split())
-#: Evidence of one ancestor, in units of log-odds; a classifier's say at most.
-TAG_COST, WORD_COST, ARTICLE_GAIN, OUTSIDE_COST, TEXT_MOST = 16.0, 12.0, 7.0, 4.0, 3.0
+#: Words that say what a wrapper has or does, not what it is; words too common among wrappers to count whole.
+STATES, COMMON = frozenset("has with no without is enabled disabled open closed active inactive visible".split()), frozenset("widget widgets".split())
+#: Evidence of one ancestor's tag, in units of log-odds; the classifier's say at most for the text's shape.
+TAG_COST, HIDDEN_COST, ARTICLE_GAIN, OUTSIDE_COST, TEXT_MOST = 12.0, 12.0, 5.0, 4.0, 3.0
+#: Features of the text's shape, and what class names are believed to weigh before the sample is seen: a boilerplate word that is a whole name, one that is part of a compound, an article word.
+SHAPE, PRIOR = 7, (-10.0, -3.0, 3.0)
 #: Smoothness between neighbours with the same parent, with parents of the same parent, and other; between blocks that follow each other in one parent with others between them.
-SAME, NEAR, FAR, FOLLOWING = 1.5, 0.8, 0.2, 0.5
+SAME, NEAR, FAR, FOLLOWING = 2.0, 1.0, 0.2, 0.5
 
-TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({DROPPED})\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>[^>\"']|\"[^\"]*\"|'[^']*')*+)>|</?[a-zA-Z!?][^>]*(?:>|\Z)|<[!?][^>]*>", re.S | re.I)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>[^>\"']|\"[^\"]*\"|'[^']*')*+)>|</?[a-zA-Z!?][^>]*(?:>|\Z)|<[!?][^>]*>", re.S)
 NAMED = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden|itemprop)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+#: For each dropped element: its end tag, or what shows that it has none of its own.
+ENDS = {t: re.compile(rf"</({t})\s*>" + ("" if t in ("script", "style") else rf"|<{t}(?=[\s/>])" + ("" if t == "template" else r"|</(?:article|main|body)\s*>")), re.I) for t in DROPPED}
 
 
 class Block:
-    __slots__ = ("text", "linked", "evidence", "inside", "tag", "parent", "grand")
-
-    def __init__(self, text: str, linked: int, evidence: float, inside: bool, tag: str, parent: int, grand: int):
-        self.text, self.linked, self.evidence, self.inside, self.tag, self.parent, self.grand = text, linked, evidence, inside, tag, parent, grand
-
-
-def _evidence(tag: str, attributes: str, inside: bool) -> tuple[float, bool]:
-    """Log-odds of content that an element adds to its blocks, and whether it is the article."""
-    gain = -TAG_COST if tag in BOILERPLATE_TAGS else -WORD_COST if tag == "header" and not inside else 0.0
-    article = tag in ("article", "main")
-    if attributes:
-        words: set[str] = set()
-        for m in NAMED.finditer(attributes):
-            name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-            if name in ("hidden", "aria-hidden") and value.lower() != "false" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                gain -= WORD_COST
-            elif name in ("class", "id", "role", "itemprop"):
-                words.update(x.lower() for x in PARTS.findall(value))
-        if words & BOILERPLATE_WORDS and tag not in ("body", "html"):
-            gain -= WORD_COST
-        elif "header" in words and not words & ARTICLE_WORDS and not inside:
-            gain -= WORD_COST
-        elif words & ARTICLE_WORDS and tag not in ("body", "html") and not article:
-            gain += ARTICLE_GAIN / 2
-    return gain + ARTICLE_GAIN * article, article
+    __slots__ = ("text", "linked", "evidence", "words", "inside", "tag", "parent", "grand")
+
+    def __init__(self, text: str, linked: int, evidence: float, words: int, inside: bool, tag: str, parent: int, grand: int):
+        self.text, self.linked, self.evidence, self.words, self.inside, self.tag, self.parent, self.grand = text, linked, evidence, words, inside, tag, parent, grand
+
+
+#: Bits of Block.words: a boilerplate word as a whole name, as part of a compound, an article word.
+WHOLE, PART, ARTICLE = 1, 2, 4
+
+
+def _name_words(value: str, inside: bool) -> int:
+    """What the names in a class, id or role say."""
+    out = 0
+    for name in value.split():
+        parts = [x.lower() for x in PARTS.findall(name)]
+        if STATES.isdisjoint(parts):
+            marks = [x in BOILERPLATE_WORDS or x == "header" and not inside and ARTICLE_WORDS.isdisjoint(parts) for x in parts]
+            out |= WHOLE * (any(marks) and len(parts) == 1) | PART * (any(marks) and len(parts) > 1 or not COMMON.isdisjoint(parts))
+            out |= ARTICLE * (not any(marks) and not ARTICLE_WORDS.isdisjoint(parts))
+    return out
+
+
+def _evidence(tag: str, attributes: str, inside: bool) -> tuple[float, int, bool]:
+    """Log-odds of content that an element adds to its blocks, what its names say, and whether it is the article."""
+    gain = -TAG_COST if tag in BOILERPLATE_TAGS or tag == "header" and not inside else 0.0
+    article, words = tag in ("article", "main"), 0
+    for m in NAMED.finditer(attributes) if attributes else ():
+        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if name in ("hidden", "aria-hidden") and value.lower() != "false" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
+            gain -= HIDDEN_COST
+        elif name in ("class", "id", "role", "itemprop") and tag not in ("body", "html"):
+            words |= _name_words(value, inside)
+    return gain + ARTICLE_GAIN * (article and not inside), words, article
 
 
 def blocks(page: str | None) -> list[Block]:
     """The blocks of a page with text, in page order."""
     page = page or ""
     out: list[Block] = []
-    stack: list[tuple[str, float, bool, int]] = [("", 0.0, False, 0)]  # tag, evidence so far, inside the article, number
+    stack: list[tuple[str, float, int, bool, int]] = [("", 0.0, 0, False, 0)]  # tag, evidence and words so far, inside the article, number
+    unclosed: set[str] = set()
     serial, links, at = 0, 0, 0
     texts: list[str] = []
     linked = 0
@@ -85,8 +102,8 @@ def blocks(page: str | None) -> list[Block]:
                 parent = next((s for s in reversed(stack) if s[0] in BLOCK_TAGS or not s[0]), stack[0])
                 i = stack.index(parent)
                 own = parent[0] in ("p", "li", "td", "th", "dd", "dt") or parent[0][:1] == "h" and parent[0][1:].isdigit()
-                up = stack[max(0, i - own)][3]
-                out.append(Block(text, min(linked, len(text)), stack[-1][1], stack[-1][2], parent[0], up, stack[max(0, i - own - 1)][3]))
+                up = stack[max(0, i - own)][4]
+                out.append(Block(text, min(linked, len(text)), *stack[-1][1:4], parent[0], up, stack[max(0, i - own - 1)][4]))
             texts.clear()
             linked = 0
 
@@ -98,19 +115,28 @@ def blocks(page: str | None) -> list[Block]:
             if links:
                 linked += len(text.strip())
 
-    for m in TOKEN.finditer(page):
+    while m := TOKEN.search(page, at):
         put(page[at : m.start()])
         at = m.end()
-        tag = m[3]
+        tag = m[2]
         if not tag:
             continue
         tag = tag.lower()
+        if tag in DROPPED:
+            if not m[1] and tag not in unclosed and (tag in ("script", "style") or not m[3].rstrip().endswith("/")):
+                end = ENDS[tag].search(page, at)
+                if end is None:
+                    unclosed.add(tag)
+                    at = len(page) if tag in ("script", "style") else at
+                elif end[1]:
+                    at = end.end()
+            continue
         block = tag in BLOCK_TAGS
         if block:
             flush()
         elif tag == "br":
             texts.append(" ")
-        if m[2]:
+        if m[1]:
             if tag == "a":
                 links = max(0, links - 1)
             for i in range(len(stack) - 1, 0, -1):
@@ -126,33 +152,38 @@ def blocks(page: str | None) -> list[Block]:
             if tag == "a":
                 links += 1
             serial += 1
-            gain, article = _evidence(tag, m[4], stack[-1][2]) if block or m[4] and m[4].strip() else (0.0, False)
-            stack.append((tag, stack[-1][1] + gain, stack[-1][2] or article, serial))
+            _, before, words, inside, _ = stack[-1]
+            gain, more, article = _evidence(tag, m[3], inside) if block or m[3] and m[3].strip() else (0.0, 0, False)
+            if article and not inside:
+                words &= WHOLE  # what wrappers' compounds and article words say ends here
+            stack.append((tag, before + gain, words | more, inside or article, serial))
     put(page[at:])
     flush()
     return out
 
 
-FEATURES = 7
+def names(b: Block) -> list[float]:
+    return [float(b.words & bit > 0) for bit in (WHOLE, PART, ARTICLE)]
 
 
-def features(b: Block, place: float) -> list[float]:
-    """What the classifier sees of a block: its text, never its ancestors."""
+def shape(b: Block, place: float) -> list[float]:
+    """What the classifier sees of a block's text."""
     n = len(b.text)
     words = b.text.count(" ") + 1
     stops = sum(map(b.text.count, ".,;:!?"))
-    return [1.0, log1p(n), b.linked / n, stops / words, n / words / 10, float(b.tag == "li"), place]
+    return [1.0, log1p(n), b.linked / n, stops / words, n / words / 10, float(b.tag == "li"), abs(2 * place - 1)]
 
 
-def _weights(x: np.ndarray, y: np.ndarray, steps: int = 200) -> np.ndarray:
-    """Ridge logistic regression by Newton steps, both classes weighing the same."""
-    w = np.zeros(x.shape[1])
+def _weights(x: np.ndarray, y: np.ndarray, steps: int = 25) -> np.ndarray:
+    """Logistic regression by Newton steps with a ridge around the prior, both classes weighing the same."""
+    prior = np.array([0.0] * SHAPE + list(PRIOR))
+    w = prior.copy()
     if len(set(y.tolist())) < 2:
         return w
     share = np.where(y > 0, 0.5 / (y > 0).mean(), 0.5 / (y <= 0).mean())
-    for _ in range(min(steps, 25)):
+    for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (share * (p - y)) + w
+        grad = x.T @ (share * (p - y)) + w - prior
         hess = (x * (share * p * (1 - p) + 1e-9)[:, None]).T @ x + np.eye(len(w))
         w = w - np.linalg.solve(hess, grad)
     return w
@@ -164,8 +195,9 @@ def _samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for page in b.column("html").to_pylist():
             found = blocks(page)
             for i, x in enumerate(found):
-                if abs(x.evidence) >= ARTICLE_GAIN / 2:
-                    rows.append((float(x.evidence > 0), features(x, i / len(found))))
+                good = x.inside and x.evidence > 0 and not x.words & WHOLE
+                if good or x.evidence <= -TAG_COST + ARTICLE_GAIN:
+                    rows.append((float(good), [*shape(x, i / len(found)), *names(x)]))
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.float64()), pa.array([r[1] for r in rows], pa.list_(pa.float64()))], ["y", "x"])
 
 
@@ -176,7 +208,7 @@ def train(pages: DataFrame, sample: int = SAMPLE, most: int = BLOCKS) -> list[fl
     some = hashed.where(F.col("h") <= F.lit(least)).select("html").limit(sample)  # the limit only cuts ties
     rows = some.mapInArrow(_samples, "y double, x array<double>").withColumn("h", F.xxhash64("x")).orderBy("h").limit(most).collect()
     if not rows:
-        return [0.0] * FEATURES
+        return [0.0] * SHAPE + list(PRIOR)
     return _weights(np.array([r["x"] for r in rows]), np.array([r["y"] for r in rows])).tolist()
 
 
@@ -273,16 +305,14 @@ def _max_flow(nodes: list[int], gain: list[float], near: list[dict[int, float]])
     return [k not in sink for k in range(len(nodes))]
 
 
-def main_text(page: str | None, weights: list[float]) -> str:
-    """The article of a page: its content blocks joined by blank lines."""
-    found = blocks(page)
-    if not found:
-        return ""
+def graph(found: list[Block], weights: list[float]) -> tuple[list[float], list[tuple[int, int, float]]]:
+    """The terminal capacities of blocks, and the edges between them."""
     outside = OUTSIDE_COST if any(b.inside for b in found) else 0.0
     gain = []
     for i, b in enumerate(found):
-        text = sum(w * x for w, x in zip(weights, features(b, i / len(found))))
-        gain.append(b.evidence - (0.0 if b.inside else outside) + max(-TEXT_MOST, min(TEXT_MOST, text)))
+        text = sum(w * x for w, x in zip(weights, shape(b, i / len(found))))
+        said = sum(w * x for w, x in zip(weights[SHAPE:], names(b)))
+        gain.append(b.evidence - (0.0 if b.inside else outside) + max(-TEXT_MOST, min(TEXT_MOST, text)) + said)
     edges, last = [], {}
     for i, b in enumerate(found):
         if i:
@@ -291,7 +321,13 @@ def main_text(page: str | None, weights: list[float]) -> str:
         if last.get(b.parent, i - 1) < i - 1:
             edges.append((last[b.parent], i, FOLLOWING))
         last[b.parent] = i
-    return "\n\n".join(b.text for b, keep in zip(found, min_cut(gain, edges)) if keep)
+    return gain, edges
+
+
+def main_text(page: str | None, weights: list[float]) -> str:
+    """The article of a page: its content blocks joined by blank lines."""
+    found = blocks(page)
+    return "\n\n".join(b.text for b, keep in zip(found, min_cut(*graph(found, weights))) if keep)
 
 
 def _extract(weights: list[float]):

@@ -1,8 +1,8 @@
 """SentencePiece encoding and decoding with seeded merge-dropout.
 
-A BPE model in SentencePiece's format is applied by its own rules: a blank goes before the text, blanks become U+2581, and the best-scoring neighbouring pieces merge, the leftmost first in a tie, until none can; characters without a piece become bytes. With dropout, each candidate merge (a stretch of a chunk, split at a place) is skipped for good if a hash keyed by seed, chunk, variant and stretch falls under the rate. A chunk is a run of blanks and what follows up to the next blank; its variant, one of VARIANTS, is a hash of seed, doc_id and its place in the document. So segmentations vary from place to place, are the same again for the same seed, and decode to the text they came from.
+A BPE model in SentencePiece's format is applied by its own rules: a blank goes before the text, blanks become U+2581, and the best-scoring neighbouring pieces merge, the leftmost first in a tie, until none can; characters without a piece become bytes. With dropout, each candidate merge (a stretch of a chunk, split at a place) is skipped for good if a hash keyed by seed, chunk, doc_id, the chunk's place in the document, and stretch falls under the rate. A chunk is a run of blanks and what follows up to the next blank. So segmentations vary from place to place, are the same again for the same seed, and decode to the text they came from.
 
-The agendas of all distinct (chunk, variant) of a stretch of text advance together in numpy, one merge a round; chunks longer than LONG use a heap. Both give the same pieces. The model is read on the driver from a path that is a parameter, and its tables, bounded by the vocabulary, go to the tasks. Tokenizers are never trained here.
+The agendas of all chunks of a stretch of text advance together in numpy, one merge a round; chunks longer than LONG use a heap. Both give the same pieces. A distinct chunk is first merged without dropout, its candidates noted: where a place skips none of these, its pieces are the same; everywhere else the agenda runs for that place. The model is read on the driver from a path that is a parameter, and its tables, bounded by the vocabulary, go to the tasks. Tokenizers are never trained here.
 
 Defined results: a null text counts as empty and gives no pieces. A U+2581 in the text is kept apart from blanks by encoding it as bytes. A null doc_id is keyed as 0; rows that repeat are encoded alike. Texts of any length are encoded whole, STRETCH characters at a time. An empty table gives an empty result. Columns other than doc_id and text play no part.
 """
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-DROPOUT, SEED, VARIANTS = 0.1, 7, 16
+DROPOUT, SEED = 0.1, 7
 #: Characters encoded together; longest chunk that is not left to the heap.
 STRETCH, LONG = 1 << 20, 40
 SPACE = "▁"
@@ -96,30 +96,24 @@ class Vocabulary:
 
 
 class Encoder:
-    def __init__(self, vocabulary: Vocabulary, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS):
-        self.v, self.seed, self.variants = vocabulary, seed, variants if dropout > 0 else 1
+    def __init__(self, vocabulary: Vocabulary, dropout: float = DROPOUT, seed: int = SEED):
+        self.v, self.seed = vocabulary, seed
         self.skip = min(int(dropout * 2**32), 2**32)
 
-    def _candidates(self, left, right, key, start, mid, end) -> np.ndarray:
-        """Merged pieces of neighbouring pairs, or -1 for those that can't merge or are skipped."""
-        out = self.v.merged(left, right)
-        if self.skip:
-            at = np.flatnonzero(out >= 0)
-            h = key[at]
-            for part in (start, mid, end):
-                h = _mix(h + part[at].astype(np.uint64))
-            out[at[(h >> np.uint64(32)) < np.uint64(self.skip)]] = -1
-        return out
+    def _skips(self, key: np.ndarray, *parts: np.ndarray) -> np.ndarray:
+        for part in parts:
+            key = _mix(key + part.astype(np.uint64))
+        return (key >> np.uint64(32)) < np.uint64(self.skip)
 
-    def _skipped(self, key: int, start: int, mid: int, end: int) -> bool:
-        if not self.skip:
+    def _skipped(self, key: int | None, start: int, mid: int, end: int) -> bool:
+        if key is None or not self.skip:
             return False
         h = key
         for part in (start, mid, end):
             h = _mix1(h + part & _M)
         return h >> 32 < self.skip
 
-    def agenda(self, chunk: str, key: int) -> list[int]:
+    def agenda(self, chunk: str, key: int | None) -> list[int]:
         """The pieces of one chunk by a heap of candidates; characters without a piece stay negative: ~code point."""
         v = self.v
         ids = [int(v.char[ord(SPACE if c == " " else c)]) if c != SPACE else -1 for c in chunk]
@@ -154,12 +148,11 @@ class Encoder:
             consider(a, after[a])
         return [i for i in ids if i is not None]
 
-    def _keys(self, chunks: list[str], variants: np.ndarray) -> np.ndarray:
-        own = np.fromiter((xxhash.xxh64_intdigest(c.encode(), self.seed & _M) for c in chunks), np.uint64, len(chunks))
-        return _mix(own + variants.astype(np.uint64))
+    def _keys(self, chunks: list[str]) -> np.ndarray:
+        return np.fromiter((xxhash.xxh64_intdigest(c.encode(), self.seed & _M) for c in chunks), np.uint64, len(chunks))
 
-    def segment(self, chunks: list[str], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(pieces of all chunks in order, offsets)."""
+    def segment(self, chunks: list[str], keys: np.ndarray | None, seen: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(pieces of all chunks in order, offsets). Without keys nothing is skipped; seen then gets all candidates (chunk, start, mid, end) of chunks up to LONG."""
         v, blank = self.v, int(self.v.char[ord(SPACE)])
         sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
         short = np.flatnonzero(sizes <= LONG)
@@ -174,7 +167,18 @@ class Encoder:
         done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # (word, start, piece)
 
         def pairs(i: np.ndarray) -> np.ndarray:
-            return self._candidates(sid[i], sid[i + 1], keys[word[i]], start[i], start[i + 1], end[i + 1])
+            """Merged pieces of neighbouring pairs, or -1 for those that can't merge or are skipped."""
+            out = v.merged(sid[i], sid[i + 1])
+            if keys is None and seen is None or not self.skip:
+                return out
+            at = np.flatnonzero(out >= 0)
+            own = i[at]
+            stretch = start[own], start[own + 1], end[own + 1]
+            if keys is None:
+                seen.append((word[own], *stretch))
+            else:
+                out[at[self._skips(keys[word[own]], *stretch)]] = -1
+            return out
 
         merge = np.full(len(sid), -1, np.int32)
         inner = np.flatnonzero(word[1:] == word[:-1]) if len(sid) else np.zeros(0, np.int64)
@@ -208,7 +212,7 @@ class Encoder:
             touched = np.concatenate([at, fresh])
             order[touched] = np.where(merge[touched] >= 0, v.rank[merge[touched]] * 64 + start[touched], never)
         for i in np.flatnonzero(sizes > LONG).tolist():
-            ids = np.array(self.agenda(chunks[i], int(keys[i])), np.int64)
+            ids = np.array(self.agenda(chunks[i], None if keys is None else int(keys[i])), np.int64)
             done.append((np.full(len(ids), i), np.arange(len(ids)), ids))
         if not done:
             return np.zeros(0, np.int32), np.zeros(len(chunks) + 1, np.int64)
@@ -229,6 +233,20 @@ class Encoder:
             sid[where] = np.concatenate(parts)
         return sid.astype(np.int32), np.concatenate([[0], np.cumsum(np.bincount(word, minlength=n))])
 
+    def _varies(self, names: list[str], codes: np.ndarray, keys: np.ndarray, seen: list[tuple[np.ndarray, ...]]) -> np.ndarray:
+        """Places of the chunks (by code) that skip one of the candidates seen without dropout, or are too long to tell."""
+        word, *parts = (np.concatenate(x) for x in zip(*seen)) if seen else (np.zeros(0, np.int32),) * 4
+        by = np.argsort(word, kind="stable")
+        counts = np.bincount(word, minlength=len(names))
+        firsts = np.cumsum(counts) - counts
+        times = counts[codes]
+        ends = np.cumsum(times)
+        at = by[np.arange(ends[-1] if len(ends) else 0) + np.repeat(firsts[codes] - ends + times, times)]
+        skips = self._skips(np.repeat(keys, times), *(x[at] for x in parts))
+        skipped = np.concatenate([[0], np.cumsum(skips)])
+        long = np.fromiter((len(n) > LONG for n in names), bool, len(names))
+        return np.flatnonzero((skipped[ends] > skipped[ends - times]) | long[codes])
+
     def encode(self, rows: list[tuple[int | None, str | None]]) -> list[np.ndarray]:
         """The pieces of each (doc_id, text)."""
         out: list[list[np.ndarray]] = [[] for _ in rows]
@@ -255,14 +273,18 @@ class Encoder:
         counts = [len(chunks) for *_, chunks in held]
         docs = np.repeat(np.array([d & _M for _, d, _, _ in held], np.uint64), counts)
         places = np.concatenate([np.arange(p, p + n) for (_, _, p, _), n in zip(held, counts)]).astype(np.uint64)
-        variant = _mix(_mix(docs + np.uint64(self.seed & _M)) + places) % np.uint64(self.variants)
-        kinds, kind = np.unique(codes * self.variants + variant.astype(np.int64), return_inverse=True)
-        chunks = [names[k] for k in (kinds // self.variants).tolist()]
-        own = self._keys(names, np.zeros(len(names)))[kinds // self.variants]
-        pieces, offsets = self.segment(chunks, _mix(own + (kinds % self.variants).astype(np.uint64)))
-        sizes = np.diff(offsets)[kind]
+        own = self._keys(names)[codes] if self.skip else None
+        seen: list[tuple[np.ndarray, ...]] = []
+        pieces, offsets = self.segment(names, None, seen)
+        starts, sizes = offsets[codes], np.diff(offsets)[codes]
+        if self.skip:
+            keys = _mix(own + _mix(_mix(docs + np.uint64(self.seed & _M)) + places))
+            varies = self._varies(names, codes, keys, seen)
+            more, others = self.segment([names[k] for k in codes[varies].tolist()], keys[varies])
+            starts[varies], sizes[varies] = len(pieces) + others[:-1], np.diff(others)
+            pieces = np.concatenate([pieces, more])
         ends = np.cumsum(sizes)
-        flat = pieces[np.arange(ends[-1] if len(ends) else 0) + np.repeat(offsets[kind] - ends + sizes, sizes)]
+        flat = pieces[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)]
         bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
         for (i, *_), a, b in zip(held, bounds.tolist(), bounds[1:].tolist()):
             out[i].append(flat[a:b])
@@ -286,9 +308,9 @@ def decode(ids: np.ndarray, vocabulary: Vocabulary) -> str:
     return text[1:]
 
 
-def _encode(vocabulary: Vocabulary, dropout: float, seed: int, variants: int):
+def _encode(vocabulary: Vocabulary, dropout: float, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary, dropout, seed, variants)
+        encoder = Encoder(vocabulary, dropout, seed)
         for whole in batches:
             for first in range(0, len(whole), 1000):
                 b = whole.slice(first, 1000)
@@ -302,9 +324,9 @@ def _encode(vocabulary: Vocabulary, dropout: float, seed: int, variants: int):
     return run
 
 
-def encode(docs: DataFrame, model: str = MODEL, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS) -> DataFrame:
+def encode(docs: DataFrame, model: str = MODEL, dropout: float = DROPOUT, seed: int = SEED) -> DataFrame:
     """One row per row of docs: doc_id, n_pieces, lossless (whether the pieces decode to the text), ids."""
-    run = _encode(Vocabulary(model), dropout, seed, variants)
+    run = _encode(Vocabulary(model), dropout, seed)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_pieces long, lossless boolean, ids array<int>")
 
 

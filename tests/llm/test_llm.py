@@ -459,14 +459,41 @@ def test_sentencepiece_round_trip_and_plain_rules(texts):
     assert all((x == y).all() for x, y in zip(a, again)) and any(len(x) != len(y) or (x != y).any() for x, y in zip(a, b))
 
 
-def test_heap_and_rounds_give_the_same_pieces():
+def test_heap_and_rounds_give_the_same_pieces(texts):
     e = sentencepiece_bpe.Encoder(sentencepiece_bpe.Vocabulary(), 0.3)
-    chunks = [" internationally", "  retokenization", " Straße", "abc" * 9]
+    chunks = [" internationally", "  retokenization", " Straße", "abc" * 9, *{c for t in list(texts.values())[:40] for c in sentencepiece_bpe.CHUNK.findall(t or "")}]
+    chunks = [c for c in chunks if len(c) <= sentencepiece_bpe.LONG]
+    assert len(chunks) > 1000
     keys = np.arange(len(chunks), dtype=np.uint64) * np.uint64(977)
-    pieces, offsets = e.segment(chunks, keys)
-    for i, c in enumerate(chunks):
-        heap = [x for x in e.agenda(c, int(keys[i])) if 0 <= x < e.v.size]
-        assert [x for x in pieces[offsets[i] : offsets[i + 1]].tolist() if x not in set(e.v.bytes.tolist())] == heap
+    odd = set(e.v.bytes.tolist())
+    for own in (keys, None):
+        pieces, offsets = e.segment(chunks, own)
+        for i, c in enumerate(chunks):
+            heap = [x for x in e.agenda(c, None if own is None else int(keys[i])) if 0 <= x < e.v.size]
+            assert [x for x in pieces[offsets[i] : offsets[i + 1]].tolist() if x not in odd] == heap
+
+
+def test_each_place_has_its_own_segmentation(texts):
+    v = sentencepiece_bpe.Vocabulary()
+    e = sentencepiece_bpe.Encoder(v, 0.1)
+    rows = [(3, " internationalization" * 400), (4, " internationalization" * 400), *list(texts.items())[:30]]
+    got = e.encode(rows)
+    mix, m = sentencepiece_bpe._mix1, (1 << 64) - 1
+    for (d, t), ids in zip(rows, got):
+        want = []
+        for place, c in enumerate(sentencepiece_bpe.CHUNK.findall(f" {t}" if t else "")):  # each chunk by its own heap
+            key = mix(xxhash.xxh64_intdigest(c.encode(), 7) + mix(mix(d + 7) + place & m) & m)
+            want += [x for x in e.agenda(c, key) if 0 <= x < v.size]
+        odd = set(v.bytes.tolist())
+        assert [x for x in ids.tolist() if x not in odd] == [x for x in want if x not in odd]
+    kinds = {tuple(e.agenda(" internationalization", k)) for k in range(400)}
+    assert len(kinds) > 30
+
+
+def test_sentencepiece_tables_decode_again(spark, odd):
+    out = sentencepiece_bpe.encode(odd)
+    back = sorted((r["doc_id"] or 0, r["text"]) for r in sentencepiece_bpe.decoded(out).collect())
+    assert back == sorted((d or 0, t or "") for d, t in ODD)
 
 
 def brute_cut(gain, edges):
@@ -493,6 +520,132 @@ def test_html(spark):
     assert got[1]["n_chars"] == len(got[1]["text"]) and (got[2]["text"], got[3]["n_chars"]) == ("", 0)
 
 
+ARTICLE = "<article><h1>The title</h1><p>First long paragraph, with several words, of the article text.</p><p>Second paragraph goes on, and on, with more words.</p></article>"
+NAV = '<nav><ul><li><a href="/">Home</a></li><li><a href="/x">About</a></li></ul></nav>'
+COMMENT = "<p>I agree with all of this, it is a great text, thanks.</p>"
+INNER = ARTICLE[9:-10]
+PAGES = [
+    NAV + '<svg width="1"/>' + ARTICLE,
+    NAV + "<svg-icon></svg-icon>" + ARTICLE + "<svg><title>x</title></svg>",
+    NAV + ARTICLE.replace("<p>Second", "<video-player></video-player><video>no video</video><p>Second"),
+    NAV + f'<div class="layout has-sidebar">{ARTICLE}<div class="sidebar"><p>Read this one next, it is great.</p></div></div>',
+    NAV + f'<div class="elementor-widget-container">{ARTICLE}</div>',
+    NAV + f'<article><div class="elementor-widget-container">{INNER}</div></article>',
+    NAV + ARTICLE.replace("<article>", '<article class="post share-enabled">'),
+    NAV + ARTICLE.replace("several words", "<math>several</math> words"),
+    NAV + ARTICLE.replace("</article>", f'<section class="comments"><h3>Comments</h3>{COMMENT}{COMMENT}</section></article>'),
+    NAV + ARTICLE + f'<div id="comments"><article class="comment">{COMMENT}</article></div>',
+    NAV + '<iframe src="x"><select/>' + ARTICLE + "<form><p>Your name</p></form><script>if (1 < 2) x('</p>')",
+    NAV + "<template><p>Hidden text here, not shown at all.</p></template>" + ARTICLE + '<p style="display: none">Hidden</p>',
+    f'<div><a href="/">Home</a> <a href="/x">About us</a></div><div>{INNER}</div><div><ul><li><a href="/a">one</a></li><li><a href="/b">two</a></li></ul></div>',
+]
+
+
+@pytest.fixture(scope="module")
+def weights(spark):
+    return htmltext.train(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"))
+
+
+def test_articles_of_hard_pages(weights):
+    want = "The title\n\nFirst long paragraph, with several words, of the article text.\n\nSecond paragraph goes on, and on, with more words."
+    for page in PAGES:
+        assert htmltext.main_text(f"<html><head><title>T</title></head><body>{page}</body></html>", weights) == want, page
+    last = htmltext.blocks(PAGES[-1])  # no element of this page says what is the article
+    assert all(b.evidence == b.words == 0 for b in last)
+
+
+def test_labels_of_pages_are_the_least_cut(spark, weights):
+    pages = [r["html"] for r in spark.read.parquet(f"{DATA}/pages.parquet").collect()]
+    checked = 0
+    for page in [*PAGES, *pages]:
+        found = htmltext.blocks(page)
+        if 0 < len(found) <= 13:
+            gain, edges = htmltext.graph(found, weights)
+            least, cost = brute_cut(gain, edges)
+            assert cost(sum(1 << i for i, x in enumerate(htmltext.min_cut(gain, edges)) if x)) == pytest.approx(least)
+            checked += 1
+    assert checked >= len(PAGES)
+    found = htmltext.blocks("<div><p>A long paragraph of text, with many words in it.</p><p><a href=x>Read more</a></p><p>Another long paragraph of text, with many words.</p></div>")
+    gain, edges = htmltext.graph(found, weights)
+    assert gain[1] < 0 and all(htmltext.min_cut(gain, edges))  # its neighbours decide, not the block alone
+
+
+def test_pages_of_odd_tables(spark):
+    rows = [(1, "u", PAGES[0]), (1, "u", PAGES[0]), (None, None, None), (2, "v", ""), (3, "v", "<p>x" * 5_000), (4, "v", "< <<>& <!-- <p>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("t")).withColumn("h", F.lit(1))
+    got = htmltext.extract(df).collect()
+    assert len(got) == len(rows) and htmltext.extract(df.where("false")).count() == 0
+    assert len({r["text"] for r in got if r["page_id"] == 1}) == 1 and all(r["n_chars"] == len(r["text"]) for r in got)
+
+
+def plain_markov(texts, order):
+    """Interpolated Witten-Bell by counting the training texts anew for each probability."""
+    padded = ["\x02" * order + t + "\x02" for t in texts]
+
+    def p(c, context):
+        lower = p(c, context[1:]) if context else 1 / 256
+        after = [t[i] for t in padded for i in range(order, len(t)) if t[i - len(context) : i] == context]
+        return (after.count(c) + len(set(after)) * lower) / (len(after) + len(set(after))) if after else lower
+
+    return lambda text: sum(np.log(p(c, ("\x02" * order + text)[i : i + order])) for i, c in enumerate(text + "\x02"))
+
+
+def test_url_models_by_brute_force():
+    rng = np.random.default_rng(1)
+    texts = ["".join(rng.choice(list("ab/."), int(rng.integers(1, 9)))) for _ in range(30)]
+    model, plain = urlfilter.Markov(texts, 3), plain_markov(texts, 3)
+    for t in ["", "a", "zz", "ab/ab.", *texts[:10]]:
+        assert model.score(t) == pytest.approx(plain(t))
+
+
+def test_url_threshold_uses_both_classes():
+    good, bad = [f"http://good.net/news/{i}" for i in range(300)], [f"http://spam.org/casino-{i}" for i in range(300)]
+    m = urlfilter.UrlModel(good, bad)
+    assert (m.false_blocks, m.recall) == (0, 1)
+    scores = [sorted(m.ratio(u) for u in us[::5]) for us in (good, bad)]
+    assert m.threshold == pytest.approx((scores[0][-1] + scores[1][0]) / 2)
+    mixed = urlfilter.UrlModel(good + bad[:60], bad)
+    assert mixed.false_blocks <= 0.011
+
+
+def test_urls_of_odd_tables(spark):
+    rows = [(1, None), (None, "http://a.net/de/1"), (None, "http://a.net/de/1"), (2, ""), (3, "http://b.com/en/" + "x" * 100_000), (4, "http://c.fr/")]
+    df = spark.createDataFrame(rows, "page_id long, url string").withColumn("host", F.lit("h")).withColumn("score", F.lit(1)).withColumn("rule", F.lit("r"))
+    got = urlfilter.judge(df).collect()
+    assert len(got) == len(rows) and urlfilter.judge(df.where("false")).count() == 0
+    assert {r["rule"] for r in got} == {None, "net/de/", "com/en/"} and all(r["verdict"] in ("allow", "block") for r in got)
+
+
+def plain_ngrams(text):
+    from collections import Counter
+
+    out = Counter()
+    for word in re.findall(r"[^\W\d_]+", (text or "").lower()):
+        padded = f" {word} "
+        out.update(word)
+        out.update(padded[i : i + 2] for i in range(len(padded) - 1))
+        out.update(padded[i : i + 3] for i in range(len(padded) - 2))
+    return out
+
+
+def test_langid_by_brute_force(spark, docs, texts):
+    lang = {r["doc_id"]: r["lang"] for r in docs.collect()}
+    rank = lambda c: [g for g, _ in sorted(c.items(), key=lambda x: (-x[1], sum(ord(k) << 21 * i for i, k in enumerate(x[0][::-1]))))[:300]]
+    by = {}
+    for d, t in texts.items():
+        if lang[d] and zlib.crc32(str(d).encode()) % 4 != 2:
+            by.setdefault(lang[d], plain_ngrams("")).update(plain_ngrams(t))
+    profiles = {k: {g: i for i, g in enumerate(rank(c))} for k, c in by.items()}
+    for r in langid.identify(docs).collect():
+        own = rank(plain_ngrams(texts[r["doc_id"]]))
+        if not own:
+            assert (r["lang_pred"], r["score"]) == ("und", 0)
+            continue
+        off = {k: sum(abs(p[g] - i) if g in p else 300 for i, g in enumerate(own)) for k, p in profiles.items()}
+        best = min(sorted(off), key=off.get)
+        assert r["lang_pred"] == best and r["score"] == pytest.approx(1 - off[best] / (300 * len(own)))
+
+
 def test_pipeline_keeps_clean_documents(spark):
     import corpus_pipeline
 

@@ -2,7 +2,7 @@
 
 A BPE model in SentencePiece's format is applied by its own rules: a blank goes before the text, blanks become U+2581, and the best-scoring neighbouring pieces merge, the leftmost first in a tie, until none can; characters without a piece become bytes. With dropout, each candidate merge (a stretch of a chunk, split at a place) is skipped for good if a hash keyed by seed, chunk, doc_id, the chunk's place in the document, and stretch falls under the rate. A chunk is a run of blanks and what follows up to the next blank. So segmentations vary from place to place, are the same again for the same seed, and decode to the text they came from.
 
-The agendas of all chunks of a stretch of text advance together in numpy, one merge a round; chunks longer than LONG use a heap. Both give the same pieces. A distinct chunk is first merged without dropout, its candidates noted: where a place skips none of these, its pieces are the same; everywhere else the agenda runs for that place. The model is read on the driver from a path that is a parameter, and its tables, bounded by the vocabulary, go to the tasks. Tokenizers are never trained here.
+The agendas of all chunks of a stretch of text advance together in numpy, one merge a round; chunks longer than LONG use a heap. Both give the same pieces. A distinct chunk is first merged without dropout, its merges noted: where a place skips none of these, they are the best candidates there too and its pieces are the same; everywhere else the agenda runs for that place. The model is read on the driver from a path that is a parameter, and its tables, bounded by the vocabulary, go to the tasks. Tokenizers are never trained here.
 
 Defined results: a null text counts as empty and gives no pieces. A U+2581 in the text is kept apart from blanks by encoding it as bytes. A null doc_id is keyed as 0; rows that repeat are encoded alike. Texts of any length are encoded whole, STRETCH characters at a time. An empty table gives an empty result. Columns other than doc_id and text play no part.
 """
@@ -152,7 +152,7 @@ class Encoder:
         return np.fromiter((xxhash.xxh64_intdigest(c.encode(), self.seed & _M) for c in chunks), np.uint64, len(chunks))
 
     def segment(self, chunks: list[str], keys: np.ndarray | None, seen: list | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(pieces of all chunks in order, offsets). Without keys nothing is skipped; seen then gets all candidates (chunk, start, mid, end) of chunks up to LONG."""
+        """(pieces of all chunks in order, offsets). Without keys nothing is skipped. seen gets all merges (chunk, start, mid, end) of chunks up to LONG."""
         v, blank = self.v, int(self.v.char[ord(SPACE)])
         sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
         short = np.flatnonzero(sizes <= LONG)
@@ -169,15 +169,10 @@ class Encoder:
         def pairs(i: np.ndarray) -> np.ndarray:
             """Merged pieces of neighbouring pairs, or -1 for those that can't merge or are skipped."""
             out = v.merged(sid[i], sid[i + 1])
-            if keys is None and seen is None or not self.skip:
-                return out
-            at = np.flatnonzero(out >= 0)
-            own = i[at]
-            stretch = start[own], start[own + 1], end[own + 1]
-            if keys is None:
-                seen.append((word[own], *stretch))
-            else:
-                out[at[self._skips(keys[word[own]], *stretch)]] = -1
+            if keys is not None and self.skip:
+                at = np.flatnonzero(out >= 0)
+                own = i[at]
+                out[at[self._skips(keys[word[own]], start[own], start[own + 1], end[own + 1])]] = -1
             return out
 
         merge = np.full(len(sid), -1, np.int32)
@@ -198,6 +193,8 @@ class Encoder:
                 if not len(sid):
                     break
             at = np.flatnonzero(order == np.repeat(best, counts))  # one in each word: its place is part of the order
+            if seen is not None:
+                seen.append((word[at], start[at], start[at + 1], end[at + 1]))
             sid[at], end[at] = merge[at], end[at + 1]
             keep = np.ones(len(sid), bool)
             keep[at + 1] = False
@@ -234,7 +231,7 @@ class Encoder:
         return sid.astype(np.int32), np.concatenate([[0], np.cumsum(np.bincount(word, minlength=n))])
 
     def _varies(self, names: list[str], codes: np.ndarray, keys: np.ndarray, seen: list[tuple[np.ndarray, ...]]) -> np.ndarray:
-        """Places of the chunks (by code) that skip one of the candidates seen without dropout, or are too long to tell."""
+        """Places of the chunks (by code) that skip one of the merges seen without dropout, or are too long to tell."""
         word, *parts = (np.concatenate(x) for x in zip(*seen)) if seen else (np.zeros(0, np.int32),) * 4
         by = np.argsort(word, kind="stable")
         counts = np.bincount(word, minlength=len(names))

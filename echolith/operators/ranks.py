@@ -67,6 +67,30 @@ def draw(df: DataFrame, by: list[str], key: str, count: int | None = None, share
     return df.join(at.where("before + n <= wanted").select(*by, key), [*by, key], "left_semi")
 
 
+def shuffled(df: DataFrame, by: list[str], key: Column, seed: int) -> DataFrame:
+    """df with place, each row's place from 0 in its group's order of draw keys, and size, the group's rows. Keys should be distinct in a group; rows with equal keys share a place."""
+    keyed = df.withColumn("_key", draw_key(key, seed=seed))
+    at = positions(keyed, by, "_key")
+    at = at.select(*by, "_key", F.col("before").alias("place")).join(at.groupBy(*by).agg(F.sum("n").alias("size")), by)
+    return keyed.join(at, [*by, "_key"]).drop("_key")
+
+
+def sample(df: DataFrame, by: list[str], key: Column, seed: int, share: float) -> DataFrame:
+    """An exact share of each group, its number of rows rounded half to even, with place: the order that the draw gives them."""
+    return shuffled(df, by, key, seed).where(F.col("place") < F.rint(F.lit(share) * F.col("size"))).drop("size")
+
+
+def with_validation(df: DataFrame, by: list[str], key: Column, seed: int, share: float = 0.1) -> DataFrame:
+    """df with validation: true for the last share of each group's shuffled rows, the others' number rounded down."""
+    rows = shuffled(df, by, key, seed)
+    return rows.withColumn("validation", F.col("place") >= F.floor(F.col("size") * F.lit(1 - share))).drop("place", "size")
+
+
+def bernoulli(df: DataFrame, key: Column, seed: int, share: float) -> DataFrame:
+    """Each row with probability share, fixed by key and seed."""
+    return df.where(draw_key(key, seed=seed) < F.lit(int(share * 16**15)))
+
+
 def chance(*keys: Column, seed: int, out_of: int, kept: int) -> Column:
     """True with probability kept / out_of, fixed by keys and seed."""
     return F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(out_of)) < kept

@@ -124,3 +124,10 @@ def best_epoch(history: DataFrame, by: list[str], loss: str = "val_loss", epoch:
 def with_measured(estimates: DataFrame, measured: DataFrame) -> DataFrame:
     """Estimates and measurements in one table, sorted by band and name; columns of one side only are null on the other."""
     return estimates.unionByName(measured, allowMissingColumns=True).orderBy("band", "name")
+
+
+def summary_frame(records: DataFrame, columns: tuple[str, ...] = DESCRIPTORS) -> DataFrame:
+    """(band, measure, statistic, value): the band summary as one row a number."""
+    wide = band_summary(records, columns)
+    cells = [F.struct(F.lit(c).alias("measure"), F.lit(k).alias("statistic"), F.col(f"{c}_{k}").alias("value")) for c in columns for k in ("p95", "max", "min")]
+    return wide.select("band", F.explode(F.array(*cells)).alias("cell")).select("band", "cell.*")

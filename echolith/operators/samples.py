@@ -34,6 +34,14 @@ def backward_energy(samples: DataFrame) -> DataFrame:
     return samples.withColumn("energy", F.sum(F.col("v") * F.col("v")).over(_ahead())).drop("v")
 
 
+def compensated_energy(samples: DataFrame, bounds: DataFrame) -> DataFrame:
+    """(name, n, share): what is left of the signal's energy from each sample up to stop, and of the decay beyond it, as a share of all. bounds: (name, stop, beyond), a row a signal."""
+    own = samples.join(bounds, "name").where("n < stop")
+    left = F.sum(F.col("v") * F.col("v")).over(_ahead()) + F.col("beyond")
+    whole = F.sum(F.col("v") * F.col("v")).over(Window.partitionBy("name")) + F.col("beyond")
+    return own.select("name", "n", (left / F.nullif(whole, F.lit(0.0))).alias("share"))
+
+
 def decay_curve(samples: DataFrame) -> DataFrame:
     """(name, n, db): the backward energy against all of it."""
     e = backward_energy(samples)

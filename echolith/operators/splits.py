@@ -51,6 +51,21 @@ def non_members(df: DataFrame, others: DataFrame, key: str) -> DataFrame:
     return df.join(others.select(key), key, "left_anti")
 
 
-def within_split(responses: DataFrame, speech: DataFrame) -> DataFrame:
-    """Every response with every speech file of its split."""
-    return responses.join(speech, "split")
+def united(*lists: DataFrame) -> DataFrame:
+    """The rows of all lists of files, as often as they occur; columns are matched by name."""
+    out = lists[0]
+    for other in lists[1:]:
+        out = out.unionByName(other)
+    return out
+
+
+def first_names(files: DataFrame, name: str, part: str, count: int) -> DataFrame:
+    """The first count distinct names by code that hold part."""
+    return files.where(F.col(name).contains(part)).select(name).distinct().orderBy(name).limit(count)
+
+
+def within_split(responses: DataFrame, speech: DataFrame, salts: int = 32) -> DataFrame:
+    """Every response with every speech file of its split. A split's responses are dealt to salts, each of which gets its speech, so that a split is not one task's."""
+    dealt = responses.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)))
+    copies = speech.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    return dealt.join(copies, ["split", "_salt"]).drop("_salt")

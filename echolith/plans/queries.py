@@ -7,14 +7,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from echolith.functions import arrays as A
-from echolith.functions import udfs
+from echolith.functions import kernels, udfs
 from echolith.operators import ranks, records, samples, splits
 from echolith.plans import database, model
-from echolith.schema import BANDS, name_part, stem, tr_drr_tag, tr_tag
+from echolith.schema import BANDS, audio_name, name_part, stem, tr_drr_tag, tr_tag
 from echolith.sources.audio import synthetic_responses
 
 #: Rate at which 64 samples hold the 50 and 80 ms boundaries, and the direct sound's half window there.
@@ -145,11 +146,19 @@ def hamming_early(spark, sf_dir):
     return rows.select("vec_id", F.col("n").cast("long").alias("n"), r("w", 9).alias("w"))
 
 
-@query()
+@query(f"""WITH {_IR}, b AS (SELECT vec_id, x, greatest({_AT} - 3, 0) AS a, least({_AT} + 4, len(x)) AS b FROM ir),
+    w AS (SELECT vec_id, x[1:a] AS d, x[a + 1:b] AS e, x[b + 1:len(x)] AS late FROM b),
+    h AS (SELECT *, list_transform(range(len(e)), lambda i: CASE WHEN len(e) > 1 THEN 0.54 - 0.46 * cos(2 * pi() * i / (len(e) - 1)) ELSE 1.0 END) AS w FROM w),
+    q AS (SELECT *, {_WE.format('w[i] * w[i]')} AS qa, 2 * {_WE.format('(1 - w[i]) * w[i]')} AS qb, {_WE.format('(1 - w[i]) * (1 - w[i])')} - power(10.0, 6.0 / 10) * {_sq('late')} AS qc FROM h),
+    g AS (SELECT *, greatest((-qb + sqrt(qb * qb - 4 * qa * qc)) / (2 * qa), (-qb - sqrt(qb * qb - 4 * qa * qc)) / (2 * qa)) AS gain FROM q WHERE qb * qb - 4 * qa * qc >= 0),
+    f AS (SELECT vec_id, d, late, list_transform(range(1, len(e) + 1), lambda i: gain * w[i] * e[i] + (1 - w[i]) * e[i]) AS fresh FROM g),
+    y AS (SELECT vec_id, list_concat(list_concat(d, fresh), late) AS x FROM f WHERE list_max(list_transform(fresh, lambda v: abs(v))) >= list_max(list_transform(late, lambda v: abs(v)))),
+    k AS (SELECT vec_id, x, greatest({_AT} - 3, 0) AS a, least({_AT} + 4, len(x)) AS b FROM y), e AS (SELECT vec_id, x, {_sq('x[a + 1:b]')} AS early, {_sq('x[b + 1:len(x)]')} AS late FROM k)
+  SELECT vec_id, CASE WHEN late > 0 AND early > 0 THEN round(10 * log10(early / nullif(late, 0)), 4) END AS drr, len(x) AS n FROM e""")
 def drr_augment(spark, sf_dir):
     """After rescaling, the ratio is the one asked for (unless it can't be reached or the direct sound moves)."""
     x = ir(spark, sf_dir).select("vec_id", A.with_direct_ratio(F.col("x"), RATE, F.lit(6.0), WINDOW).alias("x")).where("x is not null")
-    return x.select("vec_id", r(A.direct_to_reverberant(F.col("x"), RATE, WINDOW), 4).alias("drr"), F.size("x").alias("n"))
+    return x.select("vec_id", r(A.direct_to_reverberant(F.col("x"), RATE, WINDOW), 4).alias("drr"), F.size("x").cast("long").alias("n"))
 
 
 @query(f"""WITH {_IR}, m AS (SELECT vec_id, sqrt({_sq('x')} / len(x)) AS rms FROM ir)
@@ -204,10 +213,23 @@ def low_pass_first_order(spark, sf_dir):
     return rows.select("vec_id", F.col("n").cast("long").alias("n"), r("v").alias("v"))
 
 
-@query()
+def _band_taps(band: int, size: int = 64) -> list[float]:
+    """The band-pass filter's first taps by its difference equation."""
+    z, p, k = kernels.butterworth(4, *kernels.band_edges(band, RATE), RATE)
+    b, a, out = (k * np.poly(z)).real, np.poly(p).real, []
+    for i in range(size):
+        out.append((b[i] if i < len(b) else 0.0) - sum(a[j] * out[i - j] for j in range(1, min(i, len(a) - 1) + 1)))
+    return out
+
+
+_TAPS = " UNION ALL ".join(f"SELECT {b} AS band, [{', '.join(map(repr, map(float, _band_taps(b))))}] AS h" for b in (16, 31, 63))
+
+
+@query(f"""WITH {_IR}, taps AS ({_TAPS}), y AS (SELECT vec_id, band, i, sum(x[j + 1] * h[i - j + 1]) AS v FROM ir, taps, range(64) t(i), range(64) u(j) WHERE j <= i GROUP BY 1, 2, 3)
+  SELECT vec_id, band, round(sum(v * v), 6) AS energy FROM y GROUP BY 1, 2""")
 def band_pass_energy(spark, sf_dir):
-    """Energy of each response in three octave bands."""
-    bands = ir(spark, sf_dir).withColumn("band", F.explode(F.array(F.lit(31), F.lit(63), F.lit(125))))
+    """Energy of each response in the three octave bands that fit under half the rate; the SQL convolves with the filter's taps."""
+    bands = ir(spark, sf_dir).withColumn("band", F.explode(F.array(F.lit(16), F.lit(31), F.lit(63))))
     return bands.select("vec_id", "band", r(A.energy(udfs.band_pass(F.col("x"), F.col("band"), RATE))).alias("energy"))
 
 
@@ -317,8 +339,13 @@ def spearman_by_subset(spark, sf_dir):
     return records.spearman(tagged, ["band", "subset"], "t30", "c80").select("band", "subset", "rows", r("rho", 8).alias("rho"))
 
 
-@query()
+@query(f"""WITH {_REC}, k AS (SELECT band, rank() OVER (PARTITION BY band ORDER BY t30) + (count(*) OVER (PARTITION BY band, t30) - 1) / 2.0::DOUBLE AS rx,
+    rank() OVER (PARTITION BY band ORDER BY d50) + (count(*) OVER (PARTITION BY band, d50) - 1) / 2.0::DOUBLE AS ry FROM rec),
+    c AS (SELECT band, count(*) AS rows, corr(rx, ry) AS rho FROM k GROUP BY band),
+    s AS (SELECT band, rows, rho, CASE WHEN i = 0 OR i = 20000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END AS weight, abs(rho) + (1 - abs(rho)) * i / 20000.0::DOUBLE AS r, i / 20000.0::DOUBLE AS r0 FROM c, range(20001) t(i))
+  SELECT band, rows, round(rho, 8) AS rho, round((1 - abs(rho)) * sum(weight * power(greatest(1 - r * r, 0), (rows - 4) / 2.0::DOUBLE)) / sum(weight * power(greatest(1 - r0 * r0, 0), (rows - 4) / 2.0::DOUBLE)), 8) AS p FROM s GROUP BY band, rows, rho""")
 def spearman_p_value(spark, sf_dir):
+    """The SQL integrates the density of rho without correlation by Simpson's rule."""
     out = records.with_p_value(records.spearman(rec(spark, sf_dir), ["band"], "t30", "d50"))
     return out.select("band", "rows", r("rho", 8).alias("rho"), r("p", 8).alias("p"))
 
@@ -399,9 +426,86 @@ def best_epoch(spark, sf_dir):
     return records.best_epoch(table(spark, sf_dir, "orders"), ["o_custkey"], "o_totalprice", "o_orderkey")
 
 
-@query("SELECT DISTINCT p_type, CASE WHEN contains(p_type, 'sintetica') THEN 'sintetica' WHEN contains(p_type, 'great_hall') THEN 'great_hall' WHEN contains(p_type, 'octagon') THEN 'octagon' WHEN contains(p_type, 'classroom') THEN 'classroom' ELSE 'other' END AS category FROM part")
+@query(f"WITH {_REC}, n AS (SELECT DISTINCT split_part(name, '|', 2) AS rir FROM rec UNION SELECT DISTINCT concat('classroom_', p_partkey % 7, CASE WHEN p_partkey % 2 = 0 THEN '_octagon' ELSE '' END) FROM part UNION SELECT DISTINCT p_type FROM part) SELECT rir, CASE WHEN contains(rir, 'sintetica') THEN 'sintetica' WHEN contains(rir, 'great_hall') THEN 'great_hall' WHEN contains(rir, 'octagon') THEN 'octagon' WHEN contains(rir, 'classroom') THEN 'classroom' ELSE 'other' END AS category FROM n")
 def rir_category(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_type", splits.category(F.col("p_type")).alias("category")).distinct()
+    part = table(spark, sf_dir, "part")
+    made = F.concat(F.lit("classroom_"), F.col("p_partkey") % 7, F.when(F.col("p_partkey") % 2 == 0, "_octagon").otherwise(""))
+    names = splits.united(rec(spark, sf_dir).select(name_part(F.col("name"), 1).alias("rir")), part.select(made.alias("rir")), part.select(F.col("p_type").alias("rir"))).distinct()
+    return names.select("rir", splits.category(F.col("rir")).alias("category"))
+
+
+@query(f"""WITH {_REC}, k AS (SELECT name, band, type_data, t30, row_number() OVER w - 1 AS place, count(*) OVER (PARTITION BY band, type_data) AS c FROM rec
+    WINDOW w AS (PARTITION BY band, type_data ORDER BY substr(md5(concat(name, '|', '2222')), 1, 15)))
+  SELECT name, band, type_data, t30, place FROM k WHERE place < round_even(0.3::DOUBLE * c, 0)""")
+def record_sample(spark, sf_dir):
+    """An exact share of each band's records, in an order that the seed fixes."""
+    rows = rec(spark, sf_dir).select("name", "band", "type_data", "t30")
+    return ranks.sample(rows, ["band", "type_data"], F.col("name"), 2222, 0.3).select("name", "band", "type_data", "t30", F.col("place").cast("long").alias("place"))
+
+
+@query(f"""WITH {_REC}, k AS (SELECT name, band, row_number() OVER (PARTITION BY band ORDER BY substr(md5(concat(name, '|', '7')), 1, 15)) - 1 AS place, count(*) OVER (PARTITION BY band) AS c FROM rec)
+  SELECT name, band, place >= floor(c * (1 - 0.1::DOUBLE)) AS validation FROM k""")
+def validation_split(spark, sf_dir):
+    return ranks.with_validation(rec(spark, sf_dir).select("name", "band"), ["band"], F.col("name"), 7).select("name", "band", "validation")
+
+
+@query("SELECT c_custkey FROM customer WHERE ('0x' || substr(md5(concat(c_custkey::VARCHAR, '|', '5')), 1, 15))::BIGINT < 201761263306198208")
+def bernoulli_draw(spark, sf_dir):
+    """Customers with a probability of 0.175."""
+    return ranks.bernoulli(table(spark, sf_dir, "customer").select("c_custkey"), F.col("c_custkey").cast("string"), 5, 0.175)
+
+
+@query(f"WITH {_REC} SELECT DISTINCT name FROM rec WHERE contains(name, 'sintetica') ORDER BY name LIMIT 10")
+def first_files(spark, sf_dir):
+    """The first ten names of synthetic responses."""
+    return splits.first_names(rec(spark, sf_dir), "name", "sintetica", 10)
+
+
+@query("SELECT s_name AS file, 'train' AS split FROM supplier WHERE s_nationkey % 5 <> 0 UNION ALL SELECT s_name, 'test' FROM supplier WHERE s_nationkey % 5 = 0 UNION ALL SELECT c_name, 'train' FROM customer")
+def split_lists(spark, sf_dir):
+    """Lists of files of several folders as one."""
+    s, c = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "customer")
+    named = lambda df, name, split: df.select(F.col(name).alias("file"), F.lit(split).alias("split"))
+    return splits.united(named(s.where("s_nationkey % 5 <> 0"), "s_name", "train"), named(s.where("s_nationkey % 5 = 0"), "s_name", "test"), named(c, "c_name", "train"))
+
+
+@query(f"""WITH {_REC}, q AS (SELECT band, quantile_cont(t30, 0.95) AS a, quantile_cont(c50, 0.95) AS b, quantile_cont(c80, 0.95) AS c, quantile_cont(d50, 0.95) AS d FROM rec GROUP BY band)
+  SELECT name, rec.band, round_even(t30 / 64 * a, 3) AS t30, round_even(c50 / 64 * b, 3) AS c50, round_even(c80 / 64 * c, 3) AS c80, round_even(d50 / 64 * d, 3) AS d50 FROM rec JOIN q ON q.band = rec.band""")
+def denormalise(spark, sf_dir):
+    """Predictions (a 64th of the truth here) times their band's percentiles."""
+    rows = rec(spark, sf_dir)
+    scales = ranks.column_percentiles(rows, ["band"], records.DESCRIPTORS, 0.95, "_p95")
+    return model.denormalised(rows.select("name", "band", *((F.col(c) / 64).alias(c) for c in records.DESCRIPTORS)), scales)
+
+
+@query(f"WITH {_REC} SELECT concat_ws('|', split_part(name, '|', 1), split_part(name, '|', 2), split_part(name, '|', 3)) AS reverbed_audio, band, t30, d50, [t30, c50, c80, d50] = [t30, c50, c80, d50] AS whole FROM rec")
+def record_elements(spark, sf_dir):
+    """Names put together again from their parts, and elements of the descriptors' array."""
+    n, vector = F.col("name"), F.array(*records.DESCRIPTORS)
+    rows = rec(spark, sf_dir).select(audio_name(name_part(n, 0), name_part(n, 1), name_part(n, 2)).alias("reverbed_audio"), "band", vector.alias("v"))
+    return rows.select("reverbed_audio", "band", F.col("v")[0].alias("t30"), F.col("v")[3].alias("d50"), (F.size("v") == 4).alias("whole"))
+
+
+@query(f"WITH {_REC} " + " UNION ALL ".join(f"SELECT band, '{c}' AS measure, '{k}' AS statistic, round_even({f.format(c)}, 2) AS value FROM rec GROUP BY band" for c in records.DESCRIPTORS for k, f in (("p95", "quantile_cont({}, 0.95)"), ("max", "max({})"), ("min", "min({})"))))
+def summary_frame(spark, sf_dir):
+    return records.summary_frame(rec(spark, sf_dir))
+
+
+@query(f"""WITH {_SIG}, l AS (SELECT name, list(abs(v) ORDER BY n) AS x FROM sig GROUP BY name)
+  SELECT name, i AS n, list_sort(list_transform(range(i - 8, i + 8), lambda k: x[least(greatest(k, 0), len(x) - 1) + 1]))[9] AS median FROM (SELECT name, x, unnest(range(len(x))) AS i FROM l)""")
+def moving_median(spark, sf_dir):
+    arrays = sig(spark, sf_dir).groupBy("name").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "v"))), lambda s: s.v).alias("x"))
+    rows = arrays.select("name", F.posexplode(udfs.moving_median(F.col("x"), 16)).alias("n", "median"))
+    return rows.select("name", F.col("n").cast("long").alias("n"), "median")
+
+
+@query(f"""WITH {_SIG}, b AS (SELECT name, count(*) * 3 // 4 AS stop, max(v) AS beyond FROM sig GROUP BY name)
+  SELECT sig.name, n, round((sum(v * v) OVER (PARTITION BY sig.name ORDER BY n DESC) + beyond) / (sum(v * v) OVER (PARTITION BY sig.name) + beyond), 8) AS share FROM sig JOIN b ON b.name = sig.name WHERE n < stop""")
+def compensated_decay(spark, sf_dir):
+    """Backward energy cut at three quarters of each signal, with the energy of the decay beyond it."""
+    rows = sig(spark, sf_dir)
+    bounds = rows.groupBy("name").agg(F.floor(F.count("*") * 3 / 4).alias("stop"), F.max("v").alias("beyond"))
+    return samples.compensated_energy(rows, bounds).select("name", F.col("n").cast("long").alias("n"), r("share", 8).alias("share"))
 
 
 # What SQL can't say: iterated fits and seeded noise, tested against closed forms.

@@ -17,6 +17,10 @@ from echolith.functions import kernels
 from echolith.schema import FEATURE_RATE, FEATURE_SIZE, FS, ORDER
 
 
+#: What a kernel raises for a signal that it can't take.
+FAILURES = (ValueError, ZeroDivisionError, IndexError, FloatingPointError, OverflowError)
+
+
 def _attempt(kernel: Callable, x, *more):
     """The kernel's result, or the error."""
     if x is None or not len(x):
@@ -24,7 +28,7 @@ def _attempt(kernel: Callable, x, *more):
     try:
         with np.errstate(all="ignore"):
             return kernel(np.asarray(x, float), *more)
-    except (ValueError, ZeroDivisionError, IndexError, FloatingPointError, OverflowError) as e:
+    except FAILURES as e:
         return e
 
 
@@ -33,14 +37,16 @@ def _array(kernel: Callable, *columns: pd.Series) -> pd.Series:
     return pd.Series([None if isinstance(r, Exception) or r is None else r for r in out], dtype=object)
 
 
+def attempted(kernel: Callable, names: list[str], x, *more) -> tuple:
+    """The kernel's numbers and why there are none, else null."""
+    r = _attempt(kernel, x, *more)
+    failed = r is None or isinstance(r, Exception) or not np.isfinite(np.array(r, float)).all()
+    error = "EmptySignal" if r is None else type(r).__name__ if isinstance(r, Exception) else "NotFinite" if failed else None
+    return (*([None] * len(names) if failed else r), error)
+
+
 def _struct(kernel: Callable, names: list[str], *columns: pd.Series) -> pd.DataFrame:
-    rows = []
-    for row in zip(*columns):
-        r = _attempt(kernel, *row)
-        failed = r is None or isinstance(r, Exception) or not np.isfinite(np.array(r, float)).all()
-        error = "EmptySignal" if r is None else type(r).__name__ if isinstance(r, Exception) else "NotFinite" if failed else None
-        rows.append((*([None] * len(names) if failed else r), error))
-    return pd.DataFrame(rows, columns=[*names, "error"])
+    return pd.DataFrame([attempted(kernel, names, *row) for row in zip(*columns)], columns=[*names, "error"])
 
 
 def band_pass(x: Column, band: Column, fs: int = FS, order: int = ORDER, kind: str = "octave band") -> Column:

@@ -5,13 +5,17 @@ What doesn't depend on speech (variants, band-split responses, descriptors) is p
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, DoubleType, StructType
 
-from echolith.functions import udfs
+from echolith.functions import kernels, udfs
 from echolith.operators.ranks import chance
 from echolith.operators.splits import sweep, within_split
 from echolith.schema import BANDS, DRR_SWEEP, FS, ORDER, TR_SWEEP, audio_name, dataset_name, sweep_values, tr_drr_tag, tr_tag
@@ -38,25 +42,36 @@ class Settings:
         return dataset_name(self.noise_db, self.add_noise, self.tr, self.drr, self.snr, bands="_".join(map(str, self.bands)), order=self.order, fs=self.fs, seed=self.seed)
 
 
-def by_band(signals: DataFrame, s: Settings, x: str = "x") -> DataFrame:
-    """signals once per band, x filtered."""
-    bands = signals.withColumn("band", F.explode(F.array(*map(F.lit, s.bands))))
-    return bands.withColumn(x, udfs.band_pass(F.col(x), F.col("band"), s.fs, s.order, s.kind)).where(F.col(x).isNotNull())
-
-
 def tr_variants(responses: DataFrame, s: Settings) -> DataFrame:
-    """(rir_name, split, tr, x): each response at each decay time of the sweep; those whose decay can't be estimated in every band are left out."""
-    parts = responses.select("rir_name", "split", udfs.head_and_late(F.col("x"), s.fs).alias("p")).select("rir_name", "split", "p.*")
-    decay = parts.withColumn("full", udfs.full_band_decay(F.col("late"), s.fs))
-    bands = by_band(decay.where("full.error is null").select("rir_name", F.col("full.tau").alias("full"), F.col("late").alias("x")), s)
-    bands = bands.withColumn("own", udfs.decay_parameters(F.col("x"), s.fs)).where("own.error is null")
-    seed = F.xxhash64("rir_name", "band", F.lit(s.seed))
-    clean = udfs.denoised(F.col("x"), F.col("own.crossing"), F.col("own.amplitude"), F.col("own.tau"), seed, s.fs)
-    at = sweep(bands.select("rir_name", "band", clean.alias("x"), "full", F.col("own.tau").alias("own")).where("x is not null"), "tr", *s.tr)
-    at = at.withColumn("x", udfs.rescaled(F.col("x"), F.col("tr"), F.col("full"), F.col("own"), s.fs))
-    whole = at.groupBy("rir_name", "tr").agg(F.count("*").alias("n"), *(F.first(F.when(F.col("band") == b, F.col("x")), ignorenulls=True).alias(f"x{b}") for b in s.bands))
-    joined = whole.where(F.col("n") == len(s.bands)).join(parts.drop("late"), "rir_name")
-    return joined.select("rir_name", "split", "tr", udfs.with_late(F.col("head"), *(F.col(f"x{b}") for b in s.bands)).alias("x"))
+    """(rir_name, split, tr, x): each response at each decay time of the sweep; those whose decay can't be estimated in every band are left out. A response's bands stay together in one row's work, so nothing shuffles, and one variant at a time is made."""
+    values = sweep_values(*s.tr)
+
+    def longer(x: np.ndarray, seeds: list[int]) -> Iterator[tuple[float, np.ndarray]]:
+        head, late = kernels.head_and_late(x, s.fs)
+        full, bands = kernels.full_band_decay(late, s.fs), []
+        for band, seed in zip(s.bands, seeds):
+            own = kernels.band_passed(late, band, s.fs, s.order, s.kind)
+            crossing, amplitude, tau, floor = kernels.decay_parameters(own, s.fs)
+            if not np.isfinite([amplitude, tau, floor, full]).all():
+                raise ValueError("the decay can't be estimated")
+            bands.append((kernels.denoised(own, s.fs, int(crossing), amplitude, tau, seed), tau))
+        for tr in values:
+            late = np.sum([kernels.rescaled(own, s.fs, tr, full, tau) for own, tau in bands], axis=0)
+            yield tr, kernels.peak_normalised(np.concatenate([head, late]))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in frames:
+            for name, split, x, seeds in zip(df["rir_name"], df["split"], df["x"], df["seeds"]):
+                try:
+                    with np.errstate(all="ignore"):
+                        for tr, y in longer(np.asarray(x, float), [int(k) for k in seeds]):
+                            yield pd.DataFrame({"rir_name": [name], "split": [split], "tr": [tr], "x": [y]})
+                except udfs.FAILURES:
+                    continue
+
+    seeds = F.array(*(F.xxhash64("rir_name", F.lit(b), F.lit(s.seed)) for b in s.bands))
+    rows = responses.where(F.size("x") > 0).select("rir_name", "split", "x", seeds.alias("seeds"))
+    return rows.mapInPandas(run, "rir_name string, split string, tr double, x array<double>")
 
 
 def variants(responses: DataFrame, s: Settings) -> DataFrame:
@@ -73,9 +88,57 @@ def variants(responses: DataFrame, s: Settings) -> DataFrame:
 
 
 def described(responses: DataFrame, s: Settings) -> DataFrame:
-    """Each variant per band with t30, c50, c80, d50, drr, and error: why it can't be described, else null."""
-    out = by_band(responses, s).withColumn("d", udfs.descriptors(F.col("x"), s.fs, s.noise_db))
-    return out.select("rir_name", "split", "aug_tag", "band", "d.*")
+    """Each variant per band with t30, c50, c80, d50, drr, and error: why it can't be described, else null. A variant goes to Python once for all its bands."""
+    names = ["t30", "c50", "c80", "d50", "drr"]
+
+    def one(x: np.ndarray, band: int) -> tuple:
+        return kernels.descriptors(kernels.band_passed(x, band, s.fs, s.order, s.kind), s.fs, s.noise_db)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in frames:
+            for name, split, tag, x in zip(df["rir_name"], df["split"], df["aug_tag"], df["x"]):
+                rows = [(name, split, tag, b, *udfs.attempted(one, names, x, b)) for b in s.bands]
+                yield pd.DataFrame(rows, columns=["rir_name", "split", "aug_tag", "band", *names, "error"])
+
+    rows = responses.select("rir_name", "split", "aug_tag", "x")
+    return rows.mapInPandas(run, "rir_name string, split string, aug_tag string, band int, " + ", ".join(f"{n} double" for n in names) + ", error string")
+
+
+def features(pairs: DataFrame, s: Settings) -> DataFrame:
+    """pairs (dry, h, measures, and more columns) as one row for each of its measures, with tae and snr instead of dry and h: the speech through the response, per band, with noise if it is to be added. A pair is convolved and goes to Python once."""
+    keep = [c for c in pairs.columns if c not in ("dry", "h", "measures")]
+    bands = pairs.withColumns({"bands": F.col("measures.band"), "seeds": F.transform("measures.band", lambda b: F.xxhash64("speech_name", "rir_name", "aug_tag", b, F.lit(s.seed)))})
+    low, wide = s.snr[0], s.snr[1] - s.snr[0]
+
+    def one(audio: np.ndarray, band: int, seed: int) -> tuple[np.ndarray, float]:
+        own, snr = kernels.band_passed(audio, band, s.fs, s.order, s.kind), float("nan")
+        if s.add_noise:
+            snr = low + wide * (seed % (1 << 30)) / (1 << 30)
+            own = kernels.with_noise(own, snr, seed)
+        return kernels.temporal_envelope(own, s.fs), snr
+
+    def found(dry, h, bands, seeds) -> list[dict | None]:
+        try:
+            audio = kernels.convolved(np.asarray(dry, float), np.asarray(h, float))
+        except udfs.FAILURES:
+            return [None] * len(bands)
+        out: list[dict | None] = []
+        for band, seed in zip(bands, seeds):
+            try:
+                with np.errstate(all="ignore"):
+                    tae, snr = one(audio, int(band), int(seed))
+                out.append({"tae": tae.tolist(), "snr": snr})
+            except udfs.FAILURES:
+                out.append(None)
+        return out
+
+    @pandas_udf(ArrayType(StructType().add("tae", ArrayType(DoubleType())).add("snr", DoubleType())))
+    def made(dry: pd.Series, h: pd.Series, bands: pd.Series, seeds: pd.Series) -> pd.Series:
+        return pd.Series([found(*row) for row in zip(dry, h, bands, seeds)], dtype=object)
+
+    both = bands.select(*keep, F.arrays_zip(F.col("measures").alias("m"), made("dry", "h", "bands", "seeds").alias("f")).alias("z"))
+    rows = both.select(*keep, F.explode("z").alias("z"))
+    return rows.select(*keep, "z.m.*", "z.f.*").where("tae is not null")
 
 
 def records(responses: DataFrame, speech: DataFrame, s: Settings = Settings(), keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
@@ -88,16 +151,7 @@ def records(responses: DataFrame, speech: DataFrame, s: Settings = Settings(), k
     good = described(every, s).where("error is null").groupBy("rir_name", "aug_tag").agg(F.collect_list(measures).alias("measures"))  # at most one a band
     wet = every.select("rir_name", "aug_tag", "split", F.col("x").alias("h")).join(good, ["rir_name", "aug_tag"])
     pairs = within_split(wet, speech.select("speech_name", "split", F.col("x").alias("dry")))
-    pairs = pairs.withColumn("audio", udfs.convolve(F.col("dry"), F.col("h"))).drop("dry", "h")
-    audio = pairs.withColumn("m", F.explode("measures")).select("speech_name", "rir_name", "aug_tag", "split", "m.*", "audio")
-    audio = audio.withColumn("audio", udfs.band_pass(F.col("audio"), F.col("band"), s.fs, s.order, s.kind))
-    if s.add_noise:
-        key = F.xxhash64("speech_name", "rir_name", "aug_tag", "band", F.lit(s.seed))
-        spread = F.lit(s.snr[0]) + (s.snr[1] - s.snr[0]) * F.pmod(key, F.lit(1 << 30)) / (1 << 30)
-        audio = audio.withColumn("snr", spread).withColumn("audio", udfs.with_noise(F.col("audio"), F.col("snr"), key))
-    else:
-        audio = audio.withColumn("snr", F.lit(float("nan")))
-    out = audio.withColumn("tae", udfs.temporal_envelope(F.col("audio"), s.fs)).where("tae is not null")
+    out = features(pairs, s)
     return out.select(
         audio_name(F.col("speech_name"), F.col("rir_name"), F.col("aug_tag")).alias("reverbed_audio"), F.col("split").alias("type_data"), "band", "speech_name", "rir_name", "aug_tag",
         "descriptors", "drr", "tae", "snr",

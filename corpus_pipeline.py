@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from echolith.llm import decontaminate, exact_dedup, langid, sentencepiece_bpe, simhash
-from echolith.llm.shared import shared_table
+from echolith.llm.shared import remove_tables, shared_table, tables_mark
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,8 +46,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages applied to documents. What a stage read and worked with is removed once its output is written."""
+    docs, mark = spark.read.parquet(f"{sf_dir}/documents.parquet"), tables_mark(spark)
     for name, stage in STAGES[:-1]:
         docs = shared_table(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        remove_tables(spark, mark, keep=1)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -32,6 +32,8 @@ WIDE_WORDS, LONGS, SIMILAR = 5, 4, 0.8
 WIDE_DISTANCE = 64
 #: Blocks of bits by which fingerprints meet: of BLOCK_BITS bits, and one more for each doubling from RUN * 2**BLOCK_BITS fingerprints on, so that a run stays near RUN fingerprints; as many blocks as leave a pair that differs in DIFFERING of its bits apart with a chance of at most MISS.
 BLOCK_BITS, RUN, DIFFERING, MISS = 16, 256, 0.1515, 0.0005
+#: Longs of an odd sketch: the parity of a set's shingles in each of so many times 64 slots.
+SKETCH_LONGS = 8
 #: Rows up to so far apart in a run are compared at once, to find the runs that hold candidates.
 NEAR_ROWS = 1024
 
@@ -89,6 +91,18 @@ def set_fingerprint(shingles: np.ndarray) -> np.ndarray:
     return _voted((shingles[a : a + AT_ONCE] for a in range(0, len(shingles), AT_ONCE)), LONGS)
 
 
+def odd_sketch(shingles: np.ndarray) -> np.ndarray:
+    """A set's size and odd sketch, as longs. Each slot in which two sketches differ holds at least one shingle that only one of the sets has."""
+    slots = np.bincount((shingles % np.uint64(64 * SKETCH_LONGS)).astype(np.int64), minlength=64 * SKETCH_LONGS) & 1
+    return np.concatenate([np.array([len(shingles)], np.int64), np.packbits(slots.astype(np.uint8), bitorder="little").view(np.int64)])
+
+
+def may_be_similar(sketches: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Which of the sketched sets can have a Jaccard similarity of SIMILAR with own: never false for one that has it."""
+    total, differ = sketches[:, 0] + own[0], np.bitwise_count((sketches[:, 1:] ^ own[1:]).view(np.uint64)).sum(axis=1, dtype=np.int64)
+    return total - differ >= SIMILAR * (total + differ)
+
+
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         prints = np.array([fingerprint(t) for t in b.column("text").to_pylist()], np.uint64)
@@ -232,11 +246,19 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(prints, pa.binary()), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sets).view(np.int64)))], ["fp", "shingles"])
 
 
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        sets = [shingle_set(t) for t in b.column("text").to_pylist()]
+        columns = [pa.array([f(x).tobytes() for x in sets], pa.binary()) for f in (set_fingerprint, odd_sketch)]
+        yield pa.RecordBatch.from_arrays(columns, ["fp", "sketch"])
+
+
 _PRINT = [f"f{i}" for i in range(LONGS)]
+_SKETCH = ["size", *(f"s{i}" for i in range(SKETCH_LONGS))]
 
 
 def _deal(bits: np.ndarray):
-    """A row (key, id, label, f0, ...) for each block of each fingerprint."""
+    """A row (key, id, label, f0, ...) for each block of each fingerprint, with its sketch if there is one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = 1 << np.arange(bits.shape[1], dtype=np.int64)
@@ -246,13 +268,17 @@ def _deal(bits: np.ndarray):
                 prints = np.frombuffer(b"".join(b.column("fp").to_pylist()), np.uint8).reshape(len(b), 8 * LONGS)
                 own = np.unpackbits(prints, axis=1, bitorder="little")
                 keys = np.stack([own[:, block].astype(np.int64) @ weights + (i << bits.shape[1]) for i, block in enumerate(bits)], axis=1)
-                rest = np.repeat(np.column_stack([b.column("id").to_numpy(), b.column("label").to_numpy(), prints.view(np.int64)]), len(bits), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *(pa.array(np.ascontiguousarray(c)) for c in rest.T)], ["key", "id", "label", *_PRINT])
+                parts, names = [b.column("id").to_numpy(), b.column("label").to_numpy(), prints.view(np.int64)], ["id", "label", *_PRINT]
+                if "sketch" in b.schema.names:
+                    parts.append(np.frombuffer(b"".join(b.column("sketch").to_pylist()), np.int64).reshape(len(b), -1))
+                    names += _SKETCH
+                rest = np.repeat(np.column_stack(parts), len(bits), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *(pa.array(np.ascontiguousarray(c)) for c in rest.T)], ["key", *names])
 
     return run
 
 
-def _forest_edges(ids: np.ndarray, labels: np.ndarray, prints: np.ndarray) -> Iterator[tuple[int, int]]:
+def _forest_edges(ids: np.ndarray, labels: np.ndarray, prints: np.ndarray, sketches: np.ndarray) -> Iterator[tuple[int, int]]:
     """A spanning forest of a run's candidates: each fingerprint with one that it is near to."""
     while len(ids) > 1:
         front, ids, prints = [(ids[0], prints[0])], ids[1:], prints[1:]
@@ -265,11 +291,11 @@ def _forest_edges(ids: np.ndarray, labels: np.ndarray, prints: np.ndarray) -> It
                 ids, prints = ids[~near], prints[~near]
 
 
-def _all_edges(ids: np.ndarray, labels: np.ndarray, prints: np.ndarray) -> Iterator[tuple[int, int]]:
-    """All of a run's candidates between different labels."""
+def _all_edges(ids: np.ndarray, labels: np.ndarray, prints: np.ndarray, sketches: np.ndarray) -> Iterator[tuple[int, int]]:
+    """All of a run's candidates between different labels whose sketches don't rule them out."""
     for k in range(len(ids) - 1):
-        near = (np.bitwise_count(prints[k + 1 :] ^ prints[k]).sum(axis=1) <= WIDE_DISTANCE) & (labels[k + 1 :] != labels[k])
-        yield from ((int(x), int(ids[k])) for x in ids[k + 1 :][near])
+        near = k + 1 + np.flatnonzero((np.bitwise_count(prints[k + 1 :] ^ prints[k]).sum(axis=1) <= WIDE_DISTANCE) & (labels[k + 1 :] != labels[k]))
+        yield from ((int(x), int(ids[k])) for x in ids[near[may_be_similar(sketches[near], sketches[k])]])
 
 
 def _with_candidates(keys: np.ndarray, prints: np.ndarray) -> set[int]:
@@ -285,21 +311,21 @@ def _with_candidates(keys: np.ndarray, prints: np.ndarray) -> set[int]:
     return set(np.concatenate([*found, keys[left]]).tolist())
 
 
-def _wide_runs(edges_of):
-    """From rows (key, id, label, f0, ...) sorted by key: candidates (a, b) of each run."""
+def _wide_runs(edges_of, columns: int):
+    """From rows (key, id, label, f0, ..., sketch) sorted by key: candidates (a, b) of each run."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((0, 3 + LONGS), np.int64)
+        held = np.zeros((0, columns), np.int64)
         for b in _ended(batches):
             edges: list[tuple[int, int]] = []
             if b is not None:
                 held = np.concatenate([held, np.column_stack([c.to_numpy() for c in b.columns])])
             cut = len(held) if b is None or not len(held) else int(np.searchsorted(held[:, 0], held[-1, 0]))
             done, held = held[:cut], held[cut:]
-            keys, prints = done[:, 0].copy(), done[:, 3:].copy().view(np.uint64)
+            keys, prints, sketches = done[:, 0].copy(), done[:, 3 : 3 + LONGS].copy().view(np.uint64), done[:, 3 + LONGS :]
             for key in sorted(_with_candidates(keys, prints)):
                 own = slice(*np.searchsorted(keys, [key, key + 1]))
-                edges += edges_of(done[own, 1], done[own, 2], prints[own])
+                edges += edges_of(done[own, 1], done[own, 2], prints[own], sketches[own])
             e = np.array(edges, np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], ["a", "b"])
 
@@ -312,20 +338,25 @@ def _ended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]
 
 
 def _candidates(prints: DataFrame, edges_of, name: str, bits: np.ndarray) -> DataFrame:
-    """Distinct pairs (a, b) of rows (id, label, fp) that share a block and lie within WIDE_DISTANCE."""
-    kinds = ", ".join(f"{c} long" for c in ("key", "id", "label", *_PRINT))
-    dealt = prints.select("id", "label", "fp").mapInArrow(_deal(bits), kinds)
-    pairs = dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_wide_runs(edges_of), "a long, b long")
+    """Distinct pairs (a, b) of rows (id, label, fp, and sketch if edges_of asks for it) that share a block and lie within WIDE_DISTANCE."""
+    columns = ["key", "id", "label", *_PRINT, *(_SKETCH if "sketch" in prints.columns else [])]
+    dealt = prints.mapInArrow(_deal(bits), ", ".join(f"{c} long" for c in columns))
+    pairs = dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_wide_runs(edges_of, len(columns)), "a long, b long")
     return shared_table(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), name)
 
 
+def _texts(some: DataFrame, rows: DataFrame) -> DataFrame:
+    """The texts of the rows with the doc_ids (least) of some fingerprints."""
+    asked = some.select("least").distinct()
+    return rows.join(asked, rows["doc_id"].eqNullSafe(asked["least"]), "left_semi").select("text")
+
+
 def _verified(pairs: DataFrame, prints: DataFrame, rows: DataFrame, name: str) -> DataFrame:
     """The pairs whose texts' sets of shingles have a Jaccard similarity of SIMILAR at least. A set is made only for texts in pairs."""
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     some = shared_table(prints.join(ids, "id", "left_semi").select("id", "fp", "least"), f"{name}-some")
-    asked = some.select("least").distinct()
-    texts = rows.join(asked, rows["doc_id"].eqNullSafe(asked["least"]), "left_semi").select("text").mapInArrow(_sets, "fp binary, shingles array<long>")
-    sets = shared_table(texts.join(some.select("id", "fp"), "fp").dropDuplicates(["id"]).select("id", "shingles"), f"{name}-sets")
+    made = _texts(some, rows).mapInArrow(_sets, "fp binary, shingles array<long>")
+    sets = shared_table(made.join(some.select("id", "fp"), "fp").dropDuplicates(["id"]).select("id", "shingles"), f"{name}-sets")
     a, b = (sets.select(F.col("id").alias(c), F.col("shingles").alias(f"set_{c}")) for c in "ab")
     n_a, n_b, both = F.size("set_a"), F.size("set_b"), F.size(F.array_intersect("set_a", "set_b"))
     return shared_table(pairs.join(a, "a").join(b, "b").select("a", "b", (both >= SIMILAR * (n_a + n_b - both)).alias("similar")), name).where("similar").select("a", "b")
@@ -339,17 +370,19 @@ def _labelled(prints: DataFrame, edges: DataFrame, label: str) -> DataFrame:
 def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, fp, own) for every row, own the hash of all its columns, and (fp, root): the group of each fingerprint.
 
-    Wide fingerprints only find candidates: they are split into blocks several times over, and those that share a block meet in one sorted run, which yields a spanning forest of its candidates. These are verified by the sets themselves. A group of candidates that verified links don't join whole is dealt once more, and there all candidates between different components are verified. A pair at SIMILAR becomes a candidate with probability over 0.999, between very short texts 0.97. A run is held by one task (56 bytes a distinct fingerprint); blocks get longer as fingerprints get more, so that runs don't.
+    Wide fingerprints only find candidates: they are split into blocks several times over, and those that share a block meet in one sorted run, which yields a spanning forest of its candidates. These are verified by the sets themselves. A group of candidates that verified links don't join whole is dealt once more, and there all candidates between different components are verified, but for those that odd sketches of their sets rule out: the sketches' differing bits are a lower bound of the shingles that the sets don't share, so no pair at SIMILAR goes, and in a large group in which most texts lie just under SIMILAR few pairs are left. A pair at SIMILAR becomes a candidate with probability over 0.999, between very short texts 0.97. A run is held by one task (56 bytes a distinct fingerprint); blocks get longer as fingerprints get more, so that runs don't.
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), own_hash(docs).alias("own"))
     marked = shared_table(rows.mapInArrow(_wide_fingerprints, "doc_id long, own long, fp binary"), "wide")
     prints = shared_table(marked.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("id", F.monotonically_increasing_id()), "wide-prints")
     bits = block_bits(prints.count())
-    pairs = _candidates(prints.withColumn("label", F.col("id")), _forest_edges, "wide-pairs", bits)
+    pairs = _candidates(prints.select("id", F.col("id").alias("label"), "fp"), _forest_edges, "wide-pairs", bits)
     links = _verified(pairs, prints, rows, "wide-links")
     groups = shared_table(_labelled(_labelled(prints, links, "label"), pairs, "wide_group"), "wide-groups")
     torn = groups.groupBy("wide_group").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("wide_group")
-    again = shared_table(groups.join(torn, "wide_group", "left_semi").select("id", "label", "fp"), "wide-again")
+    again = shared_table(groups.join(torn, "wide_group", "left_semi").select("id", "label", "fp", "least"), "wide-again")
+    sketches = _texts(again, rows).mapInArrow(_sketches, "fp binary, sketch binary").dropDuplicates(["fp"])
+    again = shared_table(again.select("id", "label", "fp").join(sketches, "fp").select("id", "label", "fp", "sketch"), "wide-sketches")
     more = _verified(_candidates(again, _all_edges, "wide-more", bits), prints, rows, "wide-more-links")
     return marked, shared_table(_labelled(prints, links.unionByName(more), "root").select("fp", "root"), "wide-linked")
 

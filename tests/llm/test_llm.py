@@ -701,6 +701,42 @@ def test_near_copies_by_brute_force(spark):
     assert got == want
 
 
+def test_sketches_rule_out_only_pairs_that_are_not_alike():
+    rng, ruled = np.random.default_rng(3), [0, 0]
+    for n in (0, 1, 3, 40, 150, 1000, 6000):
+        for share in np.linspace(0, 0.3, 60):
+            x = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+            gone = rng.random(len(x)) < share
+            y = np.unique(np.concatenate([x[~gone], rng.integers(0, 1 << 63, int(gone.sum() * rng.choice([0, 1]))).astype(np.uint64)]))
+            both = len(np.intersect1d(x, y))
+            may = bool(simhash.may_be_similar(simhash.odd_sketch(x)[None], simhash.odd_sketch(y))[0])
+            similar = both >= 0.8 * (len(x) + len(y) - both)
+            assert may or not similar
+            if n == 150 and both < 0.74 * (len(x) + len(y) - both):
+                ruled = [ruled[0] + (not may), ruled[1] + 1]
+    assert ruled[1] > 10 and ruled[0] >= 0.9 * ruled[1]
+
+
+def test_a_large_group_about_the_least_similarity_by_brute_force(spark):
+    rng = np.random.default_rng(11)
+    base, rows = [f"w{x}" for x in rng.integers(0, 4000, 150)], []
+    for d in range(160):  # one text with up to five words changed
+        own = list(base)
+        for at in rng.choice(150, int(rng.integers(1, 6)), replace=False):
+            own[at] = f"n{d}x{at}"
+        rows.append((d, " ".join(own)))
+    sets = [set(zip(*(t.split()[i:] for i in range(5)))) for _, t in rows]
+    root = list(range(160))
+    for a in range(160):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                least, most = sorted((root[a], root[b]))
+                root = [least if x == most else x for x in root]
+    assert 20 < len(set(root)) < 140
+    got = {r["doc_id"]: r["keep_id"] for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == dict(enumerate(root))
+
+
 def test_language_stage_rejects_noise_and_unlearned_languages(spark):
     known = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
     rng = np.random.default_rng(2)

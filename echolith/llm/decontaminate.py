@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from echolith.llm.shared import shared_table
+from echolith.llm.shared import shared_table, values
 
 #: Edits allowed per character of an item, and characters of items matched in one pass.
 ERRORS, BLOCK_CHARS = 0.08, 4_000_000
@@ -172,7 +172,7 @@ def _match(items: list[tuple[int | None, str]], errors: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Matcher(items, errors)
         for b in batches:
-            rows = [(d, *x) for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()) for x in m.matches(t)]
+            rows = [(d, *x) for d, t in zip(values(b.column("doc_id")), values(b.column("text"))) for x in m.matches(t)]
             cols = list(zip(*rows)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()))], ["doc_id", "item_id", "distance", "start", "end"])
 

@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from echolith.llm.shared import values
+
 #: N-grams in a profile.
 TOP = 300
 #: N-grams of a language counted at a time in training, which bounds memory.
@@ -64,7 +66,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             codes, n = np.unique(np.concatenate(by.pop(lang)), return_counts=True)
             return pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes), pa.array(n)], ["lang", "code", "n"])
 
-        for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist()):
+        for lang, text in zip(values(b.column("lang")), values(b.column("text"))):
             by.setdefault(lang, []).append(ngrams(text))
             held[lang] = held.get(lang, 0) + len(by[lang][-1])
             if held[lang] > AT_ONCE:
@@ -110,7 +112,7 @@ def _predict(by_lang: dict[str, list[int]], size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = Ranks(by_lang, size)
         for b in batches:
-            found = [ranks.predict(t) for t in b.column("text").to_pylist()]
+            found = [ranks.predict(t) for t in values(b.column("text"))]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     return run
@@ -149,7 +151,7 @@ def _histogram(by_lang: dict[str, list[int]], size: int):
         letters = ranks.codes[ranks.codes < 1 << 21].astype(np.uint32)
         seen: dict[tuple[int, int], np.ndarray] = {}
         for b in batches:
-            for text in b.column("text").to_pylist():
+            for text in values(b.column("text")):
                 tag, score = ranks.predict(text)
                 if tag == UNKNOWN or not len(letters):
                     continue

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT, SEED = 0.1, 7
 #: Characters encoded together; longest chunk that is not left to the heap.
-STRETCH, LONG = 1 << 20, 40
+STRETCH, LONG = 1 << 19, 40
 SPACE = "▁"
 CHUNK = re.compile(r" *[^ ]+| +")
 _M = (1 << 64) - 1
@@ -309,8 +309,8 @@ def _encode(vocabulary: Vocabulary, dropout: float, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(vocabulary, dropout, seed)
         for whole in batches:
-            for first in range(0, len(whole), 1000):
-                b = whole.slice(first, 1000)
+            for first in range(0, len(whole), 500):
+                b = whole.slice(first, 500)
                 texts = b.column("text").to_pylist()
                 ids = encoder.encode(list(zip(b.column("doc_id").to_pylist(), texts)))
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)

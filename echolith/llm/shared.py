@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +40,12 @@ def shared_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def values(column: pa.Array, at_once: int = 200) -> Iterator:
+    """A column's values one after the other, of which only a few are Python objects at a time: a batch of long texts isn't held twice."""
+    for first in range(0, len(column), at_once):
+        yield from column.slice(first, at_once).to_pylist()
+
+
 def tables_mark(spark: SparkSession) -> int:
     """How many shared tables there are now."""
     return len(_written(spark))

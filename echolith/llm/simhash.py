@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from echolith.llm.exact_dedup import own_hash
-from echolith.llm.shared import connected_components, shared_table
+from echolith.llm.shared import connected_components, shared_table, values
 
 #: Words in a shingle; seed of the hash; most differing bits of a link.
 WORDS, SEED, DISTANCE = 3, 42, 3
@@ -105,7 +105,7 @@ def may_be_similar(sketches: np.ndarray, own: np.ndarray) -> np.ndarray:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        prints = np.array([fingerprint(t) for t in b.column("text").to_pylist()], np.uint64)
+        prints = np.array([fingerprint(t) for t in values(b.column("text"))], np.uint64)
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(prints.view(np.int64))], ["doc_id", "fp"])
 
 
@@ -233,7 +233,7 @@ def block_bits(prints: int = 0) -> np.ndarray:
 
 def _wide_fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        prints = [set_fingerprint(shingle_set(t)).tobytes() for t in b.column("text").to_pylist()]
+        prints = [set_fingerprint(shingle_set(t)).tobytes() for t in values(b.column("text"))]
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("own"), pa.array(prints, pa.binary())], ["doc_id", "own", "fp"])
 
 
@@ -248,9 +248,8 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        sets = [shingle_set(t) for t in b.column("text").to_pylist()]
-        columns = [pa.array([f(x).tobytes() for x in sets], pa.binary()) for f in (set_fingerprint, odd_sketch)]
-        yield pa.RecordBatch.from_arrays(columns, ["fp", "sketch"])
+        made = [(set_fingerprint(x).tobytes(), odd_sketch(x).tobytes()) for x in map(shingle_set, values(b.column("text")))]
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in made], pa.binary()) for i in (0, 1)], ["fp", "sketch"])
 
 
 _PRINT = [f"f{i}" for i in range(LONGS)]

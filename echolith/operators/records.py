@@ -116,6 +116,19 @@ def prediction_errors(predicted: DataFrame, truth: DataFrame, keys: list[str], c
     return predicted.join(t, keys).select(*keys, *(half_even(F.col(c) - half_even(F.col(f"true_{c}"))).alias(f"err_{c}") for c in columns))
 
 
+def results(predicted: DataFrame, truth: DataFrame, keys: list[str], columns: tuple[str, ...] = DESCRIPTORS) -> DataFrame:
+    """(keys..., predicted_<column>..., true_<column>..., err_<column>...): what an experiment keeps of each prediction; joined by key."""
+    p = predicted.select(*keys, *(F.col(c).alias(f"predicted_{c}") for c in columns))
+    t = truth.select(*keys, *(half_even(F.col(c)).alias(f"true_{c}") for c in columns))
+    errors = (half_even(F.col(f"predicted_{c}") - F.col(f"true_{c}")).alias(f"err_{c}") for c in columns)
+    return p.join(t, keys).select(*keys, *(f"{k}_{c}" for k in ("predicted", "true") for c in columns), *errors)
+
+
+def head(rows: DataFrame, by: list[str], count: int = 5) -> DataFrame:
+    """The first count rows in order of by: a top-k in each task, then of those."""
+    return rows.orderBy(*by).limit(count)
+
+
 def best_epoch(history: DataFrame, by: list[str], loss: str = "val_loss", epoch: str = "epoch") -> DataFrame:
     """(by..., best_epoch, best_loss, epochs): the first epoch with the smallest loss."""
     return history.groupBy(*by).agg(F.min_by(epoch, F.struct(loss, epoch)).alias("best_epoch"), F.min(loss).alias("best_loss"), F.count("*").alias("epochs"))

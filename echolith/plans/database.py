@@ -104,6 +104,29 @@ def described(responses: DataFrame, s: Settings) -> DataFrame:
     return rows.mapInPandas(run, "rir_name string, split string, aug_tag string, band int, " + ", ".join(f"{n} double" for n in names) + ", error string")
 
 
+def band_features(signals: DataFrame, s: Settings) -> DataFrame:
+    """(name, band, tae, error) from signals (name, x): each signal's bands, peak-normalised, as envelope features; tae is null where error says why. A signal goes to Python once for all its bands."""
+
+    def one(x: np.ndarray, band: int) -> np.ndarray:
+        return kernels.temporal_envelope(kernels.peak_normalised(kernels.band_passed(x, band, s.fs, s.order, s.kind)), s.fs)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in frames:
+            for name, x in zip(df["name"], df["x"]):
+                rows = []
+                for band in s.bands:
+                    try:
+                        if x is None or not len(x):
+                            raise ValueError("no samples")
+                        with np.errstate(all="ignore"):
+                            rows.append((name, band, one(np.asarray(x, float), band), None))
+                    except udfs.FAILURES as e:
+                        rows.append((name, band, None, f"{type(e).__name__}: {e}"))
+                yield pd.DataFrame(rows, columns=["name", "band", "tae", "error"])
+
+    return signals.select(F.col("name").cast("string"), "x").mapInPandas(run, "name string, band int, tae array<double>, error string")
+
+
 def features(pairs: DataFrame, s: Settings) -> DataFrame:
     """pairs (dry, h, measures, and more columns) as one row for each of its measures, with tae and snr instead of dry and h: the speech through the response, per band, with noise if it is to be added. A pair is convolved and goes to Python once."""
     keep = [c for c in pairs.columns if c not in ("dry", "h", "measures")]

@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from echolith.functions.arrays import half_even
-from echolith.operators.records import DESCRIPTORS
+from echolith.operators.records import DESCRIPTORS, with_measured
+from echolith.plans import database
 
 #: Filters, kernel sizes and pool sizes: fixed values of the experiments.
 FILTERS, KERNELS, POOLS = (32, 18, 8, 4), (10, 5, 5, 5), (2, 2, 2)
@@ -82,6 +83,17 @@ def predict(records: DataFrame, weights: DataFrame, keys: list[str], digits: int
     return out.select(*keys, *(half_even(F.col(c), digits).alias(c) for c in DESCRIPTORS))
 
 
+def estimates(signals: DataFrame, weights: DataFrame, scales: DataFrame, s: database.Settings = database.Settings()) -> DataFrame:
+    """(name, band, t30, c50, c80, d50) estimated from reverberant signals (name, x) alone: features per band, the band's network, its percentiles. Bands that can't be featured are left out."""
+    rows = database.band_features(signals, s).where("error is null")
+    return denormalised(predict(rows, weights, ["name", "band"]), scales)
+
+
+def room_estimates(signals: DataFrame, weights: DataFrame, scales: DataFrame, measured: DataFrame, s: database.Settings = database.Settings()) -> DataFrame:
+    """Estimates beside a room's measured descriptors (name, band, ...), kind telling them apart, sorted by band and name."""
+    return with_measured(estimates(signals, weights, scales, s).withColumn("kind", F.lit("estimated")), measured.withColumn("kind", F.lit("measured")))
+
+
 def denormalised(predicted: DataFrame, scales: DataFrame, digits: int = 3) -> DataFrame:
     """Predictions times their band's percentiles (band, t30_p95, ...), a row per band."""
     joined = predicted.join(scales, "band")

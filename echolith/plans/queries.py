@@ -461,6 +461,18 @@ def first_files(spark, sf_dir):
     return splits.first_names(rec(spark, sf_dir), "name", "sintetica", 10)
 
 
+@query(f"WITH {_REC} SELECT name, band, t30 FROM rec ORDER BY name, band LIMIT 5")
+def record_head(spark, sf_dir):
+    return records.head(rec(spark, sf_dir).select("name", "band", "t30"), ["name", "band"])
+
+
+@query(f"WITH {_REC} SELECT name, band, " + ", ".join([*(f"{c} / 64 AS predicted_{c}" for c in records.DESCRIPTORS), *(f"round_even({c}, 2) AS true_{c}" for c in records.DESCRIPTORS), *(f"round_even({c} / 64 - round_even({c}, 2), 2) AS err_{c}" for c in records.DESCRIPTORS)]) + " FROM rec")
+def experiment_results(spark, sf_dir):
+    """Predictions (a 64th of the truth here), rounded truth and errors, as an experiment's table keeps them."""
+    rows = rec(spark, sf_dir)
+    return records.results(rows.select("name", "band", *((F.col(c) / 64).alias(c) for c in records.DESCRIPTORS)), rows, ["name", "band"])
+
+
 @query("SELECT s_name AS file, 'train' AS split FROM supplier WHERE s_nationkey % 5 <> 0 UNION ALL SELECT s_name, 'test' FROM supplier WHERE s_nationkey % 5 = 0 UNION ALL SELECT c_name, 'train' FROM customer")
 def split_lists(spark, sf_dir):
     """Lists of files of several folders as one."""
@@ -580,6 +592,18 @@ def record_table(spark, sf_dir):
 def cnn_predict(spark, sf_dir):
     """Untrained networks over features made of events: one row per record and descriptor set."""
     feature = sig(spark, sf_dir).groupBy("name").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "v"))), lambda s: s.v).alias("v"))
-    padded = F.slice(F.concat("v", F.array_repeat(F.lit(0.0), 200)), 1, 200)
-    rows = feature.select("name", padded.alias("tae"), F.explode(F.array(*map(F.lit, BANDS[:2]))).alias("band"))
-    return model.predict(rows, model.weight_table(spark, {b: model.initial_weights(b) for b in BANDS[:2]}), ["name", "band"])
+    step = F.greatest(F.size("v"), F.lit(200))  # a longer series is read at 200 places over its whole length
+    whole = F.transform(F.sequence(F.lit(0), F.lit(199)), lambda i: F.coalesce(F.get("v", F.floor(i * step / 200).cast("int")), F.lit(0.0)))
+    rows = feature.select("name", whole.alias("tae"), F.explode(F.array(*map(F.lit, BANDS))).alias("band"))
+    return model.predict(rows, model.weight_table(spark, {b: model.initial_weights(b) for b in BANDS}), ["name", "band"])
+
+
+@query()
+def room_estimates(spark, sf_dir):
+    """Untrained networks' estimates from generated signals, one for each region, beside a measurement of each."""
+    regions = table(spark, sf_dir, "region").select(F.concat(F.lit("room_"), "r_regionkey").alias("name"), F.col("r_regionkey").alias("k"))
+    signals = regions.select("name", udfs.pink_noise(F.lit(80_000), F.col("k").cast("long") + 1).alias("x"))
+    bands = F.explode(F.array(*map(F.lit, BANDS))).alias("band")
+    scales = spark.range(1).select(bands, *(F.lit(v).alias(f"{c}_p95") for c, v in zip(records.DESCRIPTORS, (2.0, 20.0, 25.0, 1.0))))
+    measured = regions.select("name", bands, *(F.lit(v).alias(c) for c, v in zip(records.DESCRIPTORS, (0.8, 3.0, 6.0, 0.6))))
+    return model.room_estimates(signals, model.weight_table(spark, {b: model.initial_weights(b) for b in BANDS}), scales, measured)

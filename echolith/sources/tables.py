@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 ROWS_A_FILE = 50_000
+#: Columns of a file of measured descriptors.
+MEASURED = "name string, band int, t30 double, c50 double, c80 double, d50 double"
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -21,6 +23,22 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def write_results(results: DataFrame, path: str) -> None:
+    """Results (band, ...) of an experiment, a partition a band: writing one band's again leaves the others."""
+    results.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("band").parquet(path)
+
+
+def read_results(spark: SparkSession, path: str, bands: list[int] | None = None) -> DataFrame:
+    """The results at path, of some bands if named; other bands' files aren't opened."""
+    found = spark.read.parquet(path)
+    return found.where(found["band"].isin(bands)) if bands else found
+
+
+def read_measured(spark: SparkSession, path: str) -> DataFrame:
+    """Measured descriptors of rooms from CSV files with a header; a line that doesn't fit has nulls."""
+    return spark.read.csv(path, MEASURED, header=True, enforceSchema=False)
+
+
 def cached_records(spark: SparkSession, path: str, build) -> DataFrame:
     """The table at path, built by build() and written first unless it is there whole."""
     if not exists(spark, path):

@@ -66,6 +66,37 @@ def test_wave_files_round_trip_in_batch_and_stream(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
 
 
+def test_results_and_measurements_round_trip(spark, tmp_path):
+    from echolith.sources import tables
+
+    path = str(tmp_path / "results")
+    for value in (1.0, 2.0):
+        tables.write_results(spark.createDataFrame([("a", 125, value), ("b", 250, value)], "name string, band int, err_t30 double"), path)
+    tables.write_results(spark.createDataFrame([("c", 250, 3.0)], "name string, band int, err_t30 double"), path)
+    assert sorted(tuple(r) for r in tables.read_results(spark, path).select("name", "band", "err_t30").collect()) == [("a", 125, 2.0), ("c", 250, 3.0)]
+    assert [r["name"] for r in tables.read_results(spark, path, [125]).collect()] == ["a"]
+    (tmp_path / "rooms.csv").write_text("name,band,t30,c50,c80,d50\nroom1,125,0.8,3,6,0.6\nroom1,250,,,,\n")
+    got = sorted(tuple(r) for r in tables.read_measured(spark, str(tmp_path / "rooms.csv")).collect())
+    assert got[0] == ("room1", 125, 0.8, 3.0, 6.0, 0.6) and got[1][:3] == ("room1", 250, None)
+
+
+def test_estimates_need_no_more_than_the_signal(spark):
+    import numpy as np
+
+    from echolith.functions import kernels
+    from echolith.plans import database
+
+    x = np.random.default_rng(1).normal(size=80_000)
+    rows = spark.createDataFrame([("a", x.tolist()), ("short", [0.5, 1.0]), ("none", None), ("empty", [])], "name string, x array<double>")
+    s = database.Settings(bands=(250, 1000))
+    got = {(r["name"], r["band"]): r for r in database.band_features(rows, s).collect()}
+    assert len(got) == 8
+    for band in s.bands:
+        own = kernels.band_passed(x, band, s.fs, s.order, s.kind)
+        assert np.allclose(got["a", band]["tae"], kernels.temporal_envelope(own / np.abs(own).max(), s.fs))
+        assert all(got[n, band]["tae"] is None and got[n, band]["error"] for n in ("short", "none", "empty"))
+
+
 def test_p_values():
     from echolith.operators.records import incomplete_beta
 

@@ -56,8 +56,8 @@ def decoded(files: DataFrame, fs: int = FS, seconds: float = SECONDS, normalise:
     return out.select("path", stem(F.col("path")).alias("name"), F.lit(fs).alias("fs"), x.alias("x"), "error")
 
 
-def audio_files(spark: SparkSession, folder: str, pattern: str = "*.{wav,WAV}", recursive: bool = True) -> DataFrame:
-    """(path, length, content) of a folder's files. Without content selected, Spark doesn't open them."""
+def audio_files(spark: SparkSession, folder: str, pattern: str = "*.{wav,WAV,flac,FLAC}", recursive: bool = True) -> DataFrame:
+    """(path, length, content) of a folder's files. FLAC files are listed, but decoded() gives them an error. Without content selected, Spark doesn't open them."""
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recursive).lower()).load(folder)
 
 
@@ -89,5 +89,13 @@ def wave_bytes(x: list[float], fs: int) -> bytes:
 
 
 def with_wave_content(signals: DataFrame, fs: int = FS) -> DataFrame:
-    """(name, content): each signal as the bytes of a WAV file, to be written to any binary sink."""
-    return signals.select("name", F.udf(lambda x: wave_bytes(x, fs), "binary")("x").alias("content"))
+    """(name, content): each signal as the bytes of a WAV file, to be written to any binary sink; null without samples to write."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(len(b)):  # one signal at a time
+                x = b.column("x")[i].values
+                content = None if x is None else wave_bytes(x.to_numpy(zero_copy_only=False), fs)
+                yield pa.RecordBatch.from_arrays([b.column("name").slice(i, 1), pa.array([content], pa.binary())], ["name", "content"])
+
+    return signals.select(F.col("name").cast("string"), F.col("x").cast("array<double>")).mapInArrow(run, "name string, content binary")

@@ -66,6 +66,17 @@ def test_wave_files_round_trip_in_batch_and_stream(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
 
 
+def test_signals_become_wave_files(spark, tmp_path):
+    from echolith.sources import audio
+
+    (tmp_path / "b.flac").write_bytes(b"fLaC")
+    rows = spark.createDataFrame([("a", [0.0, 0.5, -1.0]), ("none", None), ("empty", [])], "name string, x array<float>")
+    got = {r["name"]: r["content"] for r in audio.with_wave_content(rows).collect()}
+    assert got["none"] is None and got["empty"] == audio.wave_bytes([], 16_000) and got["a"] == audio.wave_bytes([0.0, 0.5, -1.0], 16_000)
+    read = audio.read_audio(spark, str(tmp_path)).collect()
+    assert [r["name"] for r in read] == ["b"] and read[0]["error"]
+
+
 def test_results_and_measurements_round_trip(spark, tmp_path):
     from echolith.sources import tables
 

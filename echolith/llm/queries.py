@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from echolith.llm import decontaminate, exact_dedup, htmltext, langid, lm, pii, secrets, sentencepiece_bpe, simhash, urlfilter
+from echolith.llm import byte_bpe, decontaminate, exact_dedup, hard_negatives, htmltext, langid, lm, pii, secrets, sentencepiece_bpe, simhash, urlfilter, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,11 +52,25 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_copies(_table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors, label = _table(spark, sf_dir, "embeddings"), F.col("label").cast("long")
+    return hard_negatives.mine(vectors.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)))
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.digests(byte_bpe.decoded(byte_bpe.encode(_table(spark, sf_dir, "documents"))))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_sentencepiece, op2_url_filter, op3_decontaminate, op4_secrets, op5_langid,
         op6_simhash, op7_pii, op8_lm_score, op9_html, op10_exact_dedup,
+        op11_whitening, op12_hard_negatives, op13_byte_bpe,
     )
 }
 
@@ -71,4 +86,25 @@ ORACLE_SQL = {
         FROM d
         WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id)
     """,
+    "op12_hard_negatives": """
+        WITH v AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   list_transform(embedding, lambda c: floor(256 * c::DOUBLE)) AS x
+            FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+        s AS (
+            SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_inner_product(a.x, b.x)::BIGINT AS score
+            FROM v a JOIN v b ON b.vec_id <> a.vec_id
+            WHERE a.vec_id % 100 = 0),
+        p AS (
+            SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+        SELECT p.anchor_id, positive_id,
+               row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id)::INTEGER AS rank,
+               vec_id AS negative_id, positive_score, score AS negative_score
+        FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same
+         AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+        QUALIFY rank <= 5
+    """,
 }

@@ -16,6 +16,7 @@ import gc
 import hashlib
 import os
 from collections.abc import Iterator
+from contextlib import contextmanager
 from itertools import chain
 
 import numpy as np
@@ -35,12 +36,15 @@ NEWER = (
     "1e6c0-1e6de 1e6e0-1e6e2 1e6e4-1e6e5 1e6e7-1e6ed 1e6f0-1e6f4 1e6fe-1e6ff 2b73a-2b73f 2b81e 2cea2-2cead 323b0-33479 3d000-3fc3f"
 )
 #: Most states, pairs of neighbours and chunks that a Python worker keeps (chunks twice as many, the older half to be forgotten), and the longest chunk kept, in characters.
-STATES, PAIRS, CHUNKS, CHUNK = 1 << 17, 1 << 19, 1 << 18, 64
+STATES, PAIRS, CHUNKS, CHUNK = 1 << 17, 1 << 18, 1 << 18, 64
 #: Characters that the pattern is matched on at once, and how many chunks at their end may still change with what follows.
 WINDOW, OPEN = 1 << 16, 3
 #: Tokens in a batch of results.
 AT_ONCE = 1 << 19
 _PATHS, _END, _START = -1, -2, -1
+#: A path's place holds its last token above so many bits and its trie node in them.
+_BITS = 32
+_NODE = (1 << _BITS) - 1
 
 
 def ranks_of(blob: bytes) -> dict[bytes, int]:
@@ -49,7 +53,7 @@ def ranks_of(blob: bytes) -> dict[bytes, int]:
 
 
 class Transducer:
-    """Bytes of a chunk to tokens. A state is a dictionary from bytes to (tokens emitted, next state); _PATHS has its open paths (tokens not emitted yet, last token, trie node), _END what is emitted if the chunk ends there."""
+    """Bytes of a chunk to tokens. A state is a dictionary from bytes to (tokens emitted, next state); _PATHS has its open paths one after the other (tokens not emitted yet, place: last token and trie node), _END what is emitted if the chunk ends there."""
 
     def __init__(self, ranks: dict[bytes, int], states: int = STATES):
         if any(bytes([b]) not in ranks for b in range(256)):
@@ -57,47 +61,51 @@ class Transducer:
         self.most = states
         self.token = dict(zip(ranks.values(), ranks))
         self.single = [ranks[bytes([b])] for b in range(256)]
-        self.merges: dict[tuple[int, int], int] = {}
-        self.children: list[dict[int, int]] = [{}]
-        self.ends = [_START]
+        self.merges: dict[int, int] = {}  # by left << 32 | right
+        self.child: dict[int, int] = {}  # by node << 8 | byte
+        self.ends, self.inner = [_START], [True]  # for each node of the trie: its token, and whether it has children
         for token, rank in ranks.items():
             node = 0
             for b in token:
-                if b not in self.children[node]:
-                    self.children[node][b] = len(self.children)
-                    self.children.append({})
+                self.inner[node] = True
+                below = self.child.setdefault(node << 8 | b, len(self.ends))
+                if below == len(self.ends):
                     self.ends.append(_START)
-                node = self.children[node][b]
+                    self.inner.append(False)
+                node = below
             self.ends[node] = rank
             for cut in range(1, len(token)):
                 left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
                 if left is not None and right is not None:
-                    self.merges[left, right] = rank
-        self.pairs: dict[tuple[int, int], bool] = {}
+                    self.merges[left << 32 | right] = rank
+        self.pairs: dict[int, bool] = {}
+        self.states: dict[tuple, dict] = {}
         self._forget()
 
     def _forget(self) -> None:
-        self.states: dict[tuple, dict] = {}
-        self.start = self._state((((), _START, 0),))
+        for state in self.states.values():
+            state.clear()  # states lead to each other: without this they would wait for the garbage collector
+        self.states.clear()
+        self.start = self._state(((), _START << _BITS))
 
     def merged(self, piece: bytes) -> list[int]:
         """The encoding of a few bytes by the merges themselves, lowest rank first, the leftmost of several."""
         get, none = self.merges.get, 1 << 62
         parts = [self.single[b] for b in piece]
-        ranks = [get(pair, none) for pair in zip(parts, parts[1:])]
+        ranks = [get(a << 32 | b, none) for a, b in zip(parts, parts[1:])]
         while ranks and (rank := min(ranks)) < none:
             i = ranks.index(rank)
             parts[i : i + 2] = [rank]
             del ranks[i]
             if i:
-                ranks[i - 1] = get((parts[i - 1], rank), none)
+                ranks[i - 1] = get(parts[i - 1] << 32 | rank, none)
             if i < len(ranks):
-                ranks[i] = get((rank, parts[i + 1]), none)
+                ranks[i] = get(rank << 32 | parts[i + 1], none)
         return parts
 
     def follows(self, last: int, token: int) -> bool:
         """Whether token can come after last, or first."""
-        key = (last, token)
+        key = last << 32 | token
         known = self.pairs.get(key)
         if known is None:
             if len(self.pairs) >= PAIRS:
@@ -114,23 +122,28 @@ class Transducer:
 
     def step(self, state: dict, byte: int) -> tuple[tuple[int, ...], dict]:
         """What a state emits on a byte and where it goes; kept in the state."""
-        children, ends = self.children, self.ends
-        paths, whole = [], None  # whole: the one path on which a token ends here
-        for waiting, last, node in state[_PATHS]:
-            node = children[node].get(byte)
+        child, ends, inner = self.child.get, self.ends, self.inner
+        waits, places, paths = [], [], state[_PATHS]
+        whole = None  # on the one path on which a token ends here: what waits, and the token
+        for i in range(0, len(paths), 2):
+            place = paths[i + 1]
+            node = child((place & _NODE) << 8 | byte)
             if node is None:
                 continue
-            token = ends[node]
+            token, last = ends[node], place >> _BITS
             if token != _START and whole is None and self.follows(last, token):
-                whole = (waiting + (token,), token, 0)
-            elif token != _START and last == _START:
-                paths.append((waiting, last, node))  # merges don't lead to the token, but it may be the chunk
+                whole = paths[i] + (token,), token
+            elif token != _START and last == _START:  # merges don't lead to the token, but it may be the chunk
+                waits.append(paths[i])
+                places.append(last << _BITS | node)
                 continue
-            if children[node]:
-                paths.append((waiting, last, node))
-        paths.append(whole)
-        sure = paths[0][0]  # what all paths begin with
-        for waiting, _, _ in paths[1:]:
+            if inner[node]:
+                waits.append(paths[i])
+                places.append(last << _BITS | node)
+        waits.append(whole[0])
+        places.append(whole[1] << _BITS)
+        sure = waits[0]  # what all paths begin with
+        for waiting in waits:
             n = min(len(sure), len(waiting))
             while sure[:n] != waiting[:n]:
                 n -= 1
@@ -138,17 +151,20 @@ class Transducer:
             if not sure:
                 break
         if sure:
-            paths = [(waiting[len(sure) :], last, node) for waiting, last, node in paths]
+            waits = [waiting[len(sure) :] for waiting in waits]
         if len(self.states) >= self.most:
             self._forget()
-        found = state[byte] = (sure, self._state(tuple(paths)))
+            return sure, self._state(tuple(chain.from_iterable(zip(waits, places))))
+        found = state[byte] = (sure, self._state(tuple(chain.from_iterable(zip(waits, places)))))
         return found
 
     def end(self, state: dict) -> tuple[int, ...]:
         """What is emitted after the last byte."""
         if _END not in state:
-            (waiting, last, node), done = state[_PATHS][0], next(p for p in state[_PATHS] if p[2] == 0)
-            state[_END] = (self.ends[node],) if last == _START and self.ends[node] != _START else done[0]
+            paths = state[_PATHS]
+            token = self.ends[paths[1] & _NODE]
+            # the path on which a token ends is the last one, at the trie's root
+            state[_END] = (token,) if paths[1] >> _BITS == _START and token != _START else paths[-2]
         return state[_END]
 
     def encode(self, chunk: bytes) -> list[int]:
@@ -279,6 +295,18 @@ class Decoder:
         return text + "�" * bool(held)
 
 
+@contextmanager
+def _uncollected():
+    """Without the garbage collector, which would look through all states again and again: what the machines make is freed by its counts."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
+
+
 _MACHINES: dict[tuple, tuple[Encoder, Decoder]] = {}
 
 
@@ -289,7 +317,6 @@ def machines(blob: bytes, pattern: str = PATTERN) -> tuple[Encoder, Decoder]:
         _MACHINES.clear()
         ranks = ranks_of(blob)
         _MACHINES[key] = Encoder(ranks, pattern), Decoder(ranks)
-        gc.freeze()  # the tables stay: looking through them for garbage again and again takes longer than encoding
     return _MACHINES[key]
 
 
@@ -313,7 +340,8 @@ def encode(docs: DataFrame, ranks: str = RANKS, pattern: str = PATTERN) -> DataF
         for b in batches:
             rows, first, held = [], 0, 0
             for text in values(b.column("text")):
-                rows.append(encoder.encode(text))
+                with _uncollected():
+                    rows.append(encoder.encode(text))
                 held += len(rows[-1])
                 if held >= AT_ONCE:
                     yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(first, len(rows)), _lists(rows)], ["doc_id", "ids"])

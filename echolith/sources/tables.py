@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 ROWS_A_FILE = 50_000
@@ -15,6 +18,38 @@ def exists(spark: SparkSession, path: str) -> bool:
     return bool(mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark))
 
 
+def _place(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), place
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder; none if it isn't there."""
+    fs, place = _place(spark, path)
+    return [f.getPath().getName() for f in fs.listStatus(place)] if fs.exists(place) else []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a table, if it is there."""
+    fs, place = _place(spark, path)
+    fs.delete(place, True)
+
+
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the one that spark.checkpoint.dir names, which driver and executors share. A local session without one gets a temporary folder; a cluster must name one."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{named or tempfile.mkdtemp(prefix='echolith-')}/{name}-{uuid.uuid4().hex}"
+
+
+def shared(df: DataFrame, name: str) -> DataFrame:
+    """df written to a work folder and read again: what comes after doesn't compute it twice, and a lost executor costs no recomputation."""
+    path = work_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_records(records: DataFrame, path: str, rows_a_file: int = ROWS_A_FILE) -> None:
     records.write.mode("overwrite").partitionBy("type_data", "band").option("maxRecordsPerFile", rows_a_file).parquet(path)
 

@@ -197,12 +197,28 @@ def moving_max(x: np.ndarray, width: int) -> np.ndarray:
     return np.maximum(x[: len(x) - (width - size)], x[width - size :])
 
 
-def moving_median(x: np.ndarray, width: int, rows: int = 4096) -> np.ndarray:
+def moving_median(x: np.ndarray, width: int) -> np.ndarray:
     """Element width//2 of each sorted window of x, the ends repeated."""
     lead = width // 2
     padded = np.concatenate([np.full(lead, x[0]), x, np.full(width - lead - 1, x[-1])])
-    windows = np.lib.stride_tricks.sliding_window_view(padded, width)
-    return np.concatenate([np.partition(windows[i : i + rows], lead, axis=1)[:, lead] for i in range(0, len(x), rows)])
+    return window_order(padded, width, lead)
+
+
+def window_order(x: np.ndarray, width: int, k: int) -> np.ndarray:
+    """Element k of each sorted window x[i : i + width], in len(x) steps for each bit of the number of distinct values, whatever the width: the values' ranks are sorted by one bit after the other, high bits first, stably, and every window follows the side that holds its element."""
+    values, ranks = np.unique(x, return_inverse=True)
+    count = len(x) - width + 1
+    start, stop, left, found = np.arange(count), np.arange(count) + width, np.full(count, k), np.zeros(count, np.int64)
+    for bit in reversed(range(max(len(values) - 1, 1).bit_length())):
+        high = ranks >> bit & 1
+        lows = np.concatenate([[0], np.cumsum(1 - high)])  # how many before each place go to the low side
+        inside = lows[stop] - lows[start]
+        up = left >= inside
+        found |= up.astype(np.int64) << bit
+        left = np.where(up, left - inside, left)
+        start, stop = (np.where(up, lows[-1] + at - lows[at], lows[at]) for at in (start, stop))
+        ranks = np.concatenate([ranks[high == 0], ranks[high == 1]])
+    return values[found]
 
 
 def moving_mean(x: np.ndarray, width: int) -> np.ndarray:

@@ -11,17 +11,27 @@ from pyspark.sql import functions as F
 BUCKETS = 64
 
 
+def group(by: list[str]) -> Column:
+    """The columns by as one key that is never null: groups with null columns are groups like any other, in joins too."""
+    return F.struct(*by) if by else F.lit(0)
+
+
+def joined(left: DataFrame, right: DataFrame, by: list[str], more: list[str] | None = None, how: str = "inner") -> DataFrame:
+    """left with right's further columns, by groups (nulls are equal) and the columns more (nulls are not)."""
+    return left.withColumn("_group", group(by)).join(right.withColumn("_group", group(by)).drop(*by), ["_group", *(more or [])], how).drop("_group")
+
+
 def positions(df: DataFrame, by: list[str], value: str, buckets: int = BUCKETS) -> DataFrame:
-    """(by..., value, n, before): for each distinct value of a group, how many rows have it and how many have a smaller one. Null values are left out; NaN is the largest."""
-    counted = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
-    cuts = counted.groupBy(*by).agg(F.percentile_approx(value, [i / buckets for i in range(1, buckets)], 1000).alias("cuts"))
-    placed = counted.join(cuts, by).withColumn("bucket", F.size(F.filter("cuts", lambda c: c < F.col(value)))).drop("cuts")
-    own = Window.partitionBy(*by, "bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    """(by..., value, n, before): for each distinct value of a group, how many rows have it and how many have a smaller one. Null values are left out; NaN is the largest. Nulls in by form groups."""
+    counted = df.where(F.col(value).isNotNull()).groupBy(group(by).alias("_group"), value).agg(F.count("*").alias("n"))
+    cuts = counted.groupBy("_group").agg(F.percentile_approx(value, [i / buckets for i in range(1, buckets)], 1000).alias("cuts"))
+    placed = counted.join(cuts, "_group").withColumn("bucket", F.size(F.filter("cuts", lambda c: c < F.col(value)))).drop("cuts")
+    own = Window.partitionBy("_group", "bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     inner = placed.withColumn("inner", F.coalesce(F.sum("n").over(own), F.lit(0)))
-    totals = placed.groupBy(*by, "bucket").agg(F.sum("n").alias("total"))
-    earlier = Window.partitionBy(*by).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(*by, "bucket", F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("earlier"))
-    return inner.join(totals, [*by, "bucket"]).select(*by, value, "n", (F.col("inner") + F.col("earlier")).alias("before"))
+    totals = placed.groupBy("_group", "bucket").agg(F.sum("n").alias("total"))
+    earlier = Window.partitionBy("_group").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("_group", "bucket", F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("earlier"))
+    return inner.join(totals, ["_group", "bucket"]).select(*(F.col(f"_group.`{c}`").alias(c) for c in by), value, "n", (F.col("inner") + F.col("earlier")).alias("before"))
 
 
 def average_ranks(df: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
@@ -33,7 +43,7 @@ def percentiles(df: DataFrame, by: list[str], value: str, shares: dict[str, floa
     """(by..., one column a share): exact percentiles, linear between neighbours."""
     at = positions(df, by, value)
     sizes = at.groupBy(*by).agg(F.sum("n").alias("size"))
-    at = at.join(sizes, by)
+    at = joined(at, sizes, by)
     picked = []
     for name, p in shares.items():
         place = F.lit(p) * (F.col("size") - 1)
@@ -61,18 +71,18 @@ def draw(df: DataFrame, by: list[str], key: str, count: int | None = None, share
     at = positions(df, by, key)
     if count is None:
         sizes = at.groupBy(*by).agg(F.floor(F.sum("n") * F.lit(share)).alias("wanted"))
-        at = at.join(sizes, by)
+        at = joined(at, sizes, by)
     else:
         at = at.withColumn("wanted", F.lit(count))
-    return df.join(at.where("before + n <= wanted").select(*by, key), [*by, key], "left_semi")
+    return joined(df, at.where("before + n <= wanted").select(*by, key), by, [key], "left_semi")
 
 
 def shuffled(df: DataFrame, by: list[str], key: Column, seed: int) -> DataFrame:
     """df with place, each row's place from 0 in its group's order of draw keys, and size, the group's rows. Keys should be distinct in a group; rows with equal keys share a place."""
     keyed = df.withColumn("_key", draw_key(key, seed=seed))
     at = positions(keyed, by, "_key")
-    at = at.select(*by, "_key", F.col("before").alias("place")).join(at.groupBy(*by).agg(F.sum("n").alias("size")), by)
-    return keyed.join(at, [*by, "_key"]).drop("_key")
+    at = joined(at.select(*by, "_key", F.col("before").alias("place")), at.groupBy(*by).agg(F.sum("n").alias("size")), by)
+    return joined(keyed, at, by, ["_key"]).drop("_key")
 
 
 def sample(df: DataFrame, by: list[str], key: Column, seed: int, share: float) -> DataFrame:

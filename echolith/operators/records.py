@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from echolith.functions.arrays import half_even
-from echolith.operators.ranks import average_ranks, column_percentiles, percentiles
+from echolith.operators.ranks import average_ranks, column_percentiles, joined, percentiles
 
 DESCRIPTORS = ("t30", "c50", "c80", "d50")
 ROOMS = ("great_hall", "octagon", "classroom")
@@ -22,14 +22,14 @@ def scan(records: DataFrame, band: int, split: str) -> DataFrame:
 def band_summary(records: DataFrame, columns: tuple[str, ...] = DESCRIPTORS) -> DataFrame:
     """Per band: rows, and each column's 95th percentile, largest and smallest value, rounded half to even."""
     out = records.groupBy("band").agg(F.count("*").alias("rows"), *(f(c).alias(f"{c}_{k}") for c in columns for k, f in (("max", F.max), ("min", F.min))))
-    out = out.join(column_percentiles(records, ["band"], columns, 0.95, "_p95"), "band")
+    out = joined(out, F.broadcast(column_percentiles(records, ["band"], columns, 0.95, "_p95")), ["band"])  # a row a band
     return out.select("band", "rows", *(half_even(F.col(f"{c}_{k}")).alias(f"{c}_{k}") for c in columns for k in ("p95", "max", "min")))
 
 
 def box_plot(records: DataFrame, column: str, by: str = "band") -> DataFrame:
     """Quartiles, and whiskers: the outermost values within 1.5 interquartile ranges of the box."""
     q = percentiles(records, [by], column, {"q1": 0.25, "median": 0.5, "q3": 0.75})
-    near = records.join(q, by).where(F.col(column).between(F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")), F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))))
+    near = joined(records, F.broadcast(q), [by]).where(F.col(column).between(F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")), F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))))
     return near.groupBy(by, "q1", "median", "q3").agg(F.min(column).alias("low"), F.max(column).alias("high"))
 
 
@@ -58,7 +58,7 @@ def mid_band(records: DataFrame, columns: tuple[str, ...] = ("t30", "drr"), band
 def spearman(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     """(by..., rows, rho): rank correlation, ties averaged; null where a side doesn't vary."""
     df = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, F.col(x).alias("_x"), F.col(y).alias("_y"))
-    ranked = df.join(average_ranks(df, by, "_x", "rx"), [*by, "_x"]).join(average_ranks(df, by, "_y", "ry"), [*by, "_y"])
+    ranked = joined(joined(df, average_ranks(df, by, "_x", "rx"), by, ["_x"]), average_ranks(df, by, "_y", "ry"), by, ["_y"])
     return ranked.groupBy(*by).agg(F.count("*").alias("rows"), F.corr("rx", "ry").alias("rho"))
 
 
@@ -106,7 +106,7 @@ def subset(name: Column) -> Column:
 
 def normalised(records: DataFrame, columns: tuple[str, ...] = DESCRIPTORS) -> DataFrame:
     """records with each column divided by its band's 95th percentile over all records, train and test."""
-    out = records.join(column_percentiles(records, ["band"], columns, 0.95, "_p95"), "band")
+    out = joined(records, F.broadcast(column_percentiles(records, ["band"], columns, 0.95, "_p95")), ["band"])  # a row a band
     return out.select(*[c for c in records.columns if c not in columns], *((F.col(c) / F.nullif(f"{c}_p95", F.lit(0.0))).alias(c) for c in columns))
 
 

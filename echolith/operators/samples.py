@@ -1,23 +1,39 @@
-"""Signals as rows of samples (name, n, v): windows and aggregates per signal.
+"""Signals as rows of samples (name, n, v): windows and aggregates per signal, of any length.
 
-Each signal is one window partition: its length is bounded by the clip length, so partitions stay small however many signals there are.
+A signal is cut into blocks of BLOCK samples, and each block is one window partition, so that a signal of any length is spread over many tasks. Running sums take the blocks' sums first, add these up along the signal (one row a block), and go on within each block from there. Moving windows get the samples that reach into a block from its neighbours as copies. Samples of a signal are numbered from 0 without gaps.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from echolith.functions import kernels
 from echolith.functions.arrays import EPSILON
 
 #: Kinds of reverberation time: (level where it starts, where it ends, factor to 60 dB): fixed values.
 DECAYS = {"t30": (-5, -35, 2), "t20": (-5, -25, 3), "t10": (-5, -15, 6), "edt": (0, -10, 6)}
 
 
+#: Samples of a block.
+BLOCK = 1 << 16
+
+
 def from_series(df: DataFrame, name: str, order: list[str], value: str) -> DataFrame:
-    """(name, n, v) from a table of readings: n counts from 0 in the given order."""
-    n = F.row_number().over(Window.partitionBy(name).orderBy(*order)) - 1
-    return df.select(F.col(name).alias("name"), n.alias("n"), F.col(value).cast("double").alias("v"))
+    """(name, n, v) from a table of readings: n counts from 0 in the given order. A series of more than BLOCK readings is numbered in slices of equal width of the first order column (a number or a time), which only balance the work."""
+    rows = df.select(F.col(name).alias("name"), *(F.col(c).alias(f"o{i}") for i, c in enumerate(order)), F.col(order[0]).cast("double").alias("at"), F.col(value).cast("double").alias("v"))
+    ranges = rows.groupBy(F.col("name").alias("of")).agg(F.min("at").alias("first"), F.max("at").alias("last"), F.ceil(F.count("*") / BLOCK).alias("slices"))
+    part = (F.col("at") - F.col("first")) / F.nullif(F.col("last") - F.col("first"), F.lit(0.0)) * F.col("slices")
+    rows = rows.join(ranges, F.col("name").eqNullSafe(F.col("of"))).select("name", *(f"o{i}" for i in range(len(order))), "v", F.coalesce(F.floor(part), F.lit(-1)).alias("slice"))
+    key = F.struct("name", "slice").alias("key")  # null names are a series too
+    sizes = rows.groupBy(key).agg(F.count("*").alias("n"))
+    before = Window.partitionBy("key.name").orderBy("key.slice").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("key", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    own = Window.partitionBy("key").orderBy(*(f"o{i}" for i in range(len(order))))
+    placed = rows.select(key, *(f"o{i}" for i in range(len(order))), "v").join(starts, "key")
+    return placed.select("key.name", (F.col("start") + F.row_number().over(own) - 1).alias("n"), "v")
 
 
 def from_arrays(df: DataFrame, name: str, x: str) -> DataFrame:
@@ -25,28 +41,35 @@ def from_arrays(df: DataFrame, name: str, x: str) -> DataFrame:
     return df.select(F.col(name).alias("name"), F.posexplode(x).alias("n", "v")).withColumn("v", F.col("v").cast("double"))
 
 
-def _ahead() -> Window:
-    return Window.partitionBy("name").orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, 0)
+def _block() -> Column:
+    return F.floor(F.col("n") / BLOCK)
+
+
+def _with_later(samples: DataFrame) -> DataFrame:
+    """samples with block, energy (what is left within the block from each sample on), later (the energy of the blocks after it) and whole (the signal's)."""
+    rows = samples.withColumn("block", _block())
+    sums = rows.groupBy("name", "block").agg(F.sum(F.col("v") * F.col("v")).alias("sum"))
+    after = Window.partitionBy("name").orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("name", "block", F.coalesce(F.sum("sum").over(after), F.lit(0.0)).alias("later"), F.sum("sum").over(Window.partitionBy("name")).alias("whole"))
+    inside = Window.partitionBy("name", "block").orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.join(sums, ["name", "block"]).withColumn("energy", F.sum(F.col("v") * F.col("v")).over(inside))
 
 
 def backward_energy(samples: DataFrame) -> DataFrame:
     """(name, n, energy): what is left of the signal's energy from each sample on."""
-    return samples.withColumn("energy", F.sum(F.col("v") * F.col("v")).over(_ahead())).drop("v")
+    return _with_later(samples).select("name", "n", (F.col("energy") + F.col("later")).alias("energy"))
 
 
 def compensated_energy(samples: DataFrame, bounds: DataFrame) -> DataFrame:
     """(name, n, share): what is left of the signal's energy from each sample up to stop, and of the decay beyond it, as a share of all. bounds: (name, stop, beyond), a row a signal."""
-    own = samples.join(bounds, "name").where("n < stop")
-    left = F.sum(F.col("v") * F.col("v")).over(_ahead()) + F.col("beyond")
-    whole = F.sum(F.col("v") * F.col("v")).over(Window.partitionBy("name")) + F.col("beyond")
-    return own.select("name", "n", (left / F.nullif(whole, F.lit(0.0))).alias("share"))
+    own = samples.join(bounds.select("name", "stop"), "name").where("n < stop").drop("stop")
+    beyond = _with_later(own).join(bounds.select("name", "beyond"), "name")
+    return beyond.select("name", "n", ((F.col("energy") + F.col("later") + F.col("beyond")) / F.nullif(F.col("whole") + F.col("beyond"), F.lit(0.0))).alias("share"))
 
 
 def decay_curve(samples: DataFrame) -> DataFrame:
     """(name, n, db): the backward energy against all of it."""
-    e = backward_energy(samples)
-    whole = F.max("energy").over(Window.partitionBy("name"))
-    return e.select("name", "n", (10 * F.log10(F.col("energy") / whole + EPSILON)).alias("db"))
+    return _with_later(samples).select("name", "n", (10 * F.log10((F.col("energy") + F.col("later")) / F.col("whole") + EPSILON)).alias("db"))
 
 
 def reverberation_time(samples: DataFrame, kind: str, fs: float) -> DataFrame:
@@ -69,24 +92,52 @@ def block_means(samples: DataFrame, size: int) -> DataFrame:
 
 def noise_floor(samples: DataFrame) -> DataFrame:
     """(name, noise_db): energy of the last tenth against the largest, in dB; the tenth starts at 0.9 n, rounded half to even."""
-    sized = samples.withColumn("size", F.count("*").over(Window.partitionBy("name")))
+    sized = samples.join(samples.groupBy("name").agg(F.count("*").alias("size")), "name")
     tail = F.sum(F.when(F.col("n") >= F.rint(0.9 * F.col("size")), F.col("v") * F.col("v")).otherwise(0.0))
     out = sized.groupBy("name", "size").agg(tail.alias("tail"), F.max(F.col("v") * F.col("v")).alias("top"))
     return out.select("name", (10 * F.log10(F.col("tail") / (0.1 * F.col("size")) / F.nullif("top", F.lit(0.0)) + EPSILON)).alias("noise_db"))
 
 
-def _around(width: int) -> Window:
-    return Window.partitionBy("name").orderBy("n").rowsBetween(-(width // 2), width - width // 2 - 1)
+def _with_neighbours(samples: DataFrame, before: int, after: int) -> DataFrame:
+    """Every sample in its block, and copies of it (own false) in the blocks whose windows reach it: before samples back and after ahead."""
+    first, last = F.greatest(F.floor((F.col("n") - after) / BLOCK), F.lit(0)), F.floor((F.col("n") + before) / BLOCK)
+    rows = samples.select("name", "n", "v", F.explode(F.sequence(first, last)).alias("block"))
+    return rows.withColumn("own", F.col("block") == _block())
+
+
+def _moved(samples: DataFrame, width: int, value: Column, name: str) -> DataFrame:
+    """value over the window of width samples around each sample."""
+    before, after = width // 2, width - width // 2 - 1
+    around = Window.partitionBy("name", "block").orderBy("n").rowsBetween(-before, after)
+    return _with_neighbours(samples, before, after).select("name", "n", "own", value.over(around).alias(name)).where("own").drop("own")
 
 
 def moving_mean(samples: DataFrame, width: int = 50) -> DataFrame:
     """(name, n, mean): mean magnitude over width samples, zeros beyond the ends."""
-    return samples.select("name", "n", (F.sum(F.abs("v")).over(_around(width)) / width).alias("mean"))
+    return _moved(samples, width, F.sum(F.abs("v")), "sum").select("name", "n", (F.col("sum") / width).alias("mean"))
 
 
 def moving_max(samples: DataFrame, width: int) -> DataFrame:
     """(name, n, peak): largest magnitude over width samples."""
-    return samples.select("name", "n", F.max(F.abs("v")).over(_around(width)).alias("peak"))
+    return _moved(samples, width, F.max(F.abs("v")), "peak")
+
+
+def moving_median(samples: DataFrame, width: int = 500) -> DataFrame:
+    """(name, n, median): element width//2 of the sorted magnitudes over width samples, the signal's ends repeated."""
+    before, after = width // 2, width - width // 2 - 1
+
+    def run(block: pa.Table) -> pa.Table:
+        block = block.sort_by("n")
+        own, n, v = (block.column(c).to_numpy() for c in ("own", "n", "v"))
+        place = np.flatnonzero(own)
+        if not len(place):
+            return block.slice(0, 0).select(["name", "n"]).append_column("median", pa.array([], pa.float64()))
+        first, last = place[0], place[-1]  # what is missing before or after lies beyond the signal
+        padded = np.concatenate([np.full(before - first, abs(v[0])), np.abs(v), np.full(after - (len(v) - 1 - last), abs(v[-1]))])
+        return block.slice(first, len(place)).select(["name", "n"]).append_column("median", pa.array(kernels.window_order(padded, width, before)))
+
+    rows = _with_neighbours(samples, before, after)
+    return rows.groupBy("name", "block").applyInArrow(run, f"name {samples.schema['name'].dataType.simpleString()}, n {samples.schema['n'].dataType.simpleString()}, median double")
 
 
 def valid_interval(levels: DataFrame, first: Column, last: Column) -> DataFrame:

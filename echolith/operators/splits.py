@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from echolith.operators.ranks import draw, draw_key
+from echolith.operators.ranks import draw, draw_key, joined, positions
 from echolith.schema import sweep_values
 
 CATEGORIES = ("sintetica", "great_hall", "octagon", "classroom")
@@ -26,9 +26,12 @@ def pick(files: DataFrame, by: list[str], name: str, seed: int, count: int | Non
 
 
 def with_split(files: DataFrame, by: list[str], name: str, seed: int, train_share: float = 0.8) -> DataFrame:
-    """files with split: train for the whole part of train_share of each group, else test."""
-    train = pick(files, by, name, seed, share=train_share).select(name, F.lit("train").alias("_split"))
-    return files.join(train, name, "left").withColumn("split", F.coalesce("_split", F.lit("test"))).drop("_split")
+    """files with split: train for the whole part of train_share of each group, else test. A name that several groups hold is drawn in each by itself; rows that repeat in a group go together, in train only if all of them fit."""
+    keyed = files.withColumn("_key", draw_key(F.coalesce(F.col(name).cast("string"), F.lit("")), seed=seed))
+    at = positions(keyed, by, "_key")
+    at = joined(at, at.groupBy(*by).agg(F.floor(F.sum("n") * F.lit(train_share)).alias("_wanted")), by)
+    drawn = at.select(*by, "_key", F.when(F.col("before") + F.col("n") <= F.col("_wanted"), "train").otherwise("test").alias("split"))
+    return joined(keyed, drawn, by, ["_key"]).drop("_key")
 
 
 def eligible(rir: Column, chosen: Column, substring: bool = False) -> Column:
@@ -65,7 +68,8 @@ def first_names(files: DataFrame, name: str, part: str, count: int) -> DataFrame
 
 
 def within_split(responses: DataFrame, speech: DataFrame, salts: int = 32) -> DataFrame:
-    """Every response with every speech file of its split. A split's responses are dealt to salts, each of which gets its speech, so that a split is not one task's."""
-    dealt = responses.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)))
+    """Every response with every speech file of its split. A split's responses are dealt to salts by a hash of their names and tags, each of which gets its speech, so that a split is not one task's."""
+    names = [c for c, kind in responses.dtypes if not kind.startswith(("array", "map"))]
+    dealt = responses.withColumn("_salt", F.pmod(F.xxhash64(*names), F.lit(salts)))
     copies = speech.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     return dealt.join(copies, ["split", "_salt"]).drop("_salt")

@@ -506,9 +506,7 @@ def summary_frame(spark, sf_dir):
 @query(f"""WITH {_SIG}, l AS (SELECT name, list(abs(v) ORDER BY n) AS x FROM sig GROUP BY name)
   SELECT name, i AS n, list_sort(list_transform(range(i - 8, i + 8), lambda k: x[least(greatest(k, 0), len(x) - 1) + 1]))[9] AS median FROM (SELECT name, x, unnest(range(len(x))) AS i FROM l)""")
 def moving_median(spark, sf_dir):
-    arrays = sig(spark, sf_dir).groupBy("name").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "v"))), lambda s: s.v).alias("x"))
-    rows = arrays.select("name", F.posexplode(udfs.moving_median(F.col("x"), 16)).alias("n", "median"))
-    return rows.select("name", F.col("n").cast("long").alias("n"), "median")
+    return samples.moving_median(sig(spark, sf_dir), 16).select("name", F.col("n").cast("long").alias("n"), "median")
 
 
 @query(f"""WITH {_SIG}, b AS (SELECT name, count(*) * 3 // 4 AS stop, max(v) AS beyond FROM sig GROUP BY name)

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from functools import cache
-from math import ceil, log, pi, sqrt, tan
+import hashlib
+from functools import cache, lru_cache
+from math import ceil, gcd, log, pi, sqrt, tan
 
 import numpy as np
 
@@ -76,12 +77,44 @@ def envelope(x: np.ndarray) -> np.ndarray:
     return np.abs(np.fft.ifft(f))
 
 
+#: The resampler's filter: zeros of the sinc on each side, and its cut-off as a share of the lower rate's half.
+SINC_ZEROS, SINC_CUT = 32, 0.95
+
+
+@lru_cache(64)
+def resampling_taps(up: int, down: int) -> tuple[int, np.ndarray]:
+    """(reach, taps): for each of up phases the weights of 2 * reach samples around a place between two of them. A sinc under a Hann window, as wide as the lower rate asks for; each phase's weights add up to 1."""
+    cut = SINC_CUT * min(1.0, up / down)
+    reach = ceil(SINC_ZEROS / cut)
+    at = np.arange(1 - reach, reach + 1)[None, :] - np.arange(up)[:, None] / up
+    taps = np.sinc(cut * at) * np.where(np.abs(at) < reach, np.cos(pi * at / (2 * reach)) ** 2, 0.0)
+    return reach, taps / taps.sum(axis=1, keepdims=True)
+
+
 def resampled(x: np.ndarray, fs: int, rate: int) -> np.ndarray:
-    """Band-limited samples at a lower rate that divides fs: ceil(n * rate / fs) of them, the signal filled up with zeros."""
-    step = fs // rate
-    m = -(-len(x) // step)
-    f = np.fft.rfft(x, m * step)[: m // 2 + 1]
-    return np.fft.irfft(f, m) / step
+    """The signal at another rate: ceil(n * rate / fs) samples from its first one on, band-limited to the lower rate; zeros beyond its ends. Any whole rates: samples lie at multiples of down / up for the reduced ratio, so that a filter of up phases gives all of them."""
+    up, down = ratio(fs, rate)
+    return resampled_part(x, 0, 0, -(-len(x) * up // down), up, down)
+
+
+def ratio(fs: int, rate: int) -> tuple[int, int]:
+    if fs <= 0 or rate <= 0:
+        raise ValueError("rates must be positive")
+    return rate // gcd(fs, rate), fs // gcd(fs, rate)
+
+
+def resampled_part(x: np.ndarray, start: int, first: int, last: int, up: int, down: int, at_once: int = 1 << 17) -> np.ndarray:
+    """Samples first to last (exclusive) at up / down of the rate, of a signal of which x has what begins at start and reaches as far as their filter does; zeros elsewhere."""
+    if up == down:
+        return np.array(x[first - start : last - start], float)
+    reach, taps = resampling_taps(up, down)
+    padded = np.concatenate([np.zeros(2 * reach), x, np.zeros(2 * reach)])
+    windows = np.lib.stride_tricks.sliding_window_view(padded, 2 * reach)
+    rows, out = max(1, at_once // (2 * reach)), [np.zeros(0)]
+    for m in range(first, last, rows):
+        place = np.arange(m, min(m + rows, last)) * down
+        out.append(np.einsum("ij,ij->i", windows[place // up - start + reach + 1], taps[place % up]))
+    return np.concatenate(out)
 
 
 def temporal_envelope(x: np.ndarray, fs: int, rate: int = 40, size: int = 200) -> np.ndarray:
@@ -96,10 +129,17 @@ def temporal_envelope(x: np.ndarray, fs: int, rate: int = 40, size: int = 200) -
 def convolved(x: np.ndarray, h: np.ndarray) -> np.ndarray:
     """Full convolution's middle part of the length of x, its peak 1."""
     size = 1 << (len(x) + len(h) - 2).bit_length()
-    full = np.fft.irfft(np.fft.rfft(x, size) * np.fft.rfft(h, size), size)
-    out = full[(len(h) - 1) // 2 :][: len(x)]
-    top = np.abs(out).max()
-    return out / top if top > 0 else out
+    return middle(np.fft.irfft(np.fft.rfft(x, size) * np.fft.rfft(h, size), size), len(x), len(h))
+
+
+def middle(full: np.ndarray, n: int, m: int) -> np.ndarray:
+    """Of a full convolution of n and m samples, the middle n, their peak 1."""
+    return peak_normalised(full[(m - 1) // 2 :][:n])
+
+
+def seed_of(*keys) -> int:
+    """A seed of 63 bits, the same for the same keys."""
+    return int.from_bytes(hashlib.blake2b("|".join(map(str, keys)).encode(), digest_size=8).digest()) >> 1
 
 
 def pink_noise(n: int, seed: int) -> np.ndarray:

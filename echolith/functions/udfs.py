@@ -66,6 +66,11 @@ def envelope(x: Column) -> Column:
     return pandas_udf(lambda xs: _array(kernels.envelope, xs), "array<double>", F.PandasUDFType.SCALAR)(x)
 
 
+def resampled(x: Column, fs: int, rate: int) -> Column:
+    """The signal at another rate, any whole one: ceil(n * rate / fs) samples, zeros beyond its ends."""
+    return pandas_udf(lambda xs: _array(lambda v: kernels.resampled(v, fs, rate), xs), "array<double>", F.PandasUDFType.SCALAR)(x)
+
+
 def convolve(x: Column, h: Column) -> Column:
     """x through the response h: length of x, centred, its peak 1."""
     return pandas_udf(lambda xs, hs: _array(lambda v, w: kernels.convolved(v, np.asarray(w, float)), xs, hs), "array<double>", F.PandasUDFType.SCALAR)(x, h)

@@ -23,7 +23,10 @@ BLOCK = 1 << 16
 
 def from_series(df: DataFrame, name: str, order: list[str], value: str) -> DataFrame:
     """(name, n, v) from a table of readings: n counts from 0 in the given order. A series of more than BLOCK readings is numbered in slices of equal width of the first order column (a number or a time), which only balance the work."""
-    rows = df.select(F.col(name).alias("name"), *(F.col(c).alias(f"o{i}") for i, c in enumerate(order)), F.col(order[0]).cast("double").alias("at"), F.col(value).cast("double").alias("v"))
+    at = F.col(order[0])
+    if dict(df.dtypes)[order[0]].startswith(("timestamp", "date")):
+        at = at.cast("timestamp")
+    rows = df.select(F.col(name).alias("name"), *(F.col(c).alias(f"o{i}") for i, c in enumerate(order)), at.cast("double").alias("at"), F.col(value).cast("double").alias("v"))
     ranges = rows.groupBy(F.col("name").alias("of")).agg(F.min("at").alias("first"), F.max("at").alias("last"), F.ceil(F.count("*") / BLOCK).alias("slices"))
     part = (F.col("at") - F.col("first")) / F.nullif(F.col("last") - F.col("first"), F.lit(0.0)) * F.col("slices")
     rows = rows.join(ranges, F.col("name").eqNullSafe(F.col("of"))).select("name", *(f"o{i}" for i in range(len(order))), "v", F.coalesce(F.floor(part), F.lit(-1)).alias("slice"))
@@ -140,6 +143,31 @@ def moving_median(samples: DataFrame, width: int = 500) -> DataFrame:
     return rows.groupBy("name", "block").applyInArrow(run, f"name {samples.schema['name'].dataType.simpleString()}, n {samples.schema['n'].dataType.simpleString()}, median double")
 
 
+def resampled(samples: DataFrame, fs: int, rate: int) -> DataFrame:
+    """(name, n, v) at another rate, any whole one: ceil(size * rate / fs) samples from the first one on, zeros beyond the signal's ends."""
+    up, down = kernels.ratio(fs, rate)
+    reach = kernels.resampling_taps(up, down)[0]
+
+    def run(block: pa.Table) -> pa.Table:
+        block = block.sort_by("n")
+        own, n, v = (block.column(c).to_numpy() for c in ("own", "n", "v"))
+        place = n[own]
+        first, last = (-(-int(place[0]) * up // down), -(-(int(place[-1]) + 1) * up // down)) if len(place) else (0, 0)
+        made = kernels.resampled_part(v, int(n[0]), first, last, up, down)
+        return pa.table({"name": pa.repeat(block.column("name")[0], len(made)), "n": np.arange(first, last), "v": made})
+
+    rows = _with_neighbours(samples.select("name", F.col("n").cast("long").alias("n"), "v"), reach, reach)
+    return rows.groupBy("name", "block").applyInArrow(run, f"name {samples.schema['name'].dataType.simpleString()}, n long, v double")
+
+
+def binned(samples: DataFrame, count: int) -> DataFrame:
+    """(name, x): each whole signal as count mean values of equal parts of it; parts without a sample, of signals shorter than that, are 0."""
+    sizes = samples.groupBy("name").agg(F.count("*").alias("size"))
+    parts = samples.join(sizes, "name").groupBy("name", F.floor(F.col("n") * count / F.col("size")).cast("int").alias("i")).agg(F.avg("v").alias("v"))
+    found = parts.groupBy("name").agg(F.map_from_entries(F.collect_list(F.struct("i", "v"))).alias("at"))  # at most count of them
+    return found.select("name", F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: F.coalesce(F.try_element_at("at", i), F.lit(0.0))).alias("x"))
+
+
 def valid_interval(levels: DataFrame, first: Column, last: Column) -> DataFrame:
     """(name, start, stop): from the first sample whose level v is under first, to the next one under last. Signals without either are left out."""
     starts = levels.where(F.col("v") < first).groupBy("name").agg(F.min("n").alias("start"))

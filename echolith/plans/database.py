@@ -1,6 +1,6 @@
 """The record table: responses and their variants, described per band, joined with the speech of their split, one record per (speech, variant, band).
 
-What doesn't depend on speech (variants, band-split responses, descriptors) is planned before the join with speech, so it is computed once per response, and rejected bands never reach the join. Decay parameters are estimated once per (response, band) and reused for every decay time of the sweep. Signals are only shuffled where they meet.
+What doesn't depend on speech (variants, band-split responses, descriptors) is planned before speech is met, so it is computed once per response, and rejected bands never meet it. Decay parameters are estimated once per (response, band) and reused for every decay time of the sweep. Responses and speech meet block by block. What is rejected is kept, with the reason.
 """
 
 from __future__ import annotations
@@ -10,15 +10,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import ArrayType, DoubleType, StructType
 
 from echolith.functions import kernels, udfs
 from echolith.operators.ranks import chance
-from echolith.operators.splits import sweep, within_split
+from echolith.operators.splits import sweep
 from echolith.schema import BANDS, DRR_SWEEP, FS, ORDER, TR_SWEEP, audio_name, dataset_name, sweep_values, tr_drr_tag, tr_tag
+from echolith.sources import tables
 
 
 @dataclass(frozen=True)
@@ -43,10 +43,10 @@ class Settings:
 
 
 def tr_variants(responses: DataFrame, s: Settings) -> DataFrame:
-    """(rir_name, split, tr, x): each response at each decay time of the sweep; those whose decay can't be estimated in every band are left out. A response's bands stay together in one row's work, so nothing shuffles, and one variant at a time is made."""
+    """(rir_name, split, tr, x, error): each response at each decay time of the sweep; where a decay can't be estimated in every band, x is null and error says why. A response's bands stay together in one row's work, so nothing shuffles, and one variant at a time is made. Each variant's modelled decay has noise of its own."""
     values = sweep_values(*s.tr)
 
-    def longer(x: np.ndarray, seeds: list[int]) -> Iterator[tuple[float, np.ndarray]]:
+    def longer(x: np.ndarray, seeds: list[int]) -> Iterator[np.ndarray]:
         head, late = kernels.head_and_late(x, s.fs)
         full, bands = kernels.full_band_decay(late, s.fs), []
         for band, seed in zip(s.bands, seeds):
@@ -54,41 +54,45 @@ def tr_variants(responses: DataFrame, s: Settings) -> DataFrame:
             crossing, amplitude, tau, floor = kernels.decay_parameters(own, s.fs)
             if not np.isfinite([amplitude, tau, floor, full]).all():
                 raise ValueError("the decay can't be estimated")
-            bands.append((kernels.denoised(own, s.fs, int(crossing), amplitude, tau, seed), tau))
-        for tr in values:
-            late = np.sum([kernels.rescaled(own, s.fs, tr, full, tau) for own, tau in bands], axis=0)
-            yield tr, kernels.peak_normalised(np.concatenate([head, late]))
+            bands.append((own, int(crossing), amplitude, tau, seed))
+        for i, tr in enumerate(values):
+            parts = (kernels.rescaled(kernels.denoised(own, s.fs, crossing, amplitude, tau, seed + i), s.fs, tr, full, tau) for own, crossing, amplitude, tau, seed in bands)
+            yield kernels.peak_normalised(np.concatenate([head, np.sum(list(parts), axis=0)]))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in frames:
             for name, split, x, seeds in zip(df["rir_name"], df["split"], df["x"], df["seeds"]):
-                try:
-                    with np.errstate(all="ignore"):
-                        for tr, y in longer(np.asarray(x, float), [int(k) for k in seeds]):
-                            yield pd.DataFrame({"rir_name": [name], "split": [split], "tr": [tr], "x": [y]})
-                except udfs.FAILURES:
-                    continue
+                made, error = iter(()), "EmptySignal"
+                if x is not None and len(x):
+                    made, error = longer(np.asarray(x, float), [int(k) for k in seeds]), None
+                for tr in values:
+                    y = None
+                    try:
+                        with np.errstate(all="ignore"):
+                            y = next(made, None)
+                    except udfs.FAILURES as e:  # the decay times after this one have the same error
+                        error = type(e).__name__
+                    yield pd.DataFrame({"rir_name": [name], "split": [split], "tr": [tr], "x": [y], "error": [error]})
 
     seeds = F.array(*(F.xxhash64("rir_name", F.lit(b), F.lit(s.seed)) for b in s.bands))
-    rows = responses.where(F.size("x") > 0).select("rir_name", "split", "x", seeds.alias("seeds"))
-    return rows.mapInPandas(run, "rir_name string, split string, tr double, x array<double>")
+    return responses.select("rir_name", "split", "x", seeds.alias("seeds")).mapInPandas(run, "rir_name string, split string, tr double, x array<double>, error string")
 
 
 def variants(responses: DataFrame, s: Settings) -> DataFrame:
-    """(rir_name, split, aug_tag, x) from (rir_name, split, augment, x): each response itself and, where augment is set, at each decay time, and for a random few of those at each direct-to-reverberant ratio."""
-    own = responses.select("rir_name", "split", F.lit("original").alias("aug_tag"), F.col("x").cast("array<double>").alias("x"))
+    """(rir_name, split, aug_tag, x, error) from (rir_name, split, augment, x): each response itself and, where augment is set, at each decay time, and for a random few of those at each direct-to-reverberant ratio. A variant that can't be made has a null x and its error."""
+    own = responses.select("rir_name", "split", F.lit("original").alias("aug_tag"), F.col("x").cast("array<double>").alias("x"), F.lit(None).cast("string").alias("error"))
     longer = tr_variants(responses.where("augment"), s)
     drawn = longer.where(chance(F.col("rir_name"), F.col("tr"), seed=s.seed, out_of=len(sweep_values(*s.tr)), kept=s.drr_draws))
     direct = sweep(drawn, "drr", *s.drr)
-    direct = direct.withColumn("x", udfs.with_direct_ratio(F.col("x"), F.col("drr"), s.fs)).where("x is not null")
+    direct = direct.withColumn("x", udfs.with_direct_ratio(F.col("x"), F.col("drr"), s.fs)).withColumn("error", F.when(F.col("x").isNull(), F.coalesce("error", F.lit("RatioNotReached"))))
     return (
-        own.unionByName(longer.select("rir_name", "split", tr_tag(F.col("tr")).alias("aug_tag"), "x"))
-        .unionByName(direct.select("rir_name", "split", tr_drr_tag(F.col("tr"), F.col("drr")).alias("aug_tag"), "x"))
+        own.unionByName(longer.select("rir_name", "split", tr_tag(F.col("tr")).alias("aug_tag"), "x", "error"))
+        .unionByName(direct.select("rir_name", "split", tr_drr_tag(F.col("tr"), F.col("drr")).alias("aug_tag"), "x", "error"))
     )
 
 
 def described(responses: DataFrame, s: Settings) -> DataFrame:
-    """Each variant per band with t30, c50, c80, d50, drr, and error: why it can't be described, else null. A variant goes to Python once for all its bands."""
+    """Each variant per band with t30, c50, c80, d50, drr, and error: why it can't be described (its own error, if it has one), else null. A variant goes to Python once for all its bands."""
     names = ["t30", "c50", "c80", "d50", "drr"]
 
     def one(x: np.ndarray, band: int) -> tuple:
@@ -96,11 +100,11 @@ def described(responses: DataFrame, s: Settings) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in frames:
-            for name, split, tag, x in zip(df["rir_name"], df["split"], df["aug_tag"], df["x"]):
-                rows = [(name, split, tag, b, *udfs.attempted(one, names, x, b)) for b in s.bands]
+            for name, split, tag, x, error in zip(df["rir_name"], df["split"], df["aug_tag"], df["x"], df["error"]):
+                rows = [(name, split, tag, b, *([None] * len(names) + [error] if error else udfs.attempted(one, names, x, b))) for b in s.bands]
                 yield pd.DataFrame(rows, columns=["rir_name", "split", "aug_tag", "band", *names, "error"])
 
-    rows = responses.select("rir_name", "split", "aug_tag", "x")
+    rows = responses.select("rir_name", "split", "aug_tag", "x", "error" if "error" in responses.columns else F.lit(None).cast("string").alias("error"))
     return rows.mapInPandas(run, "rir_name string, split string, aug_tag string, band int, " + ", ".join(f"{n} double" for n in names) + ", error string")
 
 
@@ -127,10 +131,19 @@ def band_features(signals: DataFrame, s: Settings) -> DataFrame:
     return signals.select(F.col("name").cast("string"), "x").mapInPandas(run, "name string, band int, tae array<double>, error string")
 
 
-def features(pairs: DataFrame, s: Settings) -> DataFrame:
-    """pairs (dry, h, measures, and more columns) as one row for each of its measures, with tae and snr instead of dry and h: the speech through the response, per band, with noise if it is to be added. A pair is convolved and goes to Python once."""
-    keep = [c for c in pairs.columns if c not in ("dry", "h", "measures")]
-    bands = pairs.withColumns({"bands": F.col("measures.band"), "seeds": F.transform("measures.band", lambda b: F.xxhash64("speech_name", "rir_name", "aug_tag", b, F.lit(s.seed)))})
+def _in_blocks(rows: DataFrame, sizes: DataFrame, names: list[str], own: str, other: str) -> DataFrame:
+    """rows once for each block of the other side of their split, in a block of their own side by a hash of their names."""
+    rows = rows.join(F.broadcast(sizes), "split").withColumn(own, F.pmod(F.xxhash64(*names), F.col(f"{own}s")))
+    return rows.withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"{other}s") - 1))).drop("wet_blocks", "dry_blocks")
+
+
+def features(wet: DataFrame, speech: DataFrame, s: Settings) -> DataFrame:
+    """A row for each response (rir_name, aug_tag, split, h, measures) with each speech (speech_name, split, dry) of its split and each of its measures: tae, snr and error instead of h, dry and measures. That is the speech through the response, per band, with noise if it is to be added; tae is null where error says why.
+
+    Both sides are cut into blocks of about BLOCK signals, and a task gets a block of each: a signal's spectrum is found once for all signals that it meets there, and a signal is shuffled once for each block of the other side.
+    """
+    counts = lambda rows, name: rows.groupBy("split").agg(F.ceil(F.count("*") / BLOCK).alias(name))
+    sizes = counts(wet, "wet_blocks").join(counts(speech, "dry_blocks"), "split")  # a row a split
     low, wide = s.snr[0], s.snr[1] - s.snr[0]
 
     def one(audio: np.ndarray, band: int, seed: int) -> tuple[np.ndarray, float]:
@@ -140,42 +153,60 @@ def features(pairs: DataFrame, s: Settings) -> DataFrame:
             own = kernels.with_noise(own, snr, seed)
         return kernels.temporal_envelope(own, s.fs), snr
 
-    def found(dry, h, bands, seeds) -> list[dict | None]:
-        try:
-            audio = kernels.convolved(np.asarray(dry, float), np.asarray(h, float))
-        except udfs.FAILURES:
-            return [None] * len(bands)
-        out: list[dict | None] = []
-        for band, seed in zip(bands, seeds):
-            try:
-                with np.errstate(all="ignore"):
-                    tae, snr = one(audio, int(band), int(seed))
-                out.append({"tae": tae.tolist(), "snr": snr})
-            except udfs.FAILURES:
-                out.append(None)
-        return out
-
-    @pandas_udf(ArrayType(StructType().add("tae", ArrayType(DoubleType())).add("snr", DoubleType())))
-    def made(dry: pd.Series, h: pd.Series, bands: pd.Series, seeds: pd.Series) -> pd.Series:
-        return pd.Series([found(*row) for row in zip(dry, h, bands, seeds)], dtype=object)
-
-    both = bands.select(*keep, F.arrays_zip(F.col("measures").alias("m"), made("dry", "h", "bands", "seeds").alias("f")).alias("z"))
-    rows = both.select(*keep, F.explode("z").alias("z"))
-    return rows.select(*keep, "z.m.*", "z.f.*").where("tae is not null")
-
-
-def records(responses: DataFrame, speech: DataFrame, s: Settings = Settings(), keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
-    """The record table of responses (rir_name, split, augment, x) and speech (speech_name, split, x).
-
-    Variants are used twice, once to be described and once to be convolved: keep may write them to a shared table and read that.
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        signals = lambda t, c: [None if v.values is None else v.values.to_numpy(zero_copy_only=False) for v in t.column(c)]
+        hs, xs = signals(left, "h"), signals(right, "dry")
+        longest = lambda found: max((len(v) for v in found if v is not None), default=0)
+        size = 1 << max(longest(hs) + longest(xs) - 2, 0).bit_length()
+        spectra = [[None if v is None or not len(v) else np.fft.rfft(v, size) for v in found] for found in (hs, xs)]
+        out = []
+        for r, h, fh in zip(left.drop_columns(["h"]).to_pylist(), hs, spectra[0]):
+            for name, x, fx in zip(right.column("speech_name").to_pylist(), xs, spectra[1]):
+                audio = None if fh is None or fx is None else kernels.middle(np.fft.irfft(fx * fh, size), len(x), len(h))
+                for m in r["measures"]:
+                    tae, snr, error = None, None, "EmptySignal"
+                    if audio is not None:
+                        try:
+                            with np.errstate(all="ignore"):
+                                (tae, snr), error = one(audio, m["band"], kernels.seed_of(name, r["rir_name"], r["aug_tag"], m["band"], s.seed)), None
+                        except udfs.FAILURES as e:
+                            error = type(e).__name__
+                    out.append({"split": r["split"], "speech_name": name, "rir_name": r["rir_name"], "aug_tag": r["aug_tag"], **m, "tae": tae, "snr": snr, "error": error})
+        return pa.Table.from_pylist(out, schema=_FEATURE_ARROW)
+
+    left = _in_blocks(wet.select("split", "rir_name", "aug_tag", "h", "measures"), sizes, ["rir_name", "aug_tag"], "wet_block", "dry_block")
+    right = _in_blocks(speech.select("split", "speech_name", "dry"), sizes, ["speech_name"], "dry_block", "wet_block")
+    by = ["split", "wet_block", "dry_block"]
+    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(run, _FEATURES)
+
+
+#: Signals of a block of either side, about.
+BLOCK = 8
+_FEATURES = "split string, speech_name string, rir_name string, aug_tag string, band int, descriptors struct<t30:double,c50:double,c80:double,d50:double>, drr double, tae array<double>, snr double, error string"
+_FEATURE_ARROW = pa.schema(
+    [*((c, pa.string()) for c in ("split", "speech_name", "rir_name", "aug_tag")), ("band", pa.int32()), ("descriptors", pa.struct([(c, pa.float64()) for c in ("t30", "c50", "c80", "d50")])),
+     ("drr", pa.float64()), ("tae", pa.list_(pa.float64())), ("snr", pa.float64()), ("error", pa.string())]
+)
+
+
+def outcomes(responses: DataFrame, speech: DataFrame, s: Settings = Settings(), keep: Callable[[DataFrame], DataFrame] = lambda df: tables.shared(df, "variants")) -> DataFrame:
+    """The record table of responses (rir_name, split, augment, x) and speech (speech_name, split, x), and what didn't come to be a record: each (speech, variant, band), or where a variant can't be described in a band each (variant, band) without speech_name, with error null for records and else why there is none.
+
+    Variants are used twice, once to be described and once to be convolved, and their description twice; keep writes them to a shared table. rejected tells both kinds apart: written by it (tables.write_outcomes), records and rejects come from one pass.
     """
     every = keep(variants(responses, s))
+    told = keep(described(every, s))
     measures = F.struct("band", F.struct("t30", "c50", "c80", "d50").alias("descriptors"), "drr")
-    good = described(every, s).where("error is null").groupBy("rir_name", "aug_tag").agg(F.collect_list(measures).alias("measures"))  # at most one a band
-    wet = every.select("rir_name", "aug_tag", "split", F.col("x").alias("h")).join(good, ["rir_name", "aug_tag"])
-    pairs = within_split(wet, speech.select("speech_name", "split", F.col("x").alias("dry")))
-    out = features(pairs, s)
+    good = told.where("error is null").groupBy("rir_name", "aug_tag", "split").agg(F.collect_list(measures).alias("measures"))  # at most one a band
+    wet = every.where("error is null").select("rir_name", "aug_tag", "split", F.col("x").alias("h")).join(good, ["rir_name", "aug_tag", "split"])
+    out = features(wet, speech.select("speech_name", "split", F.col("x").cast("array<double>").alias("dry")), s)
+    out = out.unionByName(told.where("error is not null").select("split", "rir_name", "aug_tag", "band", "error"), allowMissingColumns=True)
     return out.select(
         audio_name(F.col("speech_name"), F.col("rir_name"), F.col("aug_tag")).alias("reverbed_audio"), F.col("split").alias("type_data"), "band", "speech_name", "rir_name", "aug_tag",
-        "descriptors", "drr", "tae", "snr",
+        "descriptors", "drr", "tae", "snr", "error", F.col("error").isNotNull().alias("rejected"),
     )
+
+
+def records(responses: DataFrame, speech: DataFrame, s: Settings = Settings(), keep: Callable[[DataFrame], DataFrame] = lambda df: tables.shared(df, "variants")) -> DataFrame:
+    """The rows of outcomes() that are records."""
+    return outcomes(responses, speech, s, keep).where("not rejected").drop("error", "rejected")

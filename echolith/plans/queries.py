@@ -1,4 +1,4 @@
-"""Registered queries: each applies operators to the driver's tables, with SQL that another engine can run where SQL can say it.
+"""Registered queries: each applies operators to the given tables, with SQL that another engine can run where SQL can say it.
 
 lineitem stands in for a record table (line numbers are bands), events for one signal per user, embeddings for short impulse responses. Sums in floating point are rounded, as engines add in different orders.
 """
@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from echolith.functions import arrays as A
 from echolith.functions import kernels, udfs
 from echolith.operators import ranks, records, samples, splits
-from echolith.plans import database, model
+from echolith.plans import database, model, training
 from echolith.schema import BANDS, audio_name, name_part, stem, tr_drr_tag, tr_tag
-from echolith.sources.audio import synthetic_responses
+from echolith.sources import tables
 
 #: Rate at which 64 samples hold the 50 and 80 ms boundaries, and the direct sound's half window there.
 RATE, WINDOW = 300, 0.01
@@ -518,11 +518,40 @@ def compensated_decay(spark, sf_dir):
     return samples.compensated_energy(rows, bounds).select("name", F.col("n").cast("long").alias("n"), r("share", 8).alias("share"))
 
 
-# What SQL can't say: iterated fits and seeded noise, tested against closed forms.
+_RESAMPLED = f"""WITH {_SIG}, z AS (SELECT name, count(*) AS size FROM sig GROUP BY name), o AS (SELECT name, unnest(range((size * 2 + 4) // 5)) AS m FROM z),
+    p AS (SELECT name, m, m * 5 // 2 AS place, (m * 5 % 2) / 2.0::DOUBLE AS phase FROM o),
+    t AS (SELECT j, ph, CASE WHEN abs(j - ph) >= 85 THEN 0 WHEN j = ph THEN 1 ELSE sin(pi() * 0.38 * (j - ph)) / (pi() * 0.38 * (j - ph)) * power(cos(pi() * (j - ph) / 170), 2) END AS w FROM range(-84, 86) a(j), (VALUES (0.0::DOUBLE), (0.5::DOUBLE)) b(ph)),
+    w AS (SELECT ph, sum(w) AS whole FROM t GROUP BY ph)
+  SELECT p.name, p.m AS n, round(sum(v * t.w) / max(whole), 6) AS v FROM p JOIN t ON t.ph = p.phase JOIN w ON w.ph = p.phase JOIN sig ON sig.name = p.name AND sig.n = p.place + t.j GROUP BY p.name, p.m"""
 
 
-def _responses(spark: SparkSession, each: int = 2) -> DataFrame:
-    return synthetic_responses(spark, each, (0.4, 1.3, 0.4), seed=1)
+@query(_RESAMPLED)
+def resample_series(spark, sf_dir):
+    """Each series from 100 to 40 samples a second; the SQL adds up the filter's taps."""
+    return samples.resampled(sig(spark, sf_dir), 100, 40).select("name", "n", r("v").alias("v"))
+
+
+@query("""WITH f AS (SELECT p_partkey AS id, CASE WHEN p_size % 4 = 0 THEN NULL ELSE p_brand END AS room, concat('file_', p_partkey % 50) AS name FROM part),
+    k AS (SELECT room, name, count(*) AS n, sum(count(*)) OVER (PARTITION BY room) AS size, sum(count(*)) OVER (PARTITION BY room ORDER BY ('0x' || substr(md5(concat(name, '|', '2222')), 1, 15))::BIGINT ROWS UNBOUNDED PRECEDING) AS upto FROM f GROUP BY room, name)
+  SELECT id, f.room, f.name, CASE WHEN upto <= floor(size * 0.8::DOUBLE) THEN 'train' ELSE 'test' END AS split FROM f JOIN k ON k.room IS NOT DISTINCT FROM f.room AND k.name = f.name""")
+def split_shared_names(spark, sf_dir):
+    """A train share of each room's files, rooms sharing names, names repeating in a room, some rooms unknown."""
+    room, name = F.when(F.col("p_size") % 4 != 0, F.col("p_brand")), F.concat(F.lit("file_"), F.col("p_partkey") % 50)
+    files = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), room.alias("room"), name.alias("name"))
+    return splits.with_split(files, ["room"], "name", 2222)
+
+
+# Signals made for each row of a given table, as none holds audio. What SQL can't say (iterated fits, seeded noise, networks) is tested against closed forms and plain versions.
+
+
+def _responses(spark: SparkSession, sf_dir: str, fs: int = 16_000) -> DataFrame:
+    """A response (rir_name, split, augment, tr, seed, x) for each supplier, its decay time 0.4 to 1.3 s by its key; those of one nation in five are to be augmented."""
+    key = F.col("s_suppkey")
+    rows = table(spark, sf_dir, "supplier").select(
+        F.concat(F.element_at(F.array(*map(F.lit, splits.CATEGORIES)), (key % 4 + 1).cast("int")), F.lit("_"), key).alias("rir_name"), F.when(key % 5 == 0, "test").otherwise("train").alias("split"),
+        (F.col("s_nationkey") % 5 == 1).alias("augment"), (key % 10 / 10 + 0.4).alias("tr"), F.xxhash64("s_suppkey").alias("seed"),
+    )
+    return rows.withColumn("augment", F.col("augment") & ~F.col("rir_name").contains("sintetica")).withColumn("x", udfs.synthetic_response(F.col("tr"), F.col("seed"), fs))
 
 
 def _with_floor(responses: DataFrame, level: float) -> DataFrame:
@@ -530,78 +559,113 @@ def _with_floor(responses: DataFrame, level: float) -> DataFrame:
     return responses.withColumn("x", udfs.with_noise(F.col("x"), F.lit(level), F.col("seed")))
 
 
-@query()
+_NAMES = "SELECT concat(['sintetica', 'great_hall', 'octagon', 'classroom'][s_suppkey % 4 + 1], '_', s_suppkey) AS name, s_suppkey % 10 / 10.0::DOUBLE + 0.4 AS tr FROM supplier"
+
+
+@query(f"SELECT name, round(tr, 2) AS tr, floor((tr + 0.5) * 16000)::BIGINT AS n, 1.0::DOUBLE AS peak FROM ({_NAMES})")
 def synthetic_rir(spark, sf_dir):
-    return _responses(spark).select("name", r("tr", 2).alias("tr"), F.size("x").alias("n"), r(A.peak(F.col("x")), 6).alias("peak"))
+    return _responses(spark, sf_dir).select(F.col("rir_name").alias("name"), r("tr", 2).alias("tr"), F.size("x").cast("long").alias("n"), r(A.peak(F.col("x")), 6).alias("peak"))
 
 
 @query()
 def lundeby_t30(spark, sf_dir):
-    """Reverberation time of synthetic responses with a noise floor at -70 dB, next to the one they were made with."""
-    return _with_floor(_responses(spark), 55.0).withColumn("d", udfs.decay_time(F.col("x"), 16_000, -45.0)).select("name", r("tr", 2).alias("tr"), r("d.t30", 4).alias("t30"), r("d.noise_db", 2).alias("noise_db"), "d.error")
+    """Reverberation time of responses with a noise floor, next to the one they were made with."""
+    return _with_floor(_responses(spark, sf_dir), 55.0).withColumn("d", udfs.decay_time(F.col("x"), 16_000, -45.0)).select("rir_name", r("tr", 2).alias("tr"), r("d.t30", 4).alias("t30"), r("d.noise_db", 2).alias("noise_db"), "d.error")
 
 
-@query()
+@query(f"SELECT name, 200::BIGINT AS n, 1.0::DOUBLE AS peak FROM ({_NAMES})")
 def tae_feature(spark, sf_dir):
-    long = F.slice(F.concat("x", F.array_repeat(F.lit(0.0), 80_000)), 1, 80_000)
-    return _responses(spark, 1).select("name", udfs.temporal_envelope(long).alias("tae")).select("name", F.size("tae").alias("n"), r(F.array_max("tae"), 6).alias("peak"))
+    long = F.slice(F.concat(F.col("x").cast("array<double>"), F.array_repeat(F.lit(0.0), 80_000)), 1, 80_000)
+    return _responses(spark, sf_dir).select(F.col("rir_name").alias("name"), udfs.temporal_envelope(long).alias("tae")).select("name", F.size("tae").cast("long").alias("n"), r(F.array_max("tae"), 6).alias("peak"))
 
 
-@query()
+@query(f"SELECT name, 12.0::DOUBLE AS snr FROM ({_NAMES})")
 def pink_noise_snr(spark, sf_dir):
-    mixed = _responses(spark, 1).withColumn("both", udfs.with_noise(F.col("x"), F.lit(12.0), F.col("seed")))
+    mixed = _responses(spark, sf_dir).withColumn("both", udfs.with_noise(F.col("x"), F.lit(12.0), F.col("seed")))
     noise = F.zip_with("both", "x", lambda a, b: a - b)
-    return mixed.select("name", r(A.snr_db(A.rms(F.col("x")), A.rms(noise)), 6).alias("snr"))
+    return mixed.select(F.col("rir_name").alias("name"), r(A.snr_db(A.rms(F.col("x")), A.rms(noise)), 6).alias("snr"))
 
 
 @query()
 def decay_fit(spark, sf_dir):
-    late = _with_floor(_responses(spark), 35.0).select("name", "tr", udfs.head_and_late(F.col("x")).alias("p")).select("name", "tr", F.col("p.late").alias("x"))
+    late = _with_floor(_responses(spark, sf_dir), 35.0).select("rir_name", "tr", udfs.head_and_late(F.col("x")).alias("p")).select("rir_name", "tr", F.col("p.late").alias("x"))
     out = late.withColumn("d", udfs.decay_parameters(F.col("x"))).withColumn("f", udfs.full_band_decay(F.col("x")))
-    return out.select("name", r("tr", 2).alias("tr"), r("d.tau", 5).alias("tau"), r("f.tau", 5).alias("full_tau"), "d.error")
+    return out.select("rir_name", r("tr", 2).alias("tr"), r("d.tau", 5).alias("tau"), r("f.tau", 5).alias("full_tau"), "d.error")
 
 
-def _settings() -> database.Settings:
-    return database.Settings(bands=(500, 1000), noise_db=-10.0, tr=(0.5, 1.6, 0.5), drr=(0.0, 7.0, 3.0), drr_draws=2)
+#: The record plan's queries run at a tenth of the usual rate, all seven bands, with short sweeps.
+PLAN = database.Settings(bands=(8, 16, 31, 63, 125, 250, 500), fs=1600, noise_db=-10.0, tr=(0.5, 1.6, 0.5), drr=(0.0, 7.0, 3.0), drr_draws=2)
 
 
-def _pipeline_inputs(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    made = _with_floor(synthetic_responses(spark, 1, (0.4, 1.0, 0.4), seed=3), 35.0)
-    responses = made.select(F.concat(F.lit("octagon_"), F.format_string("%.1f", "tr")).alias("rir_name"), F.lit("train").alias("split"), F.lit(True).alias("augment"), F.slice("x", 1, 80_000).alias("x"))
-    speech = spark.range(2).select(F.concat(F.lit("sp"), "id").alias("speech_name"), F.lit("train").alias("split"), udfs.pink_noise(F.lit(80_000), F.col("id") + 5).alias("x"))
-    return responses, speech
+def _plan_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Responses, and five seconds of speech for each region."""
+    key = F.col("r_regionkey").cast("long")
+    speech = table(spark, sf_dir, "region").select(F.concat(F.lit("sp"), key).alias("speech_name"), F.when(key % 5 >= 3, "test").otherwise("train").alias("split"), udfs.pink_noise(F.lit(5 * PLAN.fs), key + 5).alias("x"))
+    return _with_floor(_responses(spark, sf_dir, PLAN.fs), 35.0), speech
 
 
 @query()
 def tr_augment(spark, sf_dir):
     """Each response at each decay time, and the time that is then measured."""
-    out = database.tr_variants(_pipeline_inputs(spark)[0], _settings())
-    return out.withColumn("d", udfs.decay_time(F.col("x"), 16_000, -10.0)).select("rir_name", r("tr", 2).alias("tr"), F.size("x").alias("n"), r("d.t30", 3).alias("t30"), "d.error")
+    out = database.tr_variants(_plan_inputs(spark, sf_dir)[0], PLAN)
+    return out.withColumn("d", udfs.decay_time(F.col("x"), PLAN.fs, -10.0)).select("rir_name", r("tr", 2).alias("tr"), F.size("x").alias("n"), r("d.t30", 3).alias("t30"), F.coalesce("error", "d.error").alias("error"))
 
 
 @query()
 def record_table(spark, sf_dir):
-    responses, speech = _pipeline_inputs(spark)
-    out = database.records(responses, speech, _settings())
+    out = database.records(*_plan_inputs(spark, sf_dir), PLAN)
     return out.select("reverbed_audio", "type_data", "band", r("descriptors.t30", 3).alias("t30"), r("descriptors.c50", 3).alias("c50"), r("drr", 3).alias("drr"), F.size("tae").alias("n_tae"))
 
 
+@query()
+def record_outcomes(spark, sf_dir):
+    """How many records and rejects, by their errors, each band and split has."""
+    out = database.outcomes(*_plan_inputs(spark, sf_dir), PLAN)
+    return out.groupBy("type_data", "band", F.coalesce("error", F.lit("none")).alias("error")).agg(F.count("*").alias("rows"), F.countDistinct("rir_name", "aug_tag").alias("variants"))
+
+
 @query()
 def cnn_predict(spark, sf_dir):
     """Untrained networks over features made of events: one row per record and descriptor set."""
-    feature = sig(spark, sf_dir).groupBy("name").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "v"))), lambda s: s.v).alias("v"))
-    step = F.greatest(F.size("v"), F.lit(200))  # a longer series is read at 200 places over its whole length
-    whole = F.transform(F.sequence(F.lit(0), F.lit(199)), lambda i: F.coalesce(F.get("v", F.floor(i * step / 200).cast("int")), F.lit(0.0)))
-    rows = feature.select("name", whole.alias("tae"), F.explode(F.array(*map(F.lit, BANDS))).alias("band"))
+    rows = samples.binned(sig(spark, sf_dir), 200).select("name", F.col("x").alias("tae"), F.explode(F.array(*map(F.lit, BANDS))).alias("band"))
     return model.predict(rows, model.weight_table(spark, {b: model.initial_weights(b) for b in BANDS}), ["name", "band"])
 
 
+def _training_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records (name, band, type_data, tae, descriptors) of the users' series: a band's t30 is the mean of its seventh of the feature, the others are ratios of energies early and late."""
+    x = F.col("tae")
+    bands = F.explode(F.array(*(F.struct(F.lit(b).alias("band"), F.lit(i).alias("i")) for i, b in enumerate(BANDS)))).alias("b")
+    rows = samples.binned(sig(spark, sf_dir), 200).select("name", F.transform("x", lambda v: v / 100).alias("tae"), bands).select("name", "tae", "b.*")
+    t30 = F.aggregate(F.slice(x, F.col("i") * 28 + 1, F.lit(28)), F.lit(0.0), lambda a, v: a + v) / 28
+    return rows.select("name", "band", F.when(F.col("name") % 5 == 0, "test").otherwise("train").alias("type_data"), "tae", t30.alias("t30"), A.clarity(x, 50, 1000).alias("c50"), A.clarity(x, 80, 1000).alias("c80"), A.definition(x, 1000).alias("d50"))
+
+
+#: Few epochs, and small shards so that given tables have several a band.
+LEARNING = training.Training(epochs=4, patience=2, batch=64, shard_rows=512, tasks=8, rate=0.01)
+
+
+@query()
+def cnn_history(spark, sf_dir):
+    """Training of the seven bands' networks: losses of each epoch."""
+    path = tables.work_folder(spark, "run")
+    training.train(records.normalised(_training_records(spark, sf_dir)), path, ["name"], LEARNING)
+    return training.history(spark, path).select("band", "epoch", r("loss").alias("loss"), r("val_loss").alias("val_loss"))
+
+
+@query()
+def cnn_train(spark, sf_dir):
+    """A whole experiment: percentiles, training, rounded predictions of the test records, errors."""
+    path = tables.work_folder(spark, "experiment")
+    training.experiment(_training_records(spark, sf_dir), path, ["name"], LEARNING)
+    return tables.read_results(spark, f"{path}/results")
+
+
 @query()
 def room_estimates(spark, sf_dir):
-    """Untrained networks' estimates from generated signals, one for each region, beside a measurement of each."""
-    regions = table(spark, sf_dir, "region").select(F.concat(F.lit("room_"), "r_regionkey").alias("name"), F.col("r_regionkey").alias("k"))
-    signals = regions.select("name", udfs.pink_noise(F.lit(80_000), F.col("k").cast("long") + 1).alias("x"))
+    """Untrained networks' estimates from generated signals, one for each nation, beside a measurement of each."""
+    rooms = table(spark, sf_dir, "nation").select(F.concat(F.lit("room_"), "n_nationkey").alias("name"), F.col("n_nationkey").alias("k"))
+    signals = rooms.select("name", udfs.pink_noise(F.lit(80_000), F.col("k").cast("long") + 1).alias("x"))
     bands = F.explode(F.array(*map(F.lit, BANDS))).alias("band")
     scales = spark.range(1).select(bands, *(F.lit(v).alias(f"{c}_p95") for c, v in zip(records.DESCRIPTORS, (2.0, 20.0, 25.0, 1.0))))
-    measured = regions.select("name", bands, *(F.lit(v).alias(c) for c, v in zip(records.DESCRIPTORS, (0.8, 3.0, 6.0, 0.6))))
+    measured = rooms.select("name", bands, *(F.lit(v).alias(c) for c, v in zip(records.DESCRIPTORS, (0.8, 3.0, 6.0, 0.6))))
     return model.room_estimates(signals, model.weight_table(spark, {b: model.initial_weights(b) for b in BANDS}), scales, measured)

@@ -256,12 +256,12 @@ def _summed(parts: DataFrame, tasks: int) -> dict[int, tuple[float, float, float
 
 
 def dealt(rows: DataFrame, keys: list[str], t: Training) -> DataFrame:
-    """(band, shard, validation, tae, target) from records (keys..., band, tae, descriptors as columns), dealt to tasks and sorted by band and shard."""
+    """(band, shard, validation, tae, target) from records (keys..., band, tae, descriptors as columns), dealt to tasks and sorted by band and shard. The records are written to a shared table first, as the split reads their keys several times."""
     target = F.array(*(F.col(c).cast("double") for c in records.DESCRIPTORS))
     fits = F.col("band").isNotNull() & (F.size("tae") == FEATURE_SIZE) & ~F.exists("tae", lambda v: v.isNull() | F.isnan(v)) & ~F.exists(target, lambda v: v.isNull() | F.isnan(v))
     name = F.concat_ws("|", *(F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys))
     rows = rows.where(fits).select(F.col("band").cast("int").alias("band"), name.alias("key"), F.col("tae").cast("array<double>").alias("tae"), target.alias("target"))
-    rows = ranks.with_validation(rows, ["band"], F.col("key"), t.seed, t.validation)
+    rows = ranks.with_validation(tables.shared(rows, "training"), ["band"], F.col("key"), t.seed, t.validation)
     counts = rows.groupBy("band").agg(F.ceil(F.count("*") / t.shard_rows).alias("shards"))  # a row a band
     shard = F.pmod(F.xxhash64("key", F.lit(t.seed)), F.col("shards"))
     rows = rows.join(F.broadcast(counts), "band").select("band", shard.alias("shard"), "validation", "tae", "target", F.xxhash64("key").alias("order"), "key")

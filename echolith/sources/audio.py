@@ -11,13 +11,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echolith.functions import udfs
+from echolith.functions import kernels, udfs
 from echolith.functions.arrays import peak_normalise
 from echolith.schema import FS, SECONDS, TR_SWEEP, stem, sweep_values
 
 
 def decode_wave(content: bytes, fs: int, seconds: float) -> np.ndarray:
-    """Mono samples of a PCM file at fs, at most so many seconds of it. Channels are averaged; another sample rate is converted by cutting or filling the spectrum."""
+    """Mono samples of a PCM file at fs, at most so many seconds of it. Channels are averaged; another sample rate is converted by a polyphase filter."""
     with wave.open(io.BytesIO(content)) as f:
         rate, width, channels = f.getframerate(), f.getsampwidth(), f.getnchannels()
         raw = f.readframes(int(seconds * rate))
@@ -29,11 +29,7 @@ def decode_wave(content: bytes, fs: int, seconds: float) -> np.ndarray:
     else:
         x = np.frombuffer(raw, f"<i{width}") / 2.0 ** (8 * width - 1)
     x = x.reshape(-1, channels).mean(axis=1)
-    if rate != fs and len(x):
-        n = round(len(x) * fs / rate)
-        f, keep = np.fft.rfft(x), min(len(x), n) // 2 + 1
-        x = np.fft.irfft(np.concatenate([f[:keep], np.zeros(max(0, n // 2 + 1 - keep))]), n) * n / len(x)
-    return x[: int(seconds * fs)]
+    return kernels.resampled(x, rate, fs)[: int(seconds * fs)]
 
 
 def _decode(fs: int, seconds: float):

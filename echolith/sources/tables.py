@@ -54,6 +54,18 @@ def write_records(records: DataFrame, path: str, rows_a_file: int = ROWS_A_FILE)
     records.write.mode("overwrite").partitionBy("type_data", "band").option("maxRecordsPerFile", rows_a_file).parquet(path)
 
 
+def write_outcomes(outcomes: DataFrame, path: str, rows_a_file: int = ROWS_A_FILE) -> None:
+    """Records and rejects in one pass: rows with the columns rejected, type_data and band, a partition for each."""
+    outcomes.write.mode("overwrite").partitionBy("rejected", "type_data", "band").option("maxRecordsPerFile", rows_a_file).parquet(path)
+
+
+def read_outcomes(spark: SparkSession, path: str, rejected: bool) -> DataFrame:
+    """The records, or the rejects with their errors; the other kind's files aren't opened."""
+    found = spark.read.parquet(path)
+    found = found.where(found["rejected"] == rejected).drop("rejected")
+    return found.select("type_data", "band", "speech_name", "rir_name", "aug_tag", "error") if rejected else found.drop("error")
+
+
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 

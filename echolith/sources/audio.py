@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from echolith.functions import kernels, udfs
 from echolith.functions.arrays import peak_normalise
 from echolith.schema import FS, SECONDS, TR_SWEEP, stem, sweep_values
+from echolith.sources.flac import decode_flac
 
 
 def decode_wave(content: bytes, fs: int, seconds: float) -> np.ndarray:
@@ -32,12 +33,20 @@ def decode_wave(content: bytes, fs: int, seconds: float) -> np.ndarray:
     return kernels.resampled(x, rate, fs)[: int(seconds * fs)]
 
 
+def decode_audio(content: bytes, fs: int, seconds: float) -> np.ndarray:
+    """Mono samples of a WAV or FLAC file at fs, at most so many seconds of it."""
+    if content[:4] != b"fLaC":
+        return decode_wave(content, fs, seconds)
+    x, rate, depth = decode_flac(content, seconds)
+    return kernels.resampled(x.mean(axis=0) / 2.0 ** (depth - 1), rate, fs)[: int(seconds * fs)]
+
+
 def _decode(fs: int, seconds: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for path, content in zip(b.column("path").to_pylist(), b.column("content").to_pylist()):
                 try:
-                    x, error = decode_wave(content, fs, seconds).astype(np.float32), None
+                    x, error = decode_audio(content, fs, seconds).astype(np.float32), None
                 except (wave.Error, EOFError, ValueError) as e:
                     x, error = None, f"{type(e).__name__}: {e}"
                 yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([x], pa.list_(pa.float32())), pa.array([error], pa.string())], ["path", "x", "error"])
@@ -53,7 +62,7 @@ def decoded(files: DataFrame, fs: int = FS, seconds: float = SECONDS, normalise:
 
 
 def audio_files(spark: SparkSession, folder: str, pattern: str = "*.{wav,WAV,flac,FLAC}", recursive: bool = True) -> DataFrame:
-    """(path, length, content) of a folder's files. FLAC files are listed, but decoded() gives them an error. Without content selected, Spark doesn't open them."""
+    """(path, length, content) of a folder's files. Without content selected, Spark doesn't open them."""
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recursive).lower()).load(folder)
 
 

@@ -33,6 +33,22 @@ def butterworth(order: int, low: float | None, high: float | None, fs: float) ->
     return np.concatenate([(2 * fs + z) / (2 * fs - z), more]), (2 * fs + p) / (2 * fs - p), k
 
 
+def sections(order: int, low: float | None, high: float | None, fs: float, centre: float) -> np.ndarray:
+    """The filter as second-order sections, rows (b0, b1, b2, a1, a2) with a0 = 1, each of gain 1 at the centre frequency. Conjugate poles stay together, real ones in twos; the zeros, which lie at 1 and -1, are dealt so that a band-pass section has one of each. The poles nearest to the unit circle come last."""
+    z, p, _ = butterworth(order, low, high, fs)
+    real, upper = np.sort(p[np.abs(p.imag) < 1e-12].real), p[p.imag >= 1e-12]
+    pairs = [(q, q.conjugate()) for q in upper[np.argsort(np.abs(upper))]] + [tuple(real[i : i + 2]) for i in range(0, len(real), 2)]
+    zeros = sorted(z.real, key=lambda v: -v)
+    at, out = np.exp(-2j * pi * centre / fs), []
+    for pair in sorted(pairs, key=lambda pair: (len(pair) == 2, max(map(abs, pair)))):
+        own = [zeros.pop(0), zeros.pop()][: len(pair)] if len(pair) == 2 else [zeros.pop()]
+        b, a = np.zeros(3), np.zeros(3)
+        b[: len(own) + 1], a[: len(pair) + 1] = np.poly(own).real, np.poly(pair).real
+        gain = abs(np.polyval(b[::-1], at) / np.polyval(a[::-1], at))
+        out.append([*(b / gain), *a[1:]])
+    return np.array(out)
+
+
 @cache
 def _response(order: int, low: float | None, high: float | None, fs: float, size: int) -> np.ndarray:
     z, p, k = butterworth(order, low, high, fs)

@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from echolith.functions import kernels
+
 ROWS_A_FILE = 50_000
 #: Columns of a file of measured descriptors.
 MEASURED = "name string, band int, t30 double, c50 double, c80 double, d50 double"
@@ -81,6 +83,12 @@ def read_results(spark: SparkSession, path: str, bands: list[int] | None = None)
     return found.where(found["band"].isin(bands)) if bands else found
 
 
+def filter_table(spark: SparkSession, bands: tuple[int, ...], fs: int, order: int, kind: str = "octave band") -> DataFrame:
+    """(band, section, b0, b1, b2, a1, a2): each band's filter as second-order sections of gain 1 at the band's centre, for what filters sample by sample."""
+    rows = [(b, i, *map(float, row)) for b in bands for i, row in enumerate(kernels.sections(order, *kernels.band_edges(b, fs, kind), fs, b))]
+    return spark.createDataFrame(rows, "band int, section int, b0 double, b1 double, b2 double, a1 double, a2 double")
+
+
 def read_measured(spark: SparkSession, path: str) -> DataFrame:
     """Measured descriptors of rooms from CSV files with a header; a line that doesn't fit has nulls."""
     return spark.read.csv(path, MEASURED, header=True, enforceSchema=False)

@@ -99,3 +99,24 @@ def test_convolution_is_the_middle_part():
     x, h = np.random.default_rng(0).standard_normal(50), np.random.default_rng(1).standard_normal(21)
     want = np.convolve(x, h)[10:60]
     assert np.allclose(K.convolved(x, h), want / np.abs(want).max())
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+@pytest.mark.parametrize("low, high, centre", [(707.0, 1414.0, 1000.0), (None, 1000.0, 500.0), (5657.0, None, 8000.0)])
+def test_sections_have_the_filters_response_and_unit_gain_at_the_centre(order, low, high, centre):
+    z, p, k = K.butterworth(order, low, high, 22_050.0)
+    rows = K.sections(order, low, high, 22_050.0, centre)
+    whole = lambda w: k * np.prod(w - z) / np.prod(w - p)
+    part = lambda w, r: (r[0] + r[1] / w + r[2] / w**2) / (1 + r[3] / w + r[4] / w**2)
+    at = lambda f: np.exp(2j * np.pi * f / 22_050)
+    assert all(abs(part(at(centre), r)) == pytest.approx(1) for r in rows)
+    for f in (50.0, 400.0, 1200.0, 6000.0, 10_000.0):
+        assert np.prod([part(at(f), r) for r in rows]) / np.prod([part(at(centre), r) for r in rows]) == pytest.approx(whole(at(f)) / whole(at(centre)), rel=1e-7)
+    assert len(rows) == -(-len(p) // 2) and all(np.abs(np.roots([1, *r[3:]])).max() < 1 for r in rows)
+
+
+def test_a_table_of_sections(spark):
+    from echolith.sources.tables import filter_table
+
+    rows = filter_table(spark, (125, 1000, 8000), 22_050, 4).collect()
+    assert {b: sum(r["band"] == b for r in rows) for b in (125, 1000, 8000)} == {125: 4, 1000: 4, 8000: 2}

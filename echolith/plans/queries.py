@@ -564,7 +564,7 @@ _NAMES = "SELECT concat(['sintetica', 'great_hall', 'octagon', 'classroom'][s_su
 
 @query(f"SELECT name, round(tr, 2) AS tr, floor((tr + 0.5) * 16000)::BIGINT AS n, 1.0::DOUBLE AS peak FROM ({_NAMES})")
 def synthetic_rir(spark, sf_dir):
-    return _responses(spark, sf_dir).select(F.col("rir_name").alias("name"), r("tr", 2).alias("tr"), F.size("x").cast("long").alias("n"), r(A.peak(F.col("x")), 6).alias("peak"))
+    return _responses(spark, sf_dir).select(F.col("rir_name").alias("name"), r("tr", 2).alias("tr"), F.size("x").cast("long").alias("n"), r(A.peak(F.col("x")).cast("double"), 6).alias("peak"))
 
 
 @query()

@@ -1,8 +1,8 @@
 """Secret scan with a recursive decoding worklist.
 
-Three kinds of secrets are found in the text itself (the base) and again in every layer that can be unwrapped from it: URL escapes, Unicode and character-reference escapes, base64 runs, and compressed bytes inside those. Layers go on a worklist until none is new; a layer whose text was seen before at the same stretch of the original is dropped, which ends cycles. Each layer carries, for every character, the stretch of the original text that it came from, so that a secret found at any depth is reported by its span in the original, in code points, end exclusive.
+Three kinds of secrets are found in the text itself (the base) and again in every layer that can be unwrapped from it: URL escapes, Unicode and character-reference escapes, base64 runs, and compressed bytes inside those. Layers go on a worklist until none is new; a layer whose text was seen before at the same stretch of the original is dropped, which ends cycles. Escapes of escapes are unwrapped one level at a time for STEPS levels, each a layer, and from there to the innermost text in one pass, so that a text of n characters costs time and memory of the order of n however deep it nests (levels in between differ from that text in unfinished escapes only). Each layer carries, for every character, the stretch of the original text that it came from, so that a secret found at any depth is reported by its span in the original, in code points, end exclusive.
 
-Defined results: a null text counts as empty and has no spans. Rows that repeat are scanned alike. An empty table gives an empty result. Columns other than doc_id and text play no part. Base64 is read from each of its four alignments, also over line breaks; what does not decode to a text whole is searched for stretches of text and for compressed streams. Bytes that unpack to more than UNPACKED bytes are read in pieces that overlap by OVERLAP bytes, which bounds a task's memory; of a compressed stream inside such a stream only what its first piece holds is unpacked.
+Defined results: a null text counts as empty and has no spans. Rows that repeat are scanned alike. An empty table gives an empty result. Columns other than doc_id and text play no part. Base64 is read from each of its four alignments, also over line breaks; what does not decode to a text whole is searched for stretches of text and for compressed streams. Bytes that unpack to more than UNPACKED bytes are read in pieces that overlap by OVERLAP bytes, which bounds a task's memory; a compressed stream inside such a stream is read through it, whole. A very long text is scanned whole. Compressed streams within streams cost what they unpack to.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from __future__ import annotations
 import base64
 import bz2
 import hashlib
+import io
 import lzma
 import re
 import zlib
@@ -21,6 +22,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from echolith.llm.shared import values
+
 #: Kinds, in the order of reports.
 KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -29,7 +32,9 @@ NAMES = (b"password", b"passwd", b"secret", b"token", b"api_key", b"apikey")
 ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST = 12, 18, 16
 #: Shortest base64 run that is tried; share of printable characters that makes bytes a text.
 BASE64_LEAST, PRINTABLE = 16, 0.95
-UNPACKED, OVERLAP = 1 << 26, 1 << 16
+UNPACKED, OVERLAP, READ = 1 << 26, 1 << 16, 1 << 12
+#: Levels of escapes that are unwrapped one by one.
+STEPS = 4
 #: Base64 that goes on after a line break.
 WRAPPED = re.compile(rb"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{4,}+(?:[ \t]*+\r?\n[ \t]*+[A-Za-z0-9+/_-]++)++")
 #: Stretches of printable UTF-8 as long as what the shortest base64 run holds; where a compressed stream may begin.
@@ -118,30 +123,180 @@ def _unicode(layer: Layer) -> Iterator[Layer]:
         yield layer.replaced(parts, "unicode")
 
 
-def _unpack(data: bytes) -> Iterator[tuple[str, bytes]]:
-    """(format, bytes) if data begins as a compressed stream: whole, or in overlapping pieces if it is long. Of a stream that breaks off, pieces before its last."""
-    more = None
-    if data[:2] == b"\x1f\x8b" or data[:1] == b"\x78" and len(data) > 2 and (data[0] * 256 + data[1]) % 31 == 0:
-        name, d = ("gzip", zlib.decompressobj(31)) if data[0] == 0x1F else ("zlib", zlib.decompressobj(15))
-        more = lambda x: d.decompress(d.unconsumed_tail if x is None else x, UNPACKED)
-    elif data[:3] == b"BZh" or data[:6] == b"\xfd7zXZ\x00":
-        name, d = ("bz2", bz2.BZ2Decompressor()) if data[:1] == b"B" else ("xz", lzma.LZMADecompressor())
-        more = lambda x: d.decompress(x or b"", UNPACKED)
-    elif data[:4] == b"\x28\xb5\x2f\xfd":
-        name, d = "zstd", None
-        reader = zstandard.ZstdDecompressor().stream_reader(data)
-        more = lambda x: reader.read(UNPACKED)
-    if more is None:
+HEX = frozenset(map(ord, "0123456789abcdefABCDEF"))
+#: Codes from here on stand for single bytes of UTF-8.
+BYTE = 0x110000
+
+
+def _escape(codes: list[int]) -> tuple[int, int] | None:
+    """(code points that it takes, code) of the escape that codes end with."""
+    last = codes[-1]
+    if last in HEX:
+        for mark, digits, size in ((0x25, 2, 3), (0x78, 2, 4), (0x75, 4, 6), (0x55, 8, 10)):  # %.. \x.. \u.... \U........
+            if len(codes) >= size and codes[-digits - 1] == mark and (mark == 0x25 or codes[-size] == 0x5C) and all(c in HEX for c in codes[-digits:]):
+                code = int("".join(map(chr, codes[-digits:])), 16)
+                return size, code + BYTE if mark == 0x25 and code > 0x7F else code if code < BYTE else 0xFFFD
+    elif last in (0x7D, 0x3B):  # } of \u{...}, ; of &#...; and &#x...;
+        at = len(codes) - 1
+        while at and codes[at - 1] in HEX:
+            at -= 1
+        digits, before = "".join(map(chr, codes[at:-1])), codes[max(0, at - 3) : at]
+        base, opened = (16, before == [0x5C, 0x75, 0x7B]) if last == 0x7D else (16, True) if before in ([0x26, 0x23, 0x78], [0x26, 0x23, 0x58]) else (10, before[-2:] == [0x26, 0x23] and digits.isdigit())
+        if digits and opened and len(digits.lstrip("0")) <= (7 if base == 10 else 6):
+            code = int(digits.lstrip("0") or "0", base)
+            return len(codes) - at + (2 if base == 10 else 3), code if code < BYTE else 0xFFFD
+    return None
+
+
+def _innermost(layer: Layer) -> Layer:
+    """The layer with every escape unwrapped, those that unwrapping makes as well, in one pass: what is put on the stack may complete an escape, whose result may complete another."""
+    codes, starts, ends = [], [], []
+    for code, start, end in zip(map(ord, layer.text), layer.starts.tolist(), layer.ends.tolist()):
+        codes.append(code)
+        starts.append(start)
+        ends.append(end)
+        while (found := _escape(codes)) is not None:
+            size, new = found
+            codes[-size:] = [new]
+            del starts[len(codes) :], ends[len(codes) - 1 :]
+            ends.append(end)
+            if 0xDC00 <= new < 0xE000 and len(codes) > 1 and 0xD800 <= codes[-2] < 0xDC00:
+                codes[-2:] = [0x10000 + ((codes[-2] & 0x3FF) << 10) + (new & 0x3FF)]
+                del starts[-1], ends[-2]
+    text, first, last, at = [], [], [], 0
+    while at < len(codes):
+        if codes[at] < BYTE:
+            text.append("�" if 0xD800 <= codes[at] < 0xE000 else chr(codes[at]))
+            first.append(starts[at])
+            last.append(ends[at])
+            at += 1
+            continue
+        to = at
+        while to < len(codes) and codes[to] >= BYTE:
+            to += 1
+        for c in bytes(x - BYTE for x in codes[at:to]).decode("utf-8", "surrogateescape"):
+            size = len(c.encode("utf-8", "surrogateescape"))
+            text.append("�" if 0xDC80 <= ord(c) <= 0xDCFF else c)
+            first.append(starts[at])
+            last.append(ends[at + size - 1])
+            at += size
+    return Layer("".join(text), np.array(first, np.int64), np.array(last, np.int64), (*layer.path, "nested"))
+
+
+def _escapes(layer: Layer, narrow: bytes) -> Iterator[Layer]:
+    """The layer with its escapes unwrapped: one level of either kind, or past STEPS levels all that is left."""
+    if not (b"%" in narrow or b"\\" in narrow or b"&#" in narrow) or layer.path[-1:] == ("nested",):
         return
-    try:
-        tail, out = b"", more(data)
-        while len(out) == UNPACKED and not (d and d.eof):
-            yield name, tail + out
-            tail, out = out[-OVERLAP:], more(None)
-        if d is None or d.eof:
-            yield name, tail + out
-    except (zlib.error, OSError, ValueError, EOFError, lzma.LZMAError, zstandard.ZstdError):
-        pass
+    if len(layer.path) >= STEPS and {"url", "unicode"}.issuperset(layer.path[-STEPS:]):
+        yield _innermost(layer)
+    else:
+        yield from _url(layer)
+        yield from _unicode(layer)
+
+
+class _Unpacked(io.RawIOBase):
+    """What is unpacked from the compressed stream that a reader stands at. A stream that breaks off raises EOFError."""
+
+    def __init__(self, source: io.BufferedReader, made):
+        self.source, self.made = source, made
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, into) -> int:
+        d, size = self.made, len(into)
+        if isinstance(d, zstandard.ZstdDecompressionReader):
+            out = d.read(size)
+        else:
+            zipped = not hasattr(d, "needs_input")
+            out = b"" if d.eof else d.decompress(d.unconsumed_tail, size) if zipped else b""
+            while not out and not d.eof:
+                data = self.source.read1(READ) if zipped or d.needs_input else b""
+                if not data and (zipped or d.needs_input):
+                    raise EOFError
+                out = d.decompress(data, size)
+        into[: len(out)] = out
+        return len(out)
+
+
+def _opened(source: io.BufferedReader) -> tuple[str, io.BufferedReader] | None:
+    """(format, reader of what it holds) if a reader stands at a compressed stream."""
+    head = source.peek(6)[:6]
+    if head[:2] == b"\x1f\x8b":
+        name, made = "gzip", zlib.decompressobj(31)
+    elif head[:1] == b"\x78" and len(head) > 2 and (head[0] * 256 + head[1]) % 31 == 0:
+        name, made = "zlib", zlib.decompressobj(15)
+    elif head[:3] == b"BZh":
+        name, made = "bz2", bz2.BZ2Decompressor()
+    elif head == b"\xfd7zXZ\x00":
+        name, made = "xz", lzma.LZMADecompressor()
+    elif head[:4] == b"\x28\xb5\x2f\xfd":
+        name, made = "zstd", zstandard.ZstdDecompressor().stream_reader(source, closefd=False)
+    else:
+        return None
+    return name, io.BufferedReader(_Unpacked(source, made), READ)
+
+
+BROKEN = (zlib.error, OSError, ValueError, EOFError, lzma.LZMAError, zstandard.ZstdError)
+
+
+def _whole(piece: bytes) -> bytes:
+    """A piece of a longer text without the broken characters at its ends."""
+    first = next((i for i in range(min(4, len(piece))) if piece[i] & 0xC0 != 0x80), 0)
+    last = next((i for i in range(1, min(4, len(piece)) + 1) if piece[-i] & 0xC0 != 0x80), 0)
+    size = {0xC: 2, 0xD: 2, 0xE: 3, 0xF: 4}.get(piece[-last] >> 4, 1) if last else 0
+    return piece[first : len(piece) - last if last < size else len(piece)]
+
+
+def _piece(source: io.BufferedReader) -> bytes:
+    """The next UNPACKED bytes, fewer at the end."""
+    parts, left = [], UNPACKED
+    while left and (part := source.read(min(left, READ))):
+        parts.append(part)
+        left -= len(part)
+    return b"".join(parts)
+
+
+def _streams(data: bytes, start: int, path: tuple[str, ...], inner: dict[bytes, int]) -> Iterator[tuple[str, tuple[str, ...]]]:
+    """(text, path) of what is unpacked from the compressed stream at a place of data, and from streams within it: whole, or in overlapping pieces if it is long. Of a stream that breaks off, pieces before its last. inner has the digests of what streams within streams of data held, with their outermost stream's end: a place in such a stream that holds the same again is one of them."""
+    todo, seen, place, end = [(data, start, 1, path)], set(), start, 0
+    while todo:
+        data, start, times, path = todo.pop()
+        source = first = io.BufferedReader(io.BytesIO(data), READ)
+        source.seek(start)
+        try:
+            for _ in range(times):
+                if (made := _opened(source)) is None:
+                    break
+                name, source = made
+            if made is None:
+                continue
+            out = _piece(source)
+            own = hashlib.blake2b(out, digest_size=16).digest()
+            if own in seen:
+                continue
+            if seen:
+                inner[own] = max(inner.get(own, 0), end)
+            elif place < inner.get(own, 0):
+                return
+            elif len(out) < UNPACKED and hasattr(source.raw.made, "unused_data"):
+                end = first.tell() - len(source.raw.made.unused_data)
+            seen.add(own)
+            if len(out) < UNPACKED:
+                if (text := _as_text(out)) is not None:
+                    yield text, (*path, name)
+                else:
+                    todo.append((out, 0, 1, (*path, name)))
+                continue
+            if _as_text(_whole(out)) is None:
+                todo.append((data, start, times + 1, (*path, name)))
+            while out:
+                if (text := _as_text(_whole(out))) is not None:
+                    yield text, (*path, name)
+                more = _piece(source)
+                out = out[-OVERLAP:] + more if more else b""
+        except BROKEN:
+            continue
 
 
 def _as_text(data: bytes) -> str | None:
@@ -150,20 +305,12 @@ def _as_text(data: bytes) -> str | None:
         text = data.decode("utf-8")
     except UnicodeDecodeError:
         return None
+    if text.isprintable():
+        return text or None
     good = sum(c.isprintable() or c in "\t\r\n" for c in text)
     return text if text and good >= PRINTABLE * len(text) else None
 
 
-def _streams(data: bytes, path: tuple[str, ...]) -> Iterator[tuple[str, tuple[str, ...]]]:
-    """(text, path) of what is unpacked from the compressed stream that data begins with, stream by stream."""
-    for name, out in _unpack(data):
-        if out != data:
-            if (text := _as_text(out)) is not None:
-                yield text, (*path, name)
-            else:
-                yield from _streams(out, (*path, name))
-
-
 def _base64(layer: Layer, narrow: bytes) -> Iterator[Layer]:
     places = [(np.arange(a, b), b) for a, b in _runs(narrow, IS_BASE64, BASE64_LEAST)]
     if b"\n" in narrow:
@@ -175,6 +322,7 @@ def _base64(layer: Layer, narrow: bytes) -> Iterator[Layer]:
         end = b + len(re.match(rb"={0,2}", narrow[b : b + 2])[0])
         chars = np.frombuffer(narrow, np.uint8)[at].tobytes().translate(bytes.maketrans(b"-_", b"+/"))
         for skip in range(4):
+            inner: dict[bytes, int] = {}
             run = chars[skip:]
             run = run[:-1] if len(run) % 4 == 1 else run
             data = base64.b64decode(run + b"=" * (-len(run) % 4))
@@ -186,9 +334,9 @@ def _base64(layer: Layer, narrow: bytes) -> Iterator[Layer]:
                 yield Layer(text, layer.starts[at[first]], layer.ends[at[last - 1]], (*layer.path, "base64"))
             for m in PACKED.finditer(data):
                 a = int(at[skip + m.start() * 4 // 3])
-                s, e = layer.original(a, end)
-                for text, path in _streams(data[m.start() :], (*layer.path, "base64")):
-                    yield Layer(text, np.full(len(text), s), np.full(len(text), e), path)
+                for text, path in _streams(data, m.start(), (*layer.path, "base64"), inner):
+                    s, e = layer.original(a, end)
+                    yield Layer(text, np.broadcast_to(np.int64(s), len(text)), np.broadcast_to(np.int64(e), len(text)), path)
 
 
 def scan(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int, str]]]:
@@ -197,11 +345,11 @@ def scan(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str,
     narrow = _narrow(text)
     base = find(text, narrow)
     todo = [Layer(text, np.arange(len(text)), np.arange(1, len(text) + 1))] if _may_unwrap(narrow) else []
-    seen, known, added = {(text, 0, len(text))}, set(base), []
+    seen, known, added = {_own(todo[0])} if todo else set(), set(base), []
     while todo:
         layer = todo.pop()
         narrow = _narrow(layer.text)
-        for new in (x for f in (_url, _unicode) if b"%" in narrow or b"\\" in narrow or b"&#" in narrow for x in f(layer)):
+        for new in _escapes(layer, narrow):
             todo += _fresh(new, seen)
         for new in _base64(layer, narrow):
             todo += _fresh(new, seen)
@@ -214,8 +362,13 @@ def scan(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str,
     return base, sorted(added, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
-def _fresh(layer: Layer, seen: set[tuple[str, int, int]]) -> list[Layer]:
-    own = (layer.text, *(layer.original(0, len(layer.text)) if layer.text else (0, 0)))
+def _own(layer: Layer) -> tuple[bytes, int, int]:
+    """What tells a layer from others: its text's digest and its stretch of the original."""
+    return hashlib.blake2b(layer.text.encode("utf-8", "surrogatepass"), digest_size=16).digest(), *(layer.original(0, len(layer.text)) if layer.text else (0, 0))
+
+
+def _fresh(layer: Layer, seen: set[tuple[bytes, int, int]]) -> list[Layer]:
+    own = _own(layer)
     if own in seen:
         return []
     seen.add(own)
@@ -237,7 +390,7 @@ SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 str
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = []
-        for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
+        for d, t in zip(b.column("doc_id").to_pylist(), values(b.column("text"))):
             base, added = scan(t)
             n = [sum(k == kind for k, *_ in base) for kind in KINDS]
             every = sorted([*base, *added], key=lambda s: (s[1], KINDS.index(s[0]), s[2]))

@@ -16,7 +16,7 @@ from echolith.functions import kernels, udfs
 from echolith.operators import ranks, records, samples, splits
 from echolith.plans import database, model, training
 from echolith.schema import BANDS, audio_name, name_part, stem, tr_drr_tag, tr_tag
-from echolith.sources import tables
+from echolith.sources import audio, formats, tables
 
 #: Rate at which 64 samples hold the 50 and 80 ms boundaries, and the direct sound's half window there.
 RATE, WINDOW = 300, 0.01
@@ -624,6 +624,27 @@ def record_outcomes(spark, sf_dir):
     return out.groupBy("type_data", "band", F.coalesce("error", F.lit("none")).alias("error")).agg(F.count("*").alias("rows"), F.countDistinct("rir_name", "aug_tag").alias("variants"))
 
 
+#: Samples of a WAV file.
+FILE = 1 << 16
+
+
+@query(f"""WITH s AS (SELECT s_nationkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS n, CAST(trunc(CAST(s_acctbal AS DOUBLE) / 10000 * 32767) AS BIGINT) AS v FROM supplier)
+SELECT concat('nation', s_nationkey, '_', n // {FILE}) AS name, count(*) AS samples, sum(v) AS levels, sum(v * (n % {FILE} + 1)) AS moment FROM s GROUP BY s_nationkey, n // {FILE}""")
+def wave_files(spark, sf_dir):
+    """Each nation's balances written as WAV files of FILE samples, and what the files hold when they are found and read again."""
+    x = samples.from_series(table(spark, sf_dir, "supplier"), "s_nationkey", ["s_suppkey"], "s_acctbal")
+    name = F.concat(F.lit("nation"), "name", F.lit("_"), F.floor(F.col("n") / FILE))
+    of = F.transform(F.sort_array(F.collect_list(F.struct("n", "v"))), lambda s: s["v"] / 10000)
+    signals = x.groupBy(name.alias("name")).agg(of.alias("x"))
+    formats.register(spark)
+    path = tables.work_folder(spark, "waves")
+    signals.write.format("wave").mode("append").save(path)
+    found = audio.read_audio(spark, path, seconds=FILE / 16_000, normalise=False)
+    levels = F.transform("x", lambda v: F.rint(v * 32768).cast("long"))
+    total = lambda f: F.aggregate(F.transform(levels, f), F.lit(0).cast("long"), lambda a, v: a + v)
+    return found.select("name", F.size("x").cast("long").alias("samples"), total(lambda v: v).alias("levels"), total(lambda v, i: v * (i + 1)).alias("moment"))
+
+
 @query()
 def cnn_predict(spark, sf_dir):
     """Untrained networks over features made of events: one row per record and descriptor set."""

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from echolith.functions import kernels
+from echolith.sources import formats
 
 ROWS_A_FILE = 50_000
 #: Columns of a file of measured descriptors.
@@ -89,8 +90,12 @@ def filter_table(spark: SparkSession, bands: tuple[int, ...], fs: int, order: in
     return spark.createDataFrame(rows, "band int, section int, b0 double, b1 double, b2 double, a1 double, a2 double")
 
 
-def read_measured(spark: SparkSession, path: str) -> DataFrame:
-    """Measured descriptors of rooms from CSV files with a header; a line that doesn't fit has nulls."""
+def read_measured(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
+    """Measured descriptors of rooms from CSV files with a header, or from a sheet of workbooks; a line or cell that doesn't fit has nulls."""
+    if path.lower().endswith(".xlsx"):
+        formats.register(spark)
+        read = spark.read.format("workbook").schema(MEASURED)
+        return (read.option("sheet", sheet) if sheet else read).load(path)
     return spark.read.csv(path, MEASURED, header=True, enforceSchema=False)
 
 

@@ -544,10 +544,16 @@ def split_shared_names(spark, sf_dir):
 # Signals made for each row of a given table, as none holds audio. What SQL can't say (iterated fits, seeded noise, networks) is tested against closed forms and plain versions.
 
 
+def _spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows of few bytes that each become a long signal, dealt by hash to four tasks a core at least: a small file would make them one task's."""
+    count = max(4 * rows.sparkSession.sparkContext.defaultParallelism, rows.rdd.getNumPartitions())
+    return rows.repartition(count, *keys)
+
+
 def _responses(spark: SparkSession, sf_dir: str, fs: int = 16_000) -> DataFrame:
     """A response (rir_name, split, augment, tr, seed, x) for each supplier, its decay time 0.4 to 1.3 s by its key; those of one nation in five are to be augmented."""
     key = F.col("s_suppkey")
-    rows = table(spark, sf_dir, "supplier").select(
+    rows = _spread(table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey"), "s_suppkey").select(
         F.concat(F.element_at(F.array(*map(F.lit, splits.CATEGORIES)), (key % 4 + 1).cast("int")), F.lit("_"), key).alias("rir_name"), F.when(key % 5 == 0, "test").otherwise("train").alias("split"),
         (F.col("s_nationkey") % 5 == 1).alias("augment"), (key % 10 / 10 + 0.4).alias("tr"), F.xxhash64("s_suppkey").alias("seed"),
     )
@@ -600,7 +606,7 @@ PLAN = database.Settings(bands=(8, 16, 31, 63, 125, 250, 500), fs=1600, noise_db
 def _plan_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Responses, and five seconds of speech for each region."""
     key = F.col("r_regionkey").cast("long")
-    speech = table(spark, sf_dir, "region").select(F.concat(F.lit("sp"), key).alias("speech_name"), F.when(key % 5 >= 3, "test").otherwise("train").alias("split"), udfs.pink_noise(F.lit(5 * PLAN.fs), key + 5).alias("x"))
+    speech = _spread(table(spark, sf_dir, "region").select("r_regionkey"), "r_regionkey").select(F.concat(F.lit("sp"), key).alias("speech_name"), F.when(key % 5 >= 3, "test").otherwise("train").alias("split"), udfs.pink_noise(F.lit(5 * PLAN.fs), key + 5).alias("x"))
     return _with_floor(_responses(spark, sf_dir, PLAN.fs), 35.0), speech
 
 
@@ -685,7 +691,7 @@ def cnn_train(spark, sf_dir):
 def room_estimates(spark, sf_dir):
     """Untrained networks' estimates from generated signals, one for each nation, beside a measurement of each."""
     rooms = table(spark, sf_dir, "nation").select(F.concat(F.lit("room_"), "n_nationkey").alias("name"), F.col("n_nationkey").alias("k"))
-    signals = rooms.select("name", udfs.pink_noise(F.lit(80_000), F.col("k").cast("long") + 1).alias("x"))
+    signals = _spread(rooms, "k").select("name", udfs.pink_noise(F.lit(80_000), F.col("k").cast("long") + 1).alias("x"))
     bands = F.explode(F.array(*map(F.lit, BANDS))).alias("band")
     scales = spark.range(1).select(bands, *(F.lit(v).alias(f"{c}_p95") for c, v in zip(records.DESCRIPTORS, (2.0, 20.0, 25.0, 1.0))))
     measured = rooms.select("name", bands, *(F.lit(v).alias(c) for c, v in zip(records.DESCRIPTORS, (0.8, 3.0, 6.0, 0.6))))

@@ -635,7 +635,7 @@ FILE = 1 << 16
 
 
 @query(f"""WITH s AS (SELECT s_nationkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS n, CAST(trunc(CAST(s_acctbal AS DOUBLE) / 10000 * 32767) AS BIGINT) AS v FROM supplier)
-SELECT concat('nation', s_nationkey, '_', n // {FILE}) AS name, count(*) AS samples, sum(v) AS levels, sum(v * (n % {FILE} + 1)) AS moment FROM s GROUP BY s_nationkey, n // {FILE}""")
+SELECT concat('nation', s_nationkey, '_', n // {FILE}) AS name, count(*) AS samples, sum(v)::BIGINT AS levels, sum(v * (n % {FILE} + 1))::BIGINT AS moment FROM s GROUP BY s_nationkey, n // {FILE}""")
 def wave_files(spark, sf_dir):
     """Each nation's balances written as WAV files of FILE samples, and what the files hold when they are found and read again."""
     x = samples.from_series(table(spark, sf_dir, "supplier"), "s_nationkey", ["s_suppkey"], "s_acctbal")

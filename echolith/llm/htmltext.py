@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from math import log1p
 
@@ -89,6 +89,7 @@ def blocks(page: str | None) -> list[Block]:
     page = page or ""
     out: list[Block] = []
     stack: list[tuple[str, float, int, bool, int]] = [("", 0.0, 0, False, 0)]  # tag, evidence and words so far, inside the article, number
+    opened: Counter[str] = Counter()  # the tags on the stack: an end tag without one needs no search
     unclosed: set[str] = set()
     serial, links, at = 0, 0, 0
     texts: list[str] = []
@@ -99,8 +100,8 @@ def blocks(page: str | None) -> list[Block]:
         if texts:
             text = " ".join("".join(texts).split())
             if text:
-                parent = next((s for s in reversed(stack) if s[0] in BLOCK_TAGS or not s[0]), stack[0])
-                i = stack.index(parent)
+                i = next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in BLOCK_TAGS or not i)
+                parent = stack[i]
                 own = parent[0] in ("p", "li", "td", "th", "dd", "dt") or parent[0][:1] == "h" and parent[0][1:].isdigit()
                 up = stack[max(0, i - own)][4]
                 out.append(Block(text, min(linked, len(text)), *stack[-1][1:4], parent[0], up, stack[max(0, i - own - 1)][4]))
@@ -139,8 +140,9 @@ def blocks(page: str | None) -> list[Block]:
         if m[1]:
             if tag == "a":
                 links = max(0, links - 1)
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if opened[tag] else ():
                 if stack[i][0] == tag:
+                    opened.subtract(x[0] for x in stack[i:])
                     del stack[i:]
                     break
                 if not block and stack[i][0] in BLOCK_TAGS:
@@ -148,7 +150,9 @@ def blocks(page: str | None) -> list[Block]:
         elif tag not in VOID:
             if block:
                 while len(stack) > 1 and (stack[-1][0] in CLOSED_BY_BLOCK or stack[-1][0] not in BLOCK_TAGS or tag == "li" == stack[-1][0]):
-                    links -= stack.pop()[0] == "a" and links > 0
+                    closed = stack.pop()[0]
+                    opened[closed] -= 1
+                    links -= closed == "a" and links > 0
             if tag == "a":
                 links += 1
             serial += 1
@@ -156,6 +160,7 @@ def blocks(page: str | None) -> list[Block]:
             gain, more, article = _evidence(tag, m[3], inside) if block or m[3] and m[3].strip() else (0.0, 0, False)
             if article and not inside:
                 words &= WHOLE  # what wrappers' compounds and article words say ends here
+            opened[tag] += 1
             stack.append((tag, before + gain, words | more, inside or article, serial))
     put(page[at:])
     flush()

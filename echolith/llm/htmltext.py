@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections import Counter, deque
+from collections import defaultdict, deque
 from collections.abc import Iterator
 from math import log1p
 
@@ -89,7 +89,7 @@ def blocks(page: str | None) -> list[Block]:
     page = page or ""
     out: list[Block] = []
     stack: list[tuple[str, float, int, bool, int]] = [("", 0.0, 0, False, 0)]  # tag, evidence and words so far, inside the article, number
-    opened: Counter[str] = Counter()  # the tags on the stack: an end tag without one needs no search
+    opened: defaultdict[str, int] = defaultdict(int)  # the tags on the stack: an end tag without one needs no search
     unclosed: set[str] = set()
     serial, links, at = 0, 0, 0
     texts: list[str] = []
@@ -142,7 +142,8 @@ def blocks(page: str | None) -> list[Block]:
                 links = max(0, links - 1)
             for i in range(len(stack) - 1, 0, -1) if opened[tag] else ():
                 if stack[i][0] == tag:
-                    opened.subtract(x[0] for x in stack[i:])
+                    for closed, *_ in stack[i:]:
+                        opened[closed] -= 1
                     del stack[i:]
                     break
                 if not block and stack[i][0] in BLOCK_TAGS:

@@ -73,3 +73,10 @@ def within_split(responses: DataFrame, speech: DataFrame, salts: int = 32) -> Da
     dealt = responses.withColumn("_salt", F.pmod(F.xxhash64(*names), F.lit(salts)))
     copies = speech.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     return dealt.join(copies, ["split", "_salt"]).drop("_salt")
+
+
+def partners(responses: DataFrame, speech: DataFrame, key: str, name: str) -> DataFrame:
+    """(split, key, pairs, first_<name>): how many pairs within_split() makes of each key of responses, and the least name among its speech. Counts of both sides meet, not their rows, so the work grows with the rows and not with the pairs."""
+    own = responses.groupBy("split", key).agg(F.count("*").alias("_own"))
+    others = speech.groupBy("split").agg(F.count("*").alias("_others"), F.min(name).alias(f"first_{name}"))  # a row a split
+    return own.join(F.broadcast(others), "split").select("split", key, (F.col("_own") * F.col("_others")).alias("pairs"), f"first_{name}")

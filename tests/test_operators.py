@@ -123,3 +123,14 @@ def test_pairs_within_a_split_do_not_depend_on_the_tables_split(spark):
     b = spark.createDataFrame([(f"s{i}", "train" if i % 3 else "test") for i in range(9)], "speech string, split string")
     got = {n: sorted((r["rir"], r["speech"]) for r in splits.within_split(a.repartition(n), b).collect()) for n in (1, 5)}
     assert got[1] == got[5] and len(got[1]) == 10 * 6 + 10 * 3
+
+
+def test_partners_are_counted_without_making_pairs(spark):
+    """The counts of the pairs themselves, with repeated and null keys; the plan has no join of rows."""
+    a = spark.createDataFrame([(i % 7 or None, "train" if i % 2 else "test") for i in range(40)] + [(1, "spare")], "rir int, split string")
+    b = spark.createDataFrame([(i if i % 4 else None, "train" if i % 3 else "test") for i in range(30)] + [(5, "other")], "speech int, split string")
+    got = splits.partners(a, b, "rir", "speech")
+    want = splits.within_split(a, b).groupBy("split", "rir").agg(F.count("*").alias("pairs"), F.min("speech").alias("first_speech"))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    many = splits.partners(spark.range(300_000).select("id", F.lit("train").alias("split")), spark.range(300_000).select(F.col("id").alias("speech"), F.lit("train").alias("split")), "id", "speech")
+    assert many.agg(F.sum("pairs")).first()[0] == 300_000**2

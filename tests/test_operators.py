@@ -134,3 +134,11 @@ def test_partners_are_counted_without_making_pairs(spark):
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
     many = splits.partners(spark.range(300_000).select("id", F.lit("train").alias("split")), spark.range(300_000).select(F.col("id").alias("speech"), F.lit("train").alias("split")), "id", "speech")
     assert many.agg(F.sum("pairs")).first()[0] == 300_000**2
+
+
+def test_a_side_that_does_not_vary_has_no_correlation(spark):
+    """NaN, as SQL gives it, and no division by zero; other groups keep theirs."""
+    rows = [("flat", 1.0, float(i)) for i in range(9)] + [("up", float(i), float(i * i)) for i in range(9)] + [("down", float(i), -float(i)) for i in range(9)] + [("one", 2.0, 3.0)]
+    out = {r["band"]: r for r in records.with_p_value(records.spearman(spark.createDataFrame(rows, "band string, x double, y double"), ["band"], "x", "y")).collect()}
+    assert all(np.isnan(out[k]["rho"]) and np.isnan(out[k]["p"]) for k in ("flat", "one"))
+    assert out["up"]["rho"] == pytest.approx(1) and out["down"]["rho"] == pytest.approx(-1) and out["up"]["p"] == pytest.approx(0, abs=1e-12)

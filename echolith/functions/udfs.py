@@ -5,11 +5,12 @@ A kernel that fails on a row never fails the task: results are null, or a struct
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
@@ -90,8 +91,50 @@ def pink_noise(n: Column, seed: Column) -> Column:
     return pandas_udf(lambda ns, ss: pd.Series([kernels.pink_noise(int(k), int(s)) for k, s in zip(ns, ss)], dtype=object), "array<double>", F.PandasUDFType.SCALAR)(n, seed)
 
 
+#: Bytes of made signals that a task's Python holds at once, about.
+MADE_BYTES = 1 << 23
+
+
+def with_made(rows: DataFrame, name: str, kind: str, make: Callable, *inputs: str) -> DataFrame:
+    """rows with a column name of arrays that make gives for each row's inputs. Ten thousand small rows come to Python as one batch, and in an Arrow function their signals would be one too; here MADE_BYTES of them leave before others are made."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            first, held, size = 0, [], 0
+            for i, row in enumerate(zip(*(b.column(c) for c in inputs)), 1):
+                held.append(make(*(v.values.to_numpy(zero_copy_only=False) if isinstance(v, pa.ListScalar) else v.as_py() for v in row)))
+                size += held[-1].nbytes
+                if size >= MADE_BYTES or i == len(b):
+                    made = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, held)]).astype(np.int32)), pa.array(np.concatenate(held)))
+                    yield pa.RecordBatch.from_arrays([*b.slice(first, i - first).columns, made], [*b.schema.names, name])
+                    first, held, size = i, [], 0
+
+    return rows.mapInArrow(run, ", ".join([*(f"`{c}` {own}" for c, own in rows.dtypes), f"`{name}` {kind}"]))
+
+
+def _synthetic(tr: float, seed: int, fs: int, noise_db: float | None) -> np.ndarray:
+    """A synthetic response in single precision, or that with pink noise so many dB under it."""
+    x = kernels.synthetic_response(float(tr), fs, int(seed)).astype(np.float32)
+    return x if noise_db is None else kernels.with_noise(x.astype(float), noise_db, int(seed))
+
+
+def of_synthetic(tr: Column, seed: Column, kind: str, kernel: Callable, fs: int = FS, noise_db: float | None = None) -> Column:
+    """What the kernel makes (a tuple, or an array) of each response that with_synthetic_response() gives, one after the other: no response leaves the function, and no two are held."""
+
+    def run(ts: pd.Series, ss: pd.Series) -> pd.Series | pd.DataFrame:
+        out = [kernel(_synthetic(t, s, fs, noise_db)) for t, s in zip(ts, ss)]
+        return pd.Series(out, dtype=object) if kind.startswith("array") else pd.DataFrame(out, columns=[c.split()[0] for c in kind.split(", ")])
+
+    return pandas_udf(lambda ts, ss: run(ts, ss), kind, F.PandasUDFType.SCALAR)(tr, seed)
+
+
+def with_synthetic_response(rows: DataFrame, fs: int = FS, noise_db: float | None = None) -> DataFrame:
+    """rows (tr, seed, ...) with x, synthetic_response() of each as float, or with pink noise so many dB under it as double."""
+    return with_made(rows, "x", "array<float>" if noise_db is None else "array<double>", lambda tr, seed: _synthetic(tr, seed, fs, noise_db), "tr", "seed")
+
+
 def synthetic_response(tr: Column, seed: Column, fs: int = FS) -> Column:
-    """A synthetic impulse response of reverberation time tr."""
+    """A synthetic impulse response of reverberation time tr, where batches are small."""
     return pandas_udf(lambda ts, ss: pd.Series([kernels.synthetic_response(float(t), fs, int(s)) for t, s in zip(ts, ss)], dtype=object), "array<float>", F.PandasUDFType.SCALAR)(tr, seed)
 
 

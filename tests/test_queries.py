@@ -113,3 +113,33 @@ def test_p_values():
 
     assert incomplete_beta(2.0, 3.0, 0.4) == pytest.approx(0.5248, abs=1e-9)
     assert incomplete_beta(0.5, 0.5, 0.5) == pytest.approx(0.5, abs=1e-12)
+
+
+def test_signals_leave_before_others_are_made(spark, monkeypatch):
+    """Rows of one batch become signals in pieces: no more than MADE_BYTES and one signal are held at once."""
+    from pyspark.sql import functions as F
+
+    from echolith.functions import kernels, udfs
+
+    import numpy as np
+    import pyarrow as pa
+
+    held, made = [], []
+    monkeypatch.setattr(udfs, "MADE_BYTES", 1000)
+
+    class Rows:
+        dtypes = [("k", "bigint")]
+
+        def mapInArrow(self, run, kind):
+            for piece in run(iter([pa.RecordBatch.from_pydict({"k": list(range(10))}), pa.RecordBatch.from_pydict({"k": pa.array([], pa.int64())})])):
+                held.append(piece.column("x").flatten().nbytes)
+                made.extend(piece.column("k").to_pylist())
+            return kind
+
+    assert udfs.with_made(Rows(), "x", "array<float>", lambda k: np.full(100, k, np.float32), "k") == "`k` bigint, `x` array<float>"
+    assert made == list(range(10)) and max(held) <= 1400 and len(held) == 4
+    rows = spark.range(20, numPartitions=1).select(F.lit(0.4).alias("tr"), F.col("id").alias("seed"))
+    for r in udfs.with_synthetic_response(rows, 800).collect():
+        assert np.array_equal(r["x"], kernels.synthetic_response(0.4, 800, r["seed"]).astype(np.float32))
+    for r in udfs.with_synthetic_response(rows, 800, 20.0).collect():
+        assert np.array_equal(r["x"], kernels.with_noise(kernels.synthetic_response(0.4, 800, r["seed"]).astype(np.float32).astype(float), 20.0, r["seed"]))

@@ -14,6 +14,7 @@ from __future__ import annotations
 import heapq
 from collections import Counter
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ from echolith.llm.shared import shared_table
 #: Words of the network's vocabulary, its classes, its state and embedding sizes.
 WORDS, CLASSES, STATE, EMBED = 4096, 64, 16, 16
 #: Words whose counts go to every task, and the longest of them in bytes.
-HEAD, WORD_BYTES = 100_000, 64
+HEAD, WORD_BYTES = 1 << 18, 64
 #: Documents that fit the start, and passes over them.
 WARM, WARM_PASSES = 2000, 3
 #: Tokens of a shard, and in how many rounds the shards' parameters are averaged.
@@ -345,11 +346,11 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
 
 def _train(lex: Lexicon, start: np.ndarray, passes: int, rate: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, tokens = Network(lex, _shaped(start, lex)), 0
-        for group in _groups(_rows(batches)):
-            for _ in range(passes):
-                tokens += net.train([ids for _, ids in group], rate)
-        if tokens:
+        for _, own in groupby(_rows(batches), lambda row: row[0]):
+            net, tokens = Network(lex, _shaped(start, lex)), 0
+            for group in _groups(own):
+                for _ in range(passes):
+                    tokens += net.train([ids for *_, ids in group], rate)
             flat = _flat(net.p).astype(np.float64) * tokens
             parts = [flat[a : a + SLICE].tobytes() for a in range(0, len(flat), SLICE)]
             yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([float(tokens)] * len(parts)), pa.array(parts, pa.binary())], ["slice", "tokens", "sums"])
@@ -369,9 +370,10 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _trained(rows: DataFrame, shards: int, lex: Lexicon, start: np.ndarray, passes: int, rate: float) -> np.ndarray:
-    """The parameters that the shards of rows (h, ids) reach from start, averaged by tokens; start itself if there are no rows. Rows are dealt and ordered by their hash h, so neither the split of the input nor the size of batches plays a part. The driver gets one row a slice."""
+    """The parameters that the shards of rows (h, ids) reach from start, averaged by tokens; start itself if there are no rows. Rows are dealt and ordered by their hash h, so neither the split of the input nor the size of batches plays a part, nor into how many tasks Spark deals the shards: a task trains each of its shards by itself. The driver gets one row a slice."""
     kind = "slice int, tokens double, sums binary"
-    dealt = rows.select("h", "ids").repartition(shards, "h").sortWithinPartitions("h", "ids")
+    dealt = rows.select(F.pmod(F.hash("h"), F.lit(shards)).alias("shard"), "h", "ids")
+    dealt = dealt.repartition(4 * shards, "shard").sortWithinPartitions("shard", "h", "ids")  # more tasks than shards: few tasks get two
     made = dealt.mapInArrow(_train(lex, start, passes, rate), kind)
     sums = made.repartition("slice").mapInArrow(_summed, kind).collect()
     return np.concatenate([np.frombuffer(r["sums"]) / r["tokens"] for r in sorted(sums)]).astype(np.float32) if sums else start

@@ -201,6 +201,22 @@ def test_score_does_not_depend_on_windows_or_neighbours():
     assert np.allclose(net.score(docs), [net.score([d])[0] for d in docs], rtol=1e-4)
 
 
+def test_a_task_trains_each_of_its_shards_by_itself():
+    """However many shards Spark deals to a task, each gives the parameters that it reaches alone."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    lex = lm.Lexicon([(b"w%d" % i, 50 - i) for i in range(20)] + [(lm.END, 9)], 900, 21)
+    start = lm._flat(lm.fresh_parameters(lex))
+    rows = [(shard, h, rng.integers(0, lex.size, 40).astype(np.uint16).tobytes()) for shard in (0, 1, 5) for h in range(6)]
+
+    def trained(some):
+        batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in some], pa.int32()), pa.array([r[1] for r in some], pa.int64()), pa.array([r[2] for r in some], pa.binary())], ["shard", "h", "ids"])
+        return [(r["slice"], r["tokens"], r["sums"]) for b in lm._train(lex, start, 1, 0.01)(iter([batch])) for r in b.to_pylist()]
+
+    assert trained(rows) == [r for shard in (0, 1, 5) for r in trained([x for x in rows if x[0] == shard])]
+
+
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 
 

@@ -45,6 +45,11 @@ def sweep(df: DataFrame, column: str, start: float, stop: float, step: float) ->
     return df.withColumn(column, F.explode(F.array(*(F.lit(v) for v in sweep_values(start, stop, step)))))
 
 
+def with_values(df: DataFrame, values: DataFrame) -> DataFrame:
+    """df once for each row of a small table, to which what depends on the values alone has been added."""
+    return df.crossJoin(F.broadcast(values))
+
+
 def members(df: DataFrame, others: DataFrame, key: str) -> DataFrame:
     return df.join(others.select(key), key, "left_semi")
 

@@ -143,3 +143,11 @@ def test_signals_leave_before_others_are_made(spark, monkeypatch):
         assert np.array_equal(r["x"], kernels.synthetic_response(0.4, 800, r["seed"]).astype(np.float32))
     for r in udfs.with_synthetic_response(rows, 800, 20.0).collect():
         assert np.array_equal(r["x"], kernels.with_noise(kernels.synthetic_response(0.4, 800, r["seed"]).astype(np.float32).astype(float), 20.0, r["seed"]))
+
+
+def test_a_small_file_of_keys_is_swept_by_many_tasks(spark):
+    """One file's suppliers, each becoming 725 rows, aren't one task's."""
+    from pyspark.sql import functions as F
+
+    per_task = [r["count"] for r in core.QUERIES["sweep_tags"](spark, DATA).groupBy(F.spark_partition_id()).count().collect()]
+    assert len(per_task) > 1 and max(per_task) < sum(per_task)

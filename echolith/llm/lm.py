@@ -14,6 +14,7 @@ from __future__ import annotations
 import heapq
 from collections import Counter
 from collections.abc import Iterator
+from copy import copy
 from itertools import groupby
 
 import numpy as np
@@ -90,6 +91,12 @@ class Lexicon:
         self.cls = np.unique(self.cls, return_inverse=True)[1].astype(np.uint8)
         self.bounds = np.searchsorted(self.cls, np.arange(int(self.cls[-1]) + 2))
 
+    def bare(self) -> Lexicon:
+        """Without the words, which the network's tasks need not read."""
+        out = copy(self)
+        out.count, out.id = {}, {}
+        return out
+
 
 def shapes(lex: Lexicon) -> dict[str, tuple[int, ...]]:
     """Each row of wc and ww ends with its bias."""
@@ -374,7 +381,7 @@ def _trained(rows: DataFrame, shards: int, lex: Lexicon, start: np.ndarray, pass
     kind = "slice int, tokens double, sums binary"
     dealt = rows.select(F.pmod(F.hash("h"), F.lit(shards)).alias("shard"), "h", "ids")
     dealt = dealt.repartition(4 * shards, "shard").sortWithinPartitions("shard", "h", "ids")  # more tasks than shards: few tasks get two
-    made = dealt.mapInArrow(_train(lex, start, passes, rate), kind)
+    made = dealt.mapInArrow(_train(lex.bare(), start, passes, rate), kind)
     sums = made.repartition("slice").mapInArrow(_summed, kind).collect()
     return np.concatenate([np.frombuffer(r["sums"]) / r["tokens"] for r in sorted(sums)]).astype(np.float32) if sums else start
 
@@ -465,7 +472,7 @@ def score(docs: DataFrame, folds: int = 10, held: int = 0) -> DataFrame:
         F.sum(F.col("n") * (logs - float(np.log10(lex.rest)))).alias("tail_share"),
     )
     zero, known = F.lit(0.0), [x.split()[0] for x in SCORED.split(", ")][:-1]
-    scored = made.select(*known, "ids").mapInArrow(_score(lex, parameters), SCORED)
+    scored = made.select(*known, "ids").mapInArrow(_score(lex.bare(), parameters), SCORED)
     return scored.join(sums, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("tail_base", zero)).alias("base_score"), (F.col("network") + F.col("share") + F.coalesce("tail_share", zero)).alias("score"),

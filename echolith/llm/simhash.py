@@ -34,6 +34,8 @@ WIDE_DISTANCE = 64
 BLOCK_BITS, RUN, DIFFERING, MISS = 16, 256, 0.1515, 0.0005
 #: Longs of an odd sketch: the parity of a set's shingles in each of so many times 64 slots.
 SKETCH_LONGS = 8
+#: Fingerprints of a group of candidates from which on its blocks after the first split yield no further pairs within it.
+LARGE = 64
 #: Rows up to so far apart in a run are compared at once, to find the runs that hold candidates.
 NEAR_ROWS = 1024
 
@@ -278,16 +280,27 @@ def _deal(bits: np.ndarray):
 
 
 def _forest_edges(ids: np.ndarray, labels: np.ndarray, prints: np.ndarray, sketches: np.ndarray) -> Iterator[tuple[int, int]]:
-    """A spanning forest of a run's candidates: each fingerprint with one that it is near to."""
+    """A spanning forest of a run's candidates, each fingerprint with one that it is near to, less what labels (those of one are joined already) or the run's other edges join."""
+    over: dict[int, int] = {}  # from a label to one that it is joined to
+
+    def top(x: int) -> int:
+        while x in over:
+            x = over[x]
+        return x
+
     while len(ids) > 1:
-        front, ids, prints = [(ids[0], prints[0])], ids[1:], prints[1:]
+        front, ids, labels, prints = [(ids[0], labels[0], prints[0])], ids[1:], labels[1:], prints[1:]
         while front and len(ids):
-            i, own = front.pop()
+            i, label, own = front.pop()
             near = np.bitwise_count(prints ^ own).sum(axis=1) <= WIDE_DISTANCE
             if near.any():
-                front += list(zip(ids[near], prints[near]))
-                yield from ((int(x), int(i)) for x in ids[near])
-                ids, prints = ids[~near], prints[~near]
+                front += list(zip(ids[near], labels[near], prints[near]))
+                mine = top(int(label))
+                for x, other in zip(ids[near].tolist(), labels[near].tolist()):
+                    if (other := top(other)) != mine:
+                        over[other] = mine
+                        yield x, int(i)
+                ids, labels, prints = ids[~near], labels[~near], prints[~near]
 
 
 def _all_edges(ids: np.ndarray, labels: np.ndarray, prints: np.ndarray, sketches: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -297,12 +310,13 @@ def _all_edges(ids: np.ndarray, labels: np.ndarray, prints: np.ndarray, sketches
         yield from ((int(x), int(ids[k])) for x in ids[near[may_be_similar(sketches[near], sketches[k])]])
 
 
-def _with_candidates(keys: np.ndarray, prints: np.ndarray) -> set[int]:
-    """Keys of the runs that hold a candidate, or are too long to tell at once."""
+def _with_candidates(keys: np.ndarray, labels: np.ndarray, prints: np.ndarray) -> set[int]:
+    """Keys of the runs that hold a candidate between different labels, or are too long to tell at once."""
     left, found = np.flatnonzero(keys[1:] == keys[:-1]), []
     for k in range(1, NEAR_ROWS + 1):
-        near = np.bitwise_count(prints[left] ^ prints[left + k]).sum(axis=1) <= WIDE_DISTANCE
-        found.append(keys[left[near]])
+        apart = left[labels[left] != labels[left + k]]
+        near = np.bitwise_count(prints[apart] ^ prints[apart + k]).sum(axis=1) <= WIDE_DISTANCE
+        found.append(keys[apart[near]])
         left = left[left + k + 1 < len(keys)]
         left = left[keys[left] == keys[left + k + 1]]
         if not len(left):
@@ -321,10 +335,10 @@ def _wide_runs(edges_of, columns: int):
                 held = np.concatenate([held, np.column_stack([c.to_numpy() for c in b.columns])])
             cut = len(held) if b is None or not len(held) else int(np.searchsorted(held[:, 0], held[-1, 0]))
             done, held = held[:cut], held[cut:]
-            keys, prints, sketches = done[:, 0].copy(), done[:, 3 : 3 + LONGS].copy().view(np.uint64), done[:, 3 + LONGS :]
-            for key in sorted(_with_candidates(keys, prints)):
+            keys, labels, prints, sketches = done[:, 0].copy(), done[:, 2].copy(), done[:, 3 : 3 + LONGS].copy().view(np.uint64), done[:, 3 + LONGS :]
+            for key in sorted(_with_candidates(keys, labels, prints)):
                 own = slice(*np.searchsorted(keys, [key, key + 1]))
-                edges += edges_of(done[own, 1], done[own, 2], prints[own], sketches[own])
+                edges += edges_of(done[own, 1], labels[own], prints[own], sketches[own])
             e = np.array(edges, np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], ["a", "b"])
 
@@ -369,13 +383,18 @@ def _labelled(prints: DataFrame, edges: DataFrame, label: str) -> DataFrame:
 def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, fp, own) for every row, own the hash of all its columns, and (fp, root): the group of each fingerprint.
 
-    Wide fingerprints only find candidates: they are split into blocks several times over, and those that share a block meet in one sorted run, which yields a spanning forest of its candidates. These are verified by the sets themselves. A group of candidates that verified links don't join whole is dealt once more, and there all candidates between different components are verified, but for those that odd sketches of their sets rule out: the sketches' differing bits are a lower bound of the shingles that the sets don't share, so no pair at SIMILAR goes, and in a large group in which most texts lie just under SIMILAR few pairs are left. A pair at SIMILAR becomes a candidate with probability over 0.999, between very short texts 0.97. A run is held by one task (56 bytes a distinct fingerprint); blocks get longer as fingerprints get more, so that runs don't.
+    Wide fingerprints only find candidates: they are split into blocks several times over, and those that share a block meet in one sorted run, which yields a spanning forest of its candidates. The first split's candidates are joined into groups before the other splits are dealt, whose runs yield nothing within a group of LARGE or more: its pairs grow with its size times the blocks of one split. These are verified by the sets themselves. A group of candidates that verified links don't join whole is dealt once more, and there all candidates between different components are verified, but for those that odd sketches of their sets rule out: the sketches' differing bits are a lower bound of the shingles that the sets don't share, so no pair at SIMILAR goes, and in a large group in which most texts lie just under SIMILAR few pairs are left. A pair at SIMILAR becomes a candidate with probability over 0.999, between very short texts 0.97. A run is held by one task (56 bytes a distinct fingerprint); blocks get longer as fingerprints get more, so that runs don't.
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), own_hash(docs).alias("own"))
     marked = shared_table(rows.mapInArrow(_wide_fingerprints, "doc_id long, own long, fp binary"), "wide")
     prints = shared_table(marked.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("id", F.monotonically_increasing_id()), "wide-prints")
     bits = block_bits(prints.count())
-    pairs = _candidates(prints.select("id", F.col("id").alias("label"), "fp"), _forest_edges, "wide-pairs", bits)
+    whole = 64 * LONGS // bits.shape[1]  # blocks that hold every bit once
+    first = _candidates(prints.select("id", F.col("id").alias("label"), "fp"), _forest_edges, "wide-first", bits[:whole])
+    met = shared_table(_labelled(prints.select("id", "fp"), first, "label"), "wide-met")
+    large = met.groupBy("label").count().where(F.col("count") >= LARGE).select("label", F.lit(True).alias("large"))
+    met = met.join(large, "label", "left").select("id", F.when(F.col("large"), F.col("label")).otherwise(F.col("id")).alias("label"), "fp")
+    pairs = first.unionByName(_candidates(met, _forest_edges, "wide-pairs", bits[whole:])).distinct()
     links = _verified(pairs, prints, rows, "wide-links")
     groups = shared_table(_labelled(_labelled(prints, links, "label"), pairs, "wide_group"), "wide-groups")
     torn = groups.groupBy("wide_group").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("wide_group")

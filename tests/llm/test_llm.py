@@ -795,3 +795,29 @@ def test_language_model_tells_words_past_the_first_thousand_apart():
     lex = lm.Lexicon([(b"w%d" % i, 9000 - i) for i in range(6000)] + [(lm.END, 9)], 40_000_000, 6001)
     assert len({lex.id.get(b"w%d" % i, 1) for i in range(4000)}) == 4000
     assert len(lex.bounds) - 1 > 32
+
+
+def test_pairs_of_a_large_group_of_near_copies(spark, monkeypatch):
+    """A group's candidates grow with its size times the blocks of one split, not of all, and no link is lost."""
+    rng, verified, made = np.random.default_rng(5), simhash._verified, []
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for _ in range(300):
+        own = list(base)
+        for i in rng.choice(150, int(rng.integers(1, 6)), replace=False).tolist():
+            own[i] = f"x{rng.integers(10**9)}"
+        texts.append(" ".join(own))
+    monkeypatch.setattr(simhash, "_verified", lambda pairs, *rest: made.append(pairs.count()) or verified(pairs, *rest))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["keep_id"] for r in simhash.near_copies(docs).collect()}
+    sets = [simhash.shingle_set(t) for t in texts]
+    root = list(range(300))
+    for i in range(300):
+        for j in range(i):
+            if root[i] != root[j]:
+                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if both >= simhash.SIMILAR * (len(sets[i]) + len(sets[j]) - both):
+                    a, b = sorted((root[i], root[j]))
+                    root = [a if x == b else x for x in root]
+    assert got == dict(enumerate(root))
+    assert made[0] < 300 * 18

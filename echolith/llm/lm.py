@@ -19,6 +19,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,8 +34,8 @@ HEAD, WORD_BYTES = 1 << 18, 64
 WARM, WARM_PASSES = 2000, 3
 #: Tokens of a shard, and in how many rounds the shards' parameters are averaged.
 SHARD, ROUNDS = 1 << 21, 2
-#: Tokens that run side by side; texts tokenised at a time.
-GROUP, BATCH = 1 << 21, 1000
+#: Tokens that run side by side; characters tokenised at a time.
+GROUP, CHARS = 1 << 21, 1 << 23
 #: Least and most steps of a training window and of a scoring window; most lanes that run side by side; tokens of an update at least; rows of logits made at a time.
 STEPS, SCORE_STEPS, LANES, UPDATE, ROWS = (24, 256), (32, 2048), 768, 4096, 2048
 WARM_RATE, RATE, SEED = 0.01, 0.003, 11
@@ -54,6 +55,20 @@ def fold(doc_id: Column, folds: int = 10) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string")), F.lit(folds))
 
 
+def _coded(column: pa.Array) -> Iterator[tuple[int, list[bytes], np.ndarray, np.ndarray]]:
+    """A column of texts some CHARS at a time: (rows, their distinct words, the place of each word among these, where each row's words end)."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    ends, first = np.cumsum(sizes, dtype=np.int64), 0
+    while first < len(column):
+        end = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + CHARS, side="right")))
+        texts = pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(column.slice(first, end - first), "")))
+        split = pc.ascii_split_whitespace(texts)
+        lengths = np.where(pc.equal(texts, "").to_numpy(zero_copy_only=False), 0, pc.list_value_length(split).to_numpy(zero_copy_only=False))
+        coded = pc.filter(split.flatten(), pc.not_equal(split.flatten(), "")).dictionary_encode()
+        yield end - first, coded.dictionary.cast(pa.binary()).to_pylist(), coded.indices.to_numpy(), np.cumsum(lengths)
+        first = end
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def made(n: Counter) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(list(n), pa.binary()), pa.array(list(n.values()), pa.int64())], ["word", "c"])
@@ -398,24 +413,26 @@ def _tokenise(lex: Lexicon):
         logs = np.log10(np.array(list(lex.count.values()), float) + SMOOTH)
         code = np.array([1, *(lex.id.get(w, 1) for w in lex.count)], np.uint16)
         value = np.concatenate([[[0.0, 0.0]], np.stack([logs - np.log10(lex.z), np.where(code[1:] == 1, logs - np.log10(lex.rest), 0.0)], axis=1)])
-        get = place.get
+        get, last = place.get, place.get(END, 0)
         for whole in batches:
-            for first in range(0, len(whole), BATCH):
-                b = whole.slice(first, BATCH)
+            first = 0
+            for n, kinds, codes, ends in _coded(whole.column("text")):
+                b, start = whole.slice(first, n), 0
+                first += n
+                places = np.fromiter((get(w, 0) for w in kinds), np.int32, len(kinds))[codes]
                 sizes, sums, known, tails, times, rares, ids = [], [], [], [], [], [], []
-                for text in b.column("text").to_pylist():
-                    own = words(text)
-                    own.append(END)
-                    at = np.fromiter((get(w, 0) for w in own), np.int32, len(own))
+                for stop in ends.tolist():
+                    at = np.append(places[start:stop], last)
                     ids.append(code[at].tobytes())
                     sums.append(value[at].sum(axis=0))
-                    missing = np.flatnonzero(at == 0).tolist()
-                    known.append(len(own) - len(missing))
-                    sizes.append(len(own))
-                    rare = Counter(own[i] for i in missing)
+                    missing = np.flatnonzero(at == 0)
+                    known.append(len(at) - len(missing))
+                    sizes.append(len(at))
+                    rare = Counter(kinds[codes[start + i]] if start + i < stop else END for i in missing.tolist())
                     tails += rare.keys()
                     times += rare.values()
                     rares.append(len(rare))
+                    start = stop
                 sums = np.array(sums).reshape(-1, 2)
                 tail = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *rares]).astype(np.int32)), pa.StructArray.from_arrays([pa.array(tails, pa.binary()), pa.array(times, pa.int64())], ["word", "n"]))
                 yield pa.RecordBatch.from_arrays(

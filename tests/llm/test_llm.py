@@ -821,3 +821,17 @@ def test_pairs_of_a_large_group_of_near_copies(spark, monkeypatch):
                     root = [a if x == b else x for x in root]
     assert got == dict(enumerate(root))
     assert made[0] < 300 * 18
+
+
+@pytest.mark.parametrize("chars", [1, 20, 1 << 23])
+def test_words_of_pieces_of_a_column(monkeypatch, chars):
+    """Each distinct word of a piece is looked up once; the words are those of lm.words."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(lm, "CHARS", chars)
+    texts = ["", None, " \t\x0b\x0c\r\n", "  A b  A ", "a\x1cb\x85c d Ü x", "word " * 50, "\n\n", "x", "İI ſ a　b", None]
+    got = []
+    for rows, kinds, codes, ends in lm._coded(pa.array(texts)):
+        assert len(set(kinds)) == len(kinds) and rows == len(ends)
+        got += [[kinds[c] for c in codes[a:b]] for a, b in zip([0, *ends], ends)]
+    assert got == [lm.words(t) for t in texts]

@@ -34,7 +34,7 @@ HEAD, WORD_BYTES = 1 << 18, 64
 WARM, WARM_PASSES = 2000, 3
 #: Tokens of a shard, and in how many rounds the shards' parameters are averaged.
 SHARD, ROUNDS = 1 << 21, 2
-#: Tokens that run side by side; characters tokenised at a time.
+#: Tokens that run side by side; bytes of texts tokenised at a time.
 GROUP, CHARS = 1 << 21, 1 << 23
 #: Least and most steps of a training window and of a scoring window; most lanes that run side by side; tokens of an update at least; rows of logits made at a time.
 STEPS, SCORE_STEPS, LANES, UPDATE, ROWS = (24, 256), (32, 2048), 768, 4096, 2048
@@ -42,7 +42,7 @@ WARM_RATE, RATE, SEED = 0.01, 0.003, 11
 #: The end of a text as a word: no word holds a blank.
 END = b" "
 #: Words that a task counts before it hands the counts on; parameters summed in one row.
-HELD, SLICE = 300_000, 4096
+HELD, SLICE = 1 << 20, 4096
 SMOOTH = 0.1
 
 
@@ -55,33 +55,56 @@ def fold(doc_id: Column, folds: int = 10) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string")), F.lit(folds))
 
 
-def _coded(column: pa.Array) -> Iterator[tuple[int, list[bytes], np.ndarray, np.ndarray]]:
-    """A column of texts some CHARS at a time: (rows, their distinct words, the place of each word among these, where each row's words end)."""
-    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
-    ends, first = np.cumsum(sizes, dtype=np.int64), 0
-    while first < len(column):
-        end = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + CHARS, side="right")))
-        texts = pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(column.slice(first, end - first), "")))
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, pa.Array, np.ndarray]]:
+    """(rows, their words, where each row's words end), some CHARS of texts at a time, whatever the size of batches."""
+
+    def made(rows: list[pa.RecordBatch]) -> tuple[pa.RecordBatch, pa.Array, np.ndarray]:
+        b = pa.concat_batches(rows) if len(rows) > 1 else rows[0]
+        texts = pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(b.column("text"), "")))
         split = pc.ascii_split_whitespace(texts)
         lengths = np.where(pc.equal(texts, "").to_numpy(zero_copy_only=False), 0, pc.list_value_length(split).to_numpy(zero_copy_only=False))
-        coded = pc.filter(split.flatten(), pc.not_equal(split.flatten(), "")).dictionary_encode()
-        yield end - first, coded.dictionary.cast(pa.binary()).to_pylist(), coded.indices.to_numpy(), np.cumsum(lengths)
-        first = end
+        return b, pc.filter(split.flatten(), pc.not_equal(split.flatten(), "")).cast(pa.binary()), np.cumsum(lengths)
 
+    held, size = [], 0
+    for b in batches:
+        ends, first = np.cumsum(pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(zero_copy_only=False), dtype=np.int64), 0
+        while first < len(b):
+            before = ends[first - 1] if first else 0
+            end = int(np.searchsorted(ends, before + CHARS - size, side="right"))
+            if end == first and not held:
+                end += 1  # a text of more than CHARS is a piece
+            if end > first:
+                held.append(b.slice(first, end - first))
+                size += int(ends[end - 1] - before)
+                first = end
+            if first < len(b) or size >= CHARS:
+                yield made(held)
+                held, size = [], 0
+    if held:
+        yield made(held)
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def made(n: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(n), pa.binary()), pa.array(list(n.values()), pa.int64())], ["word", "c"])
 
-    seen: Counter = Counter()
-    for b in batches:
-        for text in b.column("text").to_pylist():
-            seen.update(words(text))
-        seen[END] += len(b)
-        if len(seen) > HELD:
-            yield made(seen)
-            seen = Counter()
-    yield made(seen)
+def _coded(column: pa.Array) -> Iterator[tuple[int, list[bytes], np.ndarray, np.ndarray]]:
+    """A column's pieces: (rows, their distinct words, the place of each word among these, where each row's words end)."""
+    for b, found, ends in _pieces(iter([pa.RecordBatch.from_arrays([column], ["text"])])):
+        coded = found.dictionary_encode()
+        yield len(b), coded.dictionary.to_pylist(), coded.indices.to_numpy(), ends
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def made() -> pa.RecordBatch:
+        one = pa.Table.from_batches(held).group_by("word", use_threads=False).aggregate([("c", "sum")])
+        return pa.RecordBatch.from_arrays([one.column("word").combine_chunks(), one.column("c_sum").combine_chunks()], ["word", "c"])
+
+    held = []
+    for b, found, _ in _pieces(batches):
+        own = found.value_counts()
+        held.append(pa.RecordBatch.from_arrays([pa.concat_arrays([own.field("values"), pa.array([END], pa.binary())]), pa.concat_arrays([own.field("counts"), pa.array([len(b)], pa.int64())])], ["word", "c"]))
+        if sum(map(len, held)) > HELD:
+            yield made()
+            held = []
+    if held:
+        yield made()
 
 
 def counts(texts: DataFrame) -> DataFrame:
@@ -409,37 +432,34 @@ def _tokenise(lex: Lexicon):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 40
-        place = {w: i for i, w in enumerate(lex.count, 1)}  # 0: in the tail
+        head = pa.array(list(lex.count), pa.binary())
         logs = np.log10(np.array(list(lex.count.values()), float) + SMOOTH)
         code = np.array([1, *(lex.id.get(w, 1) for w in lex.count)], np.uint16)
         value = np.concatenate([[[0.0, 0.0]], np.stack([logs - np.log10(lex.z), np.where(code[1:] == 1, logs - np.log10(lex.rest), 0.0)], axis=1)])
-        get, last = place.get, place.get(END, 0)
-        for whole in batches:
-            first = 0
-            for n, kinds, codes, ends in _coded(whole.column("text")):
-                b, start = whole.slice(first, n), 0
-                first += n
-                places = np.fromiter((get(w, 0) for w in kinds), np.int32, len(kinds))[codes]
-                sizes, sums, known, tails, times, rares, ids = [], [], [], [], [], [], []
-                for stop in ends.tolist():
-                    at = np.append(places[start:stop], last)
-                    ids.append(code[at].tobytes())
-                    sums.append(value[at].sum(axis=0))
-                    missing = np.flatnonzero(at == 0)
-                    known.append(len(at) - len(missing))
-                    sizes.append(len(at))
-                    rare = Counter(kinds[codes[start + i]] if start + i < stop else END for i in missing.tolist())
-                    tails += rare.keys()
-                    times += rare.values()
-                    rares.append(len(rare))
-                    start = stop
-                sums = np.array(sums).reshape(-1, 2)
-                tail = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *rares]).astype(np.int32)), pa.StructArray.from_arrays([pa.array(tails, pa.binary()), pa.array(times, pa.int64())], ["word", "n"]))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(row, row + len(b))), *(b.column(c) for c in ("doc_id", "held_out", "learn", "h")), pa.array(sizes, pa.int64()), pa.array(known, pa.int64()), pa.array(sums[:, 0]), pa.array(sums[:, 1]), tail, pa.array(ids, pa.binary())],
-                    ["row", "doc_id", "held_out", "learn", "h", "n_tokens", "known", "base", "share", "tail", "ids"],
-                )
-                row += len(b)
+        last = pc.fill_null(pc.index_in(pa.array([END], pa.binary()), value_set=head), -1)[0].as_py() + 1
+        for b, found, ends in _pieces(batches):
+            places = pc.fill_null(pc.index_in(found, value_set=head), -1).to_numpy() + 1  # 0: in the tail
+            at = np.insert(places, ends, last)
+            stops = ends + np.arange(1, len(b) + 1)
+            starts = np.concatenate([[0], stops[:-1]])
+            sums = np.add.reduceat(value[at], starts, axis=0)
+            known = np.add.reduceat(at > 0, starts, dtype=np.int64)
+            # each row's different words of the tail, the end among them if nothing was learned
+            rare = pc.filter(found, pa.array(places == 0)).dictionary_encode()
+            owner = np.searchsorted(ends, np.flatnonzero(places == 0), side="right")
+            kinds, codes = rare.dictionary, rare.indices.to_numpy()
+            if not last:
+                kinds, codes, owner = pa.concat_arrays([kinds, pa.array([END], pa.binary())]), np.append(codes, np.full(len(b), len(kinds))), np.append(owner, np.arange(len(b)))
+            pairs, times = np.unique(owner.astype(np.int64) << 32 | codes, return_counts=True)
+            cuts = np.searchsorted(pairs >> 32, np.arange(len(b) + 1))
+            tails = pa.StructArray.from_arrays([kinds.take(pa.array(pairs & 0xFFFFFFFF)), pa.array(times, pa.int64())], ["word", "n"])
+            tail = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), tails)
+            ids = pa.Array.from_buffers(pa.binary(), len(b), [None, pa.py_buffer(np.concatenate([[0], 2 * stops]).astype(np.int32)), pa.py_buffer(code[at])])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.arange(row, row + len(b))), *(b.column(c) for c in ("doc_id", "held_out", "learn", "h")), pa.array(stops - starts, pa.int64()), pa.array(known), pa.array(sums[:, 0]), pa.array(sums[:, 1]), tail, ids],
+                ["row", "doc_id", "held_out", "learn", "h", "n_tokens", "known", "base", "share", "tail", "ids"],
+            )
+            row += len(b)
 
     return run
 

@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from echolith.functions import kernels
 from echolith.schema import FEATURE_RATE, FEATURE_SIZE, FS, ORDER
@@ -33,9 +35,14 @@ def _attempt(kernel: Callable, x, *more):
         return e
 
 
+def result(kernel: Callable, x, *more):
+    """The kernel's result, None where there is none."""
+    r = _attempt(kernel, x, *more)
+    return None if isinstance(r, Exception) else r
+
+
 def _array(kernel: Callable, *columns: pd.Series) -> pd.Series:
-    out = (_attempt(kernel, *row) for row in zip(*columns))
-    return pd.Series([None if isinstance(r, Exception) or r is None else r for r in out], dtype=object)
+    return pd.Series([result(kernel, *row) for row in zip(*columns)], dtype=object)
 
 
 def attempted(kernel: Callable, names: list[str], x, *more) -> tuple:
@@ -112,6 +119,52 @@ def with_made(rows: DataFrame, name: str, kind: str, make: Callable, *inputs: st
     return rows.mapInArrow(run, ", ".join([*(f"`{c}` {own}" for c, own in rows.dtypes), f"`{name}` {kind}"]))
 
 
+#: What makes a signal of a row's columns, and these columns.
+Source = tuple[Callable, tuple[str, ...]]
+#: The signal is in the row.
+GIVEN: Source = (lambda x: x, ("x",))
+
+
+def synthetic(fs: int = FS, noise_db: float | None = None) -> Source:
+    """The responses that with_synthetic_response() gives."""
+    return lambda tr, seed: _synthetic(tr, seed, fs, noise_db), ("tr", "seed")
+
+
+def flat_map(rows: DataFrame, each: Callable[..., Iterator[tuple]], schema: str) -> DataFrame:
+    """The rows that each gives for the values of each row (arrays of floating-point numbers as numpy arrays), in pieces()."""
+    kinds = to_arrow_schema(StructType.fromDDL(schema))
+    return rows.mapInArrow(lambda batches: pieces(batches, each, kinds), schema)
+
+
+def pieces(batches: Iterator[pa.RecordBatch], each: Callable[..., Iterator[tuple]], kinds: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """What each gives for the batches' rows, in batches that end at about MADE_BYTES: what Python holds grows with neither its rows nor what they become."""
+    held, size = [], 0
+    for b in batches:
+        for row in zip(*b.columns):
+            for out in each(*map(_plain, row)):
+                held.append(out)
+                size += ROW_BYTES + sum(v.nbytes for v in out if isinstance(v, np.ndarray))
+                if size >= MADE_BYTES:
+                    yield _batch(held, kinds)
+                    held, size = [], 0
+    if held:
+        yield _batch(held, kinds)
+
+
+#: Bytes that a row counts besides its arrays.
+ROW_BYTES = 1 << 10
+
+
+def _plain(v: pa.Scalar):
+    if isinstance(v, pa.ListScalar) and v.is_valid and pa.types.is_floating(v.type.value_type):
+        return v.values.to_numpy(zero_copy_only=False)
+    return v.as_py()
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+
 def _synthetic(tr: float, seed: int, fs: int, noise_db: float | None) -> np.ndarray:
     """A synthetic response in single precision, or that with pink noise so many dB under it."""
     x = kernels.synthetic_response(float(tr), fs, int(seed)).astype(np.float32)

@@ -1,6 +1,6 @@
 """The record table: responses and their variants, described per band, joined with the speech of their split, one record per (speech, variant, band).
 
-What doesn't depend on speech (variants, band-split responses, descriptors) is planned before speech is met, so it is computed once per response, and rejected bands never meet it. Decay parameters are estimated once per (response, band) and reused for every decay time of the sweep. Responses and speech meet block by block. What is rejected is kept, with the reason.
+What doesn't depend on speech (variants, band-split responses, descriptors) is made before speech is met, in one pass over the responses, and rejected bands never meet it. Decay parameters are estimated once per (response, band) and reused for every decay time of the sweep. Responses and speech meet block by block. What is rejected is kept, with the reason.
 """
 
 from __future__ import annotations
@@ -11,12 +11,11 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from echolith.functions import kernels, udfs
 from echolith.operators.ranks import chance
-from echolith.operators.splits import sweep
 from echolith.schema import BANDS, DRR_SWEEP, FS, ORDER, TR_SWEEP, audio_name, dataset_name, sweep_values, tr_drr_tag, tr_tag
 from echolith.sources import tables
 
@@ -42,70 +41,112 @@ class Settings:
         return dataset_name(self.noise_db, self.add_noise, self.tr, self.drr, self.snr, bands="_".join(map(str, self.bands)), order=self.order, fs=self.fs, seed=self.seed)
 
 
-def tr_variants(responses: DataFrame, s: Settings) -> DataFrame:
-    """(rir_name, split, tr, x, error): each response at each decay time of the sweep; where a decay can't be estimated in every band, x is null and error says why. A response's bands stay together in one row's work, so nothing shuffles, and one variant at a time is made. Each variant's modelled decay has noise of its own."""
-    values = sweep_values(*s.tr)
+def _longer(x: np.ndarray, seeds: list[int], s: Settings) -> Iterator[np.ndarray]:
+    """The response x at each decay time of the sweep, its noise replaced by the bands' modelled decays. Decay parameters are fitted once."""
+    head, late = kernels.head_and_late(x, s.fs)
+    full, bands = kernels.full_band_decay(late, s.fs), []
+    for band, seed in zip(s.bands, seeds):
+        own = kernels.band_passed(late, band, s.fs, s.order, s.kind)
+        crossing, amplitude, tau, floor = kernels.decay_parameters(own, s.fs)
+        if not np.isfinite([amplitude, tau, floor, full]).all():
+            raise ValueError("the decay can't be estimated")
+        bands.append((own, int(crossing), amplitude, tau, seed))
+    for i, tr in enumerate(sweep_values(*s.tr)):
+        parts = (kernels.rescaled(kernels.denoised(own, s.fs, crossing, amplitude, tau, seed + i), s.fs, tr, full, tau) for own, crossing, amplitude, tau, seed in bands)
+        yield kernels.peak_normalised(np.concatenate([head, np.sum(list(parts), axis=0)]))
 
-    def longer(x: np.ndarray, seeds: list[int]) -> Iterator[np.ndarray]:
-        head, late = kernels.head_and_late(x, s.fs)
-        full, bands = kernels.full_band_decay(late, s.fs), []
-        for band, seed in zip(s.bands, seeds):
-            own = kernels.band_passed(late, band, s.fs, s.order, s.kind)
-            crossing, amplitude, tau, floor = kernels.decay_parameters(own, s.fs)
-            if not np.isfinite([amplitude, tau, floor, full]).all():
-                raise ValueError("the decay can't be estimated")
-            bands.append((own, int(crossing), amplitude, tau, seed))
-        for i, tr in enumerate(values):
-            parts = (kernels.rescaled(kernels.denoised(own, s.fs, crossing, amplitude, tau, seed + i), s.fs, tr, full, tau) for own, crossing, amplitude, tau, seed in bands)
-            yield kernels.peak_normalised(np.concatenate([head, np.sum(list(parts), axis=0)]))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for df in frames:
-            for name, split, x, seeds in zip(df["rir_name"], df["split"], df["x"], df["seeds"]):
-                made, error = iter(()), "EmptySignal"
-                if x is not None and len(x):
-                    made, error = longer(np.asarray(x, float), [int(k) for k in seeds]), None
-                for tr in values:
-                    y = None
-                    try:
-                        with np.errstate(all="ignore"):
-                            y = next(made, None)
-                    except udfs.FAILURES as e:  # the decay times after this one have the same error
-                        error = type(e).__name__
-                    yield pd.DataFrame({"rir_name": [name], "split": [split], "tr": [tr], "x": [y], "error": [error]})
+def _at_decay_times(x: np.ndarray | None, seeds: list[int], s: Settings) -> Iterator[tuple[float, np.ndarray | None, str | None]]:
+    """(tr, signal, error) for each decay time of the sweep, one signal at a time."""
+    made, error = iter(()), "EmptySignal"
+    if x is not None and len(x):
+        made, error = _longer(np.asarray(x, float), seeds, s), None
+    for tr in sweep_values(*s.tr):
+        y = None
+        try:
+            with np.errstate(all="ignore"):
+                y = next(made, None)
+        except udfs.FAILURES as e:  # the decay times after this one have the same error
+            error = type(e).__name__
+        yield tr, y, error
+
+
+def _seeds(s: Settings) -> Column:
+    return F.array(*(F.xxhash64("rir_name", F.lit(b), F.lit(s.seed)) for b in s.bands)).cast("array<long>").alias("seeds")
+
+
+def tr_variants(responses: DataFrame, s: Settings, source: udfs.Source = udfs.GIVEN, kind: str = "x array<double>", of: Callable[[np.ndarray | None], tuple] = lambda y: (y,)) -> DataFrame:
+    """(rir_name, split, tr, x, error): each response, which source says what it is made of, at each decay time of the sweep; where a decay can't be estimated in every band, x is null and error says why. A response's bands stay together in one row's work, so nothing shuffles, and one variant at a time is made. Each variant's modelled decay has noise of its own. With kind and of, what of makes of each variant (or of null) stands instead of x, and no variant leaves the function."""
+    make, inputs = source
+
+    def each(name: str, split: str, seeds: list[int], *x) -> Iterator[tuple]:
+        for tr, y, error in _at_decay_times(make(*x), seeds, s):
+            yield name, split, tr, *of(y), error
+
+    return udfs.flat_map(responses.select("rir_name", "split", _seeds(s), *inputs), each, f"rir_name string, split string, tr double, {kind}, error string")
 
-    seeds = F.array(*(F.xxhash64("rir_name", F.lit(b), F.lit(s.seed)) for b in s.bands))
-    return responses.select("rir_name", "split", "x", seeds.alias("seeds")).mapInPandas(run, "rir_name string, split string, tr double, x array<double>, error string")
 
+def every_variant(responses: DataFrame, s: Settings, source: udfs.Source = udfs.GIVEN, describe: bool = True) -> DataFrame:
+    """(rir_name, split, tr, drr, aug_tag, x, error, measures, rejects): variants() with its decay time and ratio, described in the same pass: measures has the bands with descriptors, rejects those without and why. The x of a variant that no band describes is null.
 
-def variants(responses: DataFrame, s: Settings) -> DataFrame:
+    All of a response is one row's work: it is made (see tr_variants()) and fitted once, and its variants leave Python in pieces of udfs.MADE_BYTES, never as a batch of as many signals as rows fit a batch. Without describe, measures and rejects are empty and every x stays.
+    """
+    make, inputs = source
+    values, ratios = sweep_values(*s.tr), sweep_values(*s.drr)
+
+    def made(augment: bool, seeds: list[int], drawn: list[bool], x: np.ndarray | None) -> Iterator[tuple]:
+        yield None, None, x, None
+        if augment:
+            for (tr, y, error), chosen in zip(_at_decay_times(x, seeds, s), drawn):
+                yield tr, None, y, error
+                for drr in ratios if chosen else []:
+                    z = udfs.result(kernels.with_direct_ratio, y, s.fs, drr)
+                    yield tr, drr, z, None if z is not None else error or "RatioNotReached"
+
+    def each(name: str, split: str, augment: bool, seeds: list[int], drawn: list[bool], *x) -> Iterator[tuple]:
+        signal = make(*x)
+        for tr, drr, y, error in made(augment, seeds, drawn, None if signal is None else np.asarray(signal, float)):
+            measures, rejects = [], []
+            for band in s.bands if describe else ():
+                *found, why = _described(y, band, error, s)
+                if why:
+                    rejects.append({"band": band, "error": why})
+                else:
+                    measures.append({"band": band, "descriptors": dict(zip(_MEASURES[:4], found)), "drr": found[-1]})
+            yield name, split, tr, drr, y if measures or not describe else None, error, measures, rejects
+
+    drawn = F.array(*(chance(F.col("rir_name"), F.lit(tr), seed=s.seed, out_of=len(values), kept=s.drr_draws) for tr in values)).cast("array<boolean>").alias("drawn")
+    rows = responses.select("rir_name", "split", F.coalesce("augment", F.lit(False)).alias("augment"), _seeds(s), drawn, *inputs)
+    out = udfs.flat_map(rows, each, f"rir_name string, split string, tr double, drr double, x array<double>, error string, measures array<{_MEASURE}>, rejects array<struct<band:int,error:string>>")
+    tag = F.when(F.col("tr").isNull(), "original").when(F.col("drr").isNull(), tr_tag(F.col("tr"))).otherwise(tr_drr_tag(F.col("tr"), F.col("drr")))
+    return out.select("rir_name", "split", "tr", "drr", tag.alias("aug_tag"), "x", "error", "measures", "rejects")
+
+
+def variants(responses: DataFrame, s: Settings, source: udfs.Source = udfs.GIVEN) -> DataFrame:
     """(rir_name, split, aug_tag, x, error) from (rir_name, split, augment, x): each response itself and, where augment is set, at each decay time, and for a random few of those at each direct-to-reverberant ratio. A variant that can't be made has a null x and its error."""
-    own = responses.select("rir_name", "split", F.lit("original").alias("aug_tag"), F.col("x").cast("array<double>").alias("x"), F.lit(None).cast("string").alias("error"))
-    longer = tr_variants(responses.where("augment"), s)
-    drawn = longer.where(chance(F.col("rir_name"), F.col("tr"), seed=s.seed, out_of=len(sweep_values(*s.tr)), kept=s.drr_draws))
-    direct = sweep(drawn, "drr", *s.drr)
-    direct = direct.withColumn("x", udfs.with_direct_ratio(F.col("x"), F.col("drr"), s.fs)).withColumn("error", F.when(F.col("x").isNull(), F.coalesce("error", F.lit("RatioNotReached"))))
-    return (
-        own.unionByName(longer.select("rir_name", "split", tr_tag(F.col("tr")).alias("aug_tag"), "x", "error"))
-        .unionByName(direct.select("rir_name", "split", tr_drr_tag(F.col("tr"), F.col("drr")).alias("aug_tag"), "x", "error"))
-    )
+    return every_variant(responses, s, source, describe=False).select("rir_name", "split", "aug_tag", "x", "error")
+
+
+_MEASURES = ("t30", "c50", "c80", "d50", "drr")
+_DESCRIPTORS = "struct<t30:double,c50:double,c80:double,d50:double>"
+_MEASURE = f"struct<band:int,descriptors:{_DESCRIPTORS},drr:double>"
+
+
+def _described(x: np.ndarray | None, band: int, error: str | None, s: Settings) -> tuple:
+    """A signal's measures in one band, and why there are none: its own error, if it has one, else null if there are."""
+    one = lambda v: kernels.descriptors(kernels.band_passed(v, band, s.fs, s.order, s.kind), s.fs, s.noise_db)
+    return (*[None] * len(_MEASURES), error) if error else udfs.attempted(one, list(_MEASURES), x)
 
 
 def described(responses: DataFrame, s: Settings) -> DataFrame:
     """Each variant per band with t30, c50, c80, d50, drr, and error: why it can't be described (its own error, if it has one), else null. A variant goes to Python once for all its bands."""
-    names = ["t30", "c50", "c80", "d50", "drr"]
-
-    def one(x: np.ndarray, band: int) -> tuple:
-        return kernels.descriptors(kernels.band_passed(x, band, s.fs, s.order, s.kind), s.fs, s.noise_db)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for df in frames:
-            for name, split, tag, x, error in zip(df["rir_name"], df["split"], df["aug_tag"], df["x"], df["error"]):
-                rows = [(name, split, tag, b, *([None] * len(names) + [error] if error else udfs.attempted(one, names, x, b))) for b in s.bands]
-                yield pd.DataFrame(rows, columns=["rir_name", "split", "aug_tag", "band", *names, "error"])
+    def each(name: str, split: str, tag: str, x: np.ndarray | None, error: str | None) -> Iterator[tuple]:
+        for b in s.bands:
+            yield name, split, tag, b, *_described(x, b, error, s)
 
     rows = responses.select("rir_name", "split", "aug_tag", "x", "error" if "error" in responses.columns else F.lit(None).cast("string").alias("error"))
-    return rows.mapInPandas(run, "rir_name string, split string, aug_tag string, band int, " + ", ".join(f"{n} double" for n in names) + ", error string")
+    return udfs.flat_map(rows, each, "rir_name string, split string, aug_tag string, band int, " + ", ".join(f"{n} double" for n in _MEASURES) + ", error string")
 
 
 def band_features(signals: DataFrame, s: Settings) -> DataFrame:
@@ -182,31 +223,29 @@ def features(wet: DataFrame, speech: DataFrame, s: Settings) -> DataFrame:
 
 #: Signals of a block of either side, about.
 BLOCK = 8
-_FEATURES = "split string, speech_name string, rir_name string, aug_tag string, band int, descriptors struct<t30:double,c50:double,c80:double,d50:double>, drr double, tae array<double>, snr double, error string"
+_FEATURES = f"split string, speech_name string, rir_name string, aug_tag string, band int, descriptors {_DESCRIPTORS}, drr double, tae array<double>, snr double, error string"
 _FEATURE_ARROW = pa.schema(
     [*((c, pa.string()) for c in ("split", "speech_name", "rir_name", "aug_tag")), ("band", pa.int32()), ("descriptors", pa.struct([(c, pa.float64()) for c in ("t30", "c50", "c80", "d50")])),
      ("drr", pa.float64()), ("tae", pa.list_(pa.float64())), ("snr", pa.float64()), ("error", pa.string())]
 )
 
 
-def outcomes(responses: DataFrame, speech: DataFrame, s: Settings = Settings(), keep: Callable[[DataFrame], DataFrame] = lambda df: tables.shared(df, "variants")) -> DataFrame:
-    """The record table of responses (rir_name, split, augment, x) and speech (speech_name, split, x), and what didn't come to be a record: each (speech, variant, band), or where a variant can't be described in a band each (variant, band) without speech_name, with error null for records and else why there is none.
+def outcomes(responses: DataFrame, speech: DataFrame, s: Settings = Settings(), keep: Callable[[DataFrame], DataFrame] = lambda df: tables.shared(df, "variants"), source: udfs.Source = udfs.GIVEN) -> DataFrame:
+    """The record table of responses (rir_name, split, augment, x, or instead of x what source makes it of) and speech (speech_name, split, x), and what didn't come to be a record: each (speech, variant, band), or where a variant can't be described in a band each (variant, band) without speech_name, with error null for records and else why there is none.
 
-    Variants are used twice, once to be described and once to be convolved, and their description twice; keep writes them to a shared table. rejected tells both kinds apart: written by it (tables.write_outcomes), records and rejects come from one pass.
+    Variants with their description are used three times, to count them, to convolve them and for the rejects; keep writes them to a shared table. rejected tells records and rejects apart: written by it (tables.write_outcomes), both come from one pass.
     """
-    every = keep(variants(responses, s))
-    told = keep(described(every, s))
-    measures = F.struct("band", F.struct("t30", "c50", "c80", "d50").alias("descriptors"), "drr")
-    good = told.where("error is null").groupBy("rir_name", "aug_tag", "split").agg(F.collect_list(measures).alias("measures"))  # at most one a band
-    wet = every.where("error is null").select("rir_name", "aug_tag", "split", F.col("x").alias("h")).join(good, ["rir_name", "aug_tag", "split"])
+    every = keep(every_variant(responses, s, source))
+    wet = every.where(F.size("measures") > 0).select("rir_name", "aug_tag", "split", F.col("x").alias("h"), "measures")
     out = features(wet, speech.select("speech_name", "split", F.col("x").cast("array<double>").alias("dry")), s)
-    out = out.unionByName(told.where("error is not null").select("split", "rir_name", "aug_tag", "band", "error"), allowMissingColumns=True)
+    told = every.select("split", "rir_name", "aug_tag", F.explode("rejects").alias("r")).select("split", "rir_name", "aug_tag", "r.*")
+    out = out.unionByName(told, allowMissingColumns=True)
     return out.select(
         audio_name(F.col("speech_name"), F.col("rir_name"), F.col("aug_tag")).alias("reverbed_audio"), F.col("split").alias("type_data"), "band", "speech_name", "rir_name", "aug_tag",
         "descriptors", "drr", "tae", "snr", "error", F.col("error").isNotNull().alias("rejected"),
     )
 
 
-def records(responses: DataFrame, speech: DataFrame, s: Settings = Settings(), keep: Callable[[DataFrame], DataFrame] = lambda df: tables.shared(df, "variants")) -> DataFrame:
+def records(responses: DataFrame, speech: DataFrame, s: Settings = Settings(), keep: Callable[[DataFrame], DataFrame] = lambda df: tables.shared(df, "variants"), source: udfs.Source = udfs.GIVEN) -> DataFrame:
     """The rows of outcomes() that are records."""
-    return outcomes(responses, speech, s, keep).where("not rejected").drop("error", "rejected")
+    return outcomes(responses, speech, s, keep, source).where("not rejected").drop("error", "rejected")

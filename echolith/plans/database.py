@@ -181,10 +181,11 @@ def _in_blocks(rows: DataFrame, sizes: DataFrame, names: list[str], own: str, ot
 def features(wet: DataFrame, speech: DataFrame, s: Settings) -> DataFrame:
     """A row for each response (rir_name, aug_tag, split, h, measures) with each speech (speech_name, split, dry) of its split and each of its measures: tae, snr and error instead of h, dry and measures. That is the speech through the response, per band, with noise if it is to be added; tae is null where error says why.
 
-    Both sides are cut into blocks of about BLOCK signals, and a task gets a block of each: a signal's spectrum is found once for all signals that it meets there, and a signal is shuffled once for each block of the other side.
+    Both sides are cut into blocks, speech of about BLOCK signals, responses of LONGER times as many or, where that gives too few blocks for the cores, fewer. A task gets a block of each: a signal's spectrum is found once for all signals that it meets there, the responses' one after the other, and a signal is shuffled once for each block of the other side.
     """
-    counts = lambda rows, name: rows.groupBy("split").agg(F.ceil(F.count("*") / BLOCK).alias(name))
-    sizes = counts(wet, "wet_blocks").join(counts(speech, "dry_blocks"), "split")  # a row a split
+    cores = wet.sparkSession.sparkContext.defaultParallelism
+    counts = lambda rows, name, least, most: rows.groupBy("split").agg(F.greatest(F.ceil(F.count("*") / most), F.least(F.ceil(F.count("*") / BLOCK), F.lit(least))).alias(name))
+    sizes = counts(wet, "wet_blocks", 4 * cores, LONGER * BLOCK).join(counts(speech, "dry_blocks", 1, BLOCK), "split")  # a row a split
     low, wide = s.snr[0], s.snr[1] - s.snr[0]
 
     def one(audio: np.ndarray, band: int, seed: int) -> tuple[np.ndarray, float]:
@@ -199,10 +200,11 @@ def features(wet: DataFrame, speech: DataFrame, s: Settings) -> DataFrame:
         hs, xs = signals(left, "h"), signals(right, "dry")
         longest = lambda found: max((len(v) for v in found if v is not None), default=0)
         size = 1 << max(longest(hs) + longest(xs) - 2, 0).bit_length()
-        spectra = [[None if v is None or not len(v) else np.fft.rfft(v, size) for v in found] for found in (hs, xs)]
-        out = []
-        for r, h, fh in zip(left.drop_columns(["h"]).to_pylist(), hs, spectra[0]):
-            for name, x, fx in zip(right.column("speech_name").to_pylist(), xs, spectra[1]):
+        spectrum = lambda v: None if v is None or not len(v) else np.fft.rfft(v, size)
+        dry, out = list(zip(right.column("speech_name").to_pylist(), xs, map(spectrum, xs))), []
+        for r, h in zip(left.drop_columns(["h"]).to_pylist(), hs):
+            fh = spectrum(h)
+            for name, x, fx in dry:
                 audio = None if fh is None or fx is None else kernels.middle(np.fft.irfft(fx * fh, size), len(x), len(h))
                 for m in r["measures"]:
                     tae, snr, error = None, None, "EmptySignal"
@@ -221,8 +223,8 @@ def features(wet: DataFrame, speech: DataFrame, s: Settings) -> DataFrame:
     return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(run, _FEATURES)
 
 
-#: Signals of a block of either side, about.
-BLOCK = 8
+#: Signals of a block of speech, about, and how many times as many a block of responses has at most.
+BLOCK, LONGER = 8, 8
 _FEATURES = f"split string, speech_name string, rir_name string, aug_tag string, band int, descriptors {_DESCRIPTORS}, drr double, tae array<double>, snr double, error string"
 _FEATURE_ARROW = pa.schema(
     [*((c, pa.string()) for c in ("split", "speech_name", "rir_name", "aug_tag")), ("band", pa.int32()), ("descriptors", pa.struct([(c, pa.float64()) for c in ("t30", "c50", "c80", "d50")])),

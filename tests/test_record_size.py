@@ -1,11 +1,13 @@
 """The record plan at size: what Python holds grows with neither a batch's rows nor their variants, and a response is made, fitted and described in one pass."""
 
+import tracemalloc
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 from test_database import S, inputs  # noqa: F401
 
-from echolith.functions import udfs
+from echolith.functions import kernels, udfs
 from echolith.plans import database
 
 
@@ -46,3 +48,33 @@ def test_a_response_that_is_made_equals_the_same_given(spark):
     assert len(made) > 12 and sorted(made, key=lambda r: r[:2]) == sorted(database.variants(given, S).select(*own).collect(), key=lambda r: r[:2])
     lengths = database.tr_variants(keys, S, udfs.synthetic(S.fs, 35.0), "n int", lambda y: (None if y is None else len(y),)).select("rir_name", "tr", "n").collect()
     assert sorted(lengths) == sorted(database.tr_variants(given, S).select("rir_name", "tr", F.size("x").alias("n")).collect())
+
+
+def test_speech_is_copied_for_few_blocks_of_responses(spark, monkeypatch):
+    given, sizes = database._in_blocks, []
+    monkeypatch.setattr(database, "_in_blocks", lambda rows, found, *more: sizes.append(found) or given(rows, found, *more))
+    cores = spark.sparkContext.defaultParallelism
+    dealt = lambda n: spark.range(n).select(F.lit("train").alias("split"), F.concat(F.lit("r"), "id").alias("rir_name"), F.lit("original").alias("aug_tag"), F.array(F.lit(1.0)).alias("h"), F.array(F.struct(F.lit(125).alias("band"))).alias("measures"))
+    speech = spark.range(5).select(F.lit("train").alias("split"), F.concat(F.lit("s"), "id").alias("speech_name"), F.array(F.lit(1.0)).alias("dry"))
+    for n, want in ((3, 1), (80, 10), (64 * cores * 8, cores * 8), (64 * 1000, 1000)):
+        database.features(dealt(n), speech, S)
+        assert [r[1:] for r in sizes[-1].collect()] == [(min(want, max(4 * cores, -(-n // 64))), 1)]
+
+
+def test_strided_products_equal_windows():
+    rng = np.random.default_rng(3)
+    for size, width, step, count, at_once in ((1000, 70, 7, 130, 1 << 17), (1000, 70, 7, 130, 50), (50, 33, 40, 2, 1 << 17), (10, 4, 1, 7, 3), (9, 4, 5, 3, 1), (0, 3, 2, 2, 9), (5, 3, 2, 0, 9)):
+        x, taps = rng.standard_normal(size), rng.standard_normal(width)
+        padded = np.concatenate([x, np.zeros(count * step + width)])
+        want = [padded[i * step :][:width] @ taps for i in range(count)]
+        assert np.allclose(kernels.strided_products(x, taps, step, count, at_once), want, atol=1e-12)
+
+
+def test_a_feature_copies_no_windows():
+    x = np.random.default_rng(4).standard_normal(8000)
+    kernels.temporal_envelope(x, 1600)
+    tracemalloc.start()
+    kernels.resampled(x, 1600, 40)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1 << 19

@@ -107,8 +107,7 @@ def every_variant(responses: DataFrame, s: Settings, source: udfs.Source = udfs.
         signal = make(*x)
         for tr, drr, y, error in made(augment, seeds, drawn, None if signal is None else np.asarray(signal, float)):
             measures, rejects = [], []
-            for band in s.bands if describe else ():
-                *found, why = _described(y, band, error, s)
+            for band, *found, why in _described(y, error, s) if describe else ():
                 if why:
                     rejects.append({"band": band, "error": why})
                 else:
@@ -132,18 +131,20 @@ _DESCRIPTORS = "struct<t30:double,c50:double,c80:double,d50:double>"
 _MEASURE = f"struct<band:int,descriptors:{_DESCRIPTORS},drr:double>"
 
 
-def _described(x: np.ndarray | None, band: int, error: str | None, s: Settings) -> tuple:
-    """A signal's measures in one band, and why there are none: its own error, if it has one, else null if there are."""
-    one = lambda v: kernels.descriptors(kernels.band_passed(v, band, s.fs, s.order, s.kind), s.fs, s.noise_db)
-    return (*[None] * len(_MEASURES), error) if error else udfs.attempted(one, list(_MEASURES), x)
+def _described(x: np.ndarray | None, error: str | None, s: Settings) -> Iterator[tuple]:
+    """For each band a signal's measures, and why there are none: its own error, if it has one, else null if there are."""
+    spectra: dict[int, np.ndarray] = {}
+    one = lambda v, band: kernels.descriptors(kernels.band_passed(v, band, s.fs, s.order, s.kind, spectra), s.fs, s.noise_db)
+    for band in s.bands:
+        yield (band, *[None] * len(_MEASURES), error) if error else (band, *udfs.attempted(one, list(_MEASURES), x, band))
 
 
 def described(responses: DataFrame, s: Settings) -> DataFrame:
     """Each variant per band with t30, c50, c80, d50, drr, and error: why it can't be described (its own error, if it has one), else null. A variant goes to Python once for all its bands."""
 
     def each(name: str, split: str, tag: str, x: np.ndarray | None, error: str | None) -> Iterator[tuple]:
-        for b in s.bands:
-            yield name, split, tag, b, *_described(x, b, error, s)
+        for row in _described(x, error, s):
+            yield name, split, tag, *row
 
     rows = responses.select("rir_name", "split", "aug_tag", "x", "error" if "error" in responses.columns else F.lit(None).cast("string").alias("error"))
     return udfs.flat_map(rows, each, "rir_name string, split string, aug_tag string, band int, " + ", ".join(f"{n} double" for n in _MEASURES) + ", error string")
@@ -188,8 +189,8 @@ def features(wet: DataFrame, speech: DataFrame, s: Settings) -> DataFrame:
     sizes = counts(wet, "wet_blocks", 4 * cores, LONGER * BLOCK).join(counts(speech, "dry_blocks", 1, BLOCK), "split")  # a row a split
     low, wide = s.snr[0], s.snr[1] - s.snr[0]
 
-    def one(audio: np.ndarray, band: int, seed: int) -> tuple[np.ndarray, float]:
-        own, snr = kernels.band_passed(audio, band, s.fs, s.order, s.kind), float("nan")
+    def one(audio: np.ndarray, band: int, seed: int, spectra: dict[int, np.ndarray]) -> tuple[np.ndarray, float]:
+        own, snr = kernels.band_passed(audio, band, s.fs, s.order, s.kind, spectra), float("nan")
         if s.add_noise:
             snr = low + wide * (seed % (1 << 30)) / (1 << 30)
             own = kernels.with_noise(own, snr, seed)
@@ -206,12 +207,13 @@ def features(wet: DataFrame, speech: DataFrame, s: Settings) -> DataFrame:
             fh = spectrum(h)
             for name, x, fx in dry:
                 audio = None if fh is None or fx is None else kernels.middle(np.fft.irfft(fx * fh, size), len(x), len(h))
+                spectra: dict[int, np.ndarray] = {}
                 for m in r["measures"]:
                     tae, snr, error = None, None, "EmptySignal"
                     if audio is not None:
                         try:
                             with np.errstate(all="ignore"):
-                                (tae, snr), error = one(audio, m["band"], kernels.seed_of(name, r["rir_name"], r["aug_tag"], m["band"], s.seed)), None
+                                (tae, snr), error = one(audio, m["band"], kernels.seed_of(name, r["rir_name"], r["aug_tag"], m["band"], s.seed), spectra), None
                         except udfs.FAILURES as e:
                             error = type(e).__name__
                     out.append({"split": r["split"], "speech_name": name, "rir_name": r["rir_name"], "aug_tag": r["aug_tag"], **m, "tae": tae, "snr": snr, "error": error})

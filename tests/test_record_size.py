@@ -78,3 +78,25 @@ def test_a_feature_copies_no_windows():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 1 << 19
+
+
+def test_rounds_that_come_again_are_not_made_again(monkeypatch):
+    line, rounds = kernels.line, []
+    monkeypatch.setattr(kernels, "line", lambda *xy: rounds.append(1) or line(*xy))
+    most = []
+    for k in range(8):
+        x = kernels.with_noise(kernels.synthetic_response(0.4 + k / 10, 1600, k), 35.0, k)
+        for band in (125, 250):
+            own = kernels.band_passed(x, band, 1600)
+            rounds.clear()
+            got = kernels.decay_time(own, 1600, -10.0)
+            most.append(len(rounds))
+            assert np.isfinite(got).all()
+    assert np.median(most) < 20
+
+
+def test_filters_of_one_signal_share_its_spectra():
+    x, spectra = np.random.default_rng(5).standard_normal(3000), {}
+    for band in (16, 31, 63, 125, 250):
+        assert (kernels.band_passed(x, band, 1600, spectra=spectra) == kernels.band_passed(x, band, 1600)).all()
+    assert 1 <= len(spectra) < 5
